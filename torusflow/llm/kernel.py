@@ -70,8 +70,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(doc: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, in order. A word is a maximal run of WORD bytes."""
+def words(doc: np.ndarray, heads: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word, in order. A word is a maximal run of WORD bytes.
+
+    heads: also, after them, a hash of the first so many bytes of each longer word.
+    """
     if not len(doc):
         return np.zeros(0, np.uint64)
     inside = np.empty(len(doc) + 2, bool)
@@ -83,7 +86,12 @@ def words(doc: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(doc) + 1, np.uint64)
     np.cumsum((doc.astype(np.uint64) + np.uint64(1)) * _power(BASE, len(doc), "base"), out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power(INV, len(doc), "inv")[start])
+    back = _power(INV, len(doc), "inv")
+    found = [mix((sums[end] - sums[start]) * back[start])]
+    for n in heads:
+        at = start[end - start > n]
+        found.append(mix((sums[at + n] - sums[at]) * back[at] + np.uint64(n)))
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def shingles(hashed: np.ndarray, k: int = 5) -> np.ndarray:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, pieces
+from . import language, pieces, quality, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1,
     "op2_sentencepiece": pieces.op2,
+    "op4_quality": quality.op4,
+    "op6_toxicity": toxicity.op6,
 }
 
 ORACLES: dict[str, str] = {}
