@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import language, pieces, quality, toxicity
+from . import language, neighbours, pieces, preference, quality, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language.op1,
     "op2_sentencepiece": pieces.op2,
     "op4_quality": quality.op4,
     "op6_toxicity": toxicity.op6,
+    "op7_neighbours": neighbours.op7,
+    "op8_preference": preference.op8,
+    "op9_warc": warc.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_preference": preference.ORACLE,
+    "op9_warc": warc.ORACLE,
+}
