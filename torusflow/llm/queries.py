@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, neighbours, pieces, preference, quality, toxicity, warc
+from . import language, neighbours, pieces, pii, preference, quality, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language.op1,
     "op2_sentencepiece": pieces.op2,
     "op4_quality": quality.op4,
+    "op5_pii": pii.op5,
     "op6_toxicity": toxicity.op6,
     "op7_neighbours": neighbours.op7,
     "op8_preference": preference.op8,
