@@ -169,7 +169,7 @@ def convert(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                     out.append(to_warc(record, str(page), None if refers is None else str(refers)).decode())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows.mapInArrow(archive, "value string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    rows.mapInArrow(archive, "value string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
     return read(spark, path)
 
 
