@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, neighbours, pieces, pii, preference, quality, toxicity, warc
+from . import language, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language.op1,
     "op2_sentencepiece": pieces.op2,
+    "op3_near_duplicates": neardup.op3,
     "op4_quality": quality.op4,
     "op5_pii": pii.op5,
     "op6_toxicity": toxicity.op6,
