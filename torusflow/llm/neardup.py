@@ -40,6 +40,8 @@ SIMILAR = 0.8
 BLOCK, WEIGHT = 512, 1_000_000
 #: Shingles in at most FEW texts are paired one by one; others in products of CHUNK at a time.
 FEW, CHUNK = 16, 2048
+#: Ids that may be broadcast (8 bytes each, some 100 MB as a hash table).
+BROADCAST = 3_000_000
 
 
 def weighted(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +246,11 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     groups = banded.groupBy("band").agg(F.min("id").alias("name"), F.max("id").alias("last")).where("name < last").drop("last")
     members = written(banded.join(groups, "band").select("name", "id", "size").distinct(), "members")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    body = plain.where("id is not null").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    # Only the texts compared need to move. Their ids are broadcast up to a checked number;
+    # beyond it the filter is a shuffled join.
+    needed = written(members.select("id").distinct(), "needed")
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST else needed
+    body = plain.where("id is not null").join(needed, "id", "left_semi").dropDuplicates(["id"])
     edges = written(compared(members, body, similar).distinct(), "links")
     found = components(edges)
     named = texts.select("hi", "lo", F.col("id").alias("text_id")).join(found.withColumnRenamed("id", "text_id"), "text_id", "left")
