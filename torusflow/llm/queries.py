@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
+from . import decontaminate, language, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_neighbours": neighbours.op7,
     "op8_preference": preference.op8,
     "op9_warc": warc.op9,
+    "op10_decontaminate": decontaminate.op10,
 }
 
 ORACLES: dict[str, str] = {
