@@ -37,8 +37,8 @@ from .shared import written
 SIMILAR, SHINGLE, RADIUS = 0.8, 5, 24
 #: Up to so many shingles of items are broadcast; beyond, their join is left to Spark.
 BROADCAST = 200_000
-#: Low bits of hashes by which shingles are looked up in the first pass.
-BITS_AT_LEAST, BITS_AT_MOST = 18, 20
+#: Bits of hashes in each of the two tables of the first pass.
+BITS = 20
 
 
 def hashed(text: Column) -> Column:
@@ -84,12 +84,11 @@ def blocks(print_: Column) -> Column:
     return F.array(*parts)
 
 
-def flags(values: np.ndarray) -> tuple[Column, int]:
-    """A binary literal with a byte for each possible value of the low bits, 1 where a value has them."""
-    bits = int(min(max(BITS_AT_LEAST, np.ceil(np.log2(len(values) + 1)) + 5), BITS_AT_MOST))
-    table = np.zeros(1 << bits, np.uint8)
-    table[values & ((1 << bits) - 1)] = 1
-    return F.lit(bytearray(table.tobytes())), bits
+def flags(values: np.ndarray) -> Column:
+    """A binary literal with a byte for each possible value of BITS bits, 1 for the values given."""
+    table = np.zeros(1 << BITS, np.uint8)
+    table[values] = 1
+    return F.lit(bytearray(table.tobytes()))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -109,13 +108,14 @@ def _matches(docs: DataFrame, items: DataFrame, k: int, similar: float) -> DataF
     items = written(items.select("item_id", grams("h", k).alias("g")).withColumn("n", F.size("g")), "items")
     counts = items.select("item_id", "n", F.explode("g").alias("s")).groupBy("item_id", "n", "s").agg(F.count("*").cast("int").alias("c"))
     limits = items.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("all")).first()
-    # The table has a fixed size, so what is brought here for it is bounded.
-    low = F.col("s").bitwiseAND(F.lit((1 << BITS_AT_MOST) - 1))
-    table, bits = flags(np.array([r[0] for r in counts.select(low).distinct().collect()], np.int64))
+    # Two tables of a fixed size, over different bits; what is brought here for them is bounded.
     least = int(np.ceil(similar * limits["least"] - 1e-9))
+    part = lambda x, i: F.shiftrightunsigned(x, i * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
+    tables = [flags(np.array([r[0] for r in counts.select(part(F.col("s"), i)).distinct().collect()], np.int64)) for i in range(2)]
 
     def marked(x):
-        return F.substring(table, (x.bitwiseAND(F.lit((1 << bits) - 1)) + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01"))
+        first, second = (F.substring(t, (part(x, i) + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01")) for i, t in enumerate(tables))
+        return first & second
 
     # explode of one array holds the hashes once: filters would else carry their making into each lambda.
     once = lambda c: F.explode(F.array(c))
