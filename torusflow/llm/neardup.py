@@ -222,18 +222,21 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars; edges are written between rounds.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    while not _stars(edges):
         two = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = two.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = two.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
-        state = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each id points to one smaller id that points nowhere."""
+    ends = edges.select(F.col("u").alias("id"), "v").unionByName(edges.select(F.col("v").alias("id"), F.lit(None).cast("long").alias("v")))
+    seen = ends.groupBy("id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("out"), F.count("*").alias("all"))
+    return seen.where("low <> high or out > 0 and all > out").isEmpty()
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
