@@ -11,8 +11,8 @@ WEDGE = """wedge AS (SELECT t.dir, a.v - 8 AS di, b.v - 8 AS dj FROM (SELECT 0 A
 SQL = {
     "dsc1_porosity_profile": f"SELECT sid, dir, CAST((dx * x + dy * y + 16) % 16 AS INT) AS plane, round(avg(solid), 6) AS profile FROM lattice2 CROSS JOIN {DIRS} d GROUP BY sid, dir, 3",
     "dsc2_two_point": f"SELECT a.sid, CAST(dir AS INT) AS dir, CAST(r.v AS INT) AS lag, round(avg(a.solid * b.solid), 6) AS s2 FROM lattice2 a CROSS JOIN {DIRS} d CROSS JOIN (SELECT v FROM axis16 WHERE v <= 8) r JOIN lattice2 b ON b.sid = a.sid AND b.x = (a.x + dx * r.v + 16) % 16 AND b.y = (a.y + dy * r.v) % 16 GROUP BY a.sid, dir, r.v",
-    "dsc3_fabric_2d": """WITH n AS (SELECT c.sid, (e.solid - w.solid) / 2.0E0 AS gx, (n.solid - s.solid) / 2.0E0 AS gy FROM lattice2 c JOIN lattice2 e ON e.sid = c.sid AND e.y = c.y AND e.x = (c.x + 1) % 16 JOIN lattice2 w ON w.sid = c.sid AND w.y = c.y AND w.x = (c.x + 15) % 16
-        JOIN lattice2 n ON n.sid = c.sid AND n.x = c.x AND n.y = (c.y + 1) % 16 JOIN lattice2 s ON s.sid = c.sid AND s.x = c.x AND s.y = (c.y + 15) % 16)
+    "dsc3_fabric_2d": """WITH sides AS (SELECT 1 AS ox, 0 AS oy UNION ALL SELECT -1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 0, -1)
+        , n AS (SELECT sid, (x + ox + 16) % 16 AS x, (y + oy + 16) % 16 AS y, sum(-ox * solid) / 2.0E0 AS gx, sum(-oy * solid) / 2.0E0 AS gy FROM lattice2 CROSS JOIN sides GROUP BY 1, 2, 3)
         , t AS (SELECT sid, avg(gx * gx / (gx * gx + gy * gy)) AS xx, avg(gx * gy / (gx * gx + gy * gy)) AS xy, avg(gy * gy / (gx * gx + gy * gy)) AS yy FROM n WHERE gx <> 0 OR gy <> 0 GROUP BY sid)
         SELECT p.p_partkey AS sid, round(xx, 5) + 0.0E0 AS fxx, round(xy, 5) + 0.0E0 AS fxy, round(yy, 5) + 0.0E0 AS fyy, round((xx + yy) / 2 - sqrt(greatest(power(xx + yy, 2) / 4 - (xx * yy - xy * xy), 0)), 5) + 0.0E0 AS e_min, round((xx + yy) / 2 + sqrt(greatest(power(xx + yy, 2) / 4 - (xx * yy - xy * xy), 0)), 5) + 0.0E0 AS e_max FROM part p LEFT JOIN t ON t.sid = p.p_partkey""",
     "dsc9_wedge_occupancy": f"WITH {WEDGE}, o AS (SELECT a.sid, a.x, a.y, dir, 1 - avg(b.solid) AS f FROM lattice2 a CROSS JOIN wedge JOIN lattice2 b ON b.sid = a.sid AND b.x = (a.x + dj + 32) % 16 AND b.y = (a.y + di + 32) % 16 WHERE a.solid = 1 GROUP BY a.sid, a.x, a.y, dir)"
