@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import lattice as L
+from .operators import models as M
 from .plans import lattice_sql, relational, views
 
 
@@ -44,5 +45,17 @@ KERNELS = {
     "lbm1_permeability": _on2(L.permeability),
 }
 
-QUERIES = KERNELS | {name: views.query(sql) for name, sql in relational.SQL.items()}
+def _model(work):
+    return lambda spark, sf_dir: work(M.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+MODELS = {
+    "sta9_boosted_trees": _model(M.boosted),
+    "sta10_ridge": _model(M.ridge),
+    "sta11_pca_spectrum": _model(lambda rows: M.spectrum(rows, 20)),
+    "sta12_effective_rank": _model(lambda rows: M.effective_rank(rows, 64)),
+    "sta14_pca_components": _model(lambda rows: M.components(rows, 5)),
+}
+
+QUERIES = KERNELS | MODELS | {name: views.query(sql) for name, sql in relational.SQL.items()}
 ORACLES = {name: views.statement(sql, 1) for name, sql in (relational.SQL | lattice_sql.SQL).items()}
