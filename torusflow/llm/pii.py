@@ -72,7 +72,7 @@ def luhn(match: Column) -> Column:
 def mod97(match: Column) -> Column:
     """Whether letters as numbers, the first four signs moved to the end, leave 1 by 97."""
     signs = F.regexp_replace(match, "[^A-Z0-9]", "")
-    turned = F.split(F.concat(F.substring(signs, 5, 64), F.substring(signs, 1, 4)), "(?!^)")
+    turned = F.filter(F.split(F.concat(F.substring(signs, 5, 64), F.substring(signs, 1, 4)), "(?!^)"), lambda c: c != "")
 
     def step(rest, c):
         code = F.ascii(c)
