@@ -109,3 +109,21 @@ def test_bars_agree_with_euler(g):
 def test_empty_and_bad_grids(spark):
     df = spark.createDataFrame([(1, None), (2, [0, 1])], "sid long, grid array<tinyint>")
     assert L.two_point(df).count() == 0 and L.cluster_features(df.limit(0)).count() == 0
+
+
+def test_three_dimensions():
+    from torusflow.operators import generate as G
+    from torusflow.operators import lattice3 as L3
+
+    assert len(L3.C) == 19 and abs(L3.WEIGHT.sum() - 1) < 1e-12 and (L3.C[L3.BACK] == -L3.C).all()
+    g = np.zeros((1, 8, 8, 8), np.int8)
+    g[0, :2] = 1  # a slit of six open planes, normal to z
+    q, _ = L3.flow(g, np.array([1e-6, 0, 0]), steps=3000)
+    exact = sum((z + 0.5) * (6 - z - 0.5) for z in range(6)) / (2 * 8)
+    assert abs(q[0, 0] / 6 / 1e-6 / exact - 1) < 0.05 and np.abs(q[1:]).max() < 1e-12
+    assert np.allclose(L3.distance(g, 0, 4)[0, :, 0, 0], [0, 0, 1, 2, 3, 3, 2, 1])
+    cone = set(L3.cone((1, 0, 0), 2, 3))
+    assert {tuple(-c for c in o) for o in cone} == cone
+    name, aniso, porosity, tries, grid = G.structure(4, n=32)
+    again = G.structure(4, n=32)
+    assert name == "mod" and 1.3 <= aniso <= 2 and G.spans(grid) and (grid == again[4]).all() and 0.4 < porosity < 0.9

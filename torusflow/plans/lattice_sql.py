@@ -8,7 +8,15 @@ WEDGE = """wedge AS (SELECT t.dir, a.v - 8 AS di, b.v - 8 AS dj FROM (SELECT 0 A
     CROSS JOIN (SELECT v FROM axis32 WHERE v <= 16) a CROSS JOIN (SELECT v FROM axis32 WHERE v <= 16) b
     WHERE NOT (a.v = 8 AND b.v = 8) AND abs((b.v - 8) * c + (a.v - 8) * s) <= 6 + 1e-9 AND abs((a.v - 8) * c - (b.v - 8) * s) <= 3 * abs((b.v - 8) * c + (a.v - 8) * s) / 6 + 1e-9)"""
 
+DIRS3 = "(" + " UNION ALL ".join(f"SELECT {k} AS dir, {a} AS dx, {b} AS dy, {c} AS dz" for k, (a, b, c) in enumerate([(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1)])) + ")"
+
 SQL = {
+    "dsc1_porosity_profile_3d": f"SELECT sid, CAST(dir AS INT) AS dir, CAST((dx * x + dy * y + dz * z + 8) % 8 AS INT) AS plane, round(avg(solid), 6) AS profile FROM lattice3 CROSS JOIN {DIRS3} d GROUP BY sid, dir, 3",
+    "dsc2_two_point_3d": f"SELECT a.sid, CAST(dir AS INT) AS dir, CAST(r.v AS INT) AS lag, round(avg(a.solid * b.solid), 6) AS s2 FROM lattice3 a CROSS JOIN {DIRS3} d JOIN (SELECT v FROM axis8 WHERE v <= 4) r ON r.v <= 2 OR abs(dx) + abs(dy) + abs(dz) = 1 JOIN lattice3 b ON b.sid = a.sid AND b.x = (a.x + dx * r.v) % 8 AND b.y = (a.y + dy * r.v + 8) % 8 AND b.z = (a.z + dz * r.v + 8) % 8 GROUP BY a.sid, dir, r.v",
+    "dsc4_fabric_components": """WITH sides AS (SELECT 1 AS ox, 0 AS oy, 0 AS oz UNION ALL SELECT -1, 0, 0 UNION ALL SELECT 0, 1, 0 UNION ALL SELECT 0, -1, 0 UNION ALL SELECT 0, 0, 1 UNION ALL SELECT 0, 0, -1)
+        , n AS (SELECT sid, (x + ox + 8) % 8 AS x, (y + oy + 8) % 8 AS y, (z + oz + 8) % 8 AS z, sum(-ox * solid) / 2.0E0 AS gx, sum(-oy * solid) / 2.0E0 AS gy, sum(-oz * solid) / 2.0E0 AS gz FROM lattice3 CROSS JOIN sides GROUP BY 1, 2, 3, 4)
+        , t AS (SELECT sid, gx, gy, gz, gx * gx + gy * gy + gz * gz AS m FROM n WHERE gx <> 0 OR gy <> 0 OR gz <> 0)
+        SELECT sid, round(avg(gx * gx / m), 5) + 0.0E0 AS fxx, round(avg(gy * gy / m), 5) + 0.0E0 AS fyy, round(avg(gz * gz / m), 5) + 0.0E0 AS fzz, round(avg(gx * gy / m), 5) + 0.0E0 AS fxy, round(avg(gx * gz / m), 5) + 0.0E0 AS fxz, round(avg(gy * gz / m), 5) + 0.0E0 AS fyz FROM t GROUP BY sid""",
     "dsc1_porosity_profile": f"SELECT sid, dir, CAST((dx * x + dy * y + 16) % 16 AS INT) AS plane, round(avg(solid), 6) AS profile FROM lattice2 CROSS JOIN {DIRS} d GROUP BY sid, dir, 3",
     "dsc2_two_point": f"SELECT a.sid, CAST(dir AS INT) AS dir, CAST(r.v AS INT) AS lag, round(avg(a.solid * b.solid), 6) AS s2 FROM lattice2 a CROSS JOIN {DIRS} d CROSS JOIN (SELECT v FROM axis16 WHERE v <= 8) r JOIN lattice2 b ON b.sid = a.sid AND b.x = (a.x + dx * r.v + 16) % 16 AND b.y = (a.y + dy * r.v) % 16 GROUP BY a.sid, dir, r.v",
     "dsc3_fabric_2d": """WITH sides AS (SELECT 1 AS ox, 0 AS oy UNION ALL SELECT -1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 0, -1)

@@ -45,6 +45,7 @@ SQL = {
         SELECT sid, CAST(coalesce(min(CASE WHEN hold = 1 THEN step END), -1) AS BIGINT) AS stop_step, CAST(max(step) AS BIGINT) AS steps FROM held GROUP BY sid""",
     "ten9_zero_on_solid": "SELECT sid, CAST(count(CASE WHEN solid = 1 AND (u <> 0 OR v <> 0) THEN 1 END) AS BIGINT) AS moving_solid, round(avg(u), 6) + 0.0E0 AS flux FROM velocity GROUP BY sid",
     "snk6_magnitude": "SELECT sid, x, y, round(sqrt(u * u + v * v), 6) AS magnitude FROM velocity",
+    "snk6_tiling": "SELECT sid, CAST(x + 16 * t.v AS INT) AS x, CAST(y + 16 * s.v AS INT) AS y, solid FROM lattice2 CROSS JOIN (SELECT v FROM axis8 WHERE v < 2) t CROSS JOIN (SELECT v FROM axis8 WHERE v < 2) s",
     "src12_velocity_rows": "SELECT sid, CAST(y * 16 + x AS INT) AS place, round(u, 6) + 0.0E0 AS u, round(v, 6) + 0.0E0 AS v FROM velocity",
     "dsc7_wedge_stencil": """SELECT p_partkey AS sid, CAST(a.v - 8 AS INT) AS di, CAST(b.v - 8 AS INT) AS dj FROM part CROSS JOIN axis16 a CROSS JOIN axis16 b
         WHERE NOT (a.v = 8 AND b.v = 8) AND abs(b.v - 8) <= 6 + 1e-9 AND abs(a.v - 8) <= (1 + p_size % 3) * abs(b.v - 8) / 6.0E0 + 1e-9""",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import generate as G
 from .operators import lattice as L
+from .operators import lattice3 as L3
 from .operators import models as M
 from .plans import lattice_sql, relational, views
 
@@ -43,6 +45,14 @@ KERNELS = {
     "top5_components": _on2(L.component_sizes),
     "top7_critical_radius": _on2(L.critical_radius),
     "lbm1_permeability": _on2(L.permeability),
+    "dsc1_porosity_profile_3d": _on3(L3.profile),
+    "dsc2_two_point_3d": _on3(L3.two_point),
+    "dsc4_fabric_components": _on3(L3.fabric_components),
+    "dsc9_cone_occupancy": _on3(L3.cone_occupancy),
+    "dsc13_throat_iso_3d": _on3(L3.throat_iso),
+    "dsc15_euler_profile_3d": _on3(L3.euler_profile),
+    "lbm2_permeability_3d": _on3(lambda packed: L3.permeability(packed, steps=100)),
+    "gen5_structures": lambda spark, sf_dir: G.structures(spark.read.parquet(f"{sf_dir}/part.parquet"), id_col="p_partkey", n=32),
 }
 
 def _model(work):
