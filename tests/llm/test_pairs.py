@@ -114,7 +114,7 @@ def test_classes_of_nothing(spark):
 
 
 def plain_matches(docs, items, similar=0.8):
-    out = {}
+    out, best = {}, {}
     for d, t in docs:
         w = words(t)
         for i, it in items:
@@ -128,8 +128,12 @@ def plain_matches(docs, items, similar=0.8):
                 b = collections.Counter(g[s : s + n])
                 o = sum((a & b).values())
                 j = o / (n + sum(b.values()) - o)
-                if j >= similar - 1e-12 and j > out.get((d, i), (0, 0))[0] + 1e-12:
+                begins = g[s] in a or s == max(0, len(g) - n)  # what the report promises of its window
+                best[d, i] = max(best.get((d, i), 0), j)
+                if begins and j >= similar - 1e-12 and j > out.get((d, i), (0, 0))[0] + 1e-12:
                     out[d, i] = j, s
+    # No window at all is more similar than the best of those.
+    assert {k: j for k, j in best.items() if j >= similar - 1e-12} == {k: j for k, (j, _) in out.items()}
     return out
 
 

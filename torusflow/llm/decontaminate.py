@@ -22,8 +22,9 @@ Edge cases: null reads as empty; items without a word are left out; items with f
 than five words are one shingle; a document shorter than an item is one window; repeated
 rows of one document count once, and rows that repeat an id with other words each have
 their windows, of which the best counts; a null id is a document of its own kind and is
-reported as null; ties go to the earliest window; extra columns are ignored; empty tables
-give an empty result.
+reported as null; of windows with equal similarity the earliest that begins with a shared
+shingle (or ends the document) is reported; extra columns are ignored; empty tables give
+an empty result.
 """
 
 from __future__ import annotations
