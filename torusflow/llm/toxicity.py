@@ -54,10 +54,6 @@ def places(doc: np.ndarray) -> np.ndarray:
     return (kernel.words(doc, HEADS) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def place(word: str) -> int:
-    return int(kernel.words(np.frombuffer(word.lower().encode(), np.uint8))[0] >> np.uint64(64 - BITS))
-
-
 @dataclass
 class Model:
     weight: np.ndarray = field(repr=False)
@@ -73,19 +69,27 @@ class Model:
         return float(kernel.sigmoid(self.logit(doc)))
 
 
-def swaps(texts: list[str], terms=IDENTITY) -> np.ndarray:
-    """Rows (place out, place in, times) over the sentences that hold an identity term."""
+def swaps(texts: list[str], terms=IDENTITY) -> list[tuple[str, str, int]]:
+    """(term, what it is swapped for, times) over the sentences that hold an identity term."""
     kind = {t: group for group in terms for t in group}
-    found: dict[tuple[int, int], int] = {}
+    found: dict[tuple[str, str], int] = {}
     word = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, kind), key=len, reverse=True)) + r")\b")
     for text in texts:
         for sentence in re.split(r"[.!?\n]+", text.lower()):
             for term in set(word.findall(sentence)):
                 for other in kind[term]:
                     if other != term:
-                        key = place(term), place(other)
-                        found[key] = found.get(key, 0) + 1
-    return np.array([(a, b, n) for (a, b), n in sorted(found.items())], np.int64).reshape(-1, 3)
+                        found[term, other] = found.get((term, other), 0) + 1
+    return [(a, b, n) for (a, b), n in sorted(found.items())]
+
+
+def changes(pairs: list[tuple[str, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that each swap takes out (1) and puts in (-1): number of the swap, place, sign."""
+    rows = []
+    for k, (term, other, _) in enumerate(pairs):
+        gone, come = (set(places(np.frombuffer(w.encode(), np.uint8)).tolist()) for w in (term, other))
+        rows += [(k, f, 1.0) for f in sorted(gone - come)] + [(k, f, -1.0) for f in sorted(come - gone)]
+    return tuple(np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
 def train(texts: list[str], labels: list[int], share: float, *, least: int = 5, clear: float = 4.0, ridge: float = 0.05, counterfactual: float = 1.0, rounds: int = 300, terms=IDENTITY) -> Model:
@@ -104,6 +108,8 @@ def train(texts: list[str], labels: list[int], share: float, *, least: int = 5,
     apart = np.abs(bad / n1 - (often - bad) / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
     use = (often >= least) & (apart >= clear)
     pairs = swaps(texts, terms)
+    swap, feature, sign = changes(pairs)
+    times = np.array([n for _, _, n in pairs], np.float64)
     found = [x[use[x]] for x in found]
     flat = np.concatenate(found)
     row = np.repeat(np.arange(len(found)), [len(x) for x in found])
@@ -117,8 +123,10 @@ def train(texts: list[str], labels: list[int], share: float, *, least: int = 5,
         g = weight * (kernel.sigmoid(z) - y)
         grad = np.bincount(flat, g[row], size) + ridge * w / len(y)
         if len(pairs):
-            change = (w[pairs[:, 0]] - w[pairs[:, 1]]) * pairs[:, 2] * (2 * counterfactual / pairs[:, 2].sum())
-            grad += np.bincount(pairs[:, 0], change, size) - np.bincount(pairs[:, 1], change, size)
+            # Of the weighted mean of the squared changes of the score.
+            moved = np.bincount(swap, sign * w[feature], len(pairs)) * times
+            grad += np.bincount(feature, sign * moved[swap], size) * (2 * counterfactual / times.sum())
+        grad[~use] = 0  # words too rare to tell stay at nothing
         gb = g.sum()
         rate = 0.1 * (1 - (t - 1) / rounds) + 1e-3
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
