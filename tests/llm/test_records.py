@@ -96,3 +96,12 @@ def test_preference_edges(spark):
     assert got[3]["prompt_turns"] == 1 and got[3]["rejected_mask"] and not got[3]["chosen_mask"]
     none = spark.createDataFrame([], schema)
     assert preference.preferences(none, none).count() == 0
+
+
+def test_every_answered_conversation_has_a_row(spark, tmp_path):
+    assert spark_rows(preference.op8_all(spark, SF)) == oracle(SF, preference.ORACLE_ALL)
+    assert preference.op8_all(spark, SF).count() == 98
+    rows = [(i, n, role, f"{role} {i}") for i in (2, 4, 10, 12, 40) for n, role in enumerate(("user", "assistant"))] + [(6, 0, "user", "none"), (None, 0, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["pair_id"]: re.search(r"assistant (\d+)", r["rejected"])[1] for r in preference.op8_all(spark, str(tmp_path)).collect()}
+    assert got == {2: "4", 4: "10", 10: "12", 12: "40", 40: "12"}

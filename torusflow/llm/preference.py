@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: A rendered turn is OPEN, role, AFTER, text, CLOSE.
 OPEN, AFTER, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -59,19 +61,54 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return out.withColumn("trainable", (F.col("chosen_mask") != "") & (F.col("rejected_mask") != ""))
 
 
-def op8(spark, sf_dir: str) -> DataFrame:
-    """Each conversation up to its last answer is chosen; rejected is the same with the last
-    answer of the conversation whose id differs in the lowest bit."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null and turn is not null")
-    last = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m")).select("conv_id", F.col("m.turn").alias("end"), F.col("m.text").alias("answer"))
-    partner = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("answer").alias("other"))
-    pairs = last.join(partner, "conv_id")
+def _answers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns in order of use, and of each conversation its last answer (conv_id, end, answer)."""
+    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null and turn is not null")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m")).select("conv_id", F.col("m.turn").alias("end"), F.col("m.text").alias("answer"))
+    return turns, last
+
+
+def _formatted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     turns = rows.join(pairs, "conv_id")
     head = turns.where("turn < end").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     ends = lambda c: pairs.select(F.col("conv_id").alias("pair_id"), F.col("end").alias("turn"), F.lit("assistant").alias("role"), F.col(c).alias("text"))
     return preferences(head.unionByName(ends("answer")), head.unionByName(ends("other")))
 
 
+def op8(spark, sf_dir: str) -> DataFrame:
+    """Each conversation up to its last answer is chosen; rejected is the same with the last
+    answer of the conversation whose id differs in the lowest bit. Conversations without an
+    answer, and those whose partner is absent or has none, give no row: ``op8_all`` has the latter."""
+    rows, last = _answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    partner = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("answer").alias("other"))
+    return _formatted(rows, last.join(partner, "conv_id"))
+
+
+def neighbour_ids(ids: DataFrame) -> DataFrame:
+    """Each conv_id with the next one as other_id; the last takes the one before it.
+
+    The ids are dealt out by range, so no task orders all of them; the driver has two ids a
+    range. An id without any other gives no row.
+    """
+    ranged = written(ids.select("conv_id").repartitionByRange("conv_id").withColumn("part", F.spark_partition_id()), "ranges")
+    edges = ranged.groupBy("part").agg(F.min("conv_id").alias("first"), F.max("conv_id").alias("last")).orderBy("part").collect()
+    around = [(e["part"], edges[i + 1]["first"] if i + 1 < len(edges) else None, edges[i - 1]["last"] if i else None) for i, e in enumerate(edges)]
+    around = ids.sparkSession.createDataFrame(around, "part int, after long, before long")
+    order = Window.partitionBy("part").orderBy("conv_id")
+    inside = ranged.withColumns({"next": F.lead("conv_id").over(order), "prev": F.lag("conv_id").over(order)})
+    other = F.coalesce("next", "after", "prev", "before")
+    return inside.join(F.broadcast(around), "part").select("conv_id", other.alias("other_id")).where("other_id is not null")
+
+
+def op8_all(spark, sf_dir: str) -> DataFrame:
+    """As ``op8``, with the answer of the next conversation that has one (for the last, of the one
+    before), so every conversation with an answer gives a row whatever its id is. One without an
+    answer has nothing to choose and gives none, nor does the only one that has an answer."""
+    rows, last = _answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    partner = last.select(F.col("conv_id").alias("other_id"), F.col("answer").alias("other"))
+    return _formatted(rows, last.join(neighbour_ids(last), "conv_id").join(partner, "other_id").drop("other_id"))
+
+
 ORACLE = """
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
@@ -116,3 +153,11 @@ SELECT pair_id, CAST(any_value(k) AS BIGINT) AS prompt_turns,
   bool_or(side = 'c' AND pos > k AND role = 'assistant') AND bool_or(side = 'r' AND pos > k AND role = 'assistant') AS trainable
 FROM placed GROUP BY pair_id
 """
+
+#: The same with the next answer in place of the partner's.
+ORACLE_ALL = ORACLE.replace(
+    """SELECT a.conv_id, a.fin, a.answer, b.answer AS other
+  FROM last_ a JOIN last_ b ON b.conv_id = xor(a.conv_id, CAST(1 AS BIGINT))""",
+    """SELECT conv_id, fin, answer, coalesce(lead(answer) OVER (ORDER BY conv_id), lag(answer) OVER (ORDER BY conv_id)) AS other
+  FROM last_ QUALIFY other IS NOT NULL""",
+)

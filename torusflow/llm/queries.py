@@ -13,11 +13,13 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op7_neighbours": neighbours.op7,
     "op8_preference": preference.op8,
+    "op8_preference_all": preference.op8_all,
     "op9_warc": warc.op9,
     "op10_decontaminate": decontaminate.op10,
 }
 
 ORACLES: dict[str, str] = {
     "op8_preference": preference.ORACLE,
+    "op8_preference_all": preference.ORACLE_ALL,
     "op9_warc": warc.ORACLE,
 }
