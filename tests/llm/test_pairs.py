@@ -186,6 +186,25 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.search(few, few.where("vec_id = 100")).count() == 2
 
 
+def test_repeated_rows_leave_room_for_neighbours(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 8))
+    rows = [(int(i), x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())] * 20 + [(7, v[0].tolist()), (9, v[3].tolist()), (9, v[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asks = df.where("vec_id in (0, 3, 9)")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, asks, least=1.0, block=150).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    assert set(got) == {0, 3, 9}
+    for q, found in got.items():
+        near = {}
+        for _, x in (r for r in rows if r[0] == q):
+            for i, y in rows:
+                if i != q:
+                    near[i] = min(near.get(i, np.inf), float(np.linalg.norm(np.array(x) - y)))
+        assert found == [(i, round(d, 9)) for d, i in sorted((d, i) for i, d in near.items())[:10]]
+
+
 def test_pipeline_against_a_plain_one(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")

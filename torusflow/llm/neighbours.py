@@ -13,9 +13,9 @@ gives its k best and these are merged, so memory in a task is one block and a gr
 queries (both of bounded size in expectation), and no vector is left out of the index.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no
-part; vectors of a dimension other than the commonest are left out; repeated ids are
-separate candidates except that a query never finds its own id; ties go to the smaller
-id; fewer than k candidates give fewer rows; extra columns are ignored; no queries or no
+part; vectors of a dimension other than the commonest are left out; an id with several
+rows is one neighbour, at the distance of its nearest row, and one query, whose distances
+are those of its nearest row; a query never finds its own id; ties go to the smaller id; fewer than k candidates give fewer rows; extra columns are ignored; no queries or no
 vectors give an empty result.
 """
 
@@ -38,7 +38,17 @@ class Block:
     """Sorted projections of some vectors on every line."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, count: int):
-        self.ids, self.vectors = ids, vectors
+        # Copies of a row are dealt to the same block; one of them is enough.
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        keep, runs = np.ones(len(ids), bool), np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1, append=ids[-1:] + 1))
+        long = np.diff(runs) > 1
+        for a, b in zip(runs[:-1][long], runs[1:][long]):
+            keep[a:b] = False
+            keep[a + np.unique(vectors[a:b], axis=0, return_index=True)[1]] = True
+        self.ids, self.vectors = ids, vectors = ids[keep], vectors[keep]
+        #: Whether an id has several rows still.
+        self.several = bool((ids[1:] == ids[:-1]).any())
         self.lines = lines(vectors.shape[1], count)
         projected = vectors @ self.lines
         n = len(ids)
@@ -74,11 +84,19 @@ class Block:
             if len(found):
                 done[found] = True
                 verified += len(found)
-                distance = np.sqrt(np.square(self.vectors[found] - query).sum(1))
-                if len(found) > 4 * k:  # only the nearest can enter; ties at the edge stay
+                found = found[self.ids[found] != query_id]
+                distance, ids = np.sqrt(np.square(self.vectors[found] - query).sum(1)), self.ids[found]
+                if self.several:
+                    order = np.lexsort((distance, ids))
+                    order = order[np.diff(ids[order], prepend=ids[order][:1] - 1) != 0]
+                    ids, distance = ids[order], distance[order]
+                if len(ids) > 4 * k:  # only the nearest can enter; ties at the edge stay
                     keep = distance <= np.partition(distance, k)[k]
-                    found, distance = found[keep], distance[keep]
-                best = sorted([*best, *((d, i) for d, i in zip(distance.tolist(), self.ids[found].tolist()) if i != query_id)])[:k]
+                    ids, distance = ids[keep], distance[keep]
+                best = sorted([*best, *zip(distance.tolist(), ids.tolist())])
+                if self.several:
+                    best = sorted((d, i) for i, d in dict((i, d) for d, i in reversed(best)).items())
+                best = best[:k]
             # A vector at distance d collides on a line with chance P(|N| < radius / d).
             if verified == n or verified >= need and len(best) == k and best[-1][0] <= radius * 1.3:
                 return best
@@ -109,14 +127,14 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     both = both.repartition(max(1, blocks * groups), "part").sortWithinPartitions("part", "asks", "id")
 
     def work(batches):
-        part_now, held, built = None, [], None
+        part_now, held, built, seen = None, [], None, set()
         for batch in batches:
             part, ids, asks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "id", "asks"))
             v = batch.column(batch.schema.get_field_index("v")).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
             out = []
             for p in np.unique(part):  # in order: parts come one after the other
                 if p != part_now:
-                    part_now, held, built = p, [], None
+                    part_now, held, built, seen = p, [], None, set()
                 has, wants = (part == p) & ~asks, (part == p) & asks
                 if has.any():
                     held.append((ids[has], v[has]))
@@ -125,11 +143,15 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
                 if built is None:
                     built = Block(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), count)
                 for i in np.flatnonzero(wants):
+                    if (ids[i], v[i].tobytes()) in seen:  # copies come to the same part
+                        continue
+                    seen.add((ids[i], v[i].tobytes()))
                     out += [(int(ids[i]), int(found), d) for d, found in built.search(int(ids[i]), v[i], k, share, least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(work, "query_id long, vec_id long, score double")
-    # Each query has k rows of each block at most.
+    found = both.mapInArrow(work, "query_id long, vec_id long, score double").repartition("query_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    # Each distinct row of a query has k rows of each block at most.
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
