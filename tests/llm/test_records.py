@@ -47,6 +47,22 @@ def test_checksums_context_and_redaction(spark):
     assert clean[6] == "mail <EMAIL> or <PHONE>" and clean[7] is None and clean[0] == "my iban <IBAN> ok"
 
 
+def test_iban_ends_before_capitals(spark):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NO9386011117947", "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034", "CH93 0076 2011 6238 5295 7", "LC55HEMM000100010012001200023015"]
+    after = [" Deutsche Bank", " The end", " BIC COBADEFF", " A", " 12 OF MAY", " ok", ". Next", ""]
+    texts = [f"IBAN {i}{a}" for i in ibans for a in after] + ["bank AB12 DE89 3704 0044 0532 0130 00 NOW"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [f"iban:5:{5 + len(i)}" for i in ibans for _ in after] + ["iban:10:37"]
+    got = {r[0]: r[1] for r in pii.find(rows).select("doc_id", pii.joined("iban")).collect()}
+    assert [got[n] for n in range(len(texts))] == want
+
+
+def test_overlapping_spans_leave_nothing_in_clear(spark):
+    card = "4845168114407329"
+    rows = spark.createDataFrame([(1, f"at 10.0.0.{card[0]} {card[1:4]} {card[4:]} end")], "doc_id long, text string")
+    assert pii.redact(rows).first()["text"] == "at <IP><CARD> end"
+
+
 def test_documents_hash(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in pii.op5(spark, SF).collect():

@@ -15,7 +15,8 @@ as the plain forms in ``BASE``.
 Edge cases: null reads as empty and has no spans; spans of one kind never overlap, spans
 of different kinds may; U+0001 and U+0002 in a text count as a character that no pattern
 takes; extra columns are ignored; repeated rows give repeated results; an empty table
-gives an empty result. Texts are read whole.
+gives an empty result. Texts are read whole. An IBAN of a country that ``LENGTHS``
+lacks is lost where capitals or digits follow after a space.
 """
 
 from __future__ import annotations
@@ -30,13 +31,22 @@ BASE = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Signs after the country and check digits of an IBAN in the registry's countries and most that use IBANs beside it.
+LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK FI FO GL FK SD NL", 15: "MK SI", 16: "AT BA EE KZ LT LU XK MN", 17: "HR CH LI LV", 18: "BG BH CR DE GB GE IE ME RS VA",
+    19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "PT ST LY AO CV GW MZ", 22: "IS TR IR", 23: "FR GR IT MC MR SM BI DJ CF CG CM GA GQ KM MG TD", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV BJ CI MA ML NE SN TG",
+    25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+_LISTED = f"(?:{'|'.join(' '.join(LENGTHS.values()).split())})[0-9]{{2}}"
+#: A listed country's IBAN ends by its length; any other's takes what can follow, but not the start of a listed one.
+_IBAN = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}+" for n, c in LENGTHS.items()) + rf"|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?(?!(?<=\x20){_LISTED})[A-Z0-9]){{11,30}}+"
 #: kind: (a cheap test of the whole text, the pattern, the score without context).
 KINDS = {
     "email": (None, r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9),
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.7),
     "card": (r"[0-9](?:[\x20-]?[0-9]){15}", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", 0.8),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6),
-    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7),
+    "iban": (r"[A-Z]{2}[0-9]{2}", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", 0.7),
     "national": (r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9+(.-])(?<!\+[0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", 0.4),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.45),
     "secret": (r"[0-9A-Fa-f]{32}", r"(?<![0-9A-Za-z_-])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z_-])", 0.4),
@@ -151,7 +161,8 @@ def joined(*kinds: str) -> Column:
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows with each span in the text replaced by its kind in angle brackets.
 
-    Of overlapping spans the one that starts first stands, then the longer. Null stays null.
+    Of overlapping spans the one that starts first stands, then the longer; what a later one
+    has beyond it is replaced by the later one's kind. Null stays null.
     """
     columns = docs.columns
     rows = find(docs, text_col=text_col)
@@ -160,8 +171,9 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     text = F.col(text_col)
 
     def step(acc, s):
-        put = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.when(s["start"] >= acc["at"], F.struct(put.alias("out"), (-s["back"]).alias("at"))).otherwise(acc)
+        # Nothing lies between where they overlap.
+        put = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.when(-s["back"] > acc["at"], F.struct(put.alias("out"), (-s["back"]).alias("at"))).otherwise(acc)
 
     end = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step)
     clean = F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))
