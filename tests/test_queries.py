@@ -30,3 +30,15 @@ def test_models(spark):
     assert 1 <= ranks <= 64
     total = [r["total"] for r in q.QUERIES["sta11_pca_spectrum"](spark, SF).collect()]
     assert all(b >= a for a, b in zip(total, total[1:]))
+
+
+def test_models_have_the_settings_of_the_reference(spark, monkeypatch):
+    from torusflow.operators import models as m
+
+    used = []
+    monkeypatch.setattr(m, "cross_validated", lambda rows, model, folds=5: used.append(model) or spark.createDataFrame([(0, 1, 0.5, 0.1, 0.1)], "fold int, n long, r2 double, mae double, mse double"))
+    rows = spark.createDataFrame([(i, float(i), i % 5) for i in range(10)], "sample_id long, target double, fold int")
+    m.boosted(rows)
+    assert (used[0].getMaxIter(), used[0].getMaxDepth(), used[0].getStepSize()) == (1500, 6, 0.05)
+    m.ridge(rows)
+    assert len({u.getRegParam() for u in used[1:]}) == 15

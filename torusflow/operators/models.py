@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -33,13 +35,22 @@ def cross_validated(rows: DataFrame, model, folds: int = 5) -> DataFrame:
     return scores(out, ["fold"])
 
 
-def boosted(rows: DataFrame, *, rounds: int = 10, depth: int = 3) -> DataFrame:
-    return cross_validated(rows, GBTRegressor(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=0))
+def boosted(rows: DataFrame, *, rounds: int = 1500, depth: int = 6, rate: float = 0.05) -> DataFrame:
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # the lineage of so many rounds must be cut
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="torusflow-"))
+    return cross_validated(rows, GBTRegressor(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=0))
+
 
+def ridge(rows: DataFrame, penalties=tuple(float(p) for p in np.logspace(-3, 4, 15))) -> DataFrame:
+    """Each fold's metrics at the penalty with the best mean r2.
 
-def ridge(rows: DataFrame, penalties=(0.01, 0.1, 1.0)) -> DataFrame:
-    """Each fold's metrics at the penalty with the best mean r2."""
-    runs = [cross_validated(rows, LinearRegression(labelCol="target", regParam=p)).withColumn("penalty", F.lit(p)) for p in penalties]
+    A penalty weighs the squared coefficients against the sum of squared errors, both of
+    standardised columns; Spark's regParam is that by rows and in the target's unit.
+    """
+    n, spread = rows.where("fold <> 0").agg(F.count("*"), F.stddev("target")).first()
+    unit = (spread or 1.0) / max(n, 1)
+    runs = [cross_validated(rows, LinearRegression(labelCol="target", regParam=p * unit)).withColumn("penalty", F.lit(p)) for p in penalties]
     every = runs[0]
     for r in runs[1:]:
         every = every.unionByName(r)
