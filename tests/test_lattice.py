@@ -127,3 +127,11 @@ def test_three_dimensions():
     name, aniso, porosity, tries, grid = G.structure(4, n=32)
     again = G.structure(4, n=32)
     assert name == "mod" and 1.3 <= aniso <= 2 and G.spans(grid) and (grid == again[4]).all() and 0.4 < porosity < 0.9
+
+
+def test_tortuosity_falls_back_to_the_first_pore_cell(spark):
+    channel = np.ones((16, 16), np.int8)
+    channel[3] = 0  # no anchor is pore
+    rows = [(1, channel.ravel().tolist()), (2, [1] * 256), (3, [0] * 256)]
+    got = {(r["sid"], r["dir"]): r["mean"] for r in L.tortuosity(spark.createDataFrame(rows, "sid long, grid array<tinyint>")).collect()}
+    assert got == {(1, 0): 1.0} | {(1, d): None for d in (1, 2, 3)} | {(2, d): None for d in range(4)} | {(3, d): 1.0 for d in range(4)}
