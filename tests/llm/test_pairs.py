@@ -218,3 +218,13 @@ def test_pipeline_against_a_plain_one(spark):
     out = pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in out} == kept - leaks
     assert all(r["round_trip"] for r in out)
+
+
+def test_decontamination_without_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    leak = " ".join(f"word{i}" for i in range(30))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, leak), (None, "clean text"), (None, None), (5, "x " + leak), (5, "other words"), (6, "fine")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, "clean text"), (None, None), (5, "other words"), (6, "fine")], key=str)
