@@ -20,6 +20,9 @@ GOLD = np.uint32(2654435761)
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
+#: Bytes of a document that are hashed at a time.
+PART = 1 << 21
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -73,8 +76,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 def words(doc: np.ndarray, heads: tuple[int, ...] = ()) -> np.ndarray:
     """A 64-bit hash of each word, in order. A word is a maximal run of WORD bytes.
 
-    heads: also, after them, a hash of the first so many bytes of each longer word.
+    heads: also a hash of the first so many bytes of each longer word, in no stated order.
+    Long documents are cut between words, so working memory is that of PART bytes.
     """
+    if len(doc) <= PART:
+        return _words(doc, heads)
+    out, at = [], 0
+    while at < len(doc):
+        end = at + PART
+        while end < len(doc):
+            gap = np.flatnonzero(~WORD[doc[end : end + 4096]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += 4096
+        out.append(_words(doc[at:end], heads))
+        at = end
+    return np.concatenate(out)
+
+
+def _words(doc: np.ndarray, heads: tuple[int, ...]) -> np.ndarray:
     if not len(doc):
         return np.zeros(0, np.uint64)
     inside = np.empty(len(doc) + 2, bool)

@@ -11,11 +11,20 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new path under spark.checkpoint.dir; a folder of this machine only if that is unset, as in tests."""
+    """A new path under spark.checkpoint.dir, deleted when the application ends.
+
+    Where that is unset, a folder of this machine serves a local master, as in tests; a
+    cluster is refused, as its executors would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own.setdefault("base", tempfile.mkdtemp(prefix="torusflow-"))
-    return f"{base.rstrip('/')}/torusflow/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/torusflow/{what}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
