@@ -1,14 +1,16 @@
 """Language identification with error-correcting output codes (operator 1).
 
 Each language has a codeword of bits. One binary classifier for each bit, over hashed
-byte n-grams of the lower-cased text, predicts that bit; loss-weighted decoding takes
-the language whose codeword costs the least logistic loss and flags a text as
-ambiguous when the runner-up is nearly as near.
+byte n-grams of the lower-cased text, predicts that bit. Loss-weighted decoding takes the
+language whose codeword costs the least logistic loss, each bit weighed for each language
+by how often its classifier is right on that language's training texts, and flags a text
+as ambiguous when the runner-up is nearly as near.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any
 labelled row all texts are ``und``; with one language every text with a letter gets it;
-equal losses go to the language that sorts first; extra columns are ignored; repeated
-rows give repeated results. Texts are read whole, whatever their length.
+equal losses go to the language that sorts first; input columns that are named like an
+output are ignored unless kept; repeated rows give repeated results; texts that occur
+under two languages are fitted under both. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .sample import SPAN, remainder, spread
+from .sample import SPAN, held_out, spread
 
 ORDERS, BITS, CHUNK = (1, 2, 3), 13, 1 << 20
 UNKNOWN = "und"
@@ -51,6 +53,8 @@ class Model:
     code: np.ndarray
     weights: np.ndarray = field(repr=False)
     bias: np.ndarray = field(repr=False)
+    #: Of each bit for each language; the mean over a language's bits is 1.
+    trust: np.ndarray
 
     def margins(self, doc: np.ndarray) -> np.ndarray:
         """Of a lower-cased text in bytes: the output of each bit's classifier."""
@@ -70,7 +74,7 @@ class Model:
         """The nearest codeword's row, its share of the likelihood, and the lead over the next."""
         if len(self.languages) == 1:
             return 0, 1.0, 1.0
-        losses = np.logaddexp(0, -self.code * margins).sum(1)
+        losses = (self.trust * np.logaddexp(0, -self.code * margins)).sum(1)
         share = np.exp(losses.min() - losses)
         share /= share.sum()
         best = int(np.argmin(losses))
@@ -101,24 +105,31 @@ def _train(texts: list[str], langs: list[str], rounds: int = 120) -> Model:
         g = -y * kernel.sigmoid(-(y * (x @ w + b))).astype(np.float32)
         w -= step * (x.T @ g + np.float32(1e-3) * w)
         b -= np.float32(0.5) * g.mean(0)
+    right = y * (x @ w + b) > 0
+    own = np.array([rank[v] for v in langs])
+    trust = np.array([right[own == i].mean(0) for i in range(len(languages))])
+    trust = (trust + 1e-6) / (trust + 1e-6).mean(1, keepdims=True) if code.shape[1] else trust
     w = w * scale[:, None]
-    return Model(languages, code, w, b - (mean / scale) @ w)
+    return Model(languages, code, w, b - (mean / scale) @ w, trust)
 
 
-def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000, max_chars: int = 20_000) -> Model:
-    """Fits on about max_rows texts of at most max_chars, dealt evenly over the languages.
+def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_rows: int = 2000, max_languages: int = 500) -> Model:
+    """Fits on about max_rows texts, dealt evenly over the languages (four texts each at least).
 
-    Both bounds are parameters of the fit only; prediction reads whole texts. Sampling
-    goes by a hash of the text.
+    Both bounds are parameters of the fit only; prediction reads whole texts. Sampling goes
+    by a hash of the text. More languages than max_languages are refused: the column would
+    not hold languages then.
     """
-    rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).where(f"t is not null and y is not null and length(t) between 1 and {max_chars}")
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model([], np.ones((0, 0), np.float32), np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32))
-    each = max(4, max_rows // len(counts))
+    rows = rows.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("y")).where("y is not null and t <> ''")
+    found = rows.groupBy("y").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not found:
+        return Model([], np.ones((0, 0), np.float32), np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0)))
+    each = max(4, max_rows // len(found))
     rate = F.lit(0)
-    for y, n in counts.items():
-        rate = F.when(F.col("y") == y, F.lit(int(min(1.0, (1.2 * each + 30) / n) * SPAN))).otherwise(rate)
+    for r in found:
+        rate = F.when(F.col("y") == r["y"], F.lit(int(min(1.0, (1.2 * each + 30) / r["n"]) * SPAN))).otherwise(rate)
     got = rows.withColumn("h", spread("t")).where(F.col("h") < rate).dropDuplicates(["t", "y"]).collect()
     got.sort(key=lambda r: (r["y"], r["h"], r["t"]))
     texts, langs, seen = [], [], {}
@@ -164,6 +175,6 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = docs.select("doc_id", "text", "lang", (remainder("doc_id", 3) == 1).alias("held_out"))
+    docs = docs.select("doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))
     model = fit(docs.where("not held_out"))
     return predict(docs, model, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score", "margin", "ambiguous")

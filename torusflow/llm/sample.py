@@ -13,6 +13,11 @@ def remainder(column: str, modulus: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def held_out(column: str, modulus: int, value: int):
+    """Whether the remainder is the value; false for null, which has none."""
+    return F.coalesce(remainder(column, modulus) == value, F.lit(False))
+
+
 def spread(*columns) -> F.Column:
     """A repeatable pseudo-random integer in [0, SPAN)."""
     return F.pmod(F.xxhash64(*columns, F.lit("sample")), F.lit(SPAN))
