@@ -1,37 +1,47 @@
 """Approximate nearest neighbours by collision counting (operator 7).
 
-Every vector is projected on some random lines; each line keeps the projections in a
-sorted array. A query opens a window around its own projection on every line and widens
-all windows together (virtual rehashing: each round the width doubles). A vector
-that has been inside enough windows has its true distance computed. A query ends when
-enough vectors were verified and the k-th distance is within the radius that the
-windows stand for, or when all vectors have been verified.
+Every vector is projected on some random lines, orthonormal in sets of as many as there
+are dimensions; each line keeps the projections in a sorted array. A query opens a window
+around its own projection on every line and widens all windows together (virtual
+rehashing: each round the width grows by GROWTH). A vector that has been inside the
+windows of a share of the lines has its true distance computed. A query ends when its k
+nearest are nearer than what the windows would have brought in by now, or when a share of
+the block was verified, or all of it.
 
 The index is built in blocks: vectors are dealt to blocks of a bounded size by a hash,
-every block holds its own sorted arrays, and every query visits every block. Each block
-gives its k best and these are merged, so memory in a task is one block and a group of
-queries (both of bounded size in expectation), and no vector is left out of the index.
+every block holds its own sorted arrays, and every query visits every block once. Each
+block gives its k best and these are merged, so memory in a task is one block, and no
+vector is left out of the index. A task serves up to QUERIES queries, so of n vectors and
+n / 100 queries n * n / 1,600,000 copies of vectors and as many of queries move.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no
-part; vectors of a dimension other than the commonest are left out; an id with several
-rows is one neighbour, at the distance of its nearest row, and one query, whose distances
-are those of its nearest row; a query never finds its own id; ties go to the smaller id; fewer than k candidates give fewer rows; extra columns are ignored; no queries or no
-vectors give an empty result.
+part, nor do rows without an id; vectors of each dimension are searched among themselves
+(there is no distance between dimensions); a query's own row (its id and vector, however
+often repeated) is no neighbour, but other rows of its id are; an id with several rows is
+one neighbour, at the distance of its nearest row, and one query, whose distances are
+those of its nearest row; ties go to the smaller id; fewer than k candidates give fewer
+rows; extra columns are ignored; no queries or no vectors give an empty result.
 """
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 16_384
-QUERIES = 512
+#: Vectors of a block, and queries that a task serves.
+BLOCK, QUERIES = 16_384, 16_384
+#: Of the windows from round to round, and distinct dimensions that a table may have.
+GROWTH, DIMENSIONS = 1.015, 10_000
 
 
 def lines(size: int, count: int, seed: int = 5) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((size, count))
+    """Unit lines as columns, orthonormal in sets of size."""
+    rng = np.random.default_rng(seed)
+    return np.concatenate([np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-count // size))], 1)[:, :count]
 
 
 class Block:
@@ -59,18 +69,22 @@ class Block:
         self.low = np.arange(count) * n
         self.sorted = (rows + self.lift[:, None]).ravel()
         self.order = order.T.astype(np.int32).ravel()
-        self.width = max(0.5 * float(np.median(np.abs(rows - np.median(rows, axis=1)[:, None]))), 1e-6) if n else 1.0
+        #: Half the width of the first windows: a small part of the spread on a line.
+        self.width = max(0.6 * float(np.median(np.abs(rows - np.median(rows, axis=1)[:, None]))), 1e-9) if n else 1.0
 
-    def search(self, query_id: int, query: np.ndarray, k: int, share: float, least: float) -> list[tuple[float, int]]:
-        """The k nearest found as (distance, id).
+    def search(self, query_id: int, query: np.ndarray, k: int, share: float, most: float, nearer: float = 0.8) -> tuple[list[tuple[float, int]], int]:
+        """The k nearest found as (distance, id), and how many vectors were verified.
 
-        share: of the lines on which a vector must collide; least: of the block to verify
-        before ending.
+        share: of the lines on which a vector must collide; most: of the block, beyond which
+        a query ends at the close of the round.
         """
         n, count = len(self.ids), len(self.lift)
         limit = self.lift[1] / 4 if count > 1 else np.inf
         own = np.clip(query @ self.lines, -limit, limit) + self.lift
-        threshold, need = int(np.ceil(share * count)), max(k + 1, int(np.ceil(least * n)))
+        threshold, need = int(np.ceil(share * count)), max(4 * k, int(np.ceil(most * n)))
+        # Differences on a unit line are normal with a deviation of distance / sqrt(dimensions), so
+        # at half width w a vector at distance w * reach reaches the threshold half the time.
+        reach = np.sqrt(self.vectors.shape[1]) / NormalDist().inv_cdf((1 + share) / 2)
         hits, done, best = np.zeros(n, np.int64), np.zeros(n, bool), []
         left = np.clip(np.searchsorted(self.sorted, own), self.low, self.low + n)
         right, radius, verified = left.copy(), self.width, 0
@@ -84,8 +98,9 @@ class Block:
             if len(found):
                 done[found] = True
                 verified += len(found)
-                found = found[self.ids[found] != query_id]
                 distance, ids = np.sqrt(np.square(self.vectors[found] - query).sum(1)), self.ids[found]
+                other = (ids != query_id) | (self.vectors[found] != query).any(1)
+                distance, ids = distance[other], ids[other]
                 if self.several:
                     order = np.lexsort((distance, ids))
                     order = order[np.diff(ids[order], prepend=ids[order][:1] - 1) != 0]
@@ -97,63 +112,78 @@ class Block:
                 if self.several:
                     best = sorted((d, i) for i, d in dict((i, d) for d, i in reversed(best)).items())
                 best = best[:k]
-            # A vector at distance d collides on a line with chance P(|N| < radius / d).
-            if verified == n or verified >= need and len(best) == k and best[-1][0] <= radius * 1.3:
-                return best
-            radius *= 1.2
+            # At nearer (0.8) of its typical width a vector at the k-th distance has long collided.
+            if verified == n or len(best) == k and (verified >= need or best[-1][0] <= nearer * radius * reach):
+                return best, verified
+            radius *= GROWTH
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, count: int = 96, share: float = 0.7, least: float = 0.1, block: int = BLOCK) -> DataFrame:
-    """Per query its k nearest found: query_id, rank, vec_id, score (the distance in double precision)."""
+def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, count: int = 128, share: float = 0.86, most: float = 0.04, nearer: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """Per query its k nearest found: query_id, rank, vec_id, score (the distance in double
+    precision), verified (the vectors whose distance was computed for the query)."""
     spark = vectors.sparkSession
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col(vec_col).cast("array<double>")
         fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-        return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & fine)
+        return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(v).alias("d")).where(F.col("id").isNotNull() & v.isNotNull() & fine)
 
     base, asked = usable(vectors), usable(queries)
-    sizes = {r["d"]: r["n"] for r in base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sizes:
-        return empty
-    size = max(sizes, key=lambda d: (sizes[d], d))
-    blocks, groups = -(-sizes[size] // block), -(-asked.count() // QUERIES)
-    # A task has a block and a group of queries.
-    spot = F.col("b") * groups + F.col("g")
-    rows = base.where(F.size("v") == size).select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(groups, 1) - 1))).alias("g"), F.lit(False).alias("asks"))
-    visits = asked.where(F.size("v") == size).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id", "v", F.lit("g")), F.lit(max(groups, 1))).cast("int").alias("g"), F.lit(True).alias("asks"))
-    both = rows.unionByName(visits).select(spot.alias("part"), "id", "v", "asks")
-    both = both.repartition(max(1, blocks * groups), "part").sortWithinPartitions("part", "asks", "id")
+    counted = base.groupBy("d").agg(F.count("*").alias("n")).join(asked.groupBy("d").agg(F.count("*").alias("q")), "d").orderBy("d").limit(DIMENSIONS + 1).collect()
+    if len(counted) > DIMENSIONS:
+        raise ValueError(f"more than {DIMENSIONS} dimensions")
+    if not counted:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
+    # Parts, of a block and a group of queries each, are numbered through all dimensions.
+    table, parts = [], 0
+    for r in counted:
+        blocks, groups = -(-r["n"] // block), -(-r["q"] // QUERIES)
+        table.append((r["d"], blocks, groups, parts))
+        parts += blocks * groups
+    table = F.broadcast(spark.createDataFrame(table, "d int, blocks int, groups int, first int"))
+    of = lambda what, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.col(what)).cast("int")
+    every = lambda what: F.explode(F.sequence(F.lit(0), F.col(what) - 1))
+    rows = base.join(table, "d").select("*", of("blocks", "b").alias("b"), every("groups").alias("g"), F.lit(False).alias("asks"))
+    visits = asked.join(table, "d").select("*", of("groups", "g").alias("g"), every("blocks").alias("b"), F.lit(True).alias("asks"))
+    both = rows.unionByName(visits).select((F.col("first") + F.col("b") * F.col("groups") + F.col("g")).alias("part"), "id", "v", "asks")
+    both = both.repartition(parts, "part").sortWithinPartitions("part", "asks", "id")
 
     def work(batches):
         part_now, held, built, seen = None, [], None, set()
         for batch in batches:
             part, ids, asks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("part", "id", "asks"))
-            v = batch.column(batch.schema.get_field_index("v")).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
+            v = batch.column(batch.schema.get_field_index("v"))
+            flat, at = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))])
             out = []
-            for p in np.unique(part):  # in order: parts come one after the other
+            for p in np.unique(part):  # in order: parts come one after the other, each of one dimension
                 if p != part_now:
                     part_now, held, built, seen = p, [], None, set()
-                has, wants = (part == p) & ~asks, (part == p) & asks
+                mine = np.flatnonzero(part == p)
+                own = flat[at[mine[0]] : at[mine[-1] + 1]].reshape(len(mine), -1)
+                has, wants = ~asks[mine], asks[mine]
                 if has.any():
-                    held.append((ids[has], v[has]))
+                    held.append((ids[mine[has]], own[has]))
                 if not wants.any() or not held:
                     continue
                 if built is None:
                     built = Block(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), count)
+                    held = held[:1]
                 for i in np.flatnonzero(wants):
-                    if (ids[i], v[i].tobytes()) in seen:  # copies come to the same part
+                    query, vector = int(ids[mine[i]]), own[i]
+                    if (query, vector.tobytes()) in seen:  # copies come to the same part
                         continue
-                    seen.add((ids[i], v[i].tobytes()))
-                    out += [(int(ids[i]), int(found), d) for d, found in built.search(int(ids[i]), v[i], k, share, least)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["query_id", "vec_id", "score"])
+                    seen.add((query, vector.tobytes()))
+                    best, verified = built.search(query, vector, k, share, most, nearer)
+                    out += [(query, found, d, 0) for d, found in best] + [(query, None, None, verified)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["query_id", "vec_id", "score", "verified"])
 
-    found = both.mapInArrow(work, "query_id long, vec_id long, score double").repartition("query_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = both.mapInArrow(work, "query_id long, vec_id long, score double, verified long").repartition("query_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.sum("verified").alias("verified"))
     # Each distinct row of a query has k rows of each block at most.
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    mine = Window.partitionBy("query_id")
+    found = found.withColumn("verified", F.sum("verified").over(mine)).where("vec_id is not null")
+    found = found.withColumn("rank", F.row_number().over(mine.orderBy("score", "vec_id")))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
