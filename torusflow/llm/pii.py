@@ -9,12 +9,13 @@ or take away.
 A pattern's matches are marked in the text and the text is split at the marks, which
 gives positions in code points without any code outside the JVM. The patterns are
 written with possessive loops and a look behind, so they take time in proportion to the
-text and no stack, however long a run of digits or letters is; they find the same spans
+text and no stack, however long a run of digits or letters is, and the spans are put
+together in nearly linear time, however many there are; they find the same spans
 as the plain forms in ``BASE``.
 
 Edge cases: null reads as empty and has no spans; spans of one kind never overlap, spans
 of different kinds may; U+0001 and U+0002 in a text count as a character that no pattern
-takes; extra columns are ignored; repeated rows give repeated results; an empty table
+takes; extra columns are kept, and stand in nobody's way; repeated rows give repeated results; an empty table
 gives an empty result. Texts are read whole. An IBAN of a country that ``LENGTHS``
 lacks is lost where capitals or digits follow after a space.
 """
@@ -112,21 +113,48 @@ def score(kind: str, near: Column) -> Column:
     return F.lit(KINDS[kind][2]) + F.when(near.rlike(rf"(?i)(?:{good})"), LIFT).otherwise(0.0) - F.when(near.rlike(rf"(?i)\b(?:{bad})"), DROP).otherwise(0.0)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), the value made once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, plus, zero: Column, chunk: int = 128) -> Column:
+    """What the values before each one come to, with the total at the end.
+
+    An array grows by copying, so totals run within chunks first, then over the chunks'
+    totals: n values cost n * chunk / 2 + (n / chunk)**2 / 2 copies of a number.
+    """
+    kind = "struct<at:bigint,out:array<bigint>>"
+
+    def over(part):
+        start = F.struct(zero.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")).cast(kind)
+        return F.aggregate(part, start, lambda a, x: F.struct(plus(a["at"], x).cast("bigint").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def joined_(parts):
+        bases = over(F.transform(parts, lambda t: t["at"]))
+        return let(bases, lambda base: F.concat(F.flatten(F.zip_with(parts, base["out"], lambda t, at: F.transform(t["out"], lambda x: plus(at, x).cast("bigint")))), F.array(base["at"])))
+
+    size = lambda v: F.floor((F.size(v) - 1) / chunk).cast("int")
+    cut = lambda v: F.transform(F.sequence(F.lit(0), size(v)), lambda c: over(F.slice(v, c * chunk + 1, F.lit(chunk))))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), joined_)).otherwise(F.array(zero.cast("bigint"))))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """The matches from left to right as SPAN: positions in code points, and the text around."""
     parts = F.split(F.regexp_replace(text, pattern, f"{START}$0{END}"), START)
+    # The mark that ends a match is no part of the text; the first part has none.
+    lengths = lambda p: F.transform(p, lambda x, i: (F.length(x) - F.when(i > 0, 1).otherwise(0)).cast("bigint"))
 
-    def step(acc, part):
-        lead = acc["at"] < 0  # what precedes the first match
-        found = F.substring_index(part, END, 1)
-        stop = acc["at"] + F.length(found)
-        near = F.concat(acc["tail"], F.lit(" "), F.substring(part, F.length(found) + 2, F.lit(REACH)))
-        span = F.struct(acc["at"].alias("start"), stop.alias("stop"), found.alias("found"), near.alias("near"))
-        at = F.length(part) + F.when(lead, F.lit(0).cast("bigint")).otherwise(acc["at"] - 1)
-        return F.struct(at.alias("at"), F.right(part, F.lit(REACH)).alias("tail"), F.when(lead, acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    def spans_(p):
+        def span(x, i, starts):
+            found, start = F.substring_index(x, END, 1), F.get(starts, i + 1)
+            near = F.concat(F.right(F.get(p, i), F.lit(REACH)), F.lit(" "), F.substring(x, F.length(found) + 2, F.lit(REACH)))
+            return F.struct(start.alias("start"), (start + F.length(found)).alias("stop"), found.alias("found"), near.alias("near"))
 
-    zero = F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(parts, zero, step)["out"]
+        rest = F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
+        return let(running(lengths(p), lambda a, b: a + b, F.lit(0)), lambda starts: F.transform(rest, lambda x, i: span(x, i, starts)))
+
+    return let(parts, spans_)
 
 
 def spans(kind: str, text: Column) -> Column:
@@ -141,15 +169,24 @@ def spans(kind: str, text: Column) -> Column:
     return F.when(guard, out).otherwise(none)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def find(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows with a column of spans for each kind, named ``pii_`` and the kind.
+    """The rows with a column of spans for each kind, named ``pii_`` and the kind; columns
+    of these names that the rows have already are replaced.
 
     Texts without a digit and without an at sign, which are most, pass one test only.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), START + END, OTHER * 2)
-    docs = docs.withColumn("__clean", F.when(text.rlike("[@0-9]|[0-9A-Fa-f]{32}"), text))
+    clean = free(docs, "__clean")
+    docs = docs.withColumn(clean, F.when(text.rlike("[@0-9]|[0-9A-Fa-f]{32}"), text))
     none = F.array().cast("array<struct<kind:string,start:bigint,stop:bigint,score:double>>")
-    return docs.withColumns({f"pii_{k}": F.when(F.col("__clean").isNotNull(), spans(k, F.col("__clean"))).otherwise(none) for k in KINDS}).drop("__clean")
+    return docs.withColumns({f"pii_{k}": F.when(F.col(clean).isNotNull(), spans(k, F.col(clean))).otherwise(none) for k in KINDS}).drop(clean)
 
 
 def joined(*kinds: str) -> Column:
@@ -158,30 +195,51 @@ def joined(*kinds: str) -> Column:
     return F.array_join(F.transform(alike, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+#: Code points of a piece from which gaps between spans are cut.
+PIECE = 1024
+
+
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows with each span in the text replaced by its kind in angle brackets.
 
     Of overlapping spans the one that starts first stands, then the longer; what a later one
-    has beyond it is replaced by the later one's kind. Null stays null.
+    has beyond it is replaced by the later one's kind. Null stays null; all columns keep
+    their names and values, whatever they are called.
     """
     columns = docs.columns
-    rows = find(docs, text_col=text_col)
+    work, kept = free(docs, "__text"), free(docs, "__spans")
+    # Spans are found on a copy with two columns, so that no column of the rows is in the way.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text_col).alias(work))
+    rows = find(rows, text_col=work)
     order = F.array_sort(F.transform(F.concat(*[F.col(f"pii_{k}") for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["kind"].alias("kind"))))
-    rows = rows.withColumn("__spans", order)
-    text = F.col(text_col)
+    rows = rows.select("row", work, order.alias(kept))
+
+    def between(pieces, a, b):
+        """The text from a to b, out of the pieces that it lies in."""
+        first, last = F.floor(a / PIECE), F.floor((b - 1) / PIECE)
+        part = lambda k: F.substring(F.get(pieces, k.cast("int")), (F.greatest(a - k * PIECE, F.lit(0)) + 1).cast("int"), (F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0))).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
+
+    def put(spans_, pieces, length):
+        # Where the spans before end: nothing lies between overlapping ones.
+        ends = running(F.transform(spans_, lambda s: -s["back"]), lambda a, b: F.greatest(a, b), F.lit(0))
+
+        def done(reach):
+            one = lambda s, i: F.when(-s["back"] > F.get(reach, i), F.concat(between(pieces, F.get(reach, i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+            return F.concat(F.array_join(F.transform(spans_, one), ""), between(pieces, F.get(reach, F.size(spans_)), length))
 
-    def step(acc, s):
-        # Nothing lies between where they overlap.
-        put = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.when(-s["back"] > acc["at"], F.struct(put.alias("out"), (-s["back"]).alias("at"))).otherwise(acc)
+        return let(ends, done)
 
-    end = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")), step)
-    clean = F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.length(text)))
-    return rows.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).select(columns)
+    text, length = F.col(work), F.length(work).cast("bigint")
+    clean = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda pieces: put(F.col(kept), pieces, length))
+    clean = F.when(F.size(kept) > 0, clean).otherwise(text)
+    return rows.select(*[(clean if c == text_col else F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     kinds = list(KINDS)
     counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in kinds[:BASE_KINDS]]
-    return find(docs).select("doc_id", *counts, F.sha2(joined(*kinds[:BASE_KINDS]), 256).alias("base_sha256"), joined(*kinds).alias("spans"))
+    every = F.concat(*[F.col(f"pii_{k}") for k in kinds])
+    scores = F.array_join(F.transform(every, lambda s: F.round(s["score"], 2).cast("string")), ",")
+    return find(docs).select("doc_id", *counts, F.sha2(joined(*kinds[:BASE_KINDS]), 256).alias("base_sha256"), joined(*kinds).alias("spans"), scores.alias("scores"))
