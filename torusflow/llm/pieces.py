@@ -128,7 +128,7 @@ class Encoder:
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, match in self.auto.iter(part):
             starts[end + 1 - match[0]].append(match)  # in order of length
-        failed = 0  # a bit for each position without a valid tail
+        failed = bytearray(n // 8 + 1)  # a bit for each position without a valid tail
         out: list[int] = []
         path: list[tuple[int, int]] = []  # the position and the choice taken there
         at, choice, last = 0, -2, None
@@ -140,7 +140,8 @@ class Encoder:
                 choice = len(options) - 1
             while choice >= 0:
                 size, piece = options[choice]
-                if not failed >> (at + size) & 1:
+                end = at + size
+                if not failed[end >> 3] >> (end & 7) & 1:
                     if last is None:
                         break
                     if (fits := pairs.get((last, piece))) is None:
@@ -153,7 +154,7 @@ class Encoder:
                 # way to reach this position can succeed: it is closed for good.
                 if not path:
                     raise ValueError("no valid encoding")
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 at, choice = path.pop()
                 out.pop()
                 last = out[-1] if out else None
@@ -252,18 +253,24 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
     def work(batches):
         own = encoder(shared.value)
         gc.disable()  # the kept parts hold no cycles and are costly to scan
-        for batch in batches:
-            n, ids, decoded, more = [], [], [], []
-            for x in batch.column(batch.num_columns - 1):
-                a, b, c = own.run(x.as_py())
-                n.append(b)
-                ids.append(hashlib.sha256(a.encode()).hexdigest())
-                decoded.append(hashlib.sha256(c.encode()).hexdigest())
-                if texts:
-                    more.append((a, c))
-            columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            columns += [pa.array([m[0] for m in more], pa.string()), pa.array([m[1] for m in more], pa.string())] * texts
-            yield pa.RecordBatch.from_arrays(columns, [x.name for x in fields])
+        try:
+            for batch in batches:
+                yield one(own, batch)
+        finally:
+            gc.enable()
+
+    def one(own, batch):
+        n, ids, decoded, more = [], [], [], []
+        for x in batch.column(batch.num_columns - 1):
+            a, b, c = own.run(x.as_py())
+            n.append(b)
+            ids.append(hashlib.sha256(a.encode()).hexdigest())
+            decoded.append(hashlib.sha256(c.encode()).hexdigest())
+            if texts:
+                more.append((a, c))
+        columns = [*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+        columns += [pa.array([m[0] for m in more], pa.string()), pa.array([m[1] for m in more], pa.string())] * texts
+        return pa.RecordBatch.from_arrays(columns, [x.name for x in fields])
 
     return rows.mapInArrow(work, T.StructType(fields))
 

@@ -48,7 +48,11 @@ def _mask(turns, before) -> F.Column:
 
 def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """Of two tables (pair_id, turn, role, text): a row for each pair that both have."""
-    both = _turns(chosen, "c").join(_turns(rejected, "r"), "pair_id")
+    return formatted(_turns(chosen, "c").join(_turns(rejected, "r"), "pair_id"))
+
+
+def formatted(both: DataFrame) -> DataFrame:
+    """The same of the turns of both conversations, in order, as arrays: (pair_id, c, r)."""
     same = F.zip_with("c", "r", lambda x, y: F.coalesce((x["role"] == y["role"]) & (x["text"] == y["text"]), F.lit(False)))
     first = F.array_position(same, F.lit(False))
     both = both.withColumn("k", F.when(first > 0, first - 1).otherwise(F.size("c")).cast("int"))
@@ -61,27 +65,33 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     return out.withColumn("trainable", (F.col("chosen_mask") != "") & (F.col("rejected_mask") != ""))
 
 
-def _answers(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The turns in order of use, and of each conversation its last answer (conv_id, end, answer)."""
-    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null and turn is not null")
-    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m")).select("conv_id", F.col("m.turn").alias("end"), F.col("m.text").alias("answer"))
-    return turns, last
+def _answers(rows: DataFrame) -> DataFrame:
+    """Of each conversation with an answer: conv_id, the turns before its last answer, its turn (end) and text (answer)."""
+    turns = _turns(rows.withColumnRenamed("conv_id", "pair_id"), "t").withColumnRenamed("pair_id", "conv_id")
+    said = F.transform(F.filter("t", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["n"].alias("n"), t["text"].alias("text")))
+    turns = turns.withColumn("last", F.array_max(said)).where("last is not null")
+    return turns.select("conv_id", F.filter("t", lambda t: t["n"] < F.col("last.n")).alias("head"), F.col("last.n").alias("end"), F.col("last.text").alias("answer"))
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    """(conv_id, answer), without gathering turns."""
+    said = rows.where("role = 'assistant' and conv_id is not null and turn is not null")
+    return said.groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("m")).select("conv_id", F.col("m.text").alias("answer"))
 
 
-def _formatted(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    turns = rows.join(pairs, "conv_id")
-    head = turns.where("turn < end").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    ends = lambda c: pairs.select(F.col("conv_id").alias("pair_id"), F.col("end").alias("turn"), F.lit("assistant").alias("role"), F.col(c).alias("text"))
-    return preferences(head.unionByName(ends("answer")), head.unionByName(ends("other")))
+def _with_other(pairs: DataFrame) -> DataFrame:
+    """Formats (conv_id, head, end, answer, other)."""
+    side = lambda c: F.concat("head", F.array(F.struct(F.col("end").alias("n"), F.lit("assistant").alias("role"), F.col(c).alias("text"))))
+    return formatted(pairs.select(F.col("conv_id").alias("pair_id"), side("answer").alias("c"), side("other").alias("r")))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """Each conversation up to its last answer is chosen; rejected is the same with the last
     answer of the conversation whose id differs in the lowest bit. Conversations without an
     answer, and those whose partner is absent or has none, give no row: ``op8_all`` has the latter."""
-    rows, last = _answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    partner = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("answer").alias("other"))
-    return _formatted(rows, last.join(partner, "conv_id"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    partner = _last(rows).select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("answer").alias("other"))
+    return _with_other(_answers(rows).join(partner, "conv_id"))
 
 
 def neighbour_ids(ids: DataFrame) -> DataFrame:
@@ -104,9 +114,10 @@ def op8_all(spark, sf_dir: str) -> DataFrame:
     """As ``op8``, with the answer of the next conversation that has one (for the last, of the one
     before), so every conversation with an answer gives a row whatever its id is. One without an
     answer has nothing to choose and gives none, nor does the only one that has an answer."""
-    rows, last = _answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    partner = last.select(F.col("conv_id").alias("other_id"), F.col("answer").alias("other"))
-    return _formatted(rows, last.join(neighbour_ids(last), "conv_id").join(partner, "other_id").drop("other_id"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    last = _last(rows)
+    partner = neighbour_ids(last).join(last.select(F.col("conv_id").alias("other_id"), F.col("answer").alias("other")), "other_id").drop("other_id")
+    return _with_other(_answers(rows).join(partner, "conv_id"))
 
 
 ORACLE = """

@@ -2,17 +2,23 @@
 
 ``parse_arc`` reads ARC files of version 1 and 2 by the field line of their version
 block and by declared lengths. ``to_warc`` makes an equivalent WARC record: identifier,
-timestamp, type and digests. ``read_warc`` reads WARC files, plain or gzipped.
+timestamp, type and digests; the version block itself becomes a ``warcinfo`` record.
+``arc_records`` does so for a folder of ARC files. Blocks are bytes throughout.
 
 ``convert`` does this for a table of pages: each page as an ARC record, converted,
 written to WARC files in the shared folder through Spark's own writer (which commits
-whole files only), then read back. Of pages with equal payloads of at least 1000 bytes
-the one with the largest id is the response and the others are revisits of it.
+whole files only), then read back record by record. Every record is a gzip member of its
+own. Between members stands an empty one, valid gzip by itself, at which Spark's reader
+splits the files, so that reading back is dealt out by bytes and holds one record at a
+time. Of pages with equal payloads of at least 1000 bytes the one with the largest id is
+the response and the others are revisits that refer to its record.
 
 Edge cases: null html is an empty payload; a null url is written as ``unknown:``; blanks
-and control characters in a url are percent-encoded; rows with a null page id are left
-out (there is nothing to address them by); rows that repeat a page id are all written,
-and those that share the kept id are all responses; extra columns are ignored; an empty table gives an empty result.
+and control characters in a url are percent-encoded; a page without an id has a record
+like any other, a response unless a page with an id has its payload; rows that repeat a
+page id are all written, and those that share the kept id are all responses; pages may be
+of any length that Spark holds in a row; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +43,11 @@ ARC_FIELDS = {
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 MINIMUM = 1000
-#: Between the records of a WARC file.
-END = "\r\n\r\n"
+#: After a record of a WARC file, and between its gzip members: an empty one (fixed, from the format).
+END = b"\r\n\r\n"
+SPLIT = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+#: Fields of records made here, beside the standard's own, that name the page.
+PAGE, REFERS_PAGE = "X-Page", "X-Refers-To-Page"
 
 
 def plain_url(url: str | None) -> str:
@@ -57,8 +66,9 @@ def write_arc(records, version: int = 1, name: str = "pages.arc") -> bytes:
     return b"".join(out)
 
 
-def parse_arc(data: bytes):
-    """The records of an ARC file as dicts of header fields and the block; the version block gives the fields."""
+def parse_arc(data: bytes, versions: bool = False):
+    """The records of an ARC file as dicts of header fields and the block; the version block
+    gives the fields, and is a record itself if versions are asked for."""
     at, fields = 0, ARC_FIELDS[1].split(" ")
     while at < len(data):
         end = data.index(b"\n", at)
@@ -72,11 +82,14 @@ def parse_arc(data: bytes):
             raise ValueError("an ARC record is cut short")
         at = end + 1 + size
         if line.startswith("filedesc://"):
+            info = {"URL": line.rsplit(" ", 4)[0], "IP-address": "0.0.0.0", "Archive-date": line.rsplit(" ", 3)[1], "Content-type": "text/plain", "block": block}
             lines = block.decode("utf-8", "replace").split("\n")
             version = int(lines[0].split(" ")[0])
             fields = lines[1].strip().split(" ")
             if version not in ARC_FIELDS or len(fields) < 5:
                 raise ValueError(f"ARC version {lines[0]!r} isn't known")
+            if versions:
+                yield info
             continue
         values = line.rsplit(" ", len(fields) - 1)  # only a url can hold a blank
         if len(values) != len(fields):
@@ -101,30 +114,54 @@ def record_id(url: str, date: str, digest: str, extra: str = "") -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join([url, date, digest, extra]))}>"
 
 
-def to_warc(arc: dict, source: str = "", refers_to: str | None = None) -> bytes:
-    """A WARC record without what ends it; refers_to: the source whose record it revisits."""
+def to_warc(arc: dict, page: int | None = None, refers_to: tuple | None = None) -> bytes:
+    """A WARC record with what ends it. refers_to: the page, identifier, url and date that it revisits."""
     block = arc["block"]
-    payload = payload_of(block)
-    digest, date = hashlib.sha1(payload).hexdigest(), iso_date(arc["Archive-date"])
-    base32 = lambda x: base64.b32encode(bytes.fromhex(x)).decode()
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(arc["URL"], date, digest, source)), ("WARC-Date", date), ("WARC-Target-URI", arc["URL"]), ("WARC-IP-Address", arc["IP-address"]), ("WARC-Payload-Digest", f"sha1:{base32(digest)}")]
-    if refers_to is not None:
-        head += [("WARC-Profile", REVISIT), ("X-Refers-To-Source", refers_to)]
-        block = block[: len(block) - len(payload)]
-    http = block.startswith(b"HTTP/")
-    head += [("WARC-Block-Digest", f"sha1:{base32(hashlib.sha1(block).hexdigest())}"), ("X-Payload-Length", str(len(payload))), ("X-Source", source), ("Content-Type", "application/http; msgtype=response" if http else arc["Content-type"]), ("Content-Length", str(len(block)))]
-    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in head), "\r\n"]).encode() + block
+    date = iso_date(arc["Archive-date"])
+    base32 = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    if arc["URL"].startswith("filedesc://"):
+        head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(arc["URL"], date, base32(block))), ("WARC-Date", date), ("WARC-Filename", arc["URL"][11:]), ("Content-Type", "text/plain")]
+    else:
+        payload = payload_of(block)
+        digest = hashlib.sha1(payload).hexdigest()
+        head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(arc["URL"], date, digest, str(page))), ("WARC-Date", date), ("WARC-Target-URI", arc["URL"]), ("WARC-IP-Address", arc["IP-address"]), ("WARC-Payload-Digest", f"sha1:{base32(payload)}")]
+        if not block.startswith(b"HTTP/"):
+            head[0] = ("WARC-Type", "resource")  # no protocol's response is in the block
+        if page is not None:
+            head += [(PAGE, str(page))]
+        head += [("X-Payload-Length", str(len(payload)))]
+        if refers_to is not None:
+            head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", refers_to[1]), ("WARC-Refers-To-Target-URI", refers_to[2]), ("WARC-Refers-To-Date", refers_to[3]), (REFERS_PAGE, str(refers_to[0]))]
+            block = block[: len(block) - len(payload)]
+        head += [("Content-Type", "application/http; msgtype=response" if block.startswith(b"HTTP/") else arc["Content-type"])]
+    head += [("WARC-Block-Digest", f"sha1:{base32(block)}"), ("Content-Length", str(len(block)))]
+    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in head), "\r\n"]).encode() + block + END
+
+
+def member(record: bytes) -> bytes:
+    """The record as one gzip member that doesn't hold what splits files."""
+    for level in (6, 1, 9, 0):
+        packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+        out = packer.compress(record) + packer.flush()
+        if SPLIT not in out:
+            return out
+    raise ValueError("a record that can't be packed")
+
+
+def unpacked(data: bytes) -> bytes:
+    """The bytes of all members of a gzip file."""
+    parts = []
+    while data:
+        one = zlib.decompressobj(31)
+        parts.append(one.decompress(data) + one.flush())
+        data = one.unused_data
+    return b"".join(parts)
 
 
 def read_warc(data: bytes):
     """The records of a WARC file as (headers by lower-case name, block)."""
     if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:  # a member each
-            one = zlib.decompressobj(31)
-            parts.append(one.decompress(data) + one.flush())
-            data = one.unused_data
-        data = b"".join(parts)
+        data = unpacked(data)
     at = 0
     while at < len(data):
         if not data.startswith(b"WARC/1.", at):
@@ -140,60 +177,109 @@ def read_warc(data: bytes):
         at = end + 4 + size + 4
 
 
+def page_arc(page: int | None, url: str | None) -> tuple[str, str]:
+    """The url and date of a page's ARC record."""
+    n = page or 0
+    return plain_url(url), f"2000{n % 12 + 1:02d}{n % 28 + 1:02d}{n % 24:02d}{n % 60:02d}00"
+
+
 def kinds(pages: DataFrame, *, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, html, and refers_to: null for a response.
+    """page_id, url, html, digest, and keep: page_id and url of the page with the same payload that stays, or null.
 
-    Only digests that occur more than once are joined back, and Spark can split that join.
+    Only digests that occur more than once are joined back, and Spark can split that join;
+    small pages have a key of their own each.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).where("page_id is not null")
-    large = rows.where(F.octet_length("html") >= MINIMUM)
-    groups = large.groupBy(F.sha1("html").alias("digest")).agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    named = rows.withColumn("digest", F.when(F.octet_length("html") >= MINIMUM, F.sha1("html")))
-    return named.join(groups, "digest", "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
+    large = F.octet_length("html") >= MINIMUM
+    found = rows.where(large & F.col("page_id").isNotNull()).groupBy(F.sha1("html").alias("digest")).agg(F.max(F.struct("page_id", "url")).alias("keep"))
+    again = rows.where(large).groupBy(F.sha1("html").alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    named = rows.withColumn("digest", F.when(large, F.sha1("html")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    return named.join(found.join(again, "digest", "left_semi"), "digest", "left")
 
 
-def convert(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = 1000) -> DataFrame:
-    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, date, uri; read from the archives."""
-    spark = pages.sparkSession
-    path = folder(spark, "warc")
-    rows = kinds(pages, id_col=id_col, url_col=url_col, html_col=html_col)
-    rows = rows.select("page_id", "url", "html", F.when(F.col("keep") > F.col("page_id"), F.col("keep")).alias("refers_to"))
+def archived(pages: DataFrame, *, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """A WARC record for each page, packed, and first of each task's the warcinfo of its ARC file."""
+    rows = kinds(pages, id_col=id_col, url_col=url_col, html_col=html_col).select("page_id", "url", "html", "keep.page_id", F.col("keep.url").alias("keep_url")).toDF("page_id", "url", "html", "keep", "keep_url")
 
     def archive(batches):
+        first = True
         for batch in batches:
             out = []
-            for page, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for page, url, html, keep, keep_url in zip(*(batch.column(i) for i in range(5))):
+                page, keep = page.as_py(), keep.as_py()
+                body = HTTP + html.as_py().encode()
+                at, date = page_arc(page, url.as_py())
+                refers = None
+                if keep is not None and (page is None or keep > page):
+                    there, then = page_arc(keep, keep_url.as_py())
+                    digest = hashlib.sha1(payload_of(body)).hexdigest()
+                    refers = keep, record_id(there, iso_date(then), digest, str(keep)), there, iso_date(then)
                 # ARC has no ids: the page's number is carried beside the record.
-                arc = write_arc([(plain_url(url), "192.0.2.1", f"2000{page % 12 + 1:02d}{page % 28 + 1:02d}{page % 24:02d}{page % 60:02d}00", "text/html", HTTP + html.encode())], version=1 + page % 2)
-                for record in parse_arc(arc):
-                    out.append(to_warc(record, str(page), None if refers is None else str(refers)).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                arc = write_arc([(at, "192.0.2.1", date, "text/html", body)], version=1 + (page or 0) % 2)
+                for record in parse_arc(arc, versions=first):
+                    out.append(member(to_warc(record, page, refers)))
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+    return rows.mapInArrow(archive, "value binary")
+
 
-    rows.mapInArrow(archive, "value string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
-    return read(spark, path)
+def write(records: DataFrame, path: str) -> None:
+    """Packed records (value) as WARC files. Bytes pass Spark's text writer as they are."""
+    records.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", SPLIT.decode("latin-1")).text(path)
+
+
+def convert(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Per page: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_id, date, uri; read from the archives."""
+    spark = pages.sparkSession
+    path = folder(spark, "warc")
+    write(archived(pages, id_col=id_col, url_col=url_col, html_col=html_col), path)
+    return read(spark, path).where("record_type <> 'warcinfo'")
 
 
 def read(spark, path: str) -> DataFrame:
-    """The records of all WARC files under a path, their digests checked."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """The records of all WARC files under a path that ``write`` made, their digests checked."""
+    packed = spark.read.option("encoding", "ISO-8859-1").option("lineSep", SPLIT.decode("latin-1")).text(path).select(F.col("value").cast("binary"))
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    number = lambda x: None if x is None else int(x)
 
     def back(batches):
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for head, block in read_warc(content.as_py()):
-                    digest = base64.b32decode(head["warc-payload-digest"].partition(":")[2]).hex()
-                    size = int(head["x-payload-length"])
-                    if head["warc-type"] == "response":
+            rows = []
+            for value in batch.column(0):
+                for head, block in read_warc(value.as_py()):
+                    if sha(block) != head["warc-block-digest"]:
+                        raise ValueError("a block differs from its digest")
+                    if head["warc-type"] in ("response", "resource"):
                         payload = payload_of(block)
-                        if hashlib.sha1(payload).hexdigest() != digest or len(payload) != size:
+                        if sha(payload) != head["warc-payload-digest"] or len(payload) != int(head["x-payload-length"]):
                             raise ValueError("a payload differs from its digest")
-                    refers = head.get("x-refers-to-source")
-                    rows.append((int(head["x-source"]), size, digest, head["warc-type"], None if refers is None else int(refers), head["warc-record-id"], head["warc-date"], head["warc-target-uri"]))
-                kinds_ = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date", "uri"])
+                    digest = head.get("warc-payload-digest")
+                    digest = digest and base64.b32decode(digest.partition(":")[2]).hex()
+                    rows.append((number(head.get(PAGE.lower())), number(head.get("x-payload-length")), digest, head["warc-type"], number(head.get(REFERS_PAGE.lower())), head["warc-record-id"], head.get("warc-refers-to"), head["warc-date"], head.get("warc-target-uri")))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(FIELDS)], [n for n, _ in FIELDS])
+
+    return packed.mapInArrow(back, ", ".join(f"{n} {'long' if k == pa.int64() else 'string'}" for n, k in FIELDS))
+
+
+FIELDS = [(n, pa.int64() if n in ("page_id", "payload_bytes", "refers_to") else pa.string()) for n in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "date", "uri")]
+
+
+def arc_records(spark, path: str) -> DataFrame:
+    """The records of a folder of ARC files, converted and packed as ``write`` takes them. A
+    task holds one ARC file (these are cut at some 100 MB as a rule; Spark's reader takes 2 GB)."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def work(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_py()
+                if data[:2] == b"\x1f\x8b":
+                    data = unpacked(data)
+                for record in parse_arc(data, versions=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([member(to_warc(record))], pa.binary())], ["value"])
 
-    return files.mapInArrow(back, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, date string, uri string")
+    return files.mapInArrow(work, "value binary")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -202,15 +288,14 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n
-  FROM pages WHERE page_id IS NOT NULL
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
 ), k AS (
   SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
          CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS keep
   FROM p
-)
+), r AS (SELECT *, keep IS NOT NULL AND (page_id IS NULL OR keep > page_id) AS again FROM k)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN keep > page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN keep > page_id THEN keep END AS refers_to
-FROM k
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN keep END AS refers_to
+FROM r
 """
