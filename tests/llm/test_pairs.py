@@ -99,14 +99,39 @@ def test_classes_equal_brute_force(spark):
     assert got == plain_classes(docs)
 
 
-def test_blocks_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, neardup.BROADCAST])
+def test_blocks_lose_nothing(spark, monkeypatch, broadcast):
     monkeypatch.setattr(neardup, "BLOCK", 4)
     base = [f"w{i}" for i in range(100)]
     docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(30)]
+    got = {r["id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string"), broadcast=broadcast).collect()}
+    assert got == plain_classes(docs) and len(set(got.values())) == 1
+
+
+def test_links_away_from_the_leader(spark, monkeypatch):
+    """A chain: neighbours are near, most members are not near the group's first text."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    words_ = [f"w{i}" for i in range(160)]
+    docs = [(i, " ".join(words_[3 * i : 3 * i + 80])) for i in range(20)]
     got = {r["id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == plain_classes(docs) and len(set(got.values())) == 1
 
 
+def test_texts_of_a_repeated_id_keep_their_links(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    docs = [(7, a), (7, b), (8, b + " x"), (9, a + " x"), (None, a + " y")]
+    got = {(r["id"], r["x"]): (r["class_id"], r["class_x"]) for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    of = {(i, t): got[i, x] for (i, t), x in zip(docs, [r[0] for r in spark.createDataFrame(docs, "i long, t string").selectExpr("xxhash64(t)").collect()])}
+    assert of[8, b + " x"] == of[7, b] != of[7, a] == of[9, a + " x"] == of[None, a + " y"]
+
+
+def test_a_text_of_several_megabytes(spark):
+    long_ = " ".join(f"w{i % 7919}x{i % 13}" for i in range(400_000))
+    docs = [(1, long_), (2, long_ + " end"), (3, "short text of six plain words")]
+    got = {r["id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_classes_of_nothing(spark):
     assert neardup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None)], "doc_id long, text string")
@@ -137,7 +162,8 @@ def plain_matches(docs, items, similar=0.8):
     return out
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [0, decontaminate.BROADCAST])
+def test_decontamination_equals_brute_force(spark, broadcast):
     rng = np.random.default_rng(2)
     v = [f"t{i}" for i in range(400)]
     items = [(i, " ".join(rng.choice(v, int(rng.integers(3, 60))))) for i in range(20)] + [(20, None), (21, "ab ab ab ab ab ab ab ab ab"), (22, "solo")]
@@ -151,12 +177,45 @@ def test_decontamination_equals_brute_force(spark):
         at = int(rng.integers(len(w) + 1))
         docs.append((n, " ".join(w[:at] + passage + w[at:])))
     docs += [(60, None), (61, ""), (62, "Solo!"), (63, items[0][1]), (63, items[0][1])]
-    got = decontaminate.matches(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, start int"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = decontaminate.matches(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, start int"), spark.createDataFrame(items, "item_id long, text string"), broadcast=broadcast).collect()
     want = plain_matches(docs, items)
     assert {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["start"]) for r in got} == {k: (round(j, 9), s) for k, (j, s) in want.items()}
     assert len(got) == len(want) > 20
 
 
+def test_blocks_select_and_the_rest_is_found(spark):
+    """The index meets every fingerprint within the radius and under 1 % of random ones; what lies beyond isn't lost."""
+    rng = np.random.default_rng(6)
+    flips = set(decontaminate.masks())
+    meets = lambda a, b: any((a >> s & 0xFFFF) ^ (b >> s & 0xFFFF) in flips for s in range(0, 64, 16))
+    draw = lambda: int(rng.integers(0, 1 << 64, dtype=np.uint64))
+    assert sum(meets(draw(), draw()) for _ in range(20_000)) < 200
+    for _ in range(500):
+        a, d = draw(), int(rng.integers(0, decontaminate.RADIUS + 1))
+        assert meets(a, a ^ sum(1 << int(b) for b in rng.choice(64, d, replace=False)))
+    v = [f"t{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choice(v, 60))) for i in range(60)]
+    docs = []
+    for i, t in items:  # one changed word in the middle: 51 of 61 shingles, similarity 0.836
+        w = t.split()
+        w[30] = "edit"
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, "before " + t + " after")]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), report=True).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(2 * i + j, i) for i, _ in items for j in (0, 1)}
+    ways = collections.Counter((r["doc_id"] % 2, r["way"]) for r in got)
+    assert ways[1, "blocks"] == 60 and ways[0, "blocks"] >= 30  # the recall of the radius at this similarity, and the rest:
+    assert ways[0, "blocks"] + ways[0, "rarest"] == 60 and all((r["distance"] <= decontaminate.RADIUS) == (r["way"] == "blocks") for r in got)
+
+
+def test_decontamination_of_long_texts(spark):
+    rng = np.random.default_rng(7)
+    v = [f"t{i}" for i in range(9000)]
+    item = " ".join(rng.choice(v, 50))
+    text = " ".join([*rng.choice(v, 200_000), item, *rng.choice(v, 200_000)])
+    got = decontaminate.matches(spark.createDataFrame([(1, text), (None, text), (2, text[:900_000])], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["item_id"], r["start"]) for r in got) == [(-1, 5, 200_000), (1, 5, 200_000)]
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
@@ -193,18 +252,60 @@ def test_repeated_rows_leave_room_for_neighbours(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     asks = df.where("vec_id in (0, 3, 9)")
     got = collections.defaultdict(list)
-    for r in neighbours.search(df, asks, least=1.0, block=150).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(df, asks, most=1.0, nearer=0.0, block=150).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
     assert set(got) == {0, 3, 9}
     for q, found in got.items():
         near = {}
         for _, x in (r for r in rows if r[0] == q):
             for i, y in rows:
-                if i != q:
+                if (i, y) != (q, x):
                     near[i] = min(near.get(i, np.inf), float(np.linalg.norm(np.array(x) - y)))
         assert found == [(i, round(d, 9)) for d, i in sorted((d, i) for i, d in near.items())[:10]]
 
 
+def test_neighbours_of_the_query_by_brute_force(spark):
+    """The registered query on its table: recall, order, distances, and how much was verified."""
+    sf = "/root/testdata/sf0.1"
+    ids, vecs = zip(*[(r[0], r[1]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()])
+    ids, vecs = np.array(ids), np.array(vecs, np.float64)
+    got = collections.defaultdict(list)
+    for r in neighbours.op7(spark, sf).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"], r["verified"]))
+    hits, share = [], []
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(np.square(vecs - vecs[q]).sum(1))
+        best = [i for i in np.lexsort((ids, d)) if i != q][:10]
+        found = got.pop(int(ids[q]))
+        assert [(s, v) for v, s, _ in found] == sorted((s, v) for v, s, _ in found) and len(found) == 10
+        at = {int(i): x for i, x in zip(ids, d)}
+        assert all(abs(at[v] - s) < 1e-12 for v, s, _ in found)
+        hits.append(len({v for v, _, _ in found} & {int(ids[i]) for i in best}) / 10)
+        share.append(found[0][2] / len(ids))
+    print("recall", np.mean(hits), "verified", np.mean(share))
+    assert not got and np.mean(hits) >= 0.9 and np.mean(share) < 0.06
+
+
+def test_neighbours_of_every_dimension(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3 + 5 * (i % 2)).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, df.where("vec_id in (0, 1)"), k=4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in (0, 1):
+        d = sorted((float(np.linalg.norm(np.array(v) - rows[q][1])), i) for i, v in rows if i != q and i % 2 == q)
+        assert got[q] == [i for _, i in d[:4]]
+
+
+def test_neighbours_at_equal_distances(spark):
+    rows = [(100, [0.0, 0.5])] + [(i, [float(np.cos(i * np.pi / 2)), float(np.round(np.sin(i * np.pi / 2))) + 0.5]) for i in range(8)]
+    rows = [(i, [round(x) if j == 0 else y for j, (x, y) in enumerate([(v[0], v[0]), (v[1], v[1])])]) for i, v in rows]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in neighbours.search(df, df.where("vec_id = 100"), k=3).orderBy("rank").collect()]
+    assert got == [(0, 1.0), (1, 1.0), (2, 1.0)]
+
+
 def test_pipeline_against_a_plain_one(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -228,3 +329,43 @@ def test_decontamination_without_ids(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in pipeline.decontamination(spark, docs, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([(None, "clean text"), (None, None), (5, "other words"), (6, "fine")], key=str)
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, class_id string")
+
+
+def test_stage_of_near_duplicates_keeps_one_row_of_each_class(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    rows = [(None, a), (None, a), (7, a + " x"), (7, a + " x"), (7, b), (8, b + " y"), (None, None), (9, "..."), (10, "..."), (None, "alone and of six words here"), (6, "other text"), (6, "second other")]
+    got = [(r["doc_id"], r["text"]) for r in pipeline.near_duplicates(spark, rows_of(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(7, a + " x"), (7, b), (None, None), (9, "..."), (10, "..."), (None, "alone and of six words here"), (6, "other text"), (6, "second other")], key=str)
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, None), (None, ""), (7, "the mail is a@b.cd and the phone +1 (017) 555-7713"), (7, "the mail is a@b.cd and the phone +1 (017) 555-7713"), (8, "word " * 100_000)]
+    none = rows_of(spark, rows).limit(0)
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, none, str(tmp_path)).columns == list(pipeline.COLUMNS) and stage(spark, none, str(tmp_path)).count() == 0, name
+    assert pipeline.tokens(spark, none, "").count() == 0
+    odd = rows_of(spark, rows)
+    assert sorted(r["doc_id"] for r in pipeline.language_id(spark, odd, "").collect()) == [7, 7, 8]
+    assert pipeline.decontamination(spark, odd, str(tmp_path)).count() == 5
+    clean = [(r["doc_id"], r["text"], r["n_chars"]) for r in pipeline.personal_data(spark, odd, "").collect()]
+    text = "the mail is <EMAIL> and the phone <PHONE>"
+    assert sorted(clean, key=str) == sorted([(1, None, None), (None, "", 0), (7, text, len(text)), (7, text, len(text)), (8, "word " * 100_000, 500_000)], key=str)
+    assert sorted(r["n_tokens"] for r in pipeline.tokens(spark, odd, "").collect())[:2] == [1, 1]
+
+
+def test_personal_data_stage_equals_plain_redaction(spark):
+    """Of the base kinds, on the documents: nothing that the plain patterns confirm is left."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from .test_records import plain_spans
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in pipeline.personal_data(spark, docs, SF).collect():
+        assert not plain_spans(r["text"]) and (r["text"] == before[r["doc_id"]]) >= (not re.search("[@0-9]", before[r["doc_id"]] or ""))
