@@ -80,3 +80,92 @@ def test_stream_counts_once(spark, tmp_path):
     total = spark.sql("select sum(n) from rate").first()[0]
     q.stop()
     assert total == events.where("value is not null and not isnan(value)").count()
+
+
+def test_plain_images_rocks_and_typed_tables(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "000001.ppm").write_text("P3\n# made\n3 2\n255\n" + " ".join(f"{r} 9 9" for r in (0, 5, 0, 0, 1, 1)))
+    (tmp_path / "g" / "000002.dat").write_text("0 1\n1 0\n")
+    got = {r["sample_id"]: (r["nx"], r["ny"], list(r["grid"])) for r in files.read_text_grids(spark, str(tmp_path / "g")).collect()}
+    assert got == {1: (3, 2, [1, 0, 1, 1, 0, 0]), 2: (2, 2, [0, 1, 1, 0])}
+    (tmp_path / "r").mkdir()
+    rock = np.random.default_rng(0).integers(0, 2, (4, 4, 4)).astype(np.uint8)
+    (tmp_path / "r" / "tiny_2um.raw").write_bytes(rock.tobytes())
+    rows = files.read_rocks(spark, str(tmp_path / "r"), {"tiny": (4, 2.0)}).collect()
+    assert [bytes(r["plane"]) for r in sorted(rows, key=lambda r: r["z"])] == [rock[z].tobytes() for z in range(4)] and rows[0]["voxel_um"] == 2.0
+    assert len(files.ROCKS) == 12
+    with pytest.raises(Exception, match="no volume"):
+        files.read_rocks(spark, str(tmp_path / "r"), {"tiny": (5, 2.0)}).collect()
+    (tmp_path / "a.csv").write_text("sample_id,k\n1,0.5\n")
+    (tmp_path / "b.csv").write_text("sample_id,k\n2,x\n")
+    assert files.read_table(spark, str(tmp_path / "a.csv"), "sample_id long, k double", ("k",)).first()["k"] == 0.5
+    assert files.read_union(spark, [str(tmp_path / "a.csv")] * 2, "sample_id long, k double").count() == 2
+    with pytest.raises(Exception):
+        files.read_table(spark, str(tmp_path / "b.csv"), "sample_id long, k double").collect()
+    with pytest.raises(ValueError):
+        files.read_table(spark, str(tmp_path / "a.csv"), "sample_id long, k double", ("other",))
+
+
+def test_complete_labels(spark):
+    rows = spark.createDataFrame([(1, 1.0, 1), (2, float("nan"), 1), (3, None, 1), (4, float("inf"), 1), (5, 2.0, None)], "id long, k double, conv int")
+    assert [r["id"] for r in files.complete(rows, ("k", "conv")).collect()] == [1]
+    assert files.complete(rows, ("k", "absent")).count() == 0
+
+
+def test_tables_are_published_whole(spark, tmp_path):
+    place = str(tmp_path / "labels.csv")
+    df = spark.createDataFrame([(1, 0.5), (2, 0.25)], "sample_id long, k double")
+    assert files.published(df, place).count() == 2
+
+    def refuse(rows):
+        raise ValueError("not these")
+
+    with pytest.raises(ValueError, match="not these"):
+        files.published(df.limit(1), place, refuse)
+    assert sorted(r["sample_id"] for r in spark.read.option("header", "true").schema(df.schema).csv(place).collect()) == [1, 2]
+    assert files.published(df.limit(1), place).count() == 1 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["labels.csv"]
+
+
+def test_runs_are_written_and_read_back(spark, tmp_path):
+    schema = "`group` string, target string, mode string, n_features long, seconds double, fold int, n_test int, r2 double, mae double, mse double"
+    rows = [(g, "k_xx", "single", 7, 1.5, f, 10, 0.5 + f / 10, 1.0, 2.0) for g in ("all", "fab") for f in range(3)]
+    files.write_run(spark.createDataFrame(rows, schema), str(tmp_path / "run"), kind="tree", arguments={"seed": 3, "n_rows": 30, "folds": 3})
+    got = files.read_metrics(spark, f"{tmp_path}/run/metrics.json").collect()
+    assert sorted((r["group"], r["fold"], round(r["r2"], 6)) for r in got) == sorted((r[0], r[5], round(r[7], 6)) for r in rows) and got[0]["seed"] == 3
+    assert files.read_metrics(spark, f"{tmp_path}/run/metrics.json:fab").count() == 3
+    with pytest.raises(ValueError):
+        files.read_metrics(spark, f"{tmp_path}/run/metrics.json:none")
+    results = files.read_table(spark, f"{tmp_path}/run/results.csv", "`group` string, target string, mode string, n_features long, r2_mean double, r2_std double, mae_mean double, mae_std double, mse_mean double, mse_std double, n long, seconds double").collect()
+    assert [(r["group"], round(r["r2_mean"], 6), round(r["r2_std"], 6), r["n"]) for r in results] == [("all", 0.6, 0.1, 30), ("fab", 0.6, 0.1, 30)]
+
+
+def test_raw_table(spark, tmp_path):
+    g = np.random.default_rng(0).integers(0, 2, (2, 3, 4)).astype(np.uint8)
+    df = spark.createDataFrame([(12, 4, 3, 2, g.ravel().tolist())], "sample_id long, nx int, ny int, nz int, grid array<tinyint>")
+    files.write_raw(df, str(tmp_path / "out"))
+    r = spark.read.parquet(str(tmp_path / "out")).first()
+    assert r["name"] == "sample_000012.raw" and (files.decode_raw(bytes(r["content"])) == g).all()
+
+
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    """Two batches: a repeat of the first counts once, a row before the watermark doesn't count."""
+    from datetime import datetime
+
+    from torusflow.streaming.arrivals import arrivals, hourly_rate
+
+    schema = "event_id long, event_type string, ts timestamp, value double"
+    at = lambda h, m=0: datetime(2020, 1, 1, h, m)
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write([(1, "a", at(8), 1.0), (2, "a", at(12), 1.0), (3, "a", at(12), float("nan"))])
+    out = hourly_rate(arrivals(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema))
+    q = out.writeStream.outputMode("append").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    write([(2, "a", at(12), 1.0), (4, "a", at(9), 1.0), (5, "a", at(12, 30), 1.0)])
+    q.processAllAvailable()
+    write([(6, "a", at(20), 1.0)])
+    q.processAllAvailable()
+    write([(7, "a", at(21), 1.0)])
+    q.processAllAvailable()
+    got = {r["hour"].hour: r["n"] for r in spark.sql("select * from late").collect()}
+    q.stop()
+    assert got[8] == 1 and got[12] == 2 and 9 not in got

@@ -6,56 +6,78 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .lattice import labels_of
+from .topology import _crossings
 
-#: Ranges of the anisotropy by stratum; the stratum is the id modulo three.
-STRATA = (("iso", 1.0, 1.1), ("mod", 1.3, 2.0), ("strong", 2.0, 3.5))
+#: Ranges of the axis ratio by stratum; the stratum is the id modulo three.
+STRATA = (("iso", 1.0, 1.0), ("mod", 1.5, 2.5), ("strong", 2.5, 4.0))
 
 
-def wavevectors(rng, count: int, k0: float, dk: float, aniso: float, psi: float) -> np.ndarray:
-    """Whole-number wave vectors in a band, squashed along the axis at psi; never zero."""
-    out: list[np.ndarray] = []
-    turn = np.array([[np.cos(psi), -np.sin(psi)], [np.sin(psi), np.cos(psi)]])
-    squash = turn @ np.diag([1 / aniso, aniso]) @ turn.T
-    while len(out) < count:
-        angle, size = rng.uniform(0, 2 * np.pi, count), rng.uniform(k0 - dk, k0 + dk, count)
-        q = np.rint(np.stack([size * np.cos(angle), size * np.sin(angle)], 1) @ squash)
-        out += list(q[q.any(1)])
-    return np.array(out[:count])
+def directions(rng, count: int, dims: int) -> np.ndarray:
+    """Even unit vectors: an angle in the plane, a height and an angle in space."""
+    turn = rng.uniform(0.0, 2.0 * np.pi, count)
+    if dims == 2:
+        return np.stack([np.cos(turn), np.sin(turn)], 1)
+    height = rng.uniform(-1.0, 1.0, count)
+    flat = np.sqrt(1 - height**2)
+    return np.stack([flat * np.cos(turn), flat * np.sin(turn), height], 1)
 
 
-def field(q: np.ndarray, phase: np.ndarray, n: int) -> np.ndarray:
-    y, x = np.mgrid[0:n, 0:n]
-    return np.sqrt(2 / len(q)) * sum(np.cos(2 * np.pi * (a * x + b * y) / n + p) for (a, b), p in zip(q, phase))
+def rotation(rng, dims: int) -> np.ndarray:
+    """An even random rotation; in space from three even numbers by Shoemake's quaternion."""
+    if dims == 2:
+        psi = rng.uniform(0.0, np.pi)
+        return np.array([[np.cos(psi), -np.sin(psi)], [np.sin(psi), np.cos(psi)]])
+    a, b, c = rng.uniform(size=3)
+    x, y = np.sqrt(1 - a) * np.array([np.sin(2 * np.pi * b), np.cos(2 * np.pi * b)])
+    z, w = np.sqrt(a) * np.array([np.sin(2 * np.pi * c), np.cos(2 * np.pi * c)])
+    v = np.array([x, y, z])
+    cross = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) * (w * w - v @ v) + 2 * np.outer(v, v) + 2 * w * cross
+
 
+def wavevectors(rng, count: int, k0: float, dk: float, frame: np.ndarray, squash: np.ndarray) -> np.ndarray:
+    """Whole-number wave vectors of a band, squashed in a frame; zero ones drop out, so there may be fewer."""
+    size = rng.uniform(max(0.5, k0 - dk), k0 + dk, count)
+    q = np.rint(size[:, None] * directions(rng, count, len(frame)) @ (frame @ np.diag(squash) @ frame.T).T).astype(int)
+    return q[q.any(1)]
 
-def spans(solid: np.ndarray) -> bool:
-    """Whether one pore cluster crosses a three by three tiling both ways."""
-    lab = labels_of(np.tile(solid[None] == 0, (1, 3, 3)), False)[0]
-    return bool((set(lab[:, 0]) & set(lab[:, -1]) & set(lab[0]) & set(lab[-1])) - {0})
+
+def field(q: np.ndarray, phase: np.ndarray, n: int) -> np.ndarray:
+    """The sum of cosines; components are x first, axes of the result x last."""
+    at = np.meshgrid(*[np.arange(n)] * q.shape[1], indexing="ij")[::-1]
+    total = np.zeros([n] * q.shape[1])
+    for v, p in zip(q, phase):
+        total += np.cos(2 * np.pi / n * sum(int(c) * a for c, a in zip(v, at)) + p)
+    return np.sqrt(2 / max(len(q), 1)) * total
 
 
-def structure(sample: int, *, n: int = 64, seed: int = 0, attempts: int = 20):
-    """(stratum, aniso, porosity, tries, grid) of a sample: fields are drawn until the pore spans."""
+def structure(sample: int, *, n: int, dims: int, seed: int, attempts: int):
+    """(stratum, aniso, porosity, tries, grid) of a sample: fields are drawn until the pore
+    spans every axis, or the attempts are used up; then the grid is null."""
     rng = np.random.default_rng([seed, sample])
     name, low, high = STRATA[sample % 3]
     for tries in range(1, attempts + 1):
-        aniso, psi, porosity = rng.uniform(low, high), rng.uniform(0, np.pi), rng.uniform(0.5, 0.8)
-        q = wavevectors(rng, 40, 4.0, 1.0, aniso, psi)
-        f = field(q, rng.uniform(0, np.pi, len(q)), n)
+        frame = rotation(rng, dims)
+        a = rng.uniform(low, high)
+        b = rng.uniform(1.0, a) if dims == 3 else 1.0
+        squash = np.array([1 / a, a]) if dims == 2 else np.array([1 / a, 1 / b, 1.0]) * (a * b) ** (1 / 3)  # keeps the volume
+        porosity = rng.uniform(0.5, 0.8)
+        q = wavevectors(rng, 40, 4.0, 1.0, frame, squash)
+        f = field(q, rng.uniform(0.0, np.pi, len(q)), n)
         solid = (f > np.quantile(f, porosity)).astype(np.int8)
-        if spans(solid):
-            break
-    return name, float(aniso), float(1 - solid.mean()), tries, solid
+        if all(_crossings(solid[None] == 0)[1][0]):
+            return name, float(a), float(1 - solid.mean()), tries, solid.ravel().tolist()
+    return name, None, None, attempts, None
 
 
-def structures(ids: DataFrame, *, id_col: str = "sample_id", n: int = 64, seed: int = 0) -> DataFrame:
-    """(sid, stratum, aniso, porosity, tries, grid) for each id."""
+def structures(ids: DataFrame, *, id_col: str = "sample_id", n: int = 64, dims: int = 2, seed: int = 0, attempts: int = 50) -> DataFrame:
+    """(sid, stratum, aniso, porosity, tries, grid) for each id; grid is null where no attempt spanned."""
+    kinds = [("sid", pa.int64()), ("stratum", pa.string()), ("aniso", pa.float64()), ("porosity", pa.float64()), ("tries", pa.int32()), ("grid", pa.list_(pa.int8()))]
 
     def work(batches):
         for batch in batches:
             sids = batch.column(0).to_pylist()
-            rows = [structure(i, n=n, seed=seed) for i in sids]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int32()), pa.array([r[4].ravel().tolist() for r in rows], pa.list_(pa.int8()))], ["sid", "stratum", "aniso", "porosity", "tries", "grid"])
+            rows = [(i, *structure(i, n=n, dims=dims, seed=seed, attempts=attempts)) for i in sids]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [c for c, _ in kinds])
 
     return ids.selectExpr(f"cast({id_col} as bigint) as sid").where("sid is not null").mapInArrow(work, "sid long, stratum string, aniso double, porosity double, tries int, grid array<tinyint>")

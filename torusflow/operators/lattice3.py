@@ -5,11 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .lattice import OFF, kernel, normals3, rounded, spread
-
-N = 8
-#: Three axes and six signed face diagonals, as (dx, dy, dz).
-DIRS = ((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1))
+from .lattice import DIRS3 as DIRS
+from .lattice import OFF, distance, fabric_of, kernel, rounded, spread
 
 
 def moved(g: np.ndarray, dx: int, dy: int, dz: int) -> np.ndarray:
@@ -27,16 +24,18 @@ def profile(packed: DataFrame) -> DataFrame:
     """Mean solid by lattice plane for the nine directions."""
 
     def work(ids, g):
-        z, y, x = np.mgrid[0:N, 0:N, 0:N]
+        n = g.shape[1]
+        z, y, x = np.mgrid[0:n, 0:n, 0:n]
         flat, rows = g.reshape(len(ids), -1).astype(float), []
         for a, b, c in DIRS:
-            plane = ((a * x + b * y + c * z) % N).ravel()
-            rows.append(np.stack([flat[:, plane == p].mean(1) for p in range(N)], 1))
+            plane = ((a * x + b * y + c * z) % n).ravel()
+            which = (np.arange(len(ids))[:, None] * n + plane[None, :]).ravel()
+            rows.append(np.bincount(which, flat.ravel(), len(ids) * n).reshape(-1, n) / (n * n))
         out = np.stack(rows, 1)
-        d, p = np.meshgrid(np.arange(9), np.arange(N), indexing="ij")
-        return spread(ids, 9 * N), np.tile(d.ravel(), len(ids)), np.tile(p.ravel(), len(ids)), rounded(out.ravel(), 6)
+        d, p = np.meshgrid(np.arange(9), np.arange(n), indexing="ij")
+        return spread(ids, 9 * n), np.tile(d.ravel(), len(ids)), np.tile(p.ravel(), len(ids)), rounded(out.ravel(), 6)
 
-    return kernel(packed, (N, N, N), work, "sid long, dir int, plane int, profile double")
+    return kernel(packed, 3, work, "sid long, dir int, plane int, profile double")
 
 
 def two_point(packed: DataFrame) -> DataFrame:
@@ -46,44 +45,19 @@ def two_point(packed: DataFrame) -> DataFrame:
         g = g.astype(float)
         sid, direction, lag, value = [], [], [], []
         for k, d in enumerate(DIRS):
-            for r in range(int(np.floor(N / (2 * np.linalg.norm(d)))) + 1):
+            for r in range(int(np.floor(g.shape[1] / (2 * np.linalg.norm(d)))) + 1):
                 sid.append(ids)
                 direction += [k] * len(ids)
                 lag += [r] * len(ids)
                 value.append((g * moved(g, *(r * c for c in d))).mean((1, 2, 3)))
         return np.concatenate(sid), direction, lag, rounded(np.concatenate(value), 6)
 
-    return kernel(packed, (N, N, N), work, "sid long, dir int, lag int, s2 double")
+    return kernel(packed, 3, work, "sid long, dir int, lag int, s2 double")
 
 
 def fabric_components(packed: DataFrame) -> DataFrame:
     """The six components of the mean of n n^T over interface cells."""
-
-    def work(ids, g):
-        n, m = normals3(g)
-        k = np.maximum(m.sum((1, 2, 3)), 1)
-        pick = ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))
-        return (ids, *(rounded((n[a] * n[b]).sum((1, 2, 3)) / k, 5) for a, b in pick))
-
-    return kernel(packed, (N, N, N), work, "sid long, fxx double, fyy double, fzz double, fxy double, fxz double, fyz double")
-
-
-def distance(g: np.ndarray, phase: int, cap: float) -> np.ndarray:
-    """Torus distance to the nearest cell outside the phase, at most cap."""
-    outside, best = g != phase, np.full(g.shape, float(cap))
-    half = [min(int(np.ceil(cap)), s // 2) for s in g.shape[1:]]
-    rings: dict[int, list[tuple[int, int, int]]] = {}
-    for dz in range(-half[0], half[0] + 1):
-        for dy in range(-half[1], half[1] + 1):
-            for dx in range(-half[2], half[2] + 1):
-                rings.setdefault(dx * dx + dy * dy + dz * dz, []).append((dx, dy, dz))
-    for d2 in sorted(rings, reverse=True):
-        if d2 <= cap * cap:
-            hit = np.zeros(g.shape, bool)
-            for d in rings[d2]:
-                hit |= moved(outside, *d)
-            best[hit] = np.sqrt(d2)
-    return best
+    return kernel(packed, 3, lambda ids, g: (ids, *(rounded(v, 5) for v in fabric_of(g))), "sid long, fxx double, fyy double, fzz double, fxy double, fxz double, fyz double")
 
 
 def throat_iso(packed: DataFrame, cap: float = 4.0, phase: int = 0) -> DataFrame:
@@ -91,7 +65,72 @@ def throat_iso(packed: DataFrame, cap: float = 4.0, phase: int = 0) -> DataFrame
         f = np.where(g == phase, 1 - np.minimum(distance(g, phase, cap), cap) / cap, OFF)
         return (*cells(ids, g), rounded(f.ravel(), 6))
 
-    return kernel(packed, (N, N, N), work, "sid long, x int, y int, z int, iso double")
+    return kernel(packed, 3, work, "sid long, x int, y int, z int, iso double")
+
+
+def _by_direction(ids, g, fields) -> tuple:
+    """Cells with a column for each direction's field."""
+    return (*cells(ids, g), *(rounded(f.ravel(), 6) for f in fields))
+
+
+def _named(prefix: str) -> str:
+    return "sid long, x int, y int, z int, " + ", ".join(f"{prefix}{k} double" for k in range(len(DIRS)))
+
+
+def throat_dir(packed: DataFrame, cap: float = 4.0, horizon: int = 3, phase: int = 0) -> DataFrame:
+    """As throat_iso of the least distance on a walk both ways along each of the nine directions, until it leaves the phase."""
+
+    def work(ids, g):
+        d, inside = distance(g, phase, cap), g == phase
+        fields = []
+        for hkl in DIRS:
+            unit, least = np.array(hkl) / np.linalg.norm(hkl), d.copy()
+            for way in (1, -1):
+                alive = inside.copy()
+                for step in range(1, horizon + 1):
+                    to = np.floor(way * step * unit + 0.5).astype(int).tolist()
+                    alive &= moved(inside, *to)
+                    least = np.where(alive, np.minimum(least, moved(d, *to)), least)
+            fields.append(np.where(inside, 1 - np.minimum(least, cap) / cap, OFF))
+        return _by_direction(ids, g, fields)
+
+    return kernel(packed, 3, work, _named("d"))
+
+
+def local_axis(packed: DataFrame, radius: int = 2, phase: int = 1) -> DataFrame:
+    """Of the phase's cells in a ball: one minus |v.d| for the longest axis v and for the shortest
+    one, a row a cell and direction; 1.25 outside the phase, 1 with under four cells."""
+    ball = [o for o in np.ndindex(*[2 * radius + 1] * 3) if sum((c - radius) ** 2 for c in o) <= radius * radius]
+    ball = [tuple(c - radius for c in o) for o in ball]
+
+    def work(ids, g):
+        inside = (g == phase).astype(np.float64)
+        n, first, second = np.zeros(g.shape), [np.zeros(g.shape) for _ in range(3)], {(a, b): np.zeros(g.shape) for a in range(3) for b in range(a, 3)}
+        for o in ball:
+            here = moved(inside, *o)
+            n += here
+            for a in range(3):
+                first[a] += o[a] * here
+                for b in range(a, 3):
+                    second[a, b] += o[a] * o[b] * here
+        pore = inside > 0
+        some = np.maximum(n[pore], 1)
+        moment = np.empty((int(pore.sum()), 3, 3))
+        for (a, b), v in second.items():
+            moment[:, a, b] = moment[:, b, a] = v[pore] / some - first[a][pore] * first[b][pore] / some**2
+        axes = np.linalg.eigh(moment)[1]
+        few = n[pore] < 4
+        columns = []
+        for pick in (2, 0):
+            for hkl in DIRS:
+                dot = 1 - np.abs(axes[:, :, pick] @ (np.array(hkl) / np.linalg.norm(hkl)))
+                full = np.full(g.shape, OFF)
+                full[pore] = np.where(few, 1.0, dot)
+                columns.append(full)
+        return (*cells(ids, g), *(rounded(c.ravel(), 5) for c in columns))
+
+    names = [f"{p}{k} double" for p in ("long", "short") for k in range(len(DIRS))]
+    return kernel(packed, 3, work, "sid long, x int, y int, z int, " + ", ".join(names))
 
 
 def cone(d: tuple[int, int, int], radius: float, height: float) -> list[tuple[int, int, int]]:
@@ -105,16 +144,15 @@ def cone(d: tuple[int, int, int], radius: float, height: float) -> list[tuple[in
     return [tuple(int(c) for c in row) for row in grid[inside]]
 
 
-def cone_occupancy(packed: DataFrame, d: tuple[int, int, int] = (1, 0, 0), radius: float = 2, height: float = 3, phase: int = 1) -> DataFrame:
-    """One minus the part of the cone that is in the phase, for cells of the phase; 1.25 elsewhere."""
-    stencil = cone(d, radius, height)
+def cone_occupancy(packed: DataFrame, radius: float = 2, height: float = 3, phase: int = 1) -> DataFrame:
+    """One minus the part of the cone along each of the nine directions that is in the phase, for cells of the phase; 1.25 elsewhere."""
+    stencils = [cone(d, radius, height) for d in DIRS]
 
     def work(ids, g):
         inside = (g == phase).astype(float)
-        filled = sum(moved(inside, *o) for o in stencil)
-        return (*cells(ids, g), rounded(np.where(inside > 0, 1 - filled / len(stencil), OFF).ravel(), 6))
+        return _by_direction(ids, g, [np.where(inside > 0, 1 - sum(moved(inside, *o) for o in s) / len(s), OFF) for s in stencils])
 
-    return kernel(packed, (N, N, N), work, "sid long, x int, y int, z int, value double")
+    return kernel(packed, 3, work, _named("c"))
 
 
 def euler_profile(packed: DataFrame, cap: float = 4.0, grid: int = 6) -> DataFrame:
@@ -134,48 +172,4 @@ def euler_profile(packed: DataFrame, cap: float = 4.0, grid: int = 6) -> DataFra
             out.append(chi)
         return spread(ids, grid + 1), np.tile(np.arange(grid + 1), len(ids)), np.stack(out, 1).ravel()
 
-    return kernel(packed, (N, N, N), work, "sid long, k int, chi long")
-
-
-#: The nineteen velocities and weights of the cubic lattice.
-C = np.array([(0, 0, 0)] + [(s * (a == 0), s * (a == 1), s * (a == 2)) for a in range(3) for s in (1, -1)] + [(s * (a != 0), (s if a == 0 else t) * (a != 1), t * (a != 2)) for a in range(3) for s in (1, -1) for t in (1, -1)])
-WEIGHT = np.array([1 / 3] + [1 / 18] * 6 + [1 / 36] * 12)
-BACK = [int(np.flatnonzero((C == -c).all(1))[0]) for c in C]
-
-
-def flow(solid: np.ndarray, force: np.ndarray, steps: int = 400, tau: float = 1.0, eps: float = 1e-9):
-    """Mean velocity (3, number) of a force-driven fluid with bounce-back walls, and whether it settled."""
-    wall = solid.astype(bool)
-    f = np.broadcast_to(WEIGHT.reshape(-1, 1, 1, 1, 1), (19, *solid.shape)).copy()
-    push = 3 * WEIGHT * (C @ force)
-    last, done = np.zeros((3, len(solid))), np.zeros(len(solid), bool)
-    for t in range(1, steps + 1):
-        rho = f.sum(0)
-        u = np.tensordot(C.T.astype(float), f, 1) / rho
-        square = 1.5 * (u * u).sum(0)
-        new = np.empty_like(f)
-        for k, c in enumerate(C):
-            cu = 3 * (c[0] * u[0] + c[1] * u[1] + c[2] * u[2])
-            new[k] = np.where(wall, f[BACK[k]], f[k] + (WEIGHT[k] * rho * (1 + cu + cu * cu / 2 - square) - f[k]) / tau + push[k] * rho)
-        f = np.stack([np.roll(new[k], (c[2], c[1], c[0]), (1, 2, 3)) for k, c in enumerate(C)])
-        if t % 50 == 0:
-            q = (np.where(wall, 0, np.tensordot(C.T.astype(float), f, 1) / f.sum(0) + force.reshape(3, 1, 1, 1, 1) / 2)).mean((2, 3, 4))
-            done = np.abs(q - last).max(0) <= eps + 1e-4 * np.abs(q).max(0)
-            last = q
-            if done.all():
-                break
-    return last, done
-
-
-def permeability(packed: DataFrame, force: float = 1e-5, steps: int = 200, tau: float = 1.0) -> DataFrame:
-    """K from three solves: a row a structure and component, with what the solve settled to."""
-    mu = (tau - 0.5) / 3
-
-    def work(ids, g):
-        rows = []
-        for j in range(3):
-            q, done = flow(g, force * np.eye(3)[j], steps, tau)
-            rows += [(ids, [i] * len(ids), [j] * len(ids), mu * q[i] / force, done.astype(int)) for i in range(3)]
-        return tuple(np.concatenate(c) for c in zip(*rows))
-
-    return kernel(packed, (N, N, N), work, "sid long, i int, j int, k double, settled int")
+    return kernel(packed, 3, work, "sid long, k int, chi long")

@@ -1,16 +1,57 @@
 """The kernels' results in plain SQL over cells, written without regard to the kernels."""
 
 DIRS = "(SELECT 0 AS dir, 1 AS dx, 0 AS dy UNION ALL SELECT 1, 1, 1 UNION ALL SELECT 2, 0, 1 UNION ALL SELECT 3, -1, 1)"
-#: Distance of each pore cell to the nearest solid cell around the torus.
-EDT = """dt AS (SELECT a.sid, a.x, a.y, least(coalesce(min(sqrt(power(least(abs(a.x - b.x), 16 - abs(a.x - b.x)), 2) + power(least(abs(a.y - b.y), 16 - abs(a.y - b.y)), 2))), {cap}), {cap}) AS d
-    FROM (SELECT * FROM lattice2 WHERE solid = 0) a LEFT JOIN (SELECT * FROM lattice2 WHERE solid = 1) b ON a.sid = b.sid GROUP BY a.sid, a.x, a.y)"""
+#: Distance of each pore cell to the nearest solid cell around the torus: within its row, then over rows.
+EDT = """near AS (SELECT a.sid, a.x, a.y, min((least(abs(a.x - b.x), 16 - abs(a.x - b.x))) * (least(abs(a.x - b.x), 16 - abs(a.x - b.x)))) AS f FROM lattice2 a JOIN lattice2 b ON b.sid = a.sid AND b.y = a.y WHERE b.solid = 1 GROUP BY a.sid, a.x, a.y)
+    , dt AS (SELECT a.sid, a.x, a.y, least(coalesce(sqrt(min(n.f + (least(abs(a.y - n.y), 16 - abs(a.y - n.y))) * (least(abs(a.y - n.y), 16 - abs(a.y - n.y))))), {cap}), {cap}) AS d
+    FROM (SELECT * FROM lattice2 WHERE solid = 0) a LEFT JOIN near n ON n.sid = a.sid AND n.x = a.x GROUP BY a.sid, a.x, a.y)"""
 WEDGE = """wedge AS (SELECT t.dir, a.v - 8 AS di, b.v - 8 AS dj FROM (SELECT 0 AS dir, 1.0E0 AS c, 0.0E0 AS s UNION ALL SELECT 1, sqrt(0.5E0), sqrt(0.5E0) UNION ALL SELECT 2, 0.0E0, 1.0E0 UNION ALL SELECT 3, -sqrt(0.5E0), sqrt(0.5E0)) t
     CROSS JOIN (SELECT v FROM axis32 WHERE v <= 16) a CROSS JOIN (SELECT v FROM axis32 WHERE v <= 16) b
     WHERE NOT (a.v = 8 AND b.v = 8) AND abs((b.v - 8) * c + (a.v - 8) * s) <= 6 + 1e-9 AND abs((a.v - 8) * c - (b.v - 8) * s) <= 3 * abs((b.v - 8) * c + (a.v - 8) * s) / 6 + 1e-9)"""
 
 DIRS3 = "(" + " UNION ALL ".join(f"SELECT {k} AS dir, {a} AS dx, {b} AS dy, {c} AS dz" for k, (a, b, c) in enumerate([(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, -1, 0), (1, 0, 1), (1, 0, -1), (0, 1, 1), (0, 1, -1)])) + ")"
 
+
+
+def occupancy(phase: str, filled: str) -> str:
+    """Of the wedges, for cells of one phase."""
+    return (
+        f"WITH {WEDGE}, o AS (SELECT a.sid, a.x, a.y, dir, 1 - {filled} AS f FROM lattice2 a CROSS JOIN wedge JOIN lattice2 b ON b.sid = a.sid AND b.x = (a.x + dj + 32) % 16 AND b.y = (a.y + di + 32) % 16 WHERE a.solid = {phase} GROUP BY a.sid, a.x, a.y, dir)"
+        + " SELECT l.sid, l.x, l.y, "
+        + ", ".join(f"round(coalesce(max(CASE WHEN dir = {k} THEN f END), 1.25E0), 6) + 0.0E0 AS w{45 * k}" for k in range(4))
+        + " FROM lattice2 l LEFT JOIN o ON o.sid = l.sid AND o.x = l.x AND o.y = l.y GROUP BY l.sid, l.x, l.y"
+    )
+
+
+#: Gradients of cells where there is one, and their squared lengths.
+NORMALS3 = """sides AS (SELECT 1 AS ox, 0 AS oy, 0 AS oz UNION ALL SELECT -1, 0, 0 UNION ALL SELECT 0, 1, 0 UNION ALL SELECT 0, -1, 0 UNION ALL SELECT 0, 0, 1 UNION ALL SELECT 0, 0, -1)
+    , n AS (SELECT sid, (x + ox + 8) % 8 AS x, (y + oy + 8) % 8 AS y, (z + oz + 8) % 8 AS z, sum(-ox * solid) / 2.0E0 AS gx, sum(-oy * solid) / 2.0E0 AS gy, sum(-oz * solid) / 2.0E0 AS gz FROM lattice3 CROSS JOIN sides GROUP BY 1, 2, 3, 4)
+    , t AS (SELECT sid, x, y, z, gx, gy, gz, gx * gx + gy * gy + gz * gz AS m FROM n WHERE gx <> 0 OR gy <> 0 OR gz <> 0)"""
+_wrapped = lambda a: f"least(abs(a.{a} - b.{a}), 8 - abs(a.{a} - b.{a})) * least(abs(a.{a} - b.{a}), 8 - abs(a.{a} - b.{a}))"
+#: The distance transform in space, axis by axis.
+EDT3 = f"""e1 AS (SELECT a.sid, a.x, a.y, a.z, min({_wrapped("x")}) AS f FROM lattice3 a JOIN lattice3 b ON b.sid = a.sid AND b.y = a.y AND b.z = a.z WHERE b.solid = 1 GROUP BY a.sid, a.x, a.y, a.z)
+    , e2 AS (SELECT a.sid, a.x, a.y, a.z, min(b.f + {_wrapped("y")}) AS f FROM lattice3 a JOIN e1 b ON b.sid = a.sid AND b.x = a.x AND b.z = a.z GROUP BY a.sid, a.x, a.y, a.z)
+    , dt AS (SELECT a.sid, a.x, a.y, a.z, least(coalesce(sqrt(min(b.f + {_wrapped("z")})), 4.0E0), 4.0E0) AS d FROM (SELECT * FROM lattice3 WHERE solid = 0) a LEFT JOIN e2 b ON b.sid = a.sid AND b.x = a.x AND b.y = a.y GROUP BY a.sid, a.x, a.y, a.z)
+    , f AS (SELECT l.sid, l.x, l.y, l.z, coalesce(1 - d / 4, 1.25E0) AS f FROM lattice3 l LEFT JOIN dt ON dt.sid = l.sid AND dt.x = l.x AND dt.y = l.y AND dt.z = l.z)"""
+
 SQL = {
+    "dsc4_fabric_3d": f"""WITH {NORMALS3}, q AS (SELECT sid, avg(gx * gx / m) AS xx, avg(gy * gy / m) AS yy, avg(gz * gz / m) AS zz, avg(gx * gy / m) AS xy, avg(gx * gz / m) AS xz, avg(gy * gz / m) AS yz FROM t GROUP BY sid)
+        , c AS (SELECT *, xx + yy + zz AS i1, xx * yy + xx * zz + yy * zz - xy * xy - xz * xz - yz * yz AS i2, xx * yy * zz + 2 * xy * xz * yz - xx * yz * yz - yy * xz * xz - zz * xy * xy AS i3 FROM q)
+        , u AS (SELECT *, sqrt(greatest(i1 * i1 - 3 * i2, 0)) AS g, (2 * i1 * i1 * i1 - 9 * i1 * i2 + 27 * i3) / 2 AS h FROM c)
+        , w AS (SELECT *, CASE WHEN g > 1e-9 THEN acos(least(greatest(h / (g * g * g), -1), 1)) / 3 ELSE 0 END AS phi FROM u)
+        , e AS (SELECT *, (i1 + 2 * g * cos(phi)) / 3 AS e1, (i1 + 2 * g * cos(phi - 2 * pi() / 3)) / 3 AS e2, (i1 + 2 * g * cos(phi + 2 * pi() / 3)) / 3 AS e3 FROM w)
+        SELECT sid, round(xx, 5) + 0.0E0 AS fxx, round(yy, 5) + 0.0E0 AS fyy, round(zz, 5) + 0.0E0 AS fzz, round(xy, 5) + 0.0E0 AS fxy, round(xz, 5) + 0.0E0 AS fxz, round(yz, 5) + 0.0E0 AS fyz,
+        round(e1, 4) + 0.0E0 AS e1, round(e2, 4) + 0.0E0 AS e2, round(e3, 4) + 0.0E0 AS e3, round(sqrt(1.5E0 * (power(e1 - i1 / 3, 2) + power(e2 - i1 / 3, 2) + power(e3 - i1 / 3, 2)) / (e1 * e1 + e2 * e2 + e3 * e3)), 4) + 0.0E0 AS fa FROM e""",
+    "dsc5_fabric_profile": f"""WITH {NORMALS3}, p AS (SELECT sid, CAST(dir AS INT) AS dir, (dx * x + dy * y + dz * z + 8) % 8 AS plane, avg(power(gx * dx + gy * dy + gz * dz, 2) / (m * (dx * dx + dy * dy + dz * dz))) AS v FROM t CROSS JOIN {DIRS3} d GROUP BY 1, 2, 3)
+        , g AS (SELECT s.sid, CAST(d.dir AS INT) AS dir, a.v AS plane, a.v + 8 * k.v - 8 AS q FROM (SELECT p_partkey AS sid FROM part) s CROSS JOIN {DIRS3} d CROSS JOIN axis8 a CROSS JOIN (SELECT v FROM axis8 WHERE v < 3) k)
+        , r AS (SELECT g.sid, g.dir, g.plane, g.q, p.v, CASE WHEN p.v IS NOT NULL THEN g.q END AS place FROM g LEFT JOIN p ON p.sid = g.sid AND p.dir = g.dir AND p.plane = g.plane)
+        , b AS (SELECT *, max(place) OVER (PARTITION BY sid, dir ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q0, min(place) OVER (PARTITION BY sid, dir ORDER BY q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q1 FROM r)
+        SELECT b.sid, b.dir, CAST(b.plane AS INT) AS plane, round(round(CASE WHEN b.v IS NOT NULL THEN b.v ELSE lo.v + (b.q - b.q0) * (hi.v - lo.v) / (b.q1 - b.q0) END, 9), 6) + 0.0E0 AS profile
+        FROM b LEFT JOIN r lo ON lo.sid = b.sid AND lo.dir = b.dir AND lo.q = b.q0 LEFT JOIN r hi ON hi.sid = b.sid AND hi.dir = b.dir AND hi.q = b.q1 WHERE b.q BETWEEN 0 AND 7""",
+    "dsc13_throat_iso_3d": f"WITH {EDT3} SELECT sid, x, y, z, round(f, 6) + 0.0E0 AS iso FROM f",
+    "dsc15_euler_profile_3d": f"""WITH {EDT3}, r AS (SELECT sid, x, y, z, round(f, 9) AS f FROM f), k AS (SELECT v FROM axis8 WHERE v <= 6)
+        , faces AS (SELECT o.sid, thin.v AS thin, o.x, o.y, o.z, min(b.f) AS f FROM r o CROSS JOIN axis8 thin JOIN axis8 s ON (s.v & thin.v) = s.v JOIN r b ON b.sid = o.sid AND b.x = (o.x + 8 - (s.v & 1)) % 8 AND b.y = (o.y + 8 - ((s.v >> 1) & 1)) % 8 AND b.z = (o.z + 8 - ((s.v >> 2) & 1)) % 8 GROUP BY 1, 2, 3, 4, 5)
+        SELECT sid, CAST(k.v AS INT) AS k, CAST(sum(CASE WHEN f <= k.v / 6.0E0 + 1e-12 THEN CASE WHEN bit_count(CAST(thin AS BIGINT)) % 2 = 1 THEN 1 ELSE -1 END ELSE 0 END) AS BIGINT) AS chi FROM faces CROSS JOIN k GROUP BY sid, k.v""",
     "dsc1_porosity_profile_3d": f"SELECT sid, CAST(dir AS INT) AS dir, CAST((dx * x + dy * y + dz * z + 8) % 8 AS INT) AS plane, round(avg(solid), 6) AS profile FROM lattice3 CROSS JOIN {DIRS3} d GROUP BY sid, dir, 3",
     "dsc2_two_point_3d": f"SELECT a.sid, CAST(dir AS INT) AS dir, CAST(r.v AS INT) AS lag, round(avg(a.solid * b.solid), 6) AS s2 FROM lattice3 a CROSS JOIN {DIRS3} d JOIN (SELECT v FROM axis8 WHERE v <= 4) r ON r.v <= 2 OR abs(dx) + abs(dy) + abs(dz) = 1 JOIN lattice3 b ON b.sid = a.sid AND b.x = (a.x + dx * r.v) % 8 AND b.y = (a.y + dy * r.v + 8) % 8 AND b.z = (a.z + dz * r.v + 8) % 8 GROUP BY a.sid, dir, r.v",
     "dsc4_fabric_components": """WITH sides AS (SELECT 1 AS ox, 0 AS oy, 0 AS oz UNION ALL SELECT -1, 0, 0 UNION ALL SELECT 0, 1, 0 UNION ALL SELECT 0, -1, 0 UNION ALL SELECT 0, 0, 1 UNION ALL SELECT 0, 0, -1)
@@ -23,10 +64,8 @@ SQL = {
         , n AS (SELECT sid, (x + ox + 16) % 16 AS x, (y + oy + 16) % 16 AS y, sum(-ox * solid) / 2.0E0 AS gx, sum(-oy * solid) / 2.0E0 AS gy FROM lattice2 CROSS JOIN sides GROUP BY 1, 2, 3)
         , t AS (SELECT sid, avg(gx * gx / (gx * gx + gy * gy)) AS xx, avg(gx * gy / (gx * gx + gy * gy)) AS xy, avg(gy * gy / (gx * gx + gy * gy)) AS yy FROM n WHERE gx <> 0 OR gy <> 0 GROUP BY sid)
         SELECT p.p_partkey AS sid, round(xx, 5) + 0.0E0 AS fxx, round(xy, 5) + 0.0E0 AS fxy, round(yy, 5) + 0.0E0 AS fyy, round((xx + yy) / 2 - sqrt(greatest(power(xx + yy, 2) / 4 - (xx * yy - xy * xy), 0)), 5) + 0.0E0 AS e_min, round((xx + yy) / 2 + sqrt(greatest(power(xx + yy, 2) / 4 - (xx * yy - xy * xy), 0)), 5) + 0.0E0 AS e_max FROM part p LEFT JOIN t ON t.sid = p.p_partkey""",
-    "dsc9_wedge_occupancy": f"WITH {WEDGE}, o AS (SELECT a.sid, a.x, a.y, dir, 1 - avg(b.solid) AS f FROM lattice2 a CROSS JOIN wedge JOIN lattice2 b ON b.sid = a.sid AND b.x = (a.x + dj + 32) % 16 AND b.y = (a.y + di + 32) % 16 WHERE a.solid = 1 GROUP BY a.sid, a.x, a.y, dir)"
-    + " SELECT l.sid, l.x, l.y, "
-    + ", ".join(f"round(coalesce(max(CASE WHEN dir = {k} THEN f END), 1.25E0), 6) + 0.0E0 AS w{45 * k}" for k in range(4))
-    + " FROM lattice2 l LEFT JOIN o ON o.sid = l.sid AND o.x = l.x AND o.y = l.y GROUP BY l.sid, l.x, l.y",
+    "dsc9_wedge_occupancy": occupancy("1", "avg(b.solid)"),
+    "dsc11_void_occupancy": occupancy("0", "(1 - avg(b.solid))"),
     "dsc10_local_axis": """WITH disc AS (SELECT a.v - 4 AS di, b.v - 4 AS dj FROM axis16 a CROSS JOIN axis16 b WHERE (a.v - 4) * (a.v - 4) + (b.v - 4) * (b.v - 4) <= 16)
         , m AS (SELECT a.sid, a.x, a.y, count(*) AS n, CAST(sum(di) AS DOUBLE) AS si, CAST(sum(dj) AS DOUBLE) AS sj, CAST(sum(di * di) AS DOUBLE) AS sii, CAST(sum(di * dj) AS DOUBLE) AS sij, CAST(sum(dj * dj) AS DOUBLE) AS sjj
             FROM lattice2 a CROSS JOIN disc JOIN lattice2 b ON b.sid = a.sid AND b.x = (a.x + dj + 16) % 16 AND b.y = (a.y + di + 16) % 16 WHERE a.solid = 1 AND b.solid = 1 GROUP BY a.sid, a.x, a.y)
@@ -46,6 +85,7 @@ SQL = {
     "dsc15_euler_profile": f"""WITH {EDT.format(cap='10.0E0')}, f AS (SELECT l.sid, l.x, l.y, round(coalesce(1 - d / 10, 1.25E0), 9) AS f FROM lattice2 l LEFT JOIN dt ON dt.sid = l.sid AND dt.x = l.x AND dt.y = l.y)
         , e AS (SELECT o.sid, o.f, least(o.f, w.f) AS ex, least(o.f, n.f) AS ey, least(o.f, w.f, n.f, c.f) AS corner FROM f o JOIN f w ON w.sid = o.sid AND w.y = o.y AND w.x = (o.x + 15) % 16 JOIN f n ON n.sid = o.sid AND n.x = o.x AND n.y = (o.y + 15) % 16 JOIN f c ON c.sid = o.sid AND c.x = (o.x + 15) % 16 AND c.y = (o.y + 15) % 16)
         SELECT sid, CAST(k.v AS INT) AS k, CAST(count(CASE WHEN corner <= k.v / 6.0E0 + 1e-12 THEN 1 END) - count(CASE WHEN ex <= k.v / 6.0E0 + 1e-12 THEN 1 END) - count(CASE WHEN ey <= k.v / 6.0E0 + 1e-12 THEN 1 END) + count(CASE WHEN f <= k.v / 6.0E0 + 1e-12 THEN 1 END) AS BIGINT) AS chi FROM e CROSS JOIN (SELECT v FROM axis8 WHERE v <= 6) k GROUP BY sid, k.v""",
-    "dsc6_resampled": """WITH p AS (SELECT sid, x AS plane, round(avg(solid), 6) AS profile FROM lattice2 GROUP BY sid, x), g AS (SELECT p_partkey AS sid, k.v AS k, k.v * 15 / 6.0E0 AS at FROM part CROSS JOIN (SELECT v FROM axis8 WHERE v <= 6) k)
-        SELECT g.sid, CAST(g.k AS INT) AS k, round(a.profile + (g.at - floor(g.at)) * (coalesce(b.profile, a.profile) - a.profile), 6) AS value FROM g JOIN p a ON a.sid = g.sid AND a.plane = CAST(floor(g.at) AS INT) LEFT JOIN p b ON b.sid = g.sid AND b.plane = CAST(floor(g.at) AS INT) + 1""",
+    "dsc6_resampled": f"""WITH p AS (SELECT sid, dir, CAST((dx * x + dy * y + 16) % 16 AS INT) AS plane, round(avg(solid), 6) AS profile FROM lattice2 CROSS JOIN {DIRS} d GROUP BY sid, dir, 3)
+        , g AS (SELECT p_partkey AS sid, d.dir, k.v AS k, k.v * 15 / 6.0E0 AS at FROM part CROSS JOIN {DIRS} d CROSS JOIN (SELECT v FROM axis8 WHERE v <= 6) k)
+        SELECT g.sid, g.dir, CAST(g.k AS INT) AS k, round(a.profile + (g.at - floor(g.at)) * (coalesce(b.profile, a.profile) - a.profile), 6) AS value FROM g JOIN p a ON a.sid = g.sid AND a.dir = g.dir AND a.plane = CAST(floor(g.at) AS INT) LEFT JOIN p b ON b.sid = g.sid AND b.dir = g.dir AND b.plane = CAST(floor(g.at) AS INT) + 1""",
 }

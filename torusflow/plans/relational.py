@@ -50,7 +50,7 @@ SQL = {
     "dsc7_wedge_stencil": """SELECT p_partkey AS sid, CAST(a.v - 8 AS INT) AS di, CAST(b.v - 8 AS INT) AS dj FROM part CROSS JOIN axis16 a CROSS JOIN axis16 b
         WHERE NOT (a.v = 8 AND b.v = 8) AND abs(b.v - 8) <= 6 + 1e-9 AND abs(a.v - 8) <= (1 + p_size % 3) * abs(b.v - 8) / 6.0E0 + 1e-9""",
     "dsc8_disc_stencil": "SELECT p_partkey AS sid, CAST(a.v - 8 AS INT) AS di, CAST(b.v - 8 AS INT) AS dj FROM part CROSS JOIN axis16 a CROSS JOIN axis16 b WHERE (a.v - 8) * (a.v - 8) + (b.v - 8) * (b.v - 8) <= (1 + p_size % 4) * (1 + p_size % 4)",
-    "dsc17_persistence_image": """WITH bars AS (SELECT vec_id AS sid, idx, abs(CAST(value AS DOUBLE)) AS birth FROM #unnested(embeddings, embedding, idx, value) WHERE idx < 6)
+    "dsc17_persistence_image": """WITH bars AS (SELECT vec_id AS sid, idx, abs(CAST(value AS DOUBLE)) AS birth FROM #unnested(embeddings, embedding, idx, value))
         , px AS (SELECT a.v / 7.0E0 AS bx, b.v / 7.0E0 AS py, CAST(a.v AS INT) AS i, CAST(b.v AS INT) AS j FROM axis8 a CROSS JOIN axis8 b)
         SELECT sid, i, j, round(sum((0.1E0 + idx / 10.0E0) * exp(-(power(birth - bx, 2) + power(0.1E0 + idx / 10.0E0 - py, 2)) / (2 * 0.125E0 * 0.125E0))), 4) AS value FROM bars CROSS JOIN px GROUP BY sid, i, j""",
     "dsc18_smeared_gate": "SELECT kind, round(max(value) - min(value), 6) AS extent, CASE WHEN 0.125E0 > (max(value) - min(value)) / 3 THEN 1 ELSE 0 END AS smeared FROM feat GROUP BY kind",
@@ -84,7 +84,7 @@ SQL = {
     "drv4_label_merge": "SELECT s.sample_id, s.stratum, round(s.porosity, 6) AS porosity, round(p.k_xx, 6) AS k_xx, round(p.k_yy, 6) AS k_yy FROM structures s JOIN perm p ON p.sample_id = s.sample_id",
     "drv5_label_summary": "SELECT s.stratum, CAST(count(*) AS BIGINT) AS n, round(avg(p.k_xx), 6) AS mean, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY p.k_xx), 6) AS median, round(max(greatest(p.k_xx, p.k_yy, p.k_zz)), 6) AS largest FROM structures s JOIN perm p ON p.sample_id = s.sample_id GROUP BY s.stratum",
     # -- relational --------------------------------------------------------------------
-    "rel1_prefix_projection": "SELECT sample_id, idx, round(value, 6) + 0.0E0 AS value FROM feat WHERE kind = 'fab'",
+    "rel1_prefix_projection": """SELECT sample_id, kind AS grp, idx, round(value, 6) + 0.0E0 AS value FROM feat WHERE kind IN ('por', 'tpc', 'fab', 'fabdir', 'thr')""",
     "rel3_converged": "SELECT sample_id, round(k_xx, 6) AS k_xx FROM perm WHERE conv_fx = 1 AND conv_fy = 1",
     "rel4_strata": "SELECT sample_id, stratum FROM structures WHERE stratum IN ('iso', 'strong')",
     "rel5_bands": "SELECT CASE WHEN porosity < 0.4E0 THEN '[.3,.4)' WHEN porosity < 0.5E0 THEN '[.4,.5)' ELSE '[.5,.7)' END AS band, CAST(count(*) AS BIGINT) AS n, round(avg(porosity), 6) AS mean FROM structures WHERE porosity >= 0.3E0 AND porosity < 0.7E0 GROUP BY 1",
@@ -94,11 +94,15 @@ SQL = {
     "rel8_null_gate": "SELECT s.stratum, CAST(count(*) AS BIGINT) AS used, CAST(count(CASE WHEN p.k_xx IS NULL THEN 1 END) AS BIGINT) AS without FROM structures s LEFT JOIN perm p ON p.sample_id = s.sample_id GROUP BY s.stratum",
     "rel9_missing_descriptor": "SELECT s.sample_id FROM structures s LEFT ANTI JOIN feat f ON f.sample_id = s.sample_id",
     "rel10_semi_join": "SELECT s.sample_id, s.stratum FROM structures s LEFT SEMI JOIN perm p ON p.sample_id = s.sample_id AND p.conv_fx = 1",
-    "rel11_metadata_check": "SELECT a.sample_id FROM structures a JOIN (SELECT sample_id, porosity + (CASE WHEN sample_id % 10 = 0 THEN 1e-6 ELSE 0 END) AS porosity, stratum FROM structures) b ON a.sample_id = b.sample_id WHERE abs(a.porosity - b.porosity) > 1e-9 OR a.stratum <> b.stratum",
-    "rel12_id_gaps": "SELECT g.id AS missing FROM (SELECT sample_id + 1 AS id FROM structures WHERE sample_id < (SELECT max(sample_id) FROM structures)) g LEFT JOIN structures s ON s.sample_id = g.id WHERE s.sample_id IS NULL",
+    "rel11_metadata_check": """SELECT sample_id, 'porosity' AS column FROM (SELECT sample_id, porosity, round(porosity, 3) AS kept FROM structures) t WHERE abs(porosity - kept) > 1e-9""",
+    "rel12_id_faults": """SELECT sample_id, fault FROM (
+        SELECT sample_id, 'repeated' AS fault FROM structures WHERE sample_id % 70 = 0 AND sample_id % 90 <> 0
+        UNION ALL SELECT sample_id, 'overlap' FROM structures WHERE sample_id % 50 = 0 AND sample_id % 90 <> 0
+        UNION ALL SELECT sample_id, 'missing' FROM structures WHERE sample_id % 90 = 0
+        UNION ALL SELECT sample_id + 10000000, 'stray' FROM structures WHERE sample_id % 110 = 0) t""",
     "rel14_run_summary": "SELECT target, grp, size, round(avg(r2), 6) AS mean, round(stddev_samp(r2), 6) AS sd, CAST(count(DISTINCT seed) AS BIGINT) AS seeds FROM runs GROUP BY target, grp, size",
     "rel15_pivot_max": "SELECT target, max(CASE WHEN grp = 'g0' THEN r2 END) AS g0, max(CASE WHEN grp = 'g1' THEN r2 END) AS g1, max(CASE WHEN grp = 'g2' THEN r2 END) AS g2, max(CASE WHEN grp = 'g3' THEN r2 END) AS g3 FROM runs GROUP BY target",
-    "rel16_pivot_pairs": "SELECT target, seed, max(CASE WHEN size = 125 THEN mae END) AS n125, max(CASE WHEN size = 250 THEN mae END) AS n250, max(CASE WHEN size = 500 THEN mae END) AS n500 FROM runs WHERE grp = 'g0' GROUP BY target, seed",
+    "rel16_pivot_pairs": "SELECT target, grp, seed, max(CASE WHEN size = 125 THEN mae END) AS n125, max(CASE WHEN size = 250 THEN mae END) AS n250, max(CASE WHEN size = 500 THEN mae END) AS n500, max(CASE WHEN size = 1000 THEN mae END) AS n1000 FROM runs GROUP BY target, grp, seed",
     "rel17_ordered_report": "SELECT grp, CAST(row_number() OVER (ORDER BY CASE grp WHEN 'g2' THEN 0 WHEN 'g0' THEN 1 ELSE 2 END, grp) AS INT) AS place, round(avg(r2), 6) AS mean FROM runs GROUP BY grp",
     "rel18_top_k": "SELECT target, grp, size, seed, r2 FROM (SELECT *, row_number() OVER (ORDER BY r2 DESC, target, grp, size, seed) AS place FROM runs) t WHERE place <= 12",
     "rel19_contrast": "SELECT target, size, max(CASE WHEN grp IN ('g0', 'g1') THEN r2 END) AS best_a, max(CASE WHEN grp IN ('g2', 'g3') THEN r2 END) AS best_b, round(max(CASE WHEN grp IN ('g0', 'g1') THEN r2 END) - max(CASE WHEN grp IN ('g2', 'g3') THEN r2 END), 6) + 0.0E0 AS gap FROM runs GROUP BY target, size",
@@ -126,8 +130,8 @@ SQL = {
         SELECT a.target, a.grp, CASE WHEN f.size IS NULL THEN concat('>', CAST(a.top AS STRING)) WHEN f.n0 IS NULL THEN concat('<=', CAST(f.size AS STRING)) ELSE CAST(CAST(round(exp(ln(n0) + (0.5E0 - r0) / (r - r0) * (ln(f.size) - ln(n0)))) AS BIGINT) AS STRING) END AS reached
         FROM (SELECT target, grp, max(size) AS top FROM runs GROUP BY target, grp) a LEFT JOIN f ON f.target = a.target AND f.grp = a.grp AND f.place = 1""",
     "win9_incomplete_cells": "SELECT target, grp, size, seeds, CASE WHEN seeds < max(seeds) OVER () THEN 1 ELSE 0 END AS incomplete FROM (SELECT target, grp, size, CAST(count(DISTINCT seed) AS BIGINT) AS seeds FROM runs GROUP BY target, grp, size) t",
-    "win10_resume": "SELECT DISTINCT s.stratum AS grp, CAST(s.batch AS INT) AS seed FROM structures s LEFT ANTI JOIN runs r ON r.seed = s.batch AND r.n_rows > 100000",
-    "win11_fold_delta": "SELECT r.target, r.grp, CAST(count(*) AS BIGINT) AS folds, round(avg(r.r2 - b.r2), 6) + 0.0E0 AS delta, CAST(count(CASE WHEN r.r2 > b.r2 THEN 1 END) AS BIGINT) AS wins FROM runs r JOIN runs b ON b.target = r.target AND b.seed = r.seed AND b.size = r.size AND b.grp = 'g1' WHERE r.size = 250 AND r.grp <> 'g1' GROUP BY r.target, r.grp",
+    "win10_resume": """SELECT DISTINCT w.target, w.grp, w.size, w.seed FROM (SELECT target, grp, size, seed + 1 AS seed FROM runs) w LEFT ANTI JOIN runs r ON r.target = w.target AND r.grp = w.grp AND r.size = w.size AND r.seed = w.seed""",
+    "win11_fold_delta": "SELECT r.target, r.grp, r.size, CAST(count(*) AS BIGINT) AS folds, round(avg(r.r2 - b.r2), 6) + 0.0E0 AS delta, CAST(count(CASE WHEN r.r2 > b.r2 THEN 1 END) AS BIGINT) AS wins FROM runs r JOIN runs b ON b.target = r.target AND b.seed = r.seed AND b.size = r.size AND b.grp = 'g1' WHERE r.grp <> 'g1' GROUP BY r.target, r.grp, r.size",
     # -- statistics --------------------------------------------------------------------
     "sta1_fold_metrics": """WITH p AS (SELECT fold, truth, pred FROM oof WHERE NOT #nan(pred)), m AS (SELECT fold, avg(truth) AS mean FROM p GROUP BY fold)
         SELECT p.fold, CAST(count(*) AS BIGINT) AS n, round(1 - sum(power(truth - pred, 2)) / nullif(sum(power(truth - mean, 2)), 0), 6) AS r2, round(avg(abs(truth - pred)), 4) AS mae, round(avg(power(truth - pred, 2)), 1) AS mse FROM p JOIN m ON m.fold = p.fold GROUP BY p.fold""",

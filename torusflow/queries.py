@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import flow
 from .operators import generate as G
 from .operators import lattice as L
 from .operators import lattice3 as L3
 from .operators import models as M
-from .plans import lattice_sql, relational, views
+from .operators import order
+from .operators import persistence as P
+from .operators import rocks, symmetry
+from .operators import topology as T
+from .plans import frames, lattice_sql, relational, views
 
 
 def _on2(work):
@@ -21,8 +26,29 @@ def _on3(work):
 
 
 def _resampled(packed: DataFrame) -> DataFrame:
-    profile = L.porosity_profile(packed).where("dir = 0").select("sid", "plane", "profile")
-    return L.resampled(profile, 7)
+    return L.resampled(L.porosity_profile(packed), 7, keys=("sid", "dir"))
+
+
+def _generated(dims: int, n: int, work):
+    """What a kernel makes of generated structures: hosts of another size than the packed ones."""
+
+    def run(spark, sf_dir):
+        made = G.structures(spark.read.parquet(f"{sf_dir}/part.parquet"), id_col="p_partkey", n=n, dims=dims)
+        return work(made.where("grid is not null"))
+
+    return run
+
+
+def _correlated(packed: DataFrame) -> DataFrame:
+    """How the counts go with the porosity, over all structures."""
+    por = packed.select("sid", (1 - F.aggregate("grid", F.lit(0), lambda a, x: a + x) / F.size("grid")).alias("porosity"))
+    rows = T.component_counts(packed).join(por, "sid")
+    pick = ("largest", "n_pore", "n_solid", "euler")
+    return rows.agg(*[F.round(F.corr(c, "porosity"), 4).alias(c) for c in pick]).unpivot([], list(pick), "feature", "r")
+
+
+def _exact(work):
+    return lambda spark, sf_dir: work(views.query("SELECT * FROM structures")(spark, sf_dir))
 
 
 KERNELS = {
@@ -34,27 +60,48 @@ KERNELS = {
     "dsc6_resampled": _on2(_resampled),
     "dsc9_wedge_occupancy": _on2(L.wedge_occupancy),
     "dsc10_local_axis": _on2(L.local_axis),
+    "dsc11_void_occupancy": _on2(lambda packed: L.wedge_occupancy(packed, phase=0)),
     "dsc12_distance": _on2(L.periodic_distance),
     "dsc13_throat_iso": _on2(L.throat_iso),
     "dsc14_throat_dir": _on2(L.throat_dir),
     "dsc15_euler_profile": _on2(L.euler_profile),
-    "dsc16_persistence": _on2(L.persistence),
-    "top1_percolation": _on2(L.percolates),
-    "top2_clusters": _on2(L.cluster_features),
-    "top3_tortuosity": _on2(L.tortuosity),
-    "top5_components": _on2(L.component_sizes),
-    "top7_critical_radius": _on2(L.critical_radius),
-    "lbm1_permeability": _on2(L.permeability),
+    "dsc16_persistence": _on2(P.persistence),
+    "dsc17_image_of_bars": _on2(lambda packed: P.image(P.persistence(packed))),
+    "top1_percolation": _on2(T.percolates),
+    "top2_clusters": _on2(T.cluster_features),
+    "top3_tortuosity": _on2(T.tortuosity),
+    "top4_slab_tortuosity": _on2(T.slab_tortuosity),
+    "top5_components": _on2(T.component_counts),
+    "top5_correlations": _on2(_correlated),
+    "top6_windings": _on2(T.winding),
+    "top7_critical_radius": _on2(T.critical_radius),
+    "lbm1_permeability": _on2(flow.permeability),
     "dsc1_porosity_profile_3d": _on3(L3.profile),
     "dsc2_two_point_3d": _on3(L3.two_point),
     "dsc4_fabric_components": _on3(L3.fabric_components),
     "dsc9_cone_occupancy": _on3(L3.cone_occupancy),
+    "dsc10_local_axis_3d": _on3(L3.local_axis),
     "dsc13_throat_iso_3d": _on3(L3.throat_iso),
+    "dsc14_throat_dir_3d": _on3(L3.throat_dir),
     "dsc15_euler_profile_3d": _on3(L3.euler_profile),
-    "lbm2_permeability_3d": _on3(lambda packed: L3.permeability(packed, steps=100)),
+    "dsc16_persistence_3d": _on3(lambda packed: P.persistence(packed, 3, 4.0)),
+    "top1_percolation_3d": _on3(lambda packed: T.percolates(packed, 3)),
+    "top5_components_3d": _on3(lambda packed: T.component_counts(packed, 3)),
+    "top6_windings_3d": _on3(lambda packed: T.winding(packed, 3)),
+    "top7_critical_radius_3d": _on3(lambda packed: T.critical_radius(packed, 3, 4.0)),
+    "lbm2_permeability_3d": _on3(lambda packed: flow.tensor(packed, 3)),
     "gen5_structures": lambda spark, sf_dir: G.structures(spark.read.parquet(f"{sf_dir}/part.parquet"), id_col="p_partkey", n=32),
+    "gen16_structures_3d": lambda spark, sf_dir: G.structures(spark.read.parquet(f"{sf_dir}/part.parquet"), id_col="p_partkey", n=12, dims=3),
+    "dsc1_profile_of_generated": _generated(2, 32, L.porosity_profile),
+    "dsc5_fabric_of_generated_3d": _generated(3, 12, L.fabric_profile),
+    "gen9_cube_metrics": _on3(rocks.metrics),
+    "ten7_symmetric_tensors": lambda spark, sf_dir: symmetry.tensors(views.query("SELECT * FROM perm")(spark, sf_dir)),
+    "ten7_symmetric_grids": _on3(symmetry.grids),
+    "win2_golden_numpy": _exact(lambda s: order.exact_golden(s, 999, 12345)),
+    "win4_kfold_numpy": _exact(lambda s: order.exact_folds(s, 5, 0)),
 }
 
+
 def _model(work):
     return lambda spark, sf_dir: work(M.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
@@ -67,5 +114,5 @@ MODELS = {
     "sta14_pca_components": _model(lambda rows: M.components(rows, 5)),
 }
 
-QUERIES = KERNELS | MODELS | {name: views.query(sql) for name, sql in relational.SQL.items()}
+QUERIES = KERNELS | MODELS | {name: views.query(sql) for name, sql in relational.SQL.items()} | frames.FRAMES
 ORACLES = {name: views.statement(sql, 1) for name, sql in (relational.SQL | lattice_sql.SQL).items()}

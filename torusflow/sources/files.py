@@ -7,6 +7,7 @@ will do; each file is one row and is decoded where it is read.
 from __future__ import annotations
 
 import io
+import json
 import struct
 
 import numpy as np
@@ -83,6 +84,95 @@ def read_pgm(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(sample_id(F.col("path")).alias("sample_id"), "nx", "ny", F.col("grid").cast("array<tinyint>").alias("grid"))
 
 
+def read_text_grids(spark: SparkSession, path: str, side: int | None = None) -> DataFrame:
+    """(sample_id, nx, ny, grid) of plain images: .ppm (P3, its red values; black is solid) and
+    .dat (numbers; 0 is pore), by the ending of each file. A .dat has no sizes, so it must be
+    a square, or have the side given."""
+
+    def one(name, content):
+        if name.endswith(".ppm"):
+            words = [w for line in content.decode("ascii").split("\n") for w in line.split("#")[0].split()]
+            if words[0] != "P3":
+                raise ValueError("not a plain colour image")
+            nx, ny = int(words[1]), int(words[2])
+            values = [int(int(w) == 0) for w in words[4::3]]
+        else:
+            values = [int(float(w) != 0) for w in content.decode("ascii").split()]
+            nx = ny = side or round(len(values) ** 0.5)
+        if len(values) != nx * ny:
+            raise ValueError(f"{name}: {len(values)} values for {nx} * {ny} cells")
+        return [(name, nx, ny, values)]
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{ppm,dat}").option("recursiveFileLookup", "true").load(path)
+    rows = _decoded(files, one, "path string, nx long, ny long, grid array<long>", ["path", "nx", "ny", "grid"])
+    return rows.select(sample_id(F.col("path")).alias("sample_id"), "nx", "ny", F.col("grid").cast("array<tinyint>").alias("grid"))
+
+
+#: Scanned rocks by name, with the edge in voxels and the voxel's size in micrometres.
+ROCKS = {"berea": (400, 5.345)} | dict.fromkeys(("BanderaBrown", "BanderaGray", "Bentheimer", "Berea", "BSG", "BUG", "BB", "CastleGate", "Kirby", "Leopard", "Parker"), (1000, 2.25))
+
+
+def read_rocks(spark: SparkSession, path: str, rocks: dict[str, tuple[int, float]] = ROCKS) -> DataFrame:
+    """(rock, n, voxel_um, z, plane): the planes of headerless volumes of bytes (0 pore, 1 solid), a row each.
+
+    The rock is the one whose name begins the file's; the length must be that of its edge
+    cubed. A task holds one volume (1 GB at an edge of 1000), what leaves it is planes.
+    """
+    names = sorted(rocks, key=len, reverse=True)
+
+    def work(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                stem = file.rsplit("/", 1)[-1]
+                name = next((r for r in names if stem.startswith(r)), None) or next((r for r in names if stem.lower().startswith(r.lower())), None)
+                if name is None:
+                    raise ValueError(f"no rock is called {stem}")
+                n, um = rocks[name]
+                body = np.frombuffer(content.as_py(), np.uint8)
+                if len(body) != n**3 or body.max(initial=0) > 1:
+                    raise ValueError(f"{stem} is no volume of {n} voxels a side")
+                for z in range(n):
+                    yield pa.RecordBatch.from_pydict({"rock": [name], "n": [n], "voxel_um": [um], "z": [z], "plane": [body[z * n * n : (z + 1) * n * n].tobytes()]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.raw").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(work, "rock string, n long, voxel_um double, z long, plane binary")
+
+
+def read_table(spark: SparkSession, path, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """Typed CSV files with a header, one path or several; a required column that a file lacks raises,
+    and so does a value that isn't of its type."""
+    rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").option("mode", "FAILFAST").csv(path)
+    lost = [c for c in required if c not in rows.columns]
+    if lost:
+        raise ValueError(f"no columns {', '.join(lost)}")
+    return rows
+
+
+def read_union(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Tables of one schema under several paths or patterns, one after another."""
+    out = None
+    for path in paths:
+        one = read_table(spark, path, schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Columns without which a solve isn't finished.
+REQUIRED = ("K_xx", "K_yy", "K_zz", "k_xy", "k_xz", "k_yz", "conv_fx", "conv_fy", "conv_fz")
+
+
+def complete(labels: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """Rows whose required columns are all there and finite; a table that lacks one has none. Names by case."""
+    if not set(required) <= set(labels.columns):
+        return labels.limit(0)
+    fine = None
+    for c in required:
+        v = F.col(f"`{c}`").cast("double")
+        ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+        fine = ok if fine is None else fine & ok
+    return labels.where(fine)
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """(kind, tag, sample_id, values) of flat .npy vectors laid out as kind/tag/sample_NNNNNN.npy."""
 
@@ -119,16 +209,87 @@ def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return rows.withColumn("mode", F.coalesce("mode", F.lit("single"))) if "mode" in rows.columns else rows
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """A row a fold of metrics.json files: (kind, group, target, fold, n_test, r2, mae, mse)."""
-    schema = "kind string, experiments array<struct<`group`:string,target:string,folds:array<struct<fold:int,n_test:int,r2:double,mae:double,mse:double>>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
-    return rows.select("kind", F.explode("experiments").alias("e")).select("kind", "e.group", "e.target", F.inline("e.folds"))
+def read_metrics(spark: SparkSession, spec: str) -> DataFrame:
+    """A row a fold of metrics.json files: (kind, seed, n_rows, koff_ceiling, group, target, mode,
+    n_features, fold, n_test, r2, mae, mse). spec is a path, or path:group for one group alone;
+    a group that no experiment has raises."""
+    store, _, rest = spec.rpartition("/")
+    name, _, group = rest.partition(":")
+    path = f"{store}/{name}" if store else name
+    folds = "array<struct<fold:int,n_test:int,r2:double,mae:double,mse:double>>"
+    schema = f"kind string, seed long, n_rows long, koff_ceiling double, experiments array<struct<`group`:string,target:string,mode:string,n_features:long,folds:{folds}>>"
+    rows = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+    rows = rows.select("kind", "seed", "n_rows", "koff_ceiling", F.explode("experiments").alias("e"))
+    if group:
+        rows = rows.where(F.col("e.group") == group)
+        if rows.isEmpty():
+            raise ValueError(f"no experiment of {group} in {path}")
+    return rows.select("kind", "seed", "n_rows", "koff_ceiling", "e.group", "e.target", F.coalesce("e.mode", F.lit("single")).alias("mode"), "e.n_features", F.inline("e.folds"))
+
+
+def published(df: DataFrame, path: str, check=None) -> DataFrame:
+    """Writes a table as CSV beside its place, checks what was written, and only then renames it there.
+
+    check(rows) raises if the rows must not be published; the old table stays until then.
+    """
+    spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, place = fs_path(f"{path}.new"), fs_path(f"{path}.old"), fs_path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").option("header", "true").csv(f"{path}.new")
+    rows = spark.read.schema(df.schema).option("header", "true").csv(f"{path}.new")
+    try:
+        if rows.count() != df.count():
+            raise ValueError("rows were lost in writing")
+        if check:
+            check(rows)
+    except Exception:
+        fs.delete(new, True)
+        raise
+    if fs.exists(place):
+        fs.delete(old, True)
+        fs.rename(place, old)
+    fs.rename(new, place)
+    fs.delete(old, True)
+    return spark.read.schema(df.schema).option("header", "true").csv(path)
+
+
+def write_run(folds: DataFrame, path: str, *, kind: str, arguments: dict) -> None:
+    """results.csv (a row an experiment), metrics.json (with its folds) and arguments.json of a
+    run, under a path. folds: (group, target, mode, n_features, seconds, fold, n_test, r2, mae, mse)."""
+    spark, keys = folds.sparkSession, ["group", "target", "mode", "n_features"]
+    stat = lambda c: [F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std")]
+    results = folds.groupBy(*keys).agg(*stat("r2"), *stat("mae"), *stat("mse"), F.sum("n_test").alias("n"), F.max("seconds").alias("seconds"))
+    results.orderBy("group", "target", "mode").coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}/results.csv")
+    one = folds.groupBy(*keys).agg(F.sum("n_test").alias("n"), F.max("seconds").alias("seconds"), F.array_sort(F.collect_list(F.struct("fold", "n_test", "r2", "mae", "mse"))).alias("folds"))
+    # An experiment's folds are few, and experiments are those of one run.
+    whole = one.agg(F.array_sort(F.collect_list(F.struct(*keys, "n", "seconds", "folds"))).alias("experiments"))
+    more = [F.lit(v).alias(k) for k, v in arguments.items() if k in ("seed", "n_rows", "koff_ceiling")]
+    whole.select(F.lit(kind).alias("kind"), *more, "experiments").coalesce(1).write.mode("overwrite").json(f"{path}/metrics.json")
+    spark.createDataFrame([(json.dumps(arguments, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/arguments.json")
+
+
+def write_raw(structures: DataFrame, path: str) -> None:
+    """A packed structure (sample_id, nx, ny, nz, grid) as .raw bytes a row, in a Parquet table of files
+    (sample_id, name, content): stores differ in how single files are put, a table of them is the same in all."""
+
+    def work(batches):
+        for batch in batches:
+            out = [(i, f"sample_{i:06d}.raw", encode_raw(np.array(g, np.uint8).reshape(nz, ny, nx))) for i, nx, ny, nz, g in zip(*(batch.column(k).to_pylist() for k in range(5)))]
+            yield pa.RecordBatch.from_pydict(dict(zip(("sample_id", "name", "content"), map(list, zip(*out)))), schema=pa.schema([("sample_id", pa.int64()), ("name", pa.string()), ("content", pa.binary())])) if out else pa.RecordBatch.from_pydict({"sample_id": pa.array([], pa.int64()), "name": pa.array([], pa.string()), "content": pa.array([], pa.binary())})
+
+    structures.select("sample_id", "nx", "ny", "nz", "grid").mapInArrow(work, "sample_id long, name string, content binary").write.mode("overwrite").parquet(path)
+
 
+def verified_split(split: DataFrame, sha256: str, most: int = 5_000_000) -> DataFrame:
+    """The split, if its golden ids, sorted and joined by commas, have this digest; else it raises.
 
-def verified_split(split: DataFrame, sha256: str) -> DataFrame:
-    """The split, if its golden ids, sorted and joined by commas, have this digest; else an error when it is read."""
-    ids = split.where("split = 'golden'").agg(F.sort_array(F.collect_list("sample_id")).alias("ids"))
+    The digest runs over all ids in order, so they pass through one array: up to ``most``, beyond which it raises.
+    """
+    held = split.where("split = 'golden'").select("sample_id")
+    if held.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} golden ids")
+    ids = held.agg(F.sort_array(F.collect_list("sample_id")).alias("ids"))
     good = ids.select((F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256) == sha256).alias("ok")).first()["ok"]
     if not good:
         raise ValueError("the golden ids differ from the manifest")
