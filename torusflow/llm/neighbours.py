@@ -3,7 +3,8 @@
 Every vector is projected on some random lines, orthonormal in sets of as many as there
 are dimensions; each line keeps the projections in a sorted array. A query opens a window
 around its own projection on every line and widens all windows together (virtual
-rehashing: each round the width grows by GROWTH). A vector that has been inside the
+rehashing: each round the width grows, by COARSE at first, and by less as the share that
+ends a query comes near). A vector that has been inside the
 windows of a share of the lines has its true distance computed. A query ends when its k
 nearest are nearer than what the windows would have brought in by now, or when a share of
 the block was verified, or all of it.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block, and queries that a task serves.
 BLOCK, QUERIES = 16_384, 16_384
-#: Of the windows from round to round, and distinct dimensions that a table may have.
-GROWTH, DIMENSIONS = 1.015, 10_000
+#: The most and the least that windows grow by from round to round, and distinct dimensions that a table may have.
+COARSE, LEAST, DIMENSIONS = 1.05, 1.004, 10_000
 
 
 def lines(size: int, count: int, seed: int = 5) -> np.ndarray:
@@ -68,9 +69,9 @@ class Block:
         self.lift = np.arange(count) * (2.0 * (np.abs(projected).max(initial=1.0) + 1.0) * 4)
         self.low = np.arange(count) * n
         self.sorted = (rows + self.lift[:, None]).ravel()
-        self.order = order.T.astype(np.int32).ravel()
-        #: Half the width of the first windows: a small part of the spread on a line.
-        self.width = max(0.6 * float(np.median(np.abs(rows - np.median(rows, axis=1)[:, None]))), 1e-9) if n else 1.0
+        self.order = order.T.ravel()
+        #: Half the width of the first windows: about that of half the vectors on a line.
+        self.width = max(1.2 * float(np.median(np.abs(rows - np.median(rows, axis=1)[:, None]))), 1e-9) if n else 1.0
 
     def search(self, query_id: int, query: np.ndarray, k: int, share: float, most: float, nearer: float = 0.8) -> tuple[list[tuple[float, int]], int]:
         """The k nearest found as (distance, id), and how many vectors were verified.
@@ -80,12 +81,13 @@ class Block:
         """
         n, count = len(self.ids), len(self.lift)
         limit = self.lift[1] / 4 if count > 1 else np.inf
-        own = np.clip(query @ self.lines, -limit, limit) + self.lift
+        own = np.clip((self.lines * query[:, None]).sum(0), -limit, limit) + self.lift
         threshold, need = int(np.ceil(share * count)), max(4 * k, int(np.ceil(most * n)))
         # Differences on a unit line are normal with a deviation of distance / sqrt(dimensions), so
         # at half width w a vector at distance w * reach reaches the threshold half the time.
         reach = np.sqrt(self.vectors.shape[1]) / NormalDist().inv_cdf((1 + share) / 2)
         hits, done, best = np.zeros(n, np.int64), np.zeros(n, bool), []
+        last = (0.0, 0)
         left = np.clip(np.searchsorted(self.sorted, own), self.low, self.low + n)
         right, radius, verified = left.copy(), self.width, 0
         while True:
@@ -115,7 +117,13 @@ class Block:
             # At nearer (0.8) of its typical width a vector at the k-th distance has long collided.
             if verified == n or len(best) == k and (verified >= need or best[-1][0] <= nearer * radius * reach):
                 return best, verified
-            radius *= GROWTH
+            # Counts rise as a power of the width: aim at the share from the last two, or take a full step.
+            step = COARSE
+            if verified > 1:
+                power = np.log(verified / last[1]) / np.log(radius / last[0]) if 1 < last[1] < verified else 20.0
+                step = min(max((1.05 * need / verified) ** (1 / max(power, 1.0)), LEAST), COARSE)
+            last = radius, verified
+            radius *= step
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, count: int = 128, share: float = 0.86, most: float = 0.04, nearer: float = 0.8, block: int = BLOCK) -> DataFrame:
