@@ -242,4 +242,4 @@ def op5(spark, sf_dir: str) -> DataFrame:
     counts = [F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in kinds[:BASE_KINDS]]
     every = F.concat(*[F.col(f"pii_{k}") for k in kinds])
     scores = F.array_join(F.transform(every, lambda s: F.round(s["score"], 2).cast("string")), ",")
-    return find(docs).select("doc_id", *counts, F.sha2(joined(*kinds[:BASE_KINDS]), 256).alias("base_sha256"), joined(*kinds).alias("spans"), scores.alias("scores"))
+    return find(docs).select("doc_id", *counts, F.sha2(joined(*kinds[:BASE_KINDS]), 256).alias("base_sha256"), joined(*kinds).alias("spans"), F.size(every).cast("long").alias("n_spans"), scores.alias("scores"))
