@@ -128,7 +128,7 @@ class Encoder:
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, match in self.auto.iter(part):
             starts[end + 1 - match[0]].append(match)  # in order of length
-        failed = bytearray(n // 8 + 1)  # a bit for each position without a valid tail
+        failed, some = bytearray(n // 8 + 1), False  # a bit for each position without a valid tail, and whether any is set
         out: list[int] = []
         path: list[tuple[int, int]] = []  # the position and the choice taken there
         at, choice, last = 0, -2, None
@@ -140,8 +140,7 @@ class Encoder:
                 choice = len(options) - 1
             while choice >= 0:
                 size, piece = options[choice]
-                end = at + size
-                if not failed[end >> 3] >> (end & 7) & 1:
+                if not some or not failed[(at + size) >> 3] >> ((at + size) & 7) & 1:
                     if last is None:
                         break
                     if (fits := pairs.get((last, piece))) is None:
@@ -155,6 +154,7 @@ class Encoder:
                 if not path:
                     raise ValueError("no valid encoding")
                 failed[at >> 3] |= 1 << (at & 7)
+                some = True
                 at, choice = path.pop()
                 out.pop()
                 last = out[-1] if out else None
