@@ -1,61 +1,240 @@
-"""Model evaluation with Spark ML: features are narrow rows until they become one vector."""
+"""Cross-validated models of targets by feature vectors.
 
-from __future__ import annotations
+Sums of products, metrics and predictions run over all rows. Trees are fitted on a bounded
+sample of the training rows (a parameter), each fold in a task of its own.
+"""
 
-import tempfile
+from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def vectors(embeddings: DataFrame) -> DataFrame:
-    """(sample_id, features, target, fold); null and non-finite vectors are left out."""
+def arrays(embeddings: DataFrame, folds: int = 5) -> DataFrame:
+    """(sample_id, x, y, fold): features and targets as arrays; null and non-finite vectors are left out."""
     v = F.col("embedding").cast("array<double>")
-    rows = embeddings.where(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)))
-    return rows.select(F.col("vec_id").alias("sample_id"), array_to_vector(v).alias("features"), F.col("label").cast("double").alias("target"), F.pmod(F.xxhash64("vec_id"), F.lit(5)).cast("int").alias("fold"))
+    rows = embeddings.where(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("label").isNotNull())
+    y = F.array(F.col("label").cast("double"), (F.col("label") % 3).cast("double"))
+    return rows.select(F.col("vec_id").alias("sample_id"), v.alias("x"), y.alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(folds)).cast("int").alias("fold"))
+
+
+def vectors(embeddings: DataFrame) -> DataFrame:
+    """(sample_id, features) for Spark's own models."""
+    return arrays(embeddings).select("sample_id", array_to_vector("x").alias("features"))
 
 
 def scores(predicted: DataFrame, keys: list[str]) -> DataFrame:
-    mean = predicted.groupBy(*keys).agg(F.avg("target").alias("mean"))
-    rows = predicted.join(F.broadcast(mean), keys)  # a row a key
+    """n, r2, mae and mse by keys of (target, prediction); r2 is null where the target doesn't vary."""
     error = F.col("target") - F.col("prediction")
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), (1 - F.sum(error * error) / F.nullif(F.sum((F.col("target") - F.col("mean")) ** 2), F.lit(0.0))).alias("r2"), F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"))
+    sst = F.var_pop("target") * F.count("*")
+    return predicted.groupBy(*keys).agg(F.count("*").alias("n"), (1 - F.sum(error * error) / F.nullif(sst, F.lit(0.0))).alias("r2"), F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"))
+
+
+# -- boosted trees ---------------------------------------------------------------------
+
 
+class Trees:
+    """Boosted trees of one depth whose levels share a split, for one target or several at once."""
 
-def cross_validated(rows: DataFrame, model, folds: int = 5) -> DataFrame:
-    """Metrics of each fold, the model fitted on the others."""
-    out = None
-    for f in range(folds):
-        done = model.fit(rows.where(F.col("fold") != f)).transform(rows.where(F.col("fold") == f)).select("fold", "target", "prediction")
-        out = done if out is None else out.unionByName(done)
-    return scores(out, ["fold"])
+    def __init__(self, rounds: int, depth: int, rate: float, bins: int = 32, ridge: float = 3.0):
+        self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
+        self.splits: list[list[tuple[int, float]]] = []
+        self.leaves: list[np.ndarray] = []
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
+        n, p = x.shape
+        edges = [np.unique(np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1])) for column in x.T]
+        place = np.stack([np.searchsorted(e, column, "left") for e, column in zip(edges, x.T)], 1) + np.arange(p) * self.bins
+        known = np.stack([np.arange(self.bins) < len(e) for e in edges])  # where there is an edge to cut at
+        self.mean = y.mean(0)
+        left = y - self.mean
+        wide = [np.repeat(target, p) for target in left.T]
+        for _ in range(self.rounds):
+            leaf, chosen = np.zeros(n, np.int64), []
+            for level in range(self.depth):
+                at = (leaf[:, None] * (p * self.bins) + place).ravel()
+                shape = (1 << level, p, self.bins)
+                size = (1 << level) * p * self.bins
+                count = np.bincount(at, minlength=size).reshape(shape).cumsum(2)
+                below, above = (1 / np.maximum(c + self.ridge, 1e-12) for c in (count, count[:, :, -1:] - count))
+                gain = np.zeros(shape[1:])
+                for target in wide:
+                    total = np.bincount(at, target, size).reshape(shape).cumsum(2)
+                    gain += (total * total * below + (total[:, :, -1:] - total) ** 2 * above).sum(0)
+                best = int(np.where(known, gain, -1.0).argmax())
+                column, cut = divmod(best, self.bins)
+                if not known[column, cut]:
+                    break
+                chosen.append((column, float(edges[column][cut])))
+                leaf = leaf * 2 + (place[:, column] - column * self.bins > cut)
+            many = np.bincount(leaf, minlength=1 << len(chosen))
+            value = np.stack([np.bincount(leaf, target, 1 << len(chosen)) / np.maximum(many + self.ridge, 1e-12) for target in left.T], 1) * self.rate
+            left = left - value[leaf]
+            wide = [np.repeat(target, p) for target in left.T]
+            self.splits.append(chosen)
+            self.leaves.append(value)
+        return self
 
-def boosted(rows: DataFrame, *, rounds: int = 1500, depth: int = 6, rate: float = 0.05) -> DataFrame:
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # the lineage of so many rounds must be cut
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="torusflow-"))
-    return cross_validated(rows, GBTRegressor(labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=0))
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out = np.tile(self.mean, (len(x), 1))
+        for chosen, value in zip(self.splits, self.leaves):
+            leaf = np.zeros(len(x), np.int64)
+            for column, cut in chosen:
+                leaf = leaf * 2 + (x[:, column] > cut)
+            out += value[leaf]
+        return out
 
 
-def ridge(rows: DataFrame, penalties=tuple(float(p) for p in np.logspace(-3, 4, 15))) -> DataFrame:
-    """Each fold's metrics at the penalty with the best mean r2.
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    A penalty weighs the squared coefficients against the sum of squared errors, both of
-    standardised columns; Spark's regParam is that by rows and in the target's unit.
+
+def boosted(rows: DataFrame, *, rounds: int = 1500, depth: int = 6, rate: float = 0.05, folds: int = 5, max_rows: int = 20_000, joint: bool = True) -> DataFrame:
+    """(mode, target, fold, n, r2, mae, mse) of trees for each target alone (single) and for all at once (joint).
+
+    A fold's trees are fitted on at most max_rows of the other folds' rows, drawn by a hash
+    of the id, and predict all rows of the fold.
     """
-    n, spread = rows.where("fold <> 0").agg(F.count("*"), F.stddev("target")).first()
-    unit = (spread or 1.0) / max(n, 1)
-    runs = [cross_validated(rows, LinearRegression(labelCol="target", regParam=p * unit)).withColumn("penalty", F.lit(p)) for p in penalties]
-    every = runs[0]
-    for r in runs[1:]:
-        every = every.unionByName(r)
-    best = every.groupBy("penalty").agg(F.avg("r2").alias("m")).orderBy(F.col("m").desc(), "penalty").limit(1).select("penalty")
-    return every.join(F.broadcast(best), "penalty")
+    spark = rows.sparkSession
+    total = rows.count()
+    if not total:
+        return spark.createDataFrame([], "mode string, target int, fold int, n long, r2 double, mae double, mse double")
+    span = 1 << 30
+    picked = rows.where(F.pmod(F.xxhash64("sample_id", F.lit("fit")), F.lit(span)) < int(min(1.0, 1.1 * max_rows / total) * span)).orderBy("sample_id").limit(max_rows).collect()
+    sample = np.array([r["x"] for r in picked]), np.array([r["y"] for r in picked]), np.array([r["fold"] for r in picked])
+    shared = spark.sparkContext.broadcast(sample)
+    targets = sample[1].shape[1]
+    plans = [(f, t) for f in range(folds) for t in [*range(targets), *([-1] * joint)]]
+
+    def fitted(batches):
+        import pickle
+
+        x, y, fold = shared.value
+        for batch in batches:
+            for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                use = fold != f
+                own = y[use] if t < 0 else y[use][:, [t]]
+                model = pickle.dumps(Trees(rounds, depth, rate).fit(x[use], own)) if use.any() else None
+                yield pa.RecordBatch.from_pydict({"fold": pa.array([f], pa.int32()), "t": pa.array([t], pa.int32()), "model": pa.array([model], pa.binary())})
+
+    todo = spark.createDataFrame(plans, "fold int, t int").repartition(len(plans), "fold", "t")
+    models = {(r["fold"], r["t"]): r["model"] for r in todo.mapInArrow(fitted, "fold int, t int, model binary").collect()}
+    kept = spark.sparkContext.broadcast(models)
+
+    def predicted(batches):
+        import pickle
+
+        made = {k: pickle.loads(m) for k, m in kept.value.items() if m}
+        for batch in batches:
+            fold, x, y = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), _matrix(batch.column(2))
+            for (f, t), model in made.items():
+                own = np.flatnonzero(fold == f)
+                if len(own):
+                    for k, p in zip(range(targets) if t < 0 else [t], model.predict(x[own]).T):
+                        yield pa.RecordBatch.from_pydict({"mode": ["joint" if t < 0 else "single"] * len(own), "target_no": pa.array([k] * len(own), pa.int32()), "fold": pa.array(fold[own], pa.int32()), "target": y[own, k], "prediction": p})
+
+    out = rows.select("fold", "x", "y").mapInArrow(predicted, "mode string, target_no int, fold int, target double, prediction double")
+    return scores(out, ["mode", "target_no", "fold"]).withColumnRenamed("target_no", "target")
+
+
+# -- linear models ---------------------------------------------------------------------
+
+
+def products(rows: DataFrame) -> dict[int, np.ndarray]:
+    """By fold the sums of products of (1, x, y) with itself: all that linear models need of the rows, in one pass.
+
+    What comes to the driver grows with the squared number of columns, not with the rows.
+    """
+
+    def work(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fold, x, y = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), _matrix(batch.column(2))
+            z = np.concatenate([np.ones((len(x), 1)), x, y], 1)
+            for f in np.unique(fold):
+                own = z[fold == f]
+                total[int(f)] = total.get(int(f), 0) + own.T @ own
+        for f, m in total.items():
+            yield pa.RecordBatch.from_pydict({"fold": pa.array([f] * m.size, pa.int32()), "k": np.arange(m.size), "v": m.ravel()})
+
+    sums = rows.select("fold", "x", "y").mapInArrow(work, "fold int, k long, v double").groupBy("fold", "k").agg(F.sum("v").alias("v")).collect()
+    out: dict[int, dict[int, float]] = {}
+    for r in sums:
+        out.setdefault(r["fold"], {})[r["k"]] = r["v"]
+    return {f: np.array([m[k] for k in range(len(m))]).reshape(int(round(len(m) ** 0.5)), -1) for f, m in sorted(out.items())}
+
+
+def _ridge(m: np.ndarray, targets: int, penalty: float, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and offsets, of standardised columns, from sums of products."""
+    n, p = m[0, 0], len(m) - 1 - targets
+    mean = m[0, 1:] / n
+    centred = m[1:, 1:] - n * np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(centred)[:p] / n, 0))
+    scale[scale < 1e-12] = 1.0
+    a, b = centred[:p, :p] / np.outer(scale, scale), centred[:p, p:] / scale[:, None]
+    if use is not None:
+        a, b = a * np.outer(use, use), b * use[:, None]
+    w = np.linalg.solve(a + penalty * np.eye(p), b) / scale[:, None]
+    return w, mean[p:] - mean[:p] @ w
+
+
+def _errors(m: np.ndarray, targets: int, w: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared errors and squared deviations of each target over the rows behind sums of products."""
+    p = len(m) - 1 - targets
+    full = np.concatenate([offset[None], w, -np.eye(targets)])
+    sse = np.einsum("ij,ik,kj->j", full, m, full)
+    n, sums = m[0, 0], m[0, 1 + p :]
+    return np.maximum(sse, 0), np.maximum(np.diag(m)[1 + p :] - sums**2 / n, 0)
+
+
+def ridge(rows: DataFrame, penalties=tuple(float(p) for p in np.logspace(-3, 4, 15)), targets: int = 2) -> DataFrame:
+    """(fold, penalty, n, r2, mse): each fold's variance-weighted r2 over the targets and its mean
+    squared error, at the penalty with the best mean r2 over folds. All penalties and folds take one pass over the rows."""
+    sums = products(rows)
+    whole = sum(sums.values()) if sums else None
+    found = {}
+    for penalty in penalties:
+        for f, m in sums.items():
+            if whole[0, 0] - m[0, 0] < 1:
+                continue
+            sse, sst = _errors(m, targets, *_ridge(whole - m, targets, penalty))
+            found[penalty, f] = int(m[0, 0]), float(1 - sse.sum() / sst.sum()) if sst.sum() > 0 else None, float(sse.sum() / m[0, 0] / targets)
+    mean = {p: np.mean([v[1] for (q, _), v in found.items() if q == p and v[1] is not None] or [-np.inf]) for p in penalties}
+    best = max(penalties, key=lambda p: (mean[p], -p))
+    out = [(f, p, *v) for (p, f), v in found.items() if p == best]
+    return rows.sparkSession.createDataFrame(out, "fold int, penalty double, n long, r2 double, mse double")
+
+
+def predictability(rows: DataFrame, ks=(1, 2, 5, 10, 20), penalty: float = 1.0, targets: int = 2) -> DataFrame:
+    """(k, explained, r2): how much of the variance the first k main axes have, and the mean
+    variance-weighted r2 over folds of a ridge model of these axes alone."""
+    sums = products(rows)
+    whole = sum(sums.values())
+    n, p = whole[0, 0], len(whole) - 1 - targets
+    mean = whole[0, 1 : 1 + p] / n
+    cov = whole[1 : 1 + p, 1 : 1 + p] / n - np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-24))
+    value, axes = np.linalg.eigh(cov / np.outer(scale, scale))
+    value, axes = value[::-1], axes[:, ::-1] / scale[:, None]
+    out = []
+    for k in (k for k in ks if k <= p):
+        turn = np.zeros((len(whole), 1 + k + targets))  # (1, x, y) to (1, axes, y)
+        turn[0, 0] = 1.0
+        turn[1 : 1 + p, 1 : 1 + k] = axes[:, :k]
+        turn[1 + p :, 1 + k :] = np.eye(targets)
+        r2 = []
+        for m in sums.values():
+            sse, sst = _errors(turn.T @ m @ turn, targets, *_ridge(turn.T @ (whole - m) @ turn, targets, penalty))
+            r2.append(float(1 - sse.sum() / sst.sum()))
+        out.append((k, float(value[:k].sum() / value.sum()), float(np.mean(r2))))
+    return rows.sparkSession.createDataFrame(out, "k int, explained double, r2 double")
+
+
+# -- main axes -------------------------------------------------------------------------
 
 
 def spectrum(rows: DataFrame, k: int) -> DataFrame:
@@ -70,6 +249,9 @@ def effective_rank(rows: DataFrame, k: int, share: float = 0.99) -> DataFrame:
     return spectrum(rows, k).where(F.col("total") >= share - 1e-12).agg(F.min("component").alias("rank"))
 
 
-def components(rows: DataFrame, k: int) -> DataFrame:
+def components(rows: DataFrame, k: int | None = None, train: int | None = None) -> DataFrame:
+    """(sample_id, components): the first K main axes of each row, K = min(k, features, training rows - 1)."""
+    size, n = len(rows.select("features").first()[0]), train or rows.count()
+    k = min(k or size, size, n - 1)
     scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(rows).transform(rows)
     return PCA(k=k, inputCol="z", outputCol="pcs").fit(scaled).transform(scaled).select("sample_id", vector_to_array("pcs").alias("components"))

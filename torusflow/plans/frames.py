@@ -115,7 +115,7 @@ def _faces(packed):
 
 def _packed(work, dims=2):
     make = L.lattice2 if dims == 2 else L.lattice3
-    return lambda spark, sf_dir: work(make(spark.read.parquet(f"{sf_dir}/part.parquet")))
+    return lambda spark, sf_dir: work(make(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")))
 
 
 def _lineitem(hosts: str, work):

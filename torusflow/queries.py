@@ -17,12 +17,17 @@ from .operators import topology as T
 from .plans import frames, lattice_sql, relational, views
 
 
+def _parts(spark, sf_dir: str) -> DataFrame:
+    """What structures are made of, dealt over all cores: a structure is far more work than these two numbers."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def _on2(work):
-    return lambda spark, sf_dir: work(L.lattice2(spark.read.parquet(f"{sf_dir}/part.parquet")))
+    return lambda spark, sf_dir: work(L.lattice2(_parts(spark, sf_dir)))
 
 
 def _on3(work):
-    return lambda spark, sf_dir: work(L.lattice3(spark.read.parquet(f"{sf_dir}/part.parquet")))
+    return lambda spark, sf_dir: work(L.lattice3(_parts(spark, sf_dir)))
 
 
 def _resampled(packed: DataFrame) -> DataFrame:
@@ -33,7 +38,7 @@ def _generated(dims: int, n: int, work):
     """What a kernel makes of generated structures: hosts of another size than the packed ones."""
 
     def run(spark, sf_dir):
-        made = G.structures(spark.read.parquet(f"{sf_dir}/part.parquet"), id_col="p_partkey", n=n, dims=dims)
+        made = G.structures(_parts(spark, sf_dir), id_col="p_partkey", n=n, dims=dims)
         return work(made.where("grid is not null"))
 
     return run
@@ -90,8 +95,8 @@ KERNELS = {
     "top6_windings_3d": _on3(lambda packed: T.winding(packed, 3)),
     "top7_critical_radius_3d": _on3(lambda packed: T.critical_radius(packed, 3, 4.0)),
     "lbm2_permeability_3d": _on3(lambda packed: flow.tensor(packed, 3)),
-    "gen5_structures": lambda spark, sf_dir: G.structures(spark.read.parquet(f"{sf_dir}/part.parquet"), id_col="p_partkey", n=32),
-    "gen16_structures_3d": lambda spark, sf_dir: G.structures(spark.read.parquet(f"{sf_dir}/part.parquet"), id_col="p_partkey", n=12, dims=3),
+    "gen5_structures": lambda spark, sf_dir: G.structures(_parts(spark, sf_dir), id_col="p_partkey", n=32),
+    "gen16_structures_3d": lambda spark, sf_dir: G.structures(_parts(spark, sf_dir), id_col="p_partkey", n=12, dims=3),
     "dsc1_profile_of_generated": _generated(2, 32, L.porosity_profile),
     "dsc5_fabric_of_generated_3d": _generated(3, 12, L.fabric_profile),
     "gen9_cube_metrics": _on3(rocks.metrics),
@@ -102,14 +107,15 @@ KERNELS = {
 }
 
 
-def _model(work):
-    return lambda spark, sf_dir: work(M.vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+def _model(work, made=M.vectors):
+    return lambda spark, sf_dir: work(made(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
 MODELS = {
-    "sta9_boosted_trees": _model(M.boosted),
-    "sta10_ridge": _model(M.ridge),
+    "sta9_boosted_trees": _model(M.boosted, M.arrays),
+    "sta10_ridge": _model(M.ridge, M.arrays),
     "sta11_pca_spectrum": _model(lambda rows: M.spectrum(rows, 20)),
+    "sta11_predictability": _model(M.predictability, M.arrays),
     "sta12_effective_rank": _model(lambda rows: M.effective_rank(rows, 64)),
     "sta14_pca_components": _model(lambda rows: M.components(rows, 5)),
 }
