@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 #: Blanks are kept as such here; the library marks them.
 SPACE, MARK = " ", "▁"
 #: Kept parts a worker, and kept neighbour checks.
-PARTS, PAIRS = 400_000, 1_000_000
+PARTS, PAIRS = 200_000, 300_000
 #: A vocabulary beyond this is refused rather than broadcast.
 MODEL_BYTES = 64 << 20
 
@@ -206,7 +206,8 @@ class Encoder:
         got = self.parts.get(part)
         if got is None:
             ids = self.ids(part)
-            got = " ".join([self.number[i] for i in ids]), self.plain(ids)
+            plain = self.plain(ids)
+            got = " ".join([self.number[i] for i in ids]), part if plain == part else plain  # one string for both
             if len(part) <= 64:
                 if len(self.parts) >= PARTS:
                     self.parts.clear()
