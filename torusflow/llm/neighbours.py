@@ -154,7 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     rows = base.join(table, "d").select("*", of("blocks", "b").alias("b"), every("groups").alias("g"), F.lit(False).alias("asks"))
     visits = asked.join(table, "d").select("*", of("groups", "g").alias("g"), every("blocks").alias("b"), F.lit(True).alias("asks"))
     both = rows.unionByName(visits).select((F.col("first") + F.col("b") * F.col("groups") + F.col("g")).alias("part"), "id", "v", "asks")
-    both = both.repartition(parts, "part").sortWithinPartitions("part", "asks", "id")
+    both = both.repartition(4 * parts, "part").sortWithinPartitions("part", "asks", "id")
 
     def work(batches):
         part_now, held, built, seen = None, [], None, set()
