@@ -23,7 +23,7 @@ def tensors(perm: DataFrame, dims: int = 3, key: str = "sample_id") -> DataFrame
 
     def one(m: np.ndarray, i: int, j: int):
         a, b = int(np.flatnonzero(m[i])[0]), int(np.flatnonzero(m[j])[0])
-        return F.col(f"k_{axes[a]}{axes[b]}") * int(m[i, a] * m[j, b])
+        return F.col(f"k_{axes[a]}{axes[b]}") * int(m[i, a] * m[j, b]) + F.lit(0.0)  # no negative zero
 
     every = [F.struct(F.lit(g).alias("g"), *[one(m, i, j).alias(f"k_{axes[i]}{axes[j]}") for i in range(dims) for j in range(dims)]) for g, m in enumerate(signed_permutations(dims))]
     return perm.select(key, F.inline(F.array(*every)))

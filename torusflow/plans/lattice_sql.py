@@ -48,6 +48,22 @@ SQL = {
         , b AS (SELECT *, max(place) OVER (PARTITION BY sid, dir ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q0, min(place) OVER (PARTITION BY sid, dir ORDER BY q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q1 FROM r)
         SELECT b.sid, b.dir, CAST(b.plane AS INT) AS plane, round(round(CASE WHEN b.v IS NOT NULL THEN b.v ELSE lo.v + (b.q - b.q0) * (hi.v - lo.v) / (b.q1 - b.q0) END, 9), 6) + 0.0E0 AS profile
         FROM b LEFT JOIN r lo ON lo.sid = b.sid AND lo.dir = b.dir AND lo.q = b.q0 LEFT JOIN r hi ON hi.sid = b.sid AND hi.dir = b.dir AND hi.q = b.q1 WHERE b.q BETWEEN 0 AND 7""",
+    "ten7_symmetric_tensors": """WITH p AS (SELECT a.v AS p0, b.v AS p1, c.v AS p2 FROM axis8 a CROSS JOIN axis8 b CROSS JOIN axis8 c WHERE a.v < 3 AND b.v < 3 AND c.v < 3 AND a.v <> b.v AND b.v <> c.v AND a.v <> c.v)
+        , s AS (SELECT 1 - 2 * (v & 1) AS s0, 1 - 2 * ((v >> 1) & 1) AS s1, 1 - 2 * ((v >> 2) & 1) AS s2 FROM axis8)
+        , e AS (SELECT *, """
+    + ", ".join(f"CASE WHEN p{i} = {j} THEN s{i} ELSE 0 END AS e{i}{j}" for i in range(3) for j in range(3))
+    + """ FROM p CROSS JOIN s)
+        , g AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN e00 = 1 AND e11 = 1 AND e22 = 1 THEN 0 ELSE 1 END, e00, e01, e02, e10, e11, e12, e20, e21, e22) - 1 AS INT) AS g FROM e)
+        SELECT sample_id, g, """
+    + ", ".join(f"s{i} * s{j} * [k_xx, k_xy, k_xz, k_yx, k_yy, k_yz, k_zx, k_zy, k_zz][3 * p{i} + p{j} + 1] + 0.0E0 AS k_{'xyz'[i]}{'xyz'[j]}" for i in range(3) for j in range(3))
+    + " FROM perm CROSS JOIN g",
+    "dsc14_throat_dir_3d": f"""WITH {EDT3}, d AS (SELECT dir, dx / sqrt(dx * dx + dy * dy + dz * dz) AS ux, dy / sqrt(dx * dx + dy * dy + dz * dz) AS uy, dz / sqrt(dx * dx + dy * dy + dz * dz) AS uz FROM {DIRS3} d)
+        , steps AS (SELECT dir, w.way, k.v + 1 AS step, CAST(floor(w.way * (k.v + 1) * ux + 0.5E0) AS BIGINT) AS ox, CAST(floor(w.way * (k.v + 1) * uy + 0.5E0) AS BIGINT) AS oy, CAST(floor(w.way * (k.v + 1) * uz + 0.5E0) AS BIGINT) AS oz FROM d CROSS JOIN (SELECT 1 AS way UNION ALL SELECT -1) w CROSS JOIN (SELECT v FROM axis8 WHERE v < 3) k)
+        , walk AS (SELECT a.sid, a.x, a.y, a.z, a.d AS own, dir, way, max(CASE WHEN step = 1 THEN b.d END) AS d1, max(CASE WHEN step = 2 THEN b.d END) AS d2, max(CASE WHEN step = 3 THEN b.d END) AS d3 FROM dt a CROSS JOIN steps LEFT JOIN dt b ON b.sid = a.sid AND b.x = (a.x + ox + 8) % 8 AND b.y = (a.y + oy + 8) % 8 AND b.z = (a.z + oz + 8) % 8 GROUP BY 1, 2, 3, 4, 5, 6, 7)
+        , low AS (SELECT sid, x, y, z, dir, min(least(own, coalesce(d1, own), CASE WHEN d1 IS NULL THEN own ELSE coalesce(d2, own) END, CASE WHEN d1 IS NULL OR d2 IS NULL THEN own ELSE coalesce(d3, own) END)) AS m FROM walk GROUP BY 1, 2, 3, 4, 5)
+        SELECT l.sid, l.x, l.y, l.z, """
+    + ", ".join(f"round(coalesce(1 - max(CASE WHEN dir = {k} THEN m END) / 4, 1.25E0), 6) + 0.0E0 AS d{k}" for k in range(9))
+    + " FROM lattice3 l LEFT JOIN low ON low.sid = l.sid AND low.x = l.x AND low.y = l.y AND low.z = l.z GROUP BY l.sid, l.x, l.y, l.z",
     "dsc13_throat_iso_3d": f"WITH {EDT3} SELECT sid, x, y, z, round(f, 6) + 0.0E0 AS iso FROM f",
     "dsc15_euler_profile_3d": f"""WITH {EDT3}, r AS (SELECT sid, x, y, z, round(f, 9) AS f FROM f), k AS (SELECT v FROM axis8 WHERE v <= 6)
         , faces AS (SELECT o.sid, thin.v AS thin, o.x, o.y, o.z, min(b.f) AS f FROM r o CROSS JOIN axis8 thin JOIN axis8 s ON (s.v & thin.v) = s.v JOIN r b ON b.sid = o.sid AND b.x = (o.x + 8 - (s.v & 1)) % 8 AND b.y = (o.y + 8 - ((s.v >> 1) & 1)) % 8 AND b.z = (o.z + 8 - ((s.v >> 2) & 1)) % 8 GROUP BY 1, 2, 3, 4, 5)
