@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import lattice as L
 from ..operators import order as O
-from ..operators import persistence as P
 from ..operators import tables as T
 from . import views
 
