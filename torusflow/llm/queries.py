@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
+from . import clustering, decontaminate, language, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_preference_all": preference.op8_all,
     "op9_warc": warc.op9,
     "op10_decontaminate": decontaminate.op10,
+    "op11_centroid_clusters": clustering.op11,
 }
 
 ORACLES: dict[str, str] = {
     "op8_preference": preference.ORACLE,
     "op8_preference_all": preference.ORACLE_ALL,
     "op9_warc": warc.ORACLE,
+    "op11_centroid_clusters": clustering.ORACLE,
 }
