@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, decontaminate, language, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
+from . import clustering, decontaminate, language, linededup, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_warc": warc.op9,
     "op10_decontaminate": decontaminate.op10,
     "op11_centroid_clusters": clustering.op11,
+    "op12_line_dedup": linededup.op12,
 }
 
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op8_preference_all": preference.ORACLE_ALL,
     "op9_warc": warc.ORACLE,
     "op11_centroid_clusters": clustering.ORACLE,
+    "op12_line_dedup": linededup.ORACLE,
 }
