@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, decontaminate, language, linededup, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
+from . import clustering, decontaminate, filteraudit, language, linededup, neardup, neighbours, pieces, pii, preference, quality, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10,
     "op11_centroid_clusters": clustering.op11,
     "op12_line_dedup": linededup.op12,
+    "op13_filter_audit": filteraudit.op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op9_warc": warc.ORACLE,
     "op11_centroid_clusters": clustering.ORACLE,
     "op12_line_dedup": linededup.ORACLE,
+    "op13_filter_audit": filteraudit.ORACLE,
 }
