@@ -6,6 +6,8 @@ buckets before (a small table of counts) plus the rank within the bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ from . import splits
 HASHED, RANGES = 4096, 256
 #: Ids that a numpy-exact split may bring to the driver.
 EXACT = 5_000_000
+#: Strata whose sizes are told to every row as literals; beyond it their turns are ranked instead.
+FEW = 64
+#: How close percentile_approx comes: to one in ACCURACY of the rows.
+ACCURACY = 10_000
 
 
 def digest(key: str, seed: int) -> Column:
@@ -25,7 +31,8 @@ def digest(key: str, seed: int) -> Column:
 
 def hash_bucket(hashed: Column, down: bool = False) -> Column:
     b = F.conv(F.substring(hashed, 1, 3), 16, 10).cast("int")
-    return HASHED - 1 - b if down else b
+    # Rows without an id come first, and last where the order falls.
+    return F.coalesce(HASHED - 1 - b, F.lit(HASHED)) if down else F.coalesce(b, F.lit(-1))
 
 
 def value_bucket(df: DataFrame, key: str) -> Column:
@@ -36,31 +43,82 @@ def value_bucket(df: DataFrame, key: str) -> Column:
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], bucket: Column, name: str = "rn") -> DataFrame:
-    """The rows with their rank (from 1) within ``by``; bucket must not fall as the order rises."""
+    """The rows with their rank (from 1) within ``by``, where null is a value like any other; bucket must not fall as the order rises."""
+    keys = [*by, "__bucket"]
     rows = df.withColumn("__bucket", bucket)
-    counts = rows.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*by, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(*order))
-    return rows.withColumn(name, inside).join(base, [*by, "__bucket"]).withColumn(name, (F.col(name) + F.col("__base")).cast("long")).drop("__bucket", "__base")
+    base = counts.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    found = rows.withColumn(name, inside).join(base, same).withColumn(name, (F.col(name) + F.col("__base")).cast("long"))
+    return found.drop("__bucket", "__base", *[f"__of_{k}" for k in keys])
+
 
+def strata_counts(df: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, n)."""
+    return df.groupBy(stratum).agg(F.count("*").alias("n"))
 
-def strata_counts(df: DataFrame, stratum: str) -> Column:
-    """The strata in order with their sizes, as one value of a small query."""
-    n = df.groupBy(stratum).agg(F.count("*").alias("n"))
-    return n.agg(F.array_sort(F.collect_list(F.struct(F.col(stratum).alias("s"), "n")))).scalar()
 
+def in_turn(sizes: list[tuple], stratum: str, rn: str) -> Column:
+    """The place (from 1) of a row when strata are dealt from in turn, null last: rn is its rank within its own.
 
-def in_turn(stratum: str, rn: str) -> Column:
-    """The place (from 1) of a row when strata are dealt from in turn: rn is its rank within its own."""
-    ahead = lambda t: F.least(t["n"], F.col(rn) - 1) + F.when((t["n"] >= F.col(rn)) & (t["s"] <= F.col(stratum)), 1).otherwise(0)
-    return F.aggregate("__sizes", F.lit(0).cast("bigint"), lambda a, t: a + ahead(t))
+    sizes: (stratum, rows) of every stratum.
+    """
+    place = F.lit(0).cast("long")
+    for name, n in sizes:
+        # A stratum that sorts after the row's own has had one turn less.
+        late = F.col(stratum) < F.lit(name) if name is not None else F.col(stratum).isNotNull()
+        late = F.coalesce(late, F.lit(False))
+        place = place + F.least(F.lit(n), F.col(rn) - F.when(late, 1).otherwise(0))
+    return place
 
 
-def dealt(df: DataFrame, key: str, stratum: str, order: list[Column], bucket: Column) -> DataFrame:
-    """(key, stratum, place): strata dealt from in turn, each in the order given."""
+def dealt(df: DataFrame, key: str, stratum: str, order: list[Column], bucket: Column, few: int = FEW) -> DataFrame:
+    """(key, stratum, place): strata dealt from in turn, each in the order given; null is a stratum of its own, the last.
+
+    The sizes of up to ``few`` strata come to the driver. With more, rows are ranked by turn and
+    stratum, in buckets of turns, so that the work a row doesn't grow with the strata.
+    """
     rows = ranked(df.select(key, stratum), [stratum], order, bucket)
-    return rows.withColumn("__sizes", strata_counts(df, stratum)).select(key, stratum, in_turn(stratum, "rn").alias("place"))
+    sizes = [(r[0], r[1]) for r in strata_counts(df, stratum).limit(few + 1).collect()]
+    if len(sizes) <= few:
+        return rows.select(key, stratum, in_turn(sizes, stratum, "rn").cast("long").alias("place"))
+    turns = strata_counts(df, stratum).agg(F.max("n")).scalar()
+    turn = F.floor((F.col("rn") - 1) * HASHED / F.col("__turns")).cast("int")
+    return ranked(rows.withColumn("__turns", turns), [], [F.col("rn"), F.col(stratum).asc_nulls_last()], turn, "place").select(key, stratum, "place")
+
+
+def quantiles(df: DataFrame, value: str, probabilities: list[float], by: list[str] = []) -> DataFrame:
+    """(by, n, q): exact quantiles of each group's values that aren't null, between neighbours by
+    straight line; NaN comes after all numbers.
+
+    Two passes: the first finds by a sketch a bracket around each rank that is sure to hold it,
+    the second counts what lies below and ranks the distinct values inside, eight in ACCURACY
+    of the group's rows at most and its ties (all rows of a group of up to ACCURACY). No task holds a column.
+    """
+    key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)
+    rows = df.where(F.col(value).isNotNull()).select(key.alias("__g"), F.col(value).cast("double").alias("__v"))
+    off = 4 / ACCURACY
+    low, high = ([min(max(p + d, 0.0), 1.0) for p in probabilities] for d in (-off, off))
+    edges = lambda ps: F.percentile_approx("__v", [float(p) for p in ps], ACCURACY)
+    groups = rows.groupBy("__g").agg(F.count("*").alias("n"), edges(low).alias("low"), edges(high).alias("high"))
+    bound = lambda side, i, end, p: F.when((F.col("n") > ACCURACY) & F.lit(p != end), F.col(side)[i]).alias(side)
+    ends = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), bound("low", i, 0.0, low[i]), bound("high", i, 1.0, high[i])) for i, p in enumerate(probabilities)]
+    asked = groups.select(F.col("__g").alias("__of"), "n", F.array(*ends).alias("__e"))
+    met = rows.join(asked, F.col("__g").eqNullSafe(F.col("__of"))).select("__g", "n", "__v", F.explode("__e").alias("e"))
+    met = met.where(F.col("e.high").isNull() | (F.col("__v") <= F.col("e.high")))
+    inside = F.when(F.col("e.low").isNull() | (F.col("__v") >= F.col("e.low")), F.col("__v"))
+    counts = met.groupBy("__g", "n", F.col("e.i").alias("i"), F.col("e.p").alias("p"), inside.alias("__v")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy("__g", "i").orderBy(F.col("__v").asc_nulls_first())
+    at = F.col("p") * (F.col("n") - 1)
+    upto = counts.withColumn("c", F.sum("c").over(order))
+    pick = lambda rank: F.min(F.when(F.col("__v").isNotNull() & (F.col("c") > rank), F.col("__v")))
+    found = upto.groupBy("__g", "n", "i", "p").agg(pick(F.floor(at)).alias("a"), pick(F.ceil(at)).alias("b"))
+    part = at - F.floor(at)
+    between = F.when(part == 0, F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part)
+    out = found.select("__g", "n", "i", between.alias("q")).groupBy("__g", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda t: t["q"]).alias("q"))
+    return out.select(*[F.col(f"__g.{c}").alias(c) for c in by], "n", "q")
 
 
 def interleaved(df: DataFrame, key: str = "sample_id", stratum: str = "stratum") -> DataFrame:
@@ -77,10 +135,10 @@ def nested(df: DataFrame, seed: int, key: str = "sample_id", stratum: str = "str
 def golden(df: DataFrame, total: int, seed: int, key: str = "sample_id", stratum: str = "stratum") -> DataFrame:
     """(key, stratum, split): of each stratum its half-even share of ``total`` held out."""
     h = digest(key, seed)
-    rows = ranked(df.select(key, stratum), [stratum], [h, F.col(key)], hash_bucket(h)).withColumn("__sizes", strata_counts(df, stratum))
-    every = F.aggregate("__sizes", F.lit(0).cast("bigint"), lambda a, t: a + t["n"])
-    own = F.filter("__sizes", lambda t: t["s"] == F.col(stratum))[0]["n"]
-    share = F.bround(F.lit(float(total)) * own / every, 0)
+    rows = ranked(df.select(key, stratum), [stratum], [h, F.col(key)], hash_bucket(h))
+    sizes = strata_counts(df, stratum)
+    rows = rows.join(sizes.withColumnRenamed(stratum, "__of"), F.col(stratum).eqNullSafe(F.col("__of"))).withColumn("__every", sizes.agg(F.sum("n")).scalar())
+    share = F.bround(F.lit(float(total)) * F.col("n") / F.col("__every"), 0)
     return rows.select(key, stratum, F.when(F.col("rn") <= share, "golden").otherwise("pool").alias("split"))
 
 
@@ -91,17 +149,17 @@ def folds(df: DataFrame, k: int, seed: int, key: str = "sample_id") -> DataFrame
 
 
 def group_folds(df: DataFrame, key: str = "sample_id", group: str = "stratum") -> DataFrame:
-    """(key, fold): one group left out at a time, in order of the groups."""
+    """(key, fold): one group left out at a time, in order of the groups; rows without one are the last group."""
     names = df.agg(F.array_sort(F.collect_set(group))).scalar()
-    return df.select(key, group).withColumn("__names", names).select(key, (F.array_position("__names", F.col(group)) - 1).cast("int").alias("fold"))
+    at = F.coalesce(F.array_position("__names", F.col(group)) - 1, F.size("__names"))
+    return df.select(key, group).withColumn("__names", names).select(key, at.cast("int").alias("fold"))
 
 
 def matched(df: DataFrame, seed: int, part: int = 2, key: str = "sample_id", stratum: str = "stratum") -> DataFrame:
     """(key, stratum): from each stratum as many random rows, without replacement, as the smallest has by ``part``."""
     h = digest(key, seed)
-    rows = ranked(df.select(key, stratum), [stratum], [h, F.col(key)], hash_bucket(h)).withColumn("__sizes", strata_counts(df, stratum))
-    least = F.array_min(F.transform("__sizes", lambda t: t["n"]))
-    return rows.where(F.col("rn") <= least / part).select(key, stratum)
+    rows = ranked(df.select(key, stratum), [stratum], [h, F.col(key)], hash_bucket(h)).withColumn("__least", strata_counts(df, stratum).agg(F.min("n")).scalar())
+    return rows.where(F.col("rn") <= F.col("__least") / part).select(key, stratum)
 
 
 def sliced(df: DataFrame, first: int, last: int, key: str = "sample_id", stratum: str = "stratum") -> DataFrame:

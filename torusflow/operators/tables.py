@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 #: Prefixes of feature columns by group (fixed names; a column is prefix, direction tag and number).
 GROUPS = ("por", "tpc", "fab", "fabdir", "ecp", "ph", "thr", "conn", "kc", "cp")
 #: Columns that describe a structure rather than measure it.
@@ -128,7 +130,7 @@ def banded(df: DataFrame, column: str, edges: list[tuple[float, float, str]]) ->
 
 def quantile_bands(df: DataFrame, column: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """The rows as low (up to the one quantile), high (above the other) or mid; quantiles are exact."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high)))).scalar()
+    q = quantiles(df, column, [low, high]).select("q").scalar()
     return df.withColumn("__q", q).withColumn("band", F.when(F.col(column) <= F.col("__q")[0], "low").when(F.col(column) > F.col("__q")[1], "high").otherwise("mid")).drop("__q")
 
 
@@ -140,8 +142,9 @@ def zero_filled(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def described(df: DataFrame, by: str, value: str) -> DataFrame:
     """Count, mean, deviation, least, quartiles and largest of each group; quartiles are exact."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    out = df.groupBy(by).agg(F.count(value).alias("n"), r6(F.avg(value), 5).alias("mean"), F.round(F.stddev_samp(value), 5).alias("sd"), F.round(F.min(value), 6).alias("low"), q.alias("q"), F.round(F.max(value), 6).alias("high"))
+    quarters = quantiles(df, value, [0.25, 0.5, 0.75], [by]).select(F.col(by).alias("__of"), "q")
+    out = df.groupBy(by).agg(F.count(value).alias("n"), r6(F.avg(value), 5).alias("mean"), F.round(F.stddev_samp(value), 5).alias("sd"), F.round(F.min(value), 6).alias("low"), F.round(F.max(value), 6).alias("high"))
+    out = out.join(quarters, F.col(by).eqNullSafe(F.col("__of")), "left")
     return out.select(by, "n", "mean", "sd", "low", *[r6(F.col("q")[i], 5).alias(c) for i, c in enumerate(("q1", "median", "q3"))], "high")
 
 

@@ -30,8 +30,10 @@ def _merge(s, p):
 
 
 def _summary(s, p):
-    rows = s.join(p, "sample_id").withColumn("__l", F.greatest("k_xx", "k_yy", "k_zz"))
-    return rows.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.avg("k_xx"), 6).alias("mean"), F.round(F.percentile("k_xx", F.lit(0.5)), 6).alias("median"), F.round(F.max("__l"), 6).alias("largest"))
+    rows = s.join(p, "sample_id").select("stratum", "k_xx", F.greatest("k_xx", "k_yy", "k_zz").alias("__l"))
+    out = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.avg("k_xx"), 6).alias("mean"), F.round(F.max("__l"), 6).alias("largest"))
+    middle = O.quantiles(rows, "k_xx", [0.5], ["stratum"]).select(F.col("stratum").alias("__of"), F.round(F.col("q")[0], 6).alias("median"))
+    return out.join(middle, F.col("stratum").eqNullSafe(F.col("__of")), "left").select("stratum", "n", "mean", "median", "largest")
 
 
 def _chain(s, p, lines):
