@@ -1,7 +1,6 @@
 """Cross-validated models of targets by feature vectors.
 
-Sums of products, metrics and predictions run over all rows. Trees are fitted on a bounded
-sample of the training rows (a parameter), each fold in a task of its own.
+Sums of products, trees, metrics and predictions run over all rows.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import trees
+
 
 def arrays(embeddings: DataFrame, folds: int = 5) -> DataFrame:
     """(sample_id, x, y, fold): features and targets as arrays; null and non-finite vectors are left out."""
@@ -37,108 +38,21 @@ def scores(predicted: DataFrame, keys: list[str]) -> DataFrame:
 # -- boosted trees ---------------------------------------------------------------------
 
 
-class Trees:
-    """Boosted trees of one depth whose levels share a split, for one target or several at once."""
-
-    def __init__(self, rounds: int, depth: int, rate: float, bins: int = 32, ridge: float = 3.0):
-        self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
-        self.splits: list[list[tuple[int, float]]] = []
-        self.leaves: list[np.ndarray] = []
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
-        n, p = x.shape
-        edges = [np.unique(np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1])) for column in x.T]
-        place = np.stack([np.searchsorted(e, column, "left") for e, column in zip(edges, x.T)], 1) + np.arange(p) * self.bins
-        known = np.stack([np.arange(self.bins) < len(e) for e in edges])  # where there is an edge to cut at
-        self.mean = y.mean(0)
-        left = y - self.mean
-        wide = [np.repeat(target, p) for target in left.T]
-        for _ in range(self.rounds):
-            leaf, chosen = np.zeros(n, np.int64), []
-            for level in range(self.depth):
-                at = (leaf[:, None] * (p * self.bins) + place).ravel()
-                shape = (1 << level, p, self.bins)
-                size = (1 << level) * p * self.bins
-                count = np.bincount(at, minlength=size).reshape(shape).cumsum(2)
-                below, above = (1 / np.maximum(c + self.ridge, 1e-12) for c in (count, count[:, :, -1:] - count))
-                gain = np.zeros(shape[1:])
-                for target in wide:
-                    total = np.bincount(at, target, size).reshape(shape).cumsum(2)
-                    gain += (total * total * below + (total[:, :, -1:] - total) ** 2 * above).sum(0)
-                best = int(np.where(known, gain, -1.0).argmax())
-                column, cut = divmod(best, self.bins)
-                if not known[column, cut]:
-                    break
-                chosen.append((column, float(edges[column][cut])))
-                leaf = leaf * 2 + (place[:, column] - column * self.bins > cut)
-            many = np.bincount(leaf, minlength=1 << len(chosen))
-            value = np.stack([np.bincount(leaf, target, 1 << len(chosen)) / np.maximum(many + self.ridge, 1e-12) for target in left.T], 1) * self.rate
-            left = left - value[leaf]
-            wide = [np.repeat(target, p) for target in left.T]
-            self.splits.append(chosen)
-            self.leaves.append(value)
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.tile(self.mean, (len(x), 1))
-        for chosen, value in zip(self.splits, self.leaves):
-            leaf = np.zeros(len(x), np.int64)
-            for column, cut in chosen:
-                leaf = leaf * 2 + (x[:, column] > cut)
-            out += value[leaf]
-        return out
-
-
-def _matrix(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def boosted(rows: DataFrame, *, rounds: int = 1500, depth: int = 6, rate: float = 0.05, folds: int = 5, max_rows: int = 20_000, joint: bool = True) -> DataFrame:
+def boosted(rows: DataFrame, *, rounds: int = 1500, depth: int = 6, rate: float = 0.05, folds: int = 5, joint: bool = True, **how) -> DataFrame:
     """(mode, target, fold, n, r2, mae, mse) of trees for each target alone (single) and for all at once (joint).
 
-    A fold's trees are fitted on at most max_rows of the other folds' rows, drawn by a hash
-    of the id, and predict all rows of the fold.
+    A fold's models are grown on all rows of the other folds and predict all rows of the fold.
+    how: bins, ridge, hold, wait and every of ``trees.grown``.
     """
-    spark = rows.sparkSession
-    total = rows.count()
-    if not total:
-        return spark.createDataFrame([], "mode string, target int, fold int, n long, r2 double, mae double, mse double")
-    span = 1 << 30
-    picked = rows.where(F.pmod(F.xxhash64("sample_id", F.lit("fit")), F.lit(span)) < int(min(1.0, 1.1 * max_rows / total) * span)).orderBy("sample_id").limit(max_rows).collect()
-    sample = np.array([r["x"] for r in picked]), np.array([r["y"] for r in picked]), np.array([r["fold"] for r in picked])
-    shared = spark.sparkContext.broadcast(sample)
-    targets = sample[1].shape[1]
-    plans = [(f, t) for f in range(folds) for t in [*range(targets), *([-1] * joint)]]
-
-    def fitted(batches):
-        import pickle
-
-        x, y, fold = shared.value
-        for batch in batches:
-            for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                use = fold != f
-                own = y[use] if t < 0 else y[use][:, [t]]
-                model = pickle.dumps(Trees(rounds, depth, rate).fit(x[use], own)) if use.any() else None
-                yield pa.RecordBatch.from_pydict({"fold": pa.array([f], pa.int32()), "t": pa.array([t], pa.int32()), "model": pa.array([model], pa.binary())})
-
-    todo = spark.createDataFrame(plans, "fold int, t int").repartition(len(plans), "fold", "t")
-    models = {(r["fold"], r["t"]): r["model"] for r in todo.mapInArrow(fitted, "fold int, t int, model binary").collect()}
-    kept = spark.sparkContext.broadcast(models)
+    first = rows.select("y").first()
+    if first is None:
+        return rows.sparkSession.createDataFrame([], "mode string, target int, fold int, n long, r2 double, mae double, mse double")
+    models, edges = trees.grown(rows, targets=len(first["y"]), folds=list(range(folds)), joint=joint, rounds=rounds, depth=depth, rate=rate, **how)
+    return scores(trees.predicted(rows, models, edges), ["mode", "target_no", "fold"]).withColumnRenamed("target_no", "target")
 
-    def predicted(batches):
-        import pickle
 
-        made = {k: pickle.loads(m) for k, m in kept.value.items() if m}
-        for batch in batches:
-            fold, x, y = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), _matrix(batch.column(2))
-            for (f, t), model in made.items():
-                own = np.flatnonzero(fold == f)
-                if len(own):
-                    for k, p in zip(range(targets) if t < 0 else [t], model.predict(x[own]).T):
-                        yield pa.RecordBatch.from_pydict({"mode": ["joint" if t < 0 else "single"] * len(own), "target_no": pa.array([k] * len(own), pa.int32()), "fold": pa.array(fold[own], pa.int32()), "target": y[own, k], "prediction": p})
-
-    out = rows.select("fold", "x", "y").mapInArrow(predicted, "mode string, target_no int, fold int, target double, prediction double")
-    return scores(out, ["mode", "target_no", "fold"]).withColumnRenamed("target_no", "target")
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 # -- linear models ---------------------------------------------------------------------
@@ -213,6 +127,8 @@ def predictability(rows: DataFrame, ks=(1, 2, 5, 10, 20), penalty: float = 1.0,
     """(k, explained, r2): how much of the variance the first k main axes have, and the mean
     variance-weighted r2 over folds of a ridge model of these axes alone."""
     sums = products(rows)
+    if not sums:
+        return rows.sparkSession.createDataFrame([], "k int, explained double, r2 double")
     whole = sum(sums.values())
     n, p = whole[0, 0], len(whole) - 1 - targets
     mean = whole[0, 1 : 1 + p] / n
@@ -228,17 +144,30 @@ def predictability(rows: DataFrame, ks=(1, 2, 5, 10, 20), penalty: float = 1.0,
         turn[1 + p :, 1 + k :] = np.eye(targets)
         r2 = []
         for m in sums.values():
+            if whole[0, 0] - m[0, 0] < 1:
+                continue
             sse, sst = _errors(turn.T @ m @ turn, targets, *_ridge(turn.T @ (whole - m) @ turn, targets, penalty))
-            r2.append(float(1 - sse.sum() / sst.sum()))
-        out.append((k, float(value[:k].sum() / value.sum()), float(np.mean(r2))))
+            if sst.sum() > 0:  # a fold whose targets don't vary has no r2
+                r2.append(float(1 - sse.sum() / sst.sum()))
+        out.append((k, float(value[:k].sum() / value.sum()) if value.sum() > 0 else None, float(np.mean(r2)) if r2 else None))
     return rows.sparkSession.createDataFrame(out, "k int, explained double, r2 double")
 
 
 # -- main axes -------------------------------------------------------------------------
 
 
+def _width(rows: DataFrame) -> int:
+    """How many features the rows have; 0 without rows."""
+    first = rows.select("features").first()
+    return len(first[0]) if first else 0
+
+
 def spectrum(rows: DataFrame, k: int) -> DataFrame:
-    """(component, ratio, total): the variance shares of the standardised features' main axes."""
+    """(component, ratio, total): the variance shares of the standardised features' main axes; none without rows."""
+    size = _width(rows)
+    if not size:
+        return rows.sparkSession.createDataFrame([], "component int, ratio double, total double")
+    k = min(k, size)
     scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(rows).transform(rows)
     ratio = np.asarray(PCA(k=k, inputCol="z", outputCol="pcs").fit(scaled).explainedVariance)
     return rows.sparkSession.createDataFrame([(i + 1, float(r), float(t)) for i, (r, t) in enumerate(zip(ratio, np.cumsum(ratio)))], "component int, ratio double, total double")
@@ -251,7 +180,9 @@ def effective_rank(rows: DataFrame, k: int, share: float = 0.99) -> DataFrame:
 
 def components(rows: DataFrame, k: int | None = None, train: int | None = None) -> DataFrame:
     """(sample_id, components): the first K main axes of each row, K = min(k, features, training rows - 1)."""
-    size, n = len(rows.select("features").first()[0]), train or rows.count()
+    size, n = _width(rows), train or rows.count()
     k = min(k or size, size, n - 1)
+    if k < 1:  # no rows, or a single one, have no axes
+        return rows.select("sample_id", F.array().cast("array<double>").alias("components"))
     scaled = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(rows).transform(rows)
     return PCA(k=k, inputCol="z", outputCol="pcs").fit(scaled).transform(scaled).select("sample_id", vector_to_array("pcs").alias("components"))
