@@ -29,7 +29,8 @@ def reach(side: int, scale: float, stretch: np.ndarray) -> float:
 
 
 def signed_distance(solid: np.ndarray, cap: float) -> np.ndarray:
-    """Distance to the other phase, positive in the pore and negative in the solid, up to the cap; no wrap."""
+    """Distance to the surface between the phases, half a cell from the centres on both sides of it:
+    positive in the pore and negative in the solid, up to the cap; no wrap."""
 
     def away(phase):
         far = 4 * np.ceil(cap) ** 2 + 1
@@ -42,7 +43,7 @@ def signed_distance(solid: np.ndarray, cap: float) -> np.ndarray:
                 for to, of in ((ahead, behind), (behind, ahead)):
                     np.minimum(out[tuple(to)], best[tuple(of)] + step * step, out=out[tuple(to)])
             best = out
-        return np.minimum(np.sqrt(best), cap)
+        return np.minimum(np.sqrt(best) - 0.5, cap)
 
     return np.where(solid == 0, away(solid == 0), -away(solid != 0))
 
@@ -60,13 +61,16 @@ def sampled(field: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def cube(box: np.ndarray, origin: np.ndarray, centre, side: int, scale: float, stretch: np.ndarray, grow: float) -> np.ndarray:
-    """The cube's cells, 1 where the grown solid is: the field at centre + scale * stretch^-1 * (cell - middle)."""
+    """The cube's cells, 1 where solid is left: the field at centre + scale * stretch^-1 * (cell - middle).
+
+    grow widens the pore: that many of the rock's cells are shaved off every grain (put on, if negative).
+    """
     z, y, x = np.mgrid[0:side, 0:side, 0:side]
     cells = np.stack([x.ravel(), y.ravel(), z.ravel()], 1) - (side - 1) / 2
     at = np.array(centre, float) + scale * cells @ np.linalg.inv(stretch).T - origin
     # Exact near the threshold: corners of a voxel differ by less than 2 from what lies between them.
     field = signed_distance(box, abs(grow) + 3)
-    return (sampled(field, at) <= grow).astype(np.int8).reshape(side, side, side)
+    return (sampled(field, at) <= -grow).astype(np.int8).reshape(side, side, side)
 
 
 def cubes(planes: DataFrame, design: DataFrame, side: int = 80) -> DataFrame:
@@ -117,24 +121,38 @@ def cubes(planes: DataFrame, design: DataFrame, side: int = 80) -> DataFrame:
     return own.select("sid", "rock").join(found, "sid", "left")
 
 
+def mean_chord(pore: np.ndarray, axis: int) -> float:
+    """Mean length of the runs of pore along an axis, cut at the faces."""
+    lines = np.moveaxis(pore, axis, 0)
+    starts = lines[0].sum() + (lines[1:] & ~lines[:-1]).sum()
+    return pore.sum() / starts if starts else np.nan
+
+
+def elongation(field: np.ndarray) -> np.ndarray:
+    """(x, y, z) of the axis along which the distance field varies least: of the mean products of
+    its gradient the eigenvector of the smallest eigenvalue, its first component that counts positive."""
+    slope = np.stack([d.ravel() for d in np.gradient(field)[::-1]])
+    axis = np.linalg.eigh(slope @ slope.T / slope.shape[1])[1][:, 0]
+    return axis * np.sign(axis[np.flatnonzero(np.abs(axis) > 1e-6)[0]])
+
+
 def metrics(packed: DataFrame, cap: float = 28.0) -> DataFrame:
-    """Of each cube: porosity, percentiles of the pore's distance to solid, mean chords, the largest cluster's share, and whether it percolates."""
+    """Of each cube: porosity, percentiles of the pore's distance to the surface, mean chords, the
+    largest cluster's share, the axis of its elongation, and whether it percolates."""
 
     def work(ids, g):
         rows = []
         _, ends = _crossings(g == 0)
         for one, along in zip(g, ends):
             pore = one == 0
-            wide = signed_distance(one, cap)[pore]
-            chords = []
-            for axis in (2, 1, 0):
-                starts = (pore & np.roll(~pore, 1, axis)).sum()
-                chords.append(pore.sum() / starts if starts else np.nan)
+            field = signed_distance(one, cap)
+            wide, chords = field[pore], [mean_chord(pore, axis) for axis in (2, 1, 0)]
+            along_axis = elongation(field) if min(one.shape) > 1 else [np.nan] * 3
             lab = labels_of(pore[None], False)[0]
             sizes = np.unique(lab[lab > 0], return_counts=True)[1]
             tenths = np.percentile(wide, [10, 50, 90]) if len(wide) else [np.nan] * 3
-            rows.append((pore.mean(), *tenths, *chords, sizes.max() / sizes.sum() if len(sizes) else np.nan, *(int(bool(a)) for a in along)))
+            rows.append((pore.mean(), *tenths, *chords, sizes.max() / sizes.sum() if len(sizes) else np.nan, *along_axis, *(int(bool(a)) for a in along)))
         columns = list(zip(*rows))
-        return (ids, *(rounded(np.array(c, float), 6) for c in columns[:8]), *columns[8:])
+        return (ids, *(rounded(np.array(c, float), 6) for c in columns[:11]), *columns[11:])
 
-    return kernel(packed, 3, work, "sid long, porosity double, dt_p10 double, dt_p50 double, dt_p90 double, chord_x double, chord_y double, chord_z double, largest double, perc_x int, perc_y int, perc_z int")
+    return kernel(packed, 3, work, "sid long, porosity double, dt_p10 double, dt_p50 double, dt_p90 double, chord_x double, chord_y double, chord_z double, largest double, axis_x double, axis_y double, axis_z double, perc_x int, perc_y int, perc_z int")

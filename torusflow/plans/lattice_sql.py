@@ -1,5 +1,7 @@
 """The kernels' results in plain SQL over cells, written without regard to the kernels."""
 
+from ..operators.surface import cases
+
 DIRS = "(SELECT 0 AS dir, 1 AS dx, 0 AS dy UNION ALL SELECT 1, 1, 1 UNION ALL SELECT 2, 0, 1 UNION ALL SELECT 3, -1, 1)"
 #: Distance of each pore cell to the nearest solid cell around the torus: within its row, then over rows.
 EDT = """near AS (SELECT a.sid, a.x, a.y, min((least(abs(a.x - b.x), 16 - abs(a.x - b.x))) * (least(abs(a.x - b.x), 16 - abs(a.x - b.x)))) AS f FROM lattice2 a JOIN lattice2 b ON b.sid = a.sid AND b.y = a.y WHERE b.solid = 1 GROUP BY a.sid, a.x, a.y)
@@ -34,7 +36,21 @@ EDT3 = f"""e1 AS (SELECT a.sid, a.x, a.y, a.z, min({_wrapped("x")}) AS f FROM la
     , dt AS (SELECT a.sid, a.x, a.y, a.z, least(coalesce(sqrt(min(b.f + {_wrapped("z")})), 4.0E0), 4.0E0) AS d FROM (SELECT * FROM lattice3 WHERE solid = 0) a LEFT JOIN e2 b ON b.sid = a.sid AND b.x = a.x AND b.y = a.y GROUP BY a.sid, a.x, a.y, a.z)
     , f AS (SELECT l.sid, l.x, l.y, l.z, coalesce(1 - d / 4, 1.25E0) AS f FROM lattice3 l LEFT JOIN dt ON dt.sid = l.sid AND dt.x = l.x AND dt.y = l.y AND dt.z = l.z)"""
 
+#: Area and products of normals of the 256 cases, as the mesh's rule gives them.
+CASES = "(VALUES " + ", ".join(f"({i}, {', '.join(f'{v!r}E0' if 'e' not in repr(float(v)) else repr(float(v)) for v in map(float, row))})" for i, row in enumerate(cases())) + ") AS t(kind, area, nxx, nyy, nzz, nxy, nxz, nyz)"
+_bit = lambda b: f"max(CASE WHEN k.v = {b} THEN b.solid END) * {1 << b}"
+
 SQL = {
+    "dsc19_kozeny_carman": f"""WITH c AS (SELECT a.sid, a.x, a.y, a.z, """
+    + " + ".join(_bit(b) for b in range(8))
+    + f""" AS kind, max(CASE WHEN k.v = 0 THEN b.solid END) AS own, max(CASE WHEN k.v = 1 THEN b.solid END) AS ax, max(CASE WHEN k.v = 2 THEN b.solid END) AS ay, max(CASE WHEN k.v = 4 THEN b.solid END) AS az
+        FROM lattice3 a CROSS JOIN axis8 k JOIN lattice3 b ON b.sid = a.sid AND b.x = (a.x + k.v % 2) % 8 AND b.y = (a.y + (k.v // 2) % 2) % 8 AND b.z = (a.z + k.v // 4) % 8 GROUP BY a.sid, a.x, a.y, a.z)
+        , n AS (SELECT sid, kind, count(*) AS n, sum(own) AS own, sum(CASE WHEN own <> ax THEN 1 ELSE 0 END + CASE WHEN own <> ay THEN 1 ELSE 0 END + CASE WHEN own <> az THEN 1 ELSE 0 END) AS faces FROM c GROUP BY sid, kind)
+        , s AS (SELECT sid, 1 - sum(own) / 512.0E0 AS phi, sum(n * area) AS area, sum(faces) / 512.0E0 AS s_face, sum(n * nxx) AS nxx, sum(n * nyy) AS nyy, sum(n * nzz) AS nzz, sum(n * nxy) AS nxy, sum(n * nxz) AS nxz, sum(n * nyz) AS nyz FROM n JOIN {CASES} ON t.kind = n.kind GROUP BY sid)
+        , k AS (SELECT *, area / 512 AS s_mesh, CASE WHEN area > 0 THEN power(phi, 3) / power(area / 512, 2) END AS k FROM s)
+        SELECT sid, round(phi, 6) AS phi, round(s_mesh, 6) AS s_mesh, round(s_face, 6) AS s_face, round(k, 6) AS k, round(ln(k), 6) + 0.0E0 AS log_k, """
+    + ", ".join(f"round(1.5E0 * k * ({1 if i == j else 0} - n{i}{j} / area), 6) + 0.0E0 AS t_{i}{j}" for i, j in ("xx", "yy", "zz", "xy", "xz", "yz"))
+    + " FROM k",
     "dsc4_fabric_3d": f"""WITH {NORMALS3}, q AS (SELECT sid, avg(gx * gx / m) AS xx, avg(gy * gy / m) AS yy, avg(gz * gz / m) AS zz, avg(gx * gy / m) AS xy, avg(gx * gz / m) AS xz, avg(gy * gz / m) AS yz FROM t GROUP BY sid)
         , c AS (SELECT *, xx + yy + zz AS i1, xx * yy + xx * zz + yy * zz - xy * xy - xz * xz - yz * yz AS i2, xx * yy * zz + 2 * xy * xz * yz - xx * yz * yz - yy * xz * xz - zz * xy * xy AS i3 FROM q)
         , u AS (SELECT *, sqrt(greatest(i1 * i1 - 3 * i2, 0)) AS g, (2 * i1 * i1 * i1 - 9 * i1 * i2 + 27 * i3) / 2 AS h FROM c)

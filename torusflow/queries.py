@@ -12,7 +12,7 @@ from .operators import lattice3 as L3
 from .operators import models as M
 from .operators import order
 from .operators import persistence as P
-from .operators import rocks, symmetry
+from .operators import rocks, surface, symmetry
 from .operators import topology as T
 from .plans import frames, lattice_sql, relational, views
 
@@ -81,6 +81,7 @@ KERNELS = {
     "top6_windings": _on2(T.winding),
     "top7_critical_radius": _on2(T.critical_radius),
     "lbm1_permeability": _on2(flow.permeability),
+    "dsc19_kozeny_carman": _on3(surface.kozeny_carman),
     "dsc1_porosity_profile_3d": _on3(L3.profile),
     "dsc2_two_point_3d": _on3(L3.two_point),
     "dsc4_fabric_components": _on3(L3.fabric_components),
