@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import lattice as L
 from ..operators import order as O
+from ..operators import series, sticks
 from ..operators import tables as T
+from ..streaming import audit
 from . import views
 
 
@@ -124,12 +126,51 @@ def _lineitem(hosts: str, work):
     return lambda spark, sf_dir: work(*(m(spark, sf_dir) for m in inner), spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
+def _networks(part):
+    """A stick network for each part: its direction, concentration and porosity by the part's numbers."""
+    return part.select(F.col("p_partkey").alias("sid"), (F.col("p_size") * 0.05).alias("psi"), (F.col("p_partkey") % 8 * 1.5).alias("kappa"), (0.2 + F.col("p_size") % 4 * 0.1).alias("porosity"))
+
+
+def _drawn_sticks(spark, sf_dir):
+    lines = sticks.sticks(_networks(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")), 32)
+    return lines.select("sid", "seg", *[T.r6(F.col(c)).alias(c) for c in ("cx", "cy", "theta", "length")], "width")
+
+
+def _blobs(cells):
+    return sticks.centres(sticks.blobs(sticks.junctions(cells, 16), 16), 16)
+
+
+def _plugged(cells):
+    return sticks.plugged(sticks.dilated(cells, F.lit(1.0), 16, 1.0), sticks.junctions(cells, 16), 0.4, 1.5, 16)[1]
+
+
+def _audited(s, p):
+    arrivals = p.where("sample_id % 40 <> 0").select("sample_id", (F.col("conv_fx") == 1).alias("valid"), F.lit(None).cast("timestamp").alias("at"))
+    return audit.report(audit.states(audit.marked(s.where("sample_id % 50 <> 0"), arrivals)))
+
+
+def _rates(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    arrivals = lines.select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linestatus") == "F").alias("valid"), F.col("l_shipdate").alias("at"))
+    return audit.rates(audit.states(audit.marked(arrivals.select("sample_id", F.lit("all").alias("stratum")).distinct(), arrivals)), hours=(24, 240))
+
+
+def _settled(flux):
+    return series.settled(flux).select("sid", "converged", "stop", "n", *[F.round(c, 6).alias(c) for c in ("qx", "qy", "se_qx", "se_qy")])
+
+
 RUN = ["target", "grp", "size", "seed"]
 FRAMES = {
     "gen15_porosity": _packed(_porosity),
     "gen9_mean_chord": _packed(_mean_chord),
     "gen13_wrap_agreement": _packed(_wrap),
     "dsc19_face_area": _packed(_faces, 3),
+    "gen6_von_mises_sticks": _drawn_sticks,
+    "gen7_blobs": _on("stickcells", _blobs),
+    "gen7_plugged": _on("stickcells", _plugged),
+    "lbm3_stopping_rule": _on("fluxes", _settled),
+    "drv3_audit": _on("structures perm", _audited),
+    "drv3_rates": _rates,
     "drv1_shards": _on("structures", _shards),
     "drv2_interleave": _on("structures", O.interleaved),
     "drv4_label_merge": _on("structures perm", _merge),

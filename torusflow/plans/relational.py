@@ -5,6 +5,16 @@ filters and picks the joins. Non-finite numbers become NULL before they are aggr
 ties are always broken by a key.
 """
 
+#: Blobs of junctions by everything that can be reached, and their circular means.
+_BLOBS = """WITH RECURSIVE sides AS (SELECT 0 AS dx, 0 AS dy UNION ALL SELECT 1, 0 UNION ALL SELECT -1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 0, -1)
+        , wide AS (SELECT sid, seg, (x + dx + 16) % 16 AS x, (y + dy + 16) % 16 AS y FROM stickcells CROSS JOIN sides)
+        , j AS (SELECT sid, x, y, y * 16 + x AS cell FROM wide GROUP BY sid, x, y HAVING count(DISTINCT seg) >= 2)
+        , reach(sid, cell, other) AS (SELECT sid, cell, cell FROM j UNION SELECT r.sid, r.cell, b.cell FROM reach r JOIN sides ON true JOIN j b ON b.sid = r.sid AND b.x = (r.other % 16 + dx + 16) % 16 AND b.y = (r.other // 16 + dy + 16) % 16)
+        , blob AS (SELECT sid, cell, min(other) AS blob FROM reach GROUP BY sid, cell)
+        , c AS (SELECT sid, blob, count(*) AS cells, atan2(avg(sin(pi() / 8 * (cell % 16))), avg(cos(pi() / 8 * (cell % 16)))) * 8 / pi() AS mx, atan2(avg(sin(pi() / 8 * (cell // 16))), avg(cos(pi() / 8 * (cell // 16)))) * 8 / pi() AS my FROM blob GROUP BY sid, blob)
+        , centre AS (SELECT sid, CAST(blob AS BIGINT) AS blob, cells, CAST((CAST(floor(mx + 0.5E0 + 1e-6) AS INT) + 16) % 16 AS INT) AS x, CAST((CAST(floor(my + 0.5E0 + 1e-6) AS INT) + 16) % 16 AS INT) AS y FROM c)
+        """
+
 SQL = {
     # -- generators and design ---------------------------------------------------------
     "gen15_porosity": "SELECT sid, round(1 - avg(solid), 6) AS porosity, CAST(count(*) AS BIGINT) AS cells FROM lattice2 GROUP BY sid",
@@ -24,6 +34,25 @@ SQL = {
         , hit AS (SELECT sid, (x0 + t.v * dx) % 16 AS x, (y0 + t.v * dy) % 16 AS y, seg FROM sticks CROSS JOIN axis8 t)
         , junction AS (SELECT sid, x, y FROM hit GROUP BY sid, x, y HAVING count(DISTINCT seg) >= 2)
         SELECT sid, CAST(count(*) AS BIGINT) AS cells, round(atan2(round(avg(sin(2 * pi() * x / 16)), 9), round(avg(cos(2 * pi() * x / 16)), 9)), 4) + 0.0E0 AS angle_x FROM junction GROUP BY sid""",
+    "gen6_von_mises_sticks": """WITH nets AS (SELECT p_partkey AS sid, p_size * 0.05E0 AS psi, p_partkey % 8 * 1.5E0 AS kappa, 0.2E0 + p_size % 4 * 0.1E0 AS porosity FROM part)
+        , own AS (SELECT sid, psi, kappa, greatest(kappa, 1e-4) AS k, unnest(range(greatest(4, CAST(round(-ln(greatest(1e-3, 1 - porosity)) * (1024 / 60.0E0)) AS INT)))) AS seg FROM nets)
+        , h AS (SELECT *, '0:' || sid || ':' || seg || ':' AS s, (1 + sqrt(1 + 4 * k * k) - sqrt(2 * (1 + sqrt(1 + 4 * k * k)))) / (2 * k) AS rho FROM own)
+        , tries AS (SELECT *, (1 + rho * rho) / (2 * rho) AS r, unnest(range(40)) AS t FROM h)
+        , u AS (SELECT *, cos(pi() * (CAST('0x' || substr(md5(s || t || ':z'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296) AS z, (CAST('0x' || substr(md5(s || t || ':u'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296 AS u, (CAST('0x' || substr(md5(s || t || ':s'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296 AS side FROM tries)
+        , f AS (SELECT *, (1 + r * z) / (r + z) AS f, k * (r - (1 + r * z) / (r + z)) AS c FROM u)
+        , a AS (SELECT sid, seg, arg_min(CASE WHEN side < 0.5E0 THEN -1 ELSE 1 END * acos(least(greatest(f, -1), 1)), t) AS turn FROM f WHERE c * (2 - c) > u OR ln(c / u) + 1 - c >= 0 GROUP BY sid, seg)
+        , e AS (SELECT h.sid, h.seg, psi, kappa, a.turn, [(CAST('0x' || substr(md5(s || n), 1, 8) AS BIGINT) + 0.5E0) / 4294967296 FOR n IN ['x', 'y', 'l', 'w', 'even']] AS v FROM h LEFT JOIN a ON a.sid = h.sid AND a.seg = h.seg)
+        SELECT sid, CAST(seg AS INT) AS seg, round(32 * v[1], 6) AS cx, round(32 * v[2], 6) AS cy, round((2 * psi + CASE WHEN kappa < 1e-4 THEN 2 * pi() * v[5] - pi() ELSE turn END) / 2, 6) + 0.0E0 AS theta,
+        round(20 * (0.5E0 + v[3]), 6) AS length, greatest(2, least(9, CAST(round(3 * (0.6E0 + 0.8E0 * v[4])) AS INT))) AS width FROM e""",
+    "gen7_blobs": _BLOBS + "SELECT * FROM centre",
+    "gen7_plugged": _BLOBS
+    + """, pick AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY md5('0:' || sid || ':' || blob), blob) AS rn, count(*) OVER (PARTITION BY sid) AS n FROM centre)
+        , picked AS (SELECT * FROM pick WHERE rn <= round_even(n * 0.4E0, 0))
+        , pore AS (SELECT DISTINCT sid, x, y FROM wide)
+        , disc AS (SELECT DISTINCT sid, (x + a.v - 1 + 16) % 16 AS x, (y + b.v - 1 + 16) % 16 AS y FROM picked CROSS JOIN axis8 a CROSS JOIN axis8 b WHERE a.v < 3 AND b.v < 3)
+        , gone AS (SELECT p.sid, count(*) AS n FROM pore p JOIN disc d ON d.sid = p.sid AND d.x = p.x AND d.y = p.y GROUP BY p.sid)
+        SELECT p.sid, coalesce(c.n, 0) AS n_junctions, coalesce(k.n, 0) AS n_blocked, p.n AS pore_cells, p.n - coalesce(g.n, 0) AS left_cells
+        FROM (SELECT sid, count(*) AS n FROM pore GROUP BY sid) p LEFT JOIN (SELECT sid, count(*) AS n FROM centre GROUP BY sid) c ON c.sid = p.sid LEFT JOIN (SELECT sid, count(*) AS n FROM picked GROUP BY sid) k ON k.sid = p.sid LEFT JOIN gone g ON g.sid = p.sid""",
     "gen9_mean_chord": """WITH runs_ AS (SELECT c.sid, c.y, CAST(sum(CASE WHEN c.solid = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pores, CAST(sum(CASE WHEN c.solid = 0 AND p.solid = 1 THEN 1 ELSE 0 END) AS BIGINT) AS starts
         FROM lattice2 c JOIN lattice2 p ON p.sid = c.sid AND p.y = c.y AND p.x = (c.x + 15) % 16 GROUP BY c.sid, c.y)
         SELECT sid, round(CAST(sum(pores) AS BIGINT) * 1.0E0 / nullif(CAST(sum(starts) AS BIGINT), 0), 6) AS mean_chord FROM runs_ GROUP BY sid""",
@@ -38,11 +67,16 @@ SQL = {
     "lbm5_flux_averages": "SELECT sid, round(avg(u), 6) + 0.0E0 AS qx, round(avg(v), 6) + 0.0E0 AS qy, round(sqrt(avg(u * u + v * v)), 6) AS rms FROM velocity GROUP BY sid",
     "lbm6_field_statistics": """SELECT sid, round(sum(sqrt(u * u + v * v)) / nullif(sum(u), 0), 5) AS tortuosity, round(power(sum(u * u + v * v), 2) / nullif(count(*) * sum(power(u * u + v * v, 2)), 0), 6) AS participation,
         round(avg(CASE WHEN u <> 0 OR v <> 0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS effective_porosity FROM velocity GROUP BY sid""",
-    "lbm3_stopping_rule": """WITH flux AS (SELECT l_partkey AS sid, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS step, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem)
-        , d AS (SELECT *, abs(q - lag(q) OVER (PARTITION BY sid ORDER BY step)) AS drift FROM flux)
-        , ok AS (SELECT *, CASE WHEN drift <= 5 THEN 1 ELSE 0 END AS good FROM d)
-        , held AS (SELECT *, good * coalesce(lag(good) OVER (PARTITION BY sid ORDER BY step), 0) AS hold FROM ok)
-        SELECT sid, CAST(coalesce(min(CASE WHEN hold = 1 THEN step END), -1) AS BIGINT) AS stop_step, CAST(max(step) AS BIGINT) AS steps FROM held GROUP BY sid""",
+    "lbm3_stopping_rule": """WITH b AS (SELECT sid, ((step - 1) // 20 + 1) * 20 AS fin, count(*) AS n, max(step) AS seen, avg(qx) AS mx, avg(qy) AS my, var_samp(qx) / count(*) AS vx, var_samp(qy) / count(*) AS vy FROM fluxes GROUP BY sid, 2)
+        , w AS (SELECT * FROM b WHERE n >= 2 AND seen = fin)
+        , p AS (SELECT a.*, a.rn - row_number() OVER (PARTITION BY a.sid ORDER BY a.rn) AS island FROM (SELECT c.sid, c.fin, c.rn FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY fin) AS rn FROM w) c
+            JOIN (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY fin) AS rn FROM w) d ON d.sid = c.sid AND d.rn = c.rn - 1
+            WHERE abs(c.mx - d.mx) < greatest(1e-4 * greatest(abs(c.mx), 0.05E0 * sqrt(c.mx * c.mx + c.my * c.my)), 2 * sqrt(c.vx + d.vx)) AND abs(c.my - d.my) < greatest(1e-4 * greatest(abs(c.my), 0.05E0 * sqrt(c.mx * c.mx + c.my * c.my)), 2 * sqrt(c.vy + d.vy))) a)
+        , r AS (SELECT sid, min(fin) AS fin FROM (SELECT *, row_number() OVER (PARTITION BY sid, island ORDER BY rn) AS run FROM p) WHERE run >= 3 GROUP BY sid)
+        , s AS (SELECT w.sid, CASE WHEN min(r.fin) IS NULL THEN 0 ELSE 1 END AS converged, coalesce(min(r.fin), max(w.fin)) AS stop FROM w LEFT JOIN r ON r.sid = w.sid GROUP BY w.sid)
+        , m AS (SELECT s.sid, s.converged, s.stop, count(f.qx) AS n, avg(f.qx) AS qx, avg(f.qy) AS qy, sqrt(var_samp(f.qx) / count(*)) AS ex, sqrt(var_samp(f.qy) / count(*)) AS ey FROM s LEFT JOIN fluxes f ON f.sid = s.sid AND f.step > s.stop AND f.step <= s.stop + 100 GROUP BY s.sid, s.converged, s.stop)
+        SELECT m.sid, m.converged, m.stop, greatest(m.n, 1) AS n, round(coalesce(m.qx, l.qx), 6) AS qx, round(coalesce(m.qy, l.qy), 6) AS qy, round(CASE WHEN m.n > 1 THEN ex ELSE 0 END, 6) AS se_qx, round(CASE WHEN m.n > 1 THEN ey ELSE 0 END, 6) AS se_qy
+        FROM m JOIN fluxes l ON l.sid = m.sid AND l.step = m.stop""",
     "ten9_zero_on_solid": "SELECT sid, CAST(count(CASE WHEN solid = 1 AND (u <> 0 OR v <> 0) THEN 1 END) AS BIGINT) AS moving_solid, round(avg(u), 6) + 0.0E0 AS flux FROM velocity GROUP BY sid",
     "snk6_magnitude": "SELECT sid, x, y, round(sqrt(u * u + v * v), 6) AS magnitude FROM velocity",
     "snk6_tiling": "SELECT sid, CAST(x + 16 * t.v AS INT) AS x, CAST(y + 16 * s.v AS INT) AS y, solid FROM lattice2 CROSS JOIN (SELECT v FROM axis8 WHERE v < 2) t CROSS JOIN (SELECT v FROM axis8 WHERE v < 2) s",
@@ -79,8 +113,15 @@ SQL = {
     # -- label campaign ----------------------------------------------------------------
     "drv1_shards": "SELECT sample_id % 7 AS shard, CAST(count(*) AS BIGINT) AS n, min(sample_id) AS first_id FROM structures GROUP BY sample_id % 7",
     "drv2_interleave": """SELECT sample_id, stratum, CAST(row_number() OVER (ORDER BY rn, stratum, sample_id) AS BIGINT) AS place FROM (SELECT sample_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY sample_id) AS rn FROM structures) t""",
-    "drv3_audit": """SELECT coalesce(s.stratum, 'stray') AS stratum, CAST(count(CASE WHEN p.sample_id IS NOT NULL AND p.conv_fx = 1 THEN 1 END) AS BIGINT) AS complete, CAST(count(CASE WHEN p.sample_id IS NOT NULL AND p.conv_fx = 0 THEN 1 END) AS BIGINT) AS incomplete, CAST(count(CASE WHEN p.sample_id IS NULL THEN 1 END) AS BIGINT) AS missing
-        FROM structures s FULL OUTER JOIN perm p ON s.sample_id = p.sample_id GROUP BY coalesce(s.stratum, 'stray')""",
+    "drv3_audit": """WITH w AS (SELECT * FROM structures WHERE sample_id % 50 <> 0), a AS (SELECT sample_id, max(conv_fx) AS ok FROM perm WHERE sample_id % 40 <> 0 GROUP BY sample_id)
+        SELECT stratum AS grp, count(*) AS n, count(CASE WHEN a.ok = 1 THEN 1 END) AS complete, count(CASE WHEN a.ok = 0 THEN 1 END) AS incomplete, count(CASE WHEN a.ok IS NULL THEN 1 END) AS missing, CAST(0 AS BIGINT) AS stray FROM w LEFT JOIN a ON a.sample_id = w.sample_id GROUP BY stratum
+        UNION ALL SELECT NULL, count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.sample_id = a.sample_id)""",
+    "drv3_rates": """WITH t AS (SELECT l_orderkey AS id, min(CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS TIMESTAMP) END) AS tm FROM lineitem GROUP BY l_orderkey), e AS (SELECT max(tm) AS e FROM t)
+        , h AS (SELECT h.h, count(CASE WHEN epoch(e.e) - epoch(t.tm) < 3600.0E0 * h.h THEN 1 END) AS solved, count(CASE WHEN t.tm IS NULL THEN 1 END) AS rest FROM t CROSS JOIN e CROSS JOIN (SELECT unnest([24, 240]) AS h) h GROUP BY h.h)
+        SELECT CAST(h AS INT) AS hours, solved, round(solved / CAST(h AS DOUBLE), 6) AS rate, rest AS left, CASE WHEN solved > 0 THEN round(rest / (solved / CAST(h AS DOUBLE)), 6) END AS eta_hours FROM h""",
+    "drv3_streamed_audit": """WITH w AS (SELECT o_orderkey AS id, 'p' || (o_custkey % 4) AS grp FROM orders WHERE o_orderkey % 50 <> 0), a AS (SELECT l_orderkey AS id, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS ok FROM lineitem WHERE l_orderkey % 40 <> 0 GROUP BY l_orderkey)
+        SELECT w.grp, count(*) AS n, count(CASE WHEN w.id IS NOT NULL AND a.ok = 1 THEN 1 END) AS complete, count(CASE WHEN w.id IS NOT NULL AND a.ok = 0 THEN 1 END) AS incomplete, count(CASE WHEN w.id IS NOT NULL AND a.id IS NULL THEN 1 END) AS missing, count(CASE WHEN w.id IS NULL THEN 1 END) AS stray
+        FROM w FULL JOIN a ON a.id = w.id GROUP BY w.grp""",
     "drv4_label_merge": "SELECT s.sample_id, s.stratum, round(s.porosity, 6) AS porosity, round(p.k_xx, 6) AS k_xx, round(p.k_yy, 6) AS k_yy FROM structures s JOIN perm p ON p.sample_id = s.sample_id",
     "drv5_label_summary": "SELECT s.stratum, CAST(count(*) AS BIGINT) AS n, round(avg(p.k_xx), 6) AS mean, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY p.k_xx), 6) AS median, round(max(greatest(p.k_xx, p.k_yy, p.k_zz)), 6) AS largest FROM structures s JOIN perm p ON p.sample_id = s.sample_id GROUP BY s.stratum",
     # -- relational --------------------------------------------------------------------
@@ -146,7 +187,6 @@ SQL = {
     "sta7_paired_t": """WITH d AS (SELECT r.target, r.grp, r.r2 - b.r2 AS d FROM runs r JOIN runs b ON b.target = r.target AND b.size = r.size AND b.seed = r.seed AND b.grp = 'g0' WHERE r.grp <> 'g0')
         SELECT target, grp, CAST(count(*) AS BIGINT) AS n, round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) ELSE 0 END, 5) + 0.0E0 AS t FROM d GROUP BY target, grp""",
     "sta8_scale_targets": "SELECT p.sample_id, round((k_xx - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 5) + 0.0E0 AS z FROM perm p CROSS JOIN (SELECT avg(k_xx) AS m, stddev_pop(k_xx) AS s FROM perm WHERE sample_id % 5 <> 0) t",
-    "sta13_sweep": "SELECT CAST(w.v AS INT) AS weight, CAST(b.v AS INT) AS bandwidth, CAST(r.v AS INT) AS rng, CAST(c.v AS INT) AS res FROM (SELECT v FROM axis8 WHERE v < 2) w CROSS JOIN (SELECT v FROM axis8 WHERE v < 2) b CROSS JOIN (SELECT v FROM axis8 WHERE v < 3) r CROSS JOIN (SELECT v FROM axis8 WHERE v < 5) c",
     "sta15_correlations": "SELECT kind, idx, round(corr(value, label), 5) + 0.0E0 AS r FROM feat GROUP BY kind, idx",
     "sta17_circular_shift": "SELECT sid, CAST((x + sid) % 16 AS INT) AS x, CAST((y + 2 * sid) % 16 AS INT) AS y, solid FROM lattice2",
     # -- arrivals ----------------------------------------------------------------------

@@ -52,6 +52,13 @@ VIEWS = {
     "oof": """SELECT l_orderkey AS sample_id, l_linenumber AS line, CAST(l_partkey % 5 AS INT) AS fold, l_shipdate AS at,
         CAST(floor(l_extendedprice) AS DOUBLE) AS truth,
         CASE WHEN l_partkey % 97 = 0 THEN CAST('NaN' AS DOUBLE) ELSE floor(l_extendedprice) * 0.9E0 + l_quantity END AS pred FROM lineitem""",
+    # Whole-number sticks on a periodic grid, a row a cell of a stick.
+    "stickcells": """SELECT DISTINCT sid, CAST(seg AS INT) AS seg, 2 AS width, CAST((x0 + t.v * dx) % 16 AS INT) AS x, CAST((y0 + t.v * dy) % 16 AS INT) AS y
+        FROM (SELECT p_partkey AS sid, k.v AS seg, (p_partkey * 3 + k.v * 5) % 16 AS x0, (p_size + k.v * 7) % 16 AS y0, (p_partkey + k.v) % 3 AS dx, 1 + (p_size + k.v) % 2 AS dy
+            FROM part CROSS JOIN (SELECT v FROM axis8 WHERE v < 5) k) s CROSS JOIN axis8 t""",
+    # Fluxes by step, falling towards a level that they wander about.
+    "fluxes": """SELECT sid, step, floor(40000.0E0 / step) + 500 + p17 AS qx, floor(9000.0E0 / step) - 60 + p5 AS qy
+        FROM (SELECT l_suppkey AS sid, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS step, l_partkey % 17 AS p17, l_partkey % 5 AS p5 FROM lineitem) t""",
     # Velocities on the cells of a structure.
     "velocity": """SELECT sid, x, y, solid, CASE WHEN solid = 1 THEN 0 ELSE (sid + 3 * x + 5 * y) % 17 END / 16.0E0 AS u,
         CASE WHEN solid = 1 THEN 0 ELSE (sid + 7 * x + 2 * y) % 13 - 6 END / 16.0E0 AS v FROM lattice2""",
@@ -100,7 +107,9 @@ def statement(sql: str, dialect: int) -> str:
     visit(sql)
     head = "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in need) if need else ""
     sql = sql.strip()
-    if head and sql.upper().startswith("WITH "):
+    if head and sql.upper().startswith("WITH RECURSIVE "):
+        head, sql = head.replace("WITH ", "WITH RECURSIVE ", 1), ", " + sql[15:]
+    elif head and sql.upper().startswith("WITH "):
         sql = ", " + sql[5:]
     text = spelled(f"{head} {sql}", dialect)
     return text.replace("LEFT ANTI JOIN", "ANTI JOIN").replace("LEFT SEMI JOIN", "SEMI JOIN") if dialect else text

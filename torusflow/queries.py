@@ -12,9 +12,11 @@ from .operators import lattice3 as L3
 from .operators import models as M
 from .operators import order
 from .operators import persistence as P
-from .operators import rocks, surface, symmetry
+from .operators import rocks, surface, sweep, symmetry
 from .operators import topology as T
 from .plans import frames, lattice_sql, relational, views
+from .sources import steps
+from .streaming import audit
 
 
 def _parts(spark, sf_dir: str) -> DataFrame:
@@ -122,5 +124,26 @@ MODELS = {
     "sta14_pca_components": _model(lambda rows: M.components(rows, 5)),
 }
 
+def _swept(spark, sf_dir: str) -> DataFrame:
+    """Images of the structures' bars in every setting, told by porosity and two-point correlations."""
+    packed = L.lattice2(_parts(spark, sf_dir))
+    por = packed.select("sid", (1 - F.aggregate("grid", F.lit(0), lambda a, x: a + x) / F.size("grid")).alias("porosity"))
+    pairs = L.two_point(packed).groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("dir", "lag", "s2"))), lambda s: s["s2"]).alias("s2"))
+    features = por.join(pairs, "sid").select("sid", F.array_prepend("s2", F.col("porosity")).alias("x"))
+    return sweep.sweep(P.persistence(packed), features, sides=(4, 8))
+
+
+def _streamed_audit(spark, sf_dir: str) -> DataFrame:
+    """Orders as wanted results and their lines as arrivals, replayed through the stream."""
+    table = lambda name: spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).option("recursiveFileLookup", "true").parquet(steps.stream_source(spark, sf_dir, name))
+    wanted = table("orders").where("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("sample_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 4).cast("string")).alias("stratum"))
+    lines = table("lineitem").where("l_orderkey % 40 <> 0").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_linestatus") == "F").alias("valid"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    place = steps.step_path(spark, "audit")
+    audit.tracked(audit.marked(wanted, lines), f"{place}/states", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return audit.report(audit.current(spark, f"{place}/states"))
+
+
+KERNELS |= {"sta13_sweep": _swept, "drv3_streamed_audit": _streamed_audit}
+
 QUERIES = KERNELS | MODELS | {name: views.query(sql) for name, sql in relational.SQL.items()} | frames.FRAMES
 ORACLES = {name: views.statement(sql, 1) for name, sql in (relational.SQL | lattice_sql.SQL).items()}

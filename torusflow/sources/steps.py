@@ -41,3 +41,9 @@ def forgotten(spark: SparkSession, path: str) -> None:
     """Deletes a step that has no reader left."""
     fs, place = _place(spark, path)
     fs.delete(place, True)
+
+
+def stream_source(spark: SparkSession, folder: str, name: str) -> str:
+    """A path that a file stream can watch for a table: its folder, or a pattern that its single file meets."""
+    fs, place = _place(spark, f"{folder}/{name}.parquet")
+    return f"{folder}/{name}.parquet" if fs.getFileStatus(place).isDirectory() else f"{folder}/{name}.parque[t]"
