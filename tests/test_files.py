@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from torusflow.operators import splits
 from torusflow.sources import files
@@ -112,18 +113,45 @@ def test_complete_labels(spark):
     assert files.complete(rows, ("k", "absent")).count() == 0
 
 
-def test_tables_are_published_whole(spark, tmp_path):
+def test_tables_are_published_whole(spark, tmp_path, monkeypatch):
     place = str(tmp_path / "labels.csv")
     df = spark.createDataFrame([(1, 0.5), (2, 0.25)], "sample_id long, k double")
-    assert files.published(df, place).count() == 2
+    ids = lambda: sorted(r["sample_id"] for r in files.read_published(spark, place, df.schema).collect())
+    versions = lambda: len([p for p in (tmp_path / "labels.csv").iterdir() if p.is_dir()])
 
-    def refuse(rows):
+    def refuse(*_):
         raise ValueError("not these")
 
+    with pytest.raises(ValueError, match="not these"):
+        files.published(df, place, refuse)
+    with pytest.raises(FileNotFoundError):
+        ids()
+    assert files.published(df, place).count() == 2 and ids() == [1, 2]
     with pytest.raises(ValueError, match="not these"):
         files.published(df.limit(1), place, refuse)
-    assert sorted(r["sample_id"] for r in spark.read.option("header", "true").schema(df.schema).csv(place).collect()) == [1, 2]
-    assert files.published(df.limit(1), place).count() == 1 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["labels.csv"]
+    assert ids() == [1, 2] and versions() == 1
+    # The swap fails before it is done, or just after: the old table or the new one, never none or half.
+    swap = files._swapped
+    monkeypatch.setattr(files, "_swapped", refuse)
+    with pytest.raises(ValueError):
+        files.published(df.where("sample_id = 2"), place)
+    assert ids() == [1, 2] and versions() == 1
+
+    def late(*a):
+        swap(*a)
+        raise OSError("the store went away")
+
+    monkeypatch.setattr(files, "_swapped", late)
+    with pytest.raises(OSError):
+        files.published(df.where("sample_id = 2"), place)
+    assert ids() == [2]
+    monkeypatch.setattr(files, "_swapped", swap)
+    for i in range(3):
+        files.published(df.withColumn("sample_id", F.lit(10 + i).cast("long")).limit(1), place)
+        assert ids() == [10 + i] and versions() == 2
+    # A table may be published from its own last version.
+    files.published(files.read_published(spark, place, df.schema).withColumn("k", F.lit(1.5)), place)
+    assert files.read_published(spark, place, df.schema).first()["k"] == 1.5
 
 
 def test_runs_are_written_and_read_back(spark, tmp_path):

@@ -9,10 +9,12 @@ from __future__ import annotations
 import io
 import json
 import struct
+import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -227,31 +229,67 @@ def read_metrics(spark: SparkSession, spec: str) -> DataFrame:
     return rows.select("kind", "seed", "n_rows", "koff_ceiling", "e.group", "e.target", F.coalesce("e.mode", F.lit("single")).alias("mode"), "e.n_features", F.inline("e.folds"))
 
 
-def published(df: DataFrame, path: str, check=None) -> DataFrame:
-    """Writes a table as CSV beside its place, checks what was written, and only then renames it there.
+POINTER = "CURRENT"
 
-    check(rows) raises if the rows must not be published; the old table stays until then.
+
+def _swapped(spark: SparkSession, new, place) -> None:
+    """Renames a file over another one in one step; the store raises where it can't."""
+    jvm = spark._jvm
+    how = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(new, place, how)
+
+
+def version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that is published under a path, None before the first."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return f"{path}/{spark.read.text(f'{path}/{POINTER}').first()[0]}"
+
+
+def read_published(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows of the version that is published now; a reader keeps its version until ``kept`` later ones have come."""
+    found = version(spark, path)
+    if not found:
+        raise FileNotFoundError(f"nothing is published under {path}")
+    return spark.read.schema(schema).option("header", "true").csv(found)
+
+
+def published(df: DataFrame, path: str, check=None, kept: int = 2) -> DataFrame:
+    """Writes a table as CSV into a folder of its own version, checks what was written, and only then
+    lets the pointer name it.
+
+    check(rows) raises if the rows must not be published. The pointer is a small file that is
+    replaced in one step, last of all: whenever a step fails, readers have the table of before.
+    The ``kept`` latest versions stay, older ones are deleted after the swap.
     """
-    spark = df.sparkSession
+    spark, name = df.sparkSession, f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old, place = fs_path(f"{path}.new"), fs_path(f"{path}.old"), fs_path(path)
+    new, place = fs_path(f"{path}/{name}"), fs_path(f"{path}/{POINTER}")
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").option("header", "true").csv(f"{path}.new")
-    rows = spark.read.schema(df.schema).option("header", "true").csv(f"{path}.new")
+    seen = Observation()
     try:
-        if rows.count() != df.count():
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("header", "true").csv(f"{path}/{name}")
+        rows = spark.read.schema(df.schema).option("header", "true").csv(f"{path}/{name}")
+        if rows.count() != seen.get["n"]:
             raise ValueError("rows were lost in writing")
         if check:
             check(rows)
-    except Exception:
-        fs.delete(new, True)
+        sign = fs_path(f"{path}/.{name}")
+        out = fs.create(sign, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        _swapped(spark, sign, place)
+    except BaseException:
+        if version(spark, path) != f"{path}/{name}":  # the swap may have been done before it failed
+            fs.delete(new, True)
+            fs.delete(fs_path(f"{path}/.{name}"), True)
         raise
-    if fs.exists(place):
-        fs.delete(old, True)
-        fs.rename(place, old)
-    fs.rename(new, place)
-    fs.delete(old, True)
-    return spark.read.schema(df.schema).option("header", "true").csv(path)
+    old = sorted(s.getPath().getName() for s in fs.listStatus(fs_path(path)) if s.isDirectory() and s.getPath().getName().startswith("v"))
+    for gone in [o for o in old if o < name][: -(kept - 1) or None]:
+        fs.delete(fs_path(f"{path}/{gone}"), True)
+    return rows
 
 
 def write_run(folds: DataFrame, path: str, *, kind: str, arguments: dict) -> None:
