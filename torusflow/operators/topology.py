@@ -187,9 +187,14 @@ def winding(packed: DataFrame, dims: int = 2) -> DataFrame:
     return kernel(packed, dims, work, "sid long, rank int, cells long, windings int, basis string, along string")
 
 
-def critical_radius(packed: DataFrame, dims: int = 2, cap: float = 28.0) -> DataFrame:
+def critical_radius(packed: DataFrame, dims: int = 2, cap: float | None = None) -> DataFrame:
     """The largest radius at which the wider pore still winds along each direction, its square
-    times the squared porosity, and what share of the pore that cluster has. Zero where none winds."""
+    times the squared porosity, and what share of the pore that cluster has. Zero where none winds.
+
+    Distances are followed up to half the diagonal of the torus, which none exceeds, or up to a
+    cap; a structure with a pore as wide as a cap of less than that is an error, since radii
+    beyond it would be understated. One without any solid has no radius (null).
+    """
     turns = [d[::-1] for d in _directions(dims)]
     sides = [s for d in _steps(dims, False) for s in (d, tuple(-v for v in d))]
 
@@ -219,9 +224,16 @@ def critical_radius(packed: DataFrame, dims: int = 2, cap: float = 28.0) -> Data
         return found
 
     def work(ids, g):
-        wide = np.where(g == 0, distance(g, 0, cap), 0)
+        most = float(np.sqrt(dims) * (g.shape[1] // 2 + 1))
+        bare = (g == 0).reshape(len(g), -1).all(1)
+        wide = np.where(g == 0, distance(g, 0, min(cap or most, most)), 0)
+        if cap is not None and cap < most and (wide[~bare] >= cap).any():
+            raise ValueError(f"a pore is as wide as the cap of {cap}")
         rows = []
-        for i, pore, w in zip(ids.tolist(), g == 0, wide):
+        for i, pore, w, free in zip(ids.tolist(), g == 0, wide, bare):
+            if free:
+                rows += [(i, q, None, None, None) for q in range(len(turns))]
+                continue
             found, phi = one(pore, w), pore.mean()
             for q in range(len(turns)):
                 r, s = found.get(q, (0.0, 0.0))

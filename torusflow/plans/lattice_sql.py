@@ -4,8 +4,8 @@ from ..operators.surface import cases
 
 DIRS = "(SELECT 0 AS dir, 1 AS dx, 0 AS dy UNION ALL SELECT 1, 1, 1 UNION ALL SELECT 2, 0, 1 UNION ALL SELECT 3, -1, 1)"
 #: Distance of each pore cell to the nearest solid cell around the torus: within its row, then over rows.
-EDT = """near AS (SELECT a.sid, a.x, a.y, min((least(abs(a.x - b.x), 16 - abs(a.x - b.x))) * (least(abs(a.x - b.x), 16 - abs(a.x - b.x)))) AS f FROM lattice2 a JOIN lattice2 b ON b.sid = a.sid AND b.y = a.y WHERE b.solid = 1 GROUP BY a.sid, a.x, a.y)
-    , dt AS (SELECT a.sid, a.x, a.y, least(coalesce(sqrt(min(n.f + (least(abs(a.y - n.y), 16 - abs(a.y - n.y))) * (least(abs(a.y - n.y), 16 - abs(a.y - n.y))))), {cap}), {cap}) AS d
+EDT = """near AS MATERIALIZED (SELECT a.sid, a.x, a.y, min((least(abs(a.x - b.x), 16 - abs(a.x - b.x))) * (least(abs(a.x - b.x), 16 - abs(a.x - b.x)))) AS f FROM lattice2 a JOIN lattice2 b ON b.sid = a.sid AND b.y = a.y WHERE b.solid = 1 GROUP BY a.sid, a.x, a.y)
+    , dt AS MATERIALIZED (SELECT a.sid, a.x, a.y, least(coalesce(sqrt(min(n.f + (least(abs(a.y - n.y), 16 - abs(a.y - n.y))) * (least(abs(a.y - n.y), 16 - abs(a.y - n.y))))), {cap}), {cap}) AS d
     FROM (SELECT * FROM lattice2 WHERE solid = 0) a LEFT JOIN near n ON n.sid = a.sid AND n.x = a.x GROUP BY a.sid, a.x, a.y)"""
 WEDGE = """wedge AS (SELECT t.dir, a.v - 8 AS di, b.v - 8 AS dj FROM (SELECT 0 AS dir, 1.0E0 AS c, 0.0E0 AS s UNION ALL SELECT 1, sqrt(0.5E0), sqrt(0.5E0) UNION ALL SELECT 2, 0.0E0, 1.0E0 UNION ALL SELECT 3, -sqrt(0.5E0), sqrt(0.5E0)) t
     CROSS JOIN (SELECT v FROM axis32 WHERE v <= 16) a CROSS JOIN (SELECT v FROM axis32 WHERE v <= 16) b
@@ -31,9 +31,9 @@ NORMALS3 = """sides AS (SELECT 1 AS ox, 0 AS oy, 0 AS oz UNION ALL SELECT -1, 0,
     , t AS (SELECT sid, x, y, z, gx, gy, gz, gx * gx + gy * gy + gz * gz AS m FROM n WHERE gx <> 0 OR gy <> 0 OR gz <> 0)"""
 _wrapped = lambda a: f"least(abs(a.{a} - b.{a}), 8 - abs(a.{a} - b.{a})) * least(abs(a.{a} - b.{a}), 8 - abs(a.{a} - b.{a}))"
 #: The distance transform in space, axis by axis.
-EDT3 = f"""e1 AS (SELECT a.sid, a.x, a.y, a.z, min({_wrapped("x")}) AS f FROM lattice3 a JOIN lattice3 b ON b.sid = a.sid AND b.y = a.y AND b.z = a.z WHERE b.solid = 1 GROUP BY a.sid, a.x, a.y, a.z)
-    , e2 AS (SELECT a.sid, a.x, a.y, a.z, min(b.f + {_wrapped("y")}) AS f FROM lattice3 a JOIN e1 b ON b.sid = a.sid AND b.x = a.x AND b.z = a.z GROUP BY a.sid, a.x, a.y, a.z)
-    , dt AS (SELECT a.sid, a.x, a.y, a.z, least(coalesce(sqrt(min(b.f + {_wrapped("z")})), 4.0E0), 4.0E0) AS d FROM (SELECT * FROM lattice3 WHERE solid = 0) a LEFT JOIN e2 b ON b.sid = a.sid AND b.x = a.x AND b.y = a.y GROUP BY a.sid, a.x, a.y, a.z)
+EDT3 = f"""e1 AS MATERIALIZED (SELECT a.sid, a.x, a.y, a.z, min({_wrapped("x")}) AS f FROM lattice3 a JOIN lattice3 b ON b.sid = a.sid AND b.y = a.y AND b.z = a.z WHERE b.solid = 1 GROUP BY a.sid, a.x, a.y, a.z)
+    , e2 AS MATERIALIZED (SELECT a.sid, a.x, a.y, a.z, min(b.f + {_wrapped("y")}) AS f FROM lattice3 a JOIN e1 b ON b.sid = a.sid AND b.x = a.x AND b.z = a.z GROUP BY a.sid, a.x, a.y, a.z)
+    , dt AS MATERIALIZED (SELECT a.sid, a.x, a.y, a.z, least(coalesce(sqrt(min(b.f + {_wrapped("z")})), 4.0E0), 4.0E0) AS d FROM (SELECT * FROM lattice3 WHERE solid = 0) a LEFT JOIN e2 b ON b.sid = a.sid AND b.x = a.x AND b.y = a.y GROUP BY a.sid, a.x, a.y, a.z)
     , f AS (SELECT l.sid, l.x, l.y, l.z, coalesce(1 - d / 4, 1.25E0) AS f FROM lattice3 l LEFT JOIN dt ON dt.sid = l.sid AND dt.x = l.x AND dt.y = l.y AND dt.z = l.z)"""
 
 #: Area and products of normals of the 256 cases, as the mesh's rule gives them.
@@ -58,9 +58,9 @@ SQL = {
         , e AS (SELECT *, (i1 + 2 * g * cos(phi)) / 3 AS e1, (i1 + 2 * g * cos(phi - 2 * pi() / 3)) / 3 AS e2, (i1 + 2 * g * cos(phi + 2 * pi() / 3)) / 3 AS e3 FROM w)
         SELECT sid, round(xx, 5) + 0.0E0 AS fxx, round(yy, 5) + 0.0E0 AS fyy, round(zz, 5) + 0.0E0 AS fzz, round(xy, 5) + 0.0E0 AS fxy, round(xz, 5) + 0.0E0 AS fxz, round(yz, 5) + 0.0E0 AS fyz,
         round(e1, 4) + 0.0E0 AS e1, round(e2, 4) + 0.0E0 AS e2, round(e3, 4) + 0.0E0 AS e3, round(sqrt(1.5E0 * (power(e1 - i1 / 3, 2) + power(e2 - i1 / 3, 2) + power(e3 - i1 / 3, 2)) / (e1 * e1 + e2 * e2 + e3 * e3)), 4) + 0.0E0 AS fa FROM e""",
-    "dsc5_fabric_profile": f"""WITH {NORMALS3}, p AS (SELECT sid, CAST(dir AS INT) AS dir, (dx * x + dy * y + dz * z + 8) % 8 AS plane, avg(power(gx * dx + gy * dy + gz * dz, 2) / (m * (dx * dx + dy * dy + dz * dz))) AS v FROM t CROSS JOIN {DIRS3} d GROUP BY 1, 2, 3)
+    "dsc5_fabric_profile": f"""WITH {NORMALS3}, p AS MATERIALIZED (SELECT sid, CAST(dir AS INT) AS dir, (dx * x + dy * y + dz * z + 8) % 8 AS plane, avg(power(gx * dx + gy * dy + gz * dz, 2) / (m * (dx * dx + dy * dy + dz * dz))) AS v FROM t CROSS JOIN {DIRS3} d GROUP BY 1, 2, 3)
         , g AS (SELECT s.sid, CAST(d.dir AS INT) AS dir, a.v AS plane, a.v + 8 * k.v - 8 AS q FROM (SELECT p_partkey AS sid FROM part) s CROSS JOIN {DIRS3} d CROSS JOIN axis8 a CROSS JOIN (SELECT v FROM axis8 WHERE v < 3) k)
-        , r AS (SELECT g.sid, g.dir, g.plane, g.q, p.v, CASE WHEN p.v IS NOT NULL THEN g.q END AS place FROM g LEFT JOIN p ON p.sid = g.sid AND p.dir = g.dir AND p.plane = g.plane)
+        , r AS MATERIALIZED (SELECT g.sid, g.dir, g.plane, g.q, p.v, CASE WHEN p.v IS NOT NULL THEN g.q END AS place FROM g LEFT JOIN p ON p.sid = g.sid AND p.dir = g.dir AND p.plane = g.plane)
         , b AS (SELECT *, max(place) OVER (PARTITION BY sid, dir ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q0, min(place) OVER (PARTITION BY sid, dir ORDER BY q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q1 FROM r)
         SELECT b.sid, b.dir, CAST(b.plane AS INT) AS plane, round(round(CASE WHEN b.v IS NOT NULL THEN b.v ELSE lo.v + (b.q - b.q0) * (hi.v - lo.v) / (b.q1 - b.q0) END, 9), 6) + 0.0E0 AS profile
         FROM b LEFT JOIN r lo ON lo.sid = b.sid AND lo.dir = b.dir AND lo.q = b.q0 LEFT JOIN r hi ON hi.sid = b.sid AND hi.dir = b.dir AND hi.q = b.q1 WHERE b.q BETWEEN 0 AND 7""",
@@ -98,9 +98,14 @@ SQL = {
         SELECT p.p_partkey AS sid, round(xx, 5) + 0.0E0 AS fxx, round(xy, 5) + 0.0E0 AS fxy, round(yy, 5) + 0.0E0 AS fyy, round((xx + yy) / 2 - sqrt(greatest(power(xx + yy, 2) / 4 - (xx * yy - xy * xy), 0)), 5) + 0.0E0 AS e_min, round((xx + yy) / 2 + sqrt(greatest(power(xx + yy, 2) / 4 - (xx * yy - xy * xy), 0)), 5) + 0.0E0 AS e_max FROM part p LEFT JOIN t ON t.sid = p.p_partkey""",
     "dsc9_wedge_occupancy": occupancy("1", "avg(b.solid)"),
     "dsc11_void_occupancy": occupancy("0", "(1 - avg(b.solid))"),
-    "dsc10_local_axis": """WITH disc AS (SELECT a.v - 4 AS di, b.v - 4 AS dj FROM axis16 a CROSS JOIN axis16 b WHERE (a.v - 4) * (a.v - 4) + (b.v - 4) * (b.v - 4) <= 16)
-        , m AS (SELECT a.sid, a.x, a.y, count(*) AS n, CAST(sum(di) AS DOUBLE) AS si, CAST(sum(dj) AS DOUBLE) AS sj, CAST(sum(di * di) AS DOUBLE) AS sii, CAST(sum(di * dj) AS DOUBLE) AS sij, CAST(sum(dj * dj) AS DOUBLE) AS sjj
-            FROM lattice2 a CROSS JOIN disc JOIN lattice2 b ON b.sid = a.sid AND b.x = (a.x + dj + 16) % 16 AND b.y = (a.y + di + 16) % 16 WHERE a.solid = 1 AND b.solid = 1 GROUP BY a.sid, a.x, a.y)
+    # Moments of the disc from those of its rows, which are windows over each row with its ends repeated.
+    "dsc10_local_axis": """WITH pad AS (SELECT l.sid, l.y, k.v - 4 AS u, l.solid FROM lattice2 l JOIN axis32 k ON k.v < 24 AND l.x = (k.v + 12) % 16)
+        , w AS MATERIALIZED (SELECT * FROM (SELECT sid, y, u, sum(solid) OVER w0 AS c0, sum(solid * u) OVER w0 AS s0, sum(solid * u * u) OVER w0 AS q0, sum(solid) OVER w2 AS c2, sum(solid * u) OVER w2 AS s2, sum(solid * u * u) OVER w2 AS q2, sum(solid) OVER w3 AS c3, sum(solid * u) OVER w3 AS s3, sum(solid * u * u) OVER w3 AS q3, sum(solid) OVER w4 AS c4, sum(solid * u) OVER w4 AS s4, sum(solid * u * u) OVER w4 AS q4 FROM pad
+            WINDOW w0 AS (PARTITION BY sid, y ORDER BY u ROWS BETWEEN 0 PRECEDING AND 0 FOLLOWING), w2 AS (PARTITION BY sid, y ORDER BY u ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), w3 AS (PARTITION BY sid, y ORDER BY u ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), w4 AS (PARTITION BY sid, y ORDER BY u ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) WHERE u BETWEEN 0 AND 15)
+        , r AS MATERIALIZED (SELECT sid, y, u AS x, 0 AS wide, c0 AS n, s0 - u * c0 AS s1, q0 - 2 * u * s0 + u * u * c0 AS s2 FROM w UNION ALL SELECT sid, y, u AS x, 2 AS wide, c2 AS n, s2 - u * c2 AS s1, q2 - 2 * u * s2 + u * u * c2 AS s2 FROM w UNION ALL SELECT sid, y, u AS x, 3 AS wide, c3 AS n, s3 - u * c3 AS s1, q3 - 2 * u * s3 + u * u * c3 AS s2 FROM w UNION ALL SELECT sid, y, u AS x, 4 AS wide, c4 AS n, s4 - u * c4 AS s1, q4 - 2 * u * s4 + u * u * c4 AS s2 FROM w)
+        , d AS (SELECT unnest([0, -1, 1, -2, 2, -3, 3, -4, 4]) AS di, unnest([4, 3, 3, 3, 3, 2, 2, 0, 0]) AS wide)
+        , m AS MATERIALIZED (SELECT a.sid, a.x, a.y, CAST(sum(n) AS BIGINT) AS n, CAST(sum(di * n) AS DOUBLE) AS si, CAST(sum(s1) AS DOUBLE) AS sj, CAST(sum(di * di * n) AS DOUBLE) AS sii, CAST(sum(di * s1) AS DOUBLE) AS sij, CAST(sum(s2) AS DOUBLE) AS sjj
+            FROM (SELECT * FROM lattice2 WHERE solid = 1) a CROSS JOIN d JOIN r ON r.sid = a.sid AND r.x = a.x AND r.y = (a.y + di + 16) % 16 AND r.wide = d.wide GROUP BY a.sid, a.x, a.y)
         , c AS (SELECT sid, x, y, n, n * sii - si * si AS a, n * sij - si * sj AS b, n * sjj - sj * sj AS c FROM m)
         , v AS (SELECT sid, x, y, n, CASE WHEN b = 0 THEN CASE WHEN a >= c THEN 1.0E0 ELSE 0.0E0 END ELSE 0.5E0 * (a + c) + sqrt(0.25E0 * power(a - c, 2) + b * b) - c END AS vi, CASE WHEN b = 0 THEN CASE WHEN a >= c THEN 0.0E0 ELSE 1.0E0 END ELSE b END AS vj FROM c)
         SELECT l.sid, l.x, l.y, round(CASE WHEN v.sid IS NULL THEN 1.25E0 WHEN n < 2 THEN 1.0E0 ELSE 1 - abs(vj) / sqrt(vi * vi + vj * vj) END, 5) + 0.0E0 AS along_x, round(CASE WHEN v.sid IS NULL THEN 1.25E0 WHEN n < 2 THEN 1.0E0 ELSE 1 - abs(vi) / sqrt(vi * vi + vj * vj) END, 5) + 0.0E0 AS along_y

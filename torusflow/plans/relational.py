@@ -190,5 +190,5 @@ SQL = {
     "sta15_correlations": "SELECT kind, idx, round(corr(value, label), 5) + 0.0E0 AS r FROM feat GROUP BY kind, idx",
     "sta17_circular_shift": "SELECT sid, CAST((x + sid) % 16 AS INT) AS x, CAST((y + 2 * sid) % 16 AS INT) AS y, solid FROM lattice2",
     # -- arrivals ----------------------------------------------------------------------
-    "stream_hourly_rate": "SELECT event_type, CAST(floor(#epoch(ts) / 3600) AS BIGINT) AS hour, CAST(count(DISTINCT event_id) AS BIGINT) AS n FROM events GROUP BY event_type, 2",
+    "stream_hourly_rate": "SELECT event_type, CAST(floor(#epoch(ts) / 3600) AS BIGINT) AS hour, CAST(count(DISTINCT event_id) AS BIGINT) AS n FROM events WHERE value IS NOT NULL AND isfinite(value) GROUP BY event_type, 2",
 }

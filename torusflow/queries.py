@@ -16,7 +16,7 @@ from .operators import rocks, surface, sweep, symmetry
 from .operators import topology as T
 from .plans import frames, lattice_sql, relational, views
 from .sources import steps
-from .streaming import audit
+from .streaming import arrivals, audit
 
 
 def _parts(spark, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ KERNELS = {
     "top1_percolation_3d": _on3(lambda packed: T.percolates(packed, 3)),
     "top5_components_3d": _on3(lambda packed: T.component_counts(packed, 3)),
     "top6_windings_3d": _on3(lambda packed: T.winding(packed, 3)),
-    "top7_critical_radius_3d": _on3(lambda packed: T.critical_radius(packed, 3, 4.0)),
+    "top7_critical_radius_3d": _on3(lambda packed: T.critical_radius(packed, 3)),
     "lbm2_permeability_3d": _on3(lambda packed: flow.tensor(packed, 3)),
     "gen5_structures": lambda spark, sf_dir: G.structures(_parts(spark, sf_dir), id_col="p_partkey", n=32),
     "gen16_structures_3d": lambda spark, sf_dir: G.structures(_parts(spark, sf_dir), id_col="p_partkey", n=12, dims=3),
@@ -143,7 +143,21 @@ def _streamed_audit(spark, sf_dir: str) -> DataFrame:
     return audit.report(audit.current(spark, f"{place}/states"))
 
 
-KERNELS |= {"sta13_sweep": _swept, "drv3_streamed_audit": _streamed_audit}
+def _streamed_rate(spark, sf_dir: str) -> DataFrame:
+    """Events replayed through the stream; each epoch writes all counts, the last one has them."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    place = steps.step_path(spark, "rate")
+    rows = arrivals.hourly_rate(arrivals.arrivals(spark, steps.stream_source(spark, sf_dir, "events"), schema))
 
-QUERIES = KERNELS | MODELS | {name: views.query(sql) for name, sql in relational.SQL.items()} | frames.FRAMES
+    def write(counts: DataFrame, epoch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{place}/rows")
+
+    rows.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("hour timestamp, event_type string, n long").parquet(f"{place}/rows")
+    return found.select("event_type", F.floor(F.unix_timestamp("hour") / 3600).cast("long").alias("hour"), "n")
+
+
+KERNELS |= {"stream_hourly_rate": _streamed_rate, "sta13_sweep": _swept, "drv3_streamed_audit": _streamed_audit}
+
+QUERIES = {name: views.query(sql) for name, sql in relational.SQL.items()} | KERNELS | MODELS | frames.FRAMES
 ORACLES = {name: views.statement(sql, 1) for name, sql in (relational.SQL | lattice_sql.SQL).items()}
