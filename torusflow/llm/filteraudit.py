@@ -28,7 +28,7 @@ from math import factorial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -138,10 +138,10 @@ def audit(index: DataFrame, filters: str = FILTERS) -> DataFrame:
             steps.append((subset, f, name, step, factorial(step - 1) * factorial(m - step)))
             subset |= 1 << f
     steps = spark.createDataFrame(steps, "subset int, filter int, filter_order string, step int, orders long")
-    # A filter comes after a subset in so many orders.
+    # A filter comes after a subset in so many orders; of a part it has half of all subsets.
     weight = steps.select("subset", "filter", "orders").distinct()
-    shapley = sums.join(F.broadcast(weight), ["subset", "filter"]).groupBy("part", "filter").agg(F.sum(F.col("removed") * F.col("orders")).alias("shapley"))
-    return sums.join(shapley, ["part", "filter"]).join(F.broadcast(steps), ["subset", "filter"]).select("part", "filter_order", "step", *COUNTS, "shapley")
+    told = sums.join(F.broadcast(weight), ["subset", "filter"]).withColumn("shapley", F.sum(F.col("removed") * F.col("orders")).over(Window.partitionBy("part", "filter")))
+    return told.drop("orders").join(F.broadcast(steps), ["subset", "filter"]).select("part", "filter_order", "step", *COUNTS, "shapley")
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
