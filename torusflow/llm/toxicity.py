@@ -5,7 +5,7 @@ texts, each sentence with an identity term has counterfactuals in which all its
 way to others of their kinds; the fit penalises the squared change of the sentence's score
 between the two, beside the usual squared weights, so that naming a group is no evidence
 in itself. Terms are names of groups and gendered pronouns of four languages; the latter
-are what the labelled texts at hand hold.
+are what the labelled texts at hand hold (``swaps`` counts them).
 
 Edge cases: null and empty texts have no words and get the score of the offset alone;
 without labelled rows of both classes the score is the share of class 1 (0.5 without
@@ -17,6 +17,7 @@ whatever their length.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,7 +52,7 @@ IDENTITY = (
     # Pronouns by gender.
     ("he", "she"), ("him", "her"), ("his", "hers"), ("himself", "herself"),
     ("er", "sie"), ("ihn", "ihr"), ("il", "elle"), ("ils", "elles"), ("ellos", "ellas"),
-    ("él", "ella"), ("el", "ella"),  # the latter without its accent
+    ("él", "ella"),  # never without its accent: "el" is an article
     ("judíos", "cristianos", "musulmanes", "extranjeros", "refugiados"),
 )
 
@@ -88,13 +89,24 @@ def counterfactuals(sentence: str, kinds: dict[str, list[tuple[str, ...]]], word
     return out
 
 
-def changes(texts: list[str], terms=IDENTITY) -> list[tuple[frozenset, frozenset, int]]:
-    """What swaps take out of sentences and put in, as sets of features, and how many swaps do so."""
+def _finder(terms) -> tuple[dict[str, list[tuple[str, ...]]], re.Pattern]:
+    """The kinds of each term, and a pattern of all terms as whole words."""
     kinds: dict[str, list[tuple[str, ...]]] = {}
     for group in terms:
         for t in group:
             kinds.setdefault(t, []).append(group)
-    word = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, kinds), key=len, reverse=True)) + r")\b")
+    return kinds, re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, kinds), key=len, reverse=True)) + r")\b")
+
+
+def swaps(texts: list[str], terms=IDENTITY) -> dict[str, int]:
+    """How often each identity term is in the texts, that is, is swapped; the commonest first."""
+    _, word = _finder(terms)
+    return dict(Counter(t for text in texts for t in word.findall(text.lower())).most_common())
+
+
+def changes(texts: list[str], terms=IDENTITY) -> list[tuple[frozenset, frozenset, int]]:
+    """What swaps take out of sentences and put in, as sets of features, and how many swaps do so."""
+    kinds, word = _finder(terms)
     of = lambda t: frozenset(places(np.frombuffer(t.encode(), np.uint8)).tolist())
     found: dict[tuple[frozenset, frozenset], int] = {}
     for text in texts:
