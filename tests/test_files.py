@@ -8,6 +8,12 @@ from torusflow.operators import splits
 from torusflow.sources import files
 
 
+def digest(ids):
+    import hashlib
+
+    return hashlib.sha256(",".join(map(str, sorted(ids.tolist()))).encode()).hexdigest()
+
+
 def test_raw_round_trip(spark, tmp_path):
     g = np.random.default_rng(0).integers(0, 2, (5, 7, 11)).astype(np.uint8)
     assert (files.decode_raw(files.encode_raw(g)) == g).all()
@@ -52,11 +58,11 @@ def test_golden_split_matches_the_known_hash(spark):
     ids = np.arange(5000)
     stratum = np.array(["iso", "mod", "strong"])[ids % 3]
     held = splits.golden(ids, stratum, 1000, 12345)
-    assert len(held) == 999 and splits.digest(held) == "2609c9efa1f31d1e608c33e089f7ef9bb70bb5f578eeb920af6eb8babec8fb14"
+    assert len(held) == 999 and digest(held) == "2609c9efa1f31d1e608c33e089f7ef9bb70bb5f578eeb920af6eb8babec8fb14"
     split = spark.createDataFrame([(int(i), "golden") for i in held], "sample_id long, split string")
-    assert files.verified_split(split, splits.digest(held)).count() == 999
+    assert files.verified_split(split, digest(held)).count() == 999
     with pytest.raises(ValueError):
-        files.verified_split(split.where("sample_id > 10"), splits.digest(held))
+        files.verified_split(split.where("sample_id > 10"), digest(held))
 
 
 def test_orders_and_p():
@@ -68,6 +74,14 @@ def test_orders_and_p():
     assert abs(splits.paired_p(12.7062, 1) - 0.05) < 1e-5 and abs(splits.paired_p(4.302653, 2) - 0.05) < 1e-5
 
 
+def test_text_velocities(spark, tmp_path):
+    (tmp_path / "000007.fx.dat").write_text("\n".join(f"{x + 10 * y} -{x}.5" for y in range(2) for x in range(3)) + "\n")
+    got = {(r["x"], r["y"]): (r["sample_id"], r["u"], r["v"]) for r in files.read_velocity_dat(spark, str(tmp_path), 3, 2).collect()}
+    assert got == {(x, y): (7, x + 10.0 * y, -x - 0.5) for x in range(3) for y in range(2)}
+    with pytest.raises(Exception, match="not 8 rows"):
+        files.read_velocity_dat(spark, str(tmp_path), 4, 2).collect()
+
+
 def test_stream_counts_once(spark, tmp_path):
     from torusflow.streaming.arrivals import arrivals, hourly_rate
 

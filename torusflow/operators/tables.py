@@ -7,8 +7,35 @@ from pyspark.sql import functions as F
 
 from .order import quantiles
 
-#: Prefixes of feature columns by group (fixed names; a column is prefix, direction tag and number).
-GROUPS = ("por", "tpc", "fab", "fabdir", "ecp", "ph", "thr", "conn", "kc", "cp")
+#: Named groups of features by the prefixes of their columns (a column is prefix, direction tag and number).
+GROUPS = {
+    "ecp": ("ecp",),
+    "ph": ("ph",),
+    "tda": ("ecp", "ph"),
+    "por": ("por",),
+    "tpc": ("tpc",),
+    "fab": ("fab",),
+    "fabdir": ("fabdir",),
+    "conn": ("conn",),
+    "thr": ("thr",),
+    "baselines": ("por", "tpc", "fab", "fabdir"),
+    "all": ("ecp", "ph", "por", "tpc", "fab", "fabdir"),
+    "baselines+conn": ("por", "tpc", "fab", "fabdir", "conn"),
+    "tda+conn": ("ecp", "ph", "conn"),
+    "all+conn": ("ecp", "ph", "por", "tpc", "fab", "fabdir", "conn"),
+    "tpc+thr": ("tpc", "thr"),
+    "baselines+thr": ("por", "tpc", "fab", "fabdir", "thr"),
+    "tda+thr": ("ecp", "ph", "thr"),
+    "all+thr": ("ecp", "ph", "por", "tpc", "fab", "fabdir", "thr"),
+    "kc": ("kc",),
+    "cp": ("cp",),
+    "phys": ("kc", "cp"),
+    "phys+thr": ("kc", "cp", "thr"),
+    "classical": ("por", "tpc", "fab", "fabdir", "kc", "cp"),
+    "classical+thr": ("por", "tpc", "fab", "fabdir", "kc", "cp", "thr"),
+    "classical+tda": ("por", "tpc", "fab", "fabdir", "kc", "cp", "ecp", "ph"),
+    "classical+tda+thr": ("por", "tpc", "fab", "fabdir", "kc", "cp", "ecp", "ph", "thr"),
+}
 #: Columns that describe a structure rather than measure it.
 METADATA = ("sample_id", "filename", "stratum")
 
@@ -28,6 +55,25 @@ def feature_columns(df: DataFrame, key: str = "sample_id", metadata: tuple[str,
     return [c for c in df.columns if c != key and c not in metadata]
 
 
+def group_prefixes(name: str) -> tuple[str, ...]:
+    """The prefixes of a named group; an unknown name raises."""
+    if name not in GROUPS:
+        raise ValueError(f"no group {name}: {', '.join(GROUPS)}")
+    return GROUPS[name]
+
+
+def group_columns(df: DataFrame, name: str) -> list[str]:
+    """The columns of a named group in a wide table, in its order; ``porosity`` is a group of its own."""
+    return ["porosity"] if name == "porosity" else [c for c in df.columns if c.split("_")[0] in group_prefixes(name) and "_" in c]
+
+
+def group_rows(narrow: DataFrame, names: list[str], kind: str = "kind") -> DataFrame:
+    """The rows of a narrow table in each of the named groups, with the group as ``grp``; a row is in every group that has its kind."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("grp"), F.lit(p).alias("__kind")) for n in names for p in group_prefixes(n)])
+    mine = F.filter(pairs, lambda g: g["__kind"] == F.col(kind))
+    return narrow.select("*", F.explode(F.transform(mine, lambda g: g["grp"])).alias("grp"))
+
+
 def read_part(df: DataFrame, key: str = "sample_id") -> DataFrame:
     """The part, if it has the key, a feature and a row."""
     if not feature_columns(df, key):
@@ -204,6 +250,46 @@ def paired_t(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count("*").alias("n"), r6(F.when(sd > 0, F.avg("d") / (sd / F.sqrt(F.count("*")))).otherwise(0.0), 5).alias("t"))
 
 
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with whole degrees of freedom, by its finite series."""
+    x = F.atan2(F.abs(t), F.sqrt(df))
+    s, c2 = F.sin(x), F.cos(x) * F.cos(x)
+    odd = df % 2 == 1
+    # Factors (j - 1) / j of the cosine's square: j = 3, 5, ... for odd df, 2, 4, ... for even.
+    first = F.when(odd, 3).otherwise(2)
+    steps = F.when(df - 2 >= first, F.sequence(first, (df - 2).cast("int"), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def add(a, j):
+        term = a["term"] * c2 * (j - 1) / j
+        return F.struct(term.alias("term"), (a["total"] + term).alias("total"))
+
+    series = F.aggregate(steps, start, add)["total"]
+    p = F.when(df == 1, 1 - 2 * x / F.pi()).when(odd, 1 - 2 * (x + s * F.cos(x) * series) / F.pi()).otherwise(1 - s * series)
+    return F.greatest(F.lit(0.0), p)
+
+
+def paired_test(runs: DataFrame, base: str, keys: list[str], fold: list[str], size: str = "n_rows", group: str = "grp", value: str = "r2") -> DataFrame:
+    """(keys, group, n, refused, t, p) of each group's runs against the base group's, fold by fold.
+
+    Runs can only be compared if both have the same folds with as many rows in each; else
+    refused is 1 and there is neither t nor p. Differences that don't vary give t 0 and p 1 if they are
+    nil, and no t but p 0 if not; a single pair has neither.
+    """
+    names = runs.select(*keys, group).distinct().where(F.col(group) != base)
+    ref = runs.where(F.col(group) == base).select(*keys, *fold, F.col(value).alias("__b"), F.col(size).alias("__nb"))
+    wanted = names.join(ref, keys, "left")  # a group's wanted folds are the base's
+    own = runs.where(F.col(group) != base).select(*keys, group, *fold, F.col(value).alias("__a"), F.col(size).alias("__na"))
+    both = wanted.where(F.col("__nb").isNotNull()).join(own, [*keys, group, *fold], "full")
+    d = F.col("__a") - F.col("__b")
+    sd, n = F.stddev_samp(d), F.count(d)
+    out = both.groupBy(*keys, group).agg(n.alias("n"), F.max(F.when(F.col("__na").eqNullSafe(F.col("__nb")), 0).otherwise(1)).alias("refused"), F.avg(d).alias("__m"), sd.alias("__s"))
+    t = F.when(F.col("__s") > 0, F.col("__m") / (F.col("__s") / F.sqrt("n"))).when((F.col("__s") == 0) & (F.col("__m") == 0), 0.0)
+    fine = (F.col("refused") == 0) & (F.col("n") > 1)
+    p = F.when(F.col("__t").isNotNull(), student_p(F.col("__t"), F.col("n") - 1)).otherwise(0.0)
+    return out.withColumn("__t", t).select(*keys, group, "n", "refused", F.when(fine, F.col("__t")).alias("t"), F.when(fine, p).alias("p"))
+
+
 def reached(runs: DataFrame, goal: float, keys: list[str] = ["target", "grp"], size: str = "size", value: str = "r2") -> DataFrame:
     """(keys, reached): the first size whose mean reaches the goal, interpolated in the size's
     logarithm from the one before; ``<=`` the smallest, or ``>`` the largest if none does."""

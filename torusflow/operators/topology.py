@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .lattice import DIRS, DIRS3, distance, kernel, labels_of, rounded, spread
 
@@ -310,6 +311,20 @@ def tortuosity(packed: DataFrame, dims: int = 2) -> DataFrame:
     return kernel(packed, dims, work, "sid long, dir int, mean double, least double")
 
 
+def connectivity(packed: DataFrame) -> DataFrame:
+    """The 18 connectivity features of a structure: of its clusters, the mean and least tortuosity along x, y and
+    both diagonals, the contrasts of x and y and of the diagonals, and the mean of those that exist."""
+    names = {"x": 0, "y": 2, "d1": 1, "d2": 3}
+    at = lambda c, k: F.max(F.when(F.col("dir") == k, F.col(c)))
+    ways = tortuosity(packed).groupBy("sid").agg(*[at("mean", k).alias(f"tort_{d}") for d, k in names.items()], *[at("least", k).alias(f"tortmin_{d}") for d, k in names.items()], F.round(F.avg("mean"), 6).alias("tort_mean"))
+    gap = lambda a, b: (F.round(F.col(f"tort_{a}") - F.col(f"tort_{b}"), 6) + F.lit(0.0))
+    ways = ways.withColumns({"tort_aniso": gap("x", "y"), "tort_off": gap("d1", "d2")})
+    own = cluster_features(packed).withColumnsRenamed({"clusters": "beta0_pore", "dead": "dead_frac", "largest": "largest_frac"})
+    order = ["beta0_pore", "backbone_x", "backbone_y", "backbone_iso", "backbone_aniso", "dead_frac", "largest_frac"]
+    order += [f"tort_{d}" for d in names] + [f"tortmin_{d}" for d in names] + ["tort_aniso", "tort_off", "tort_mean"]
+    return own.join(ways, "sid").select("sid", *[F.col(c).alias(f"conn_{c}") for c in order])
+
+
 def slab_tortuosity(packed: DataFrame) -> DataFrame:
     """Shortest pore path from one face to the opposite one over the straight length, along x and
     y, in a slab that is tiled three times across; null where nothing crosses. tort_aniso is their difference."""

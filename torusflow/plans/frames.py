@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lattice as L
 from ..operators import order as O
-from ..operators import series, sticks
+from ..operators import fields, series, sticks
 from ..operators import tables as T
 from ..streaming import audit
 from . import views
@@ -159,6 +159,30 @@ def _settled(flux):
     return series.settled(flux).select("sid", "converged", "stop", "n", *[F.round(c, 6).alias(c) for c in ("qx", "qy", "se_qx", "se_qy")])
 
 
+def _rounded(df, digits: dict):
+    return df.select(*[T.r6(F.col(c), digits[c]).alias(c) if c in digits else c for c in df.columns])
+
+
+def _checked(velocity):
+    labels = fields.fluxes(velocity.where("sid % 5 <> 0")).withColumn("qx", F.col("qx") + F.col("sid") % 7 / 1000)
+    return _rounded(fields.consistency(velocity, labels), {"worst": 6, "qx": 6, "qy": 6, "off_x": 5, "off_y": 5})
+
+
+def _field_change(velocity):
+    before = velocity.where("(x + y) % 5 <> 0").withColumn("u", F.col("u") - F.col("x") / 64)
+    return _rounded(fields.residual(velocity, before), {"residual": 6})
+
+
+def _compared(runs):
+    runs = runs.withColumn("n_used", F.when(F.col("grp") == "g3", F.col("n_rows")).otherwise(F.col("size")))
+    return _rounded(T.paired_test(runs, "g0", ["target"], ["size", "seed"], "n_used"), {"t": 5, "p": 5})
+
+
+def _in_groups(feat):
+    rows = T.group_rows(feat, ["baselines", "all", "tpc+thr", "classical+tda+thr", "tda"])
+    return rows.groupBy("grp", "sample_id").agg(F.count("*").alias("width"), T.r6(F.sum("value"), 4).alias("total"))
+
+
 RUN = ["target", "grp", "size", "seed"]
 FRAMES = {
     "gen15_porosity": _packed(_porosity),
@@ -168,6 +192,11 @@ FRAMES = {
     "gen6_von_mises_sticks": _drawn_sticks,
     "gen7_blobs": _on("stickcells", _blobs),
     "gen7_plugged": _on("stickcells", _plugged),
+    "rel1_feature_groups": _on("feat", _in_groups),
+    "sta7_refusal_gate": _on("runs", _compared),
+    "lbm5_field_residual": _on("velocity", _field_change),
+    "lbm6_pore_statistics": _on("velocity", lambda v: _rounded(fields.statistics(v), {"tortuosity": 5, "participation": 6, "effective_porosity": 6, "specific_surface": 6, "column_flux": 6})),
+    "ten9_flux_from_field": _on("velocity", _checked),
     "lbm3_stopping_rule": _on("fluxes", _settled),
     "drv3_audit": _on("structures perm", _audited),
     "drv3_rates": _rates,

@@ -67,6 +67,27 @@ SQL = {
     "lbm5_flux_averages": "SELECT sid, round(avg(u), 6) + 0.0E0 AS qx, round(avg(v), 6) + 0.0E0 AS qy, round(sqrt(avg(u * u + v * v)), 6) AS rms FROM velocity GROUP BY sid",
     "lbm6_field_statistics": """SELECT sid, round(sum(sqrt(u * u + v * v)) / nullif(sum(u), 0), 5) AS tortuosity, round(power(sum(u * u + v * v), 2) / nullif(count(*) * sum(power(u * u + v * v, 2)), 0), 6) AS participation,
         round(avg(CASE WHEN u <> 0 OR v <> 0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS effective_porosity FROM velocity GROUP BY sid""",
+    "rel1_feature_groups": """WITH g AS (SELECT grp, unnest(string_split(kinds, ' ')) AS kind FROM (VALUES ('baselines', 'por tpc fab fabdir'), ('all', 'ecp ph por tpc fab fabdir'), ('tpc+thr', 'tpc thr'), ('classical+tda+thr', 'por tpc fab fabdir kc cp ecp ph thr'), ('tda', 'ecp ph')) t(grp, kinds))
+        SELECT g.grp, f.sample_id, count(*) AS width, round(sum(f.value), 4) + 0.0E0 AS total FROM feat f JOIN g ON g.kind = f.kind GROUP BY g.grp, f.sample_id""",
+    "sta7_refusal_gate": """WITH r AS (SELECT *, CASE WHEN grp = 'g3' THEN n_rows ELSE size END AS n_used FROM runs)
+        , names AS (SELECT DISTINCT target, grp FROM r WHERE grp <> 'g0')
+        , w AS (SELECT n.target, n.grp, b.size, b.seed, b.r2, b.n_used FROM names n JOIN r b ON b.target = n.target AND b.grp = 'g0')
+        , o AS (SELECT * FROM r WHERE grp <> 'g0')
+        , m AS (SELECT coalesce(w.target, o.target) AS target, coalesce(w.grp, o.grp) AS grp, o.r2 - w.r2 AS d, CASE WHEN o.n_used IS NOT DISTINCT FROM w.n_used THEN 0 ELSE 1 END AS bad FROM w FULL JOIN o ON o.target = w.target AND o.grp = w.grp AND o.size = w.size AND o.seed = w.seed)
+        , s AS (SELECT target, grp, count(d) AS n, max(bad) AS refused, avg(d) AS m, stddev_samp(d) AS s FROM m GROUP BY target, grp)
+        , t AS (SELECT *, CASE WHEN refused = 0 AND n > 1 AND s > 0 THEN m / (s / sqrt(n)) END AS t, n - 1 AS df FROM s)
+        , x AS (SELECT *, atan2(abs(t), sqrt(df)) AS x FROM t)
+        , f AS (SELECT target, grp, sum(exp(l)) AS total FROM (SELECT x.target, x.grp, j.j, sum(ln(cos(x.x) * cos(x.x) * (i.i - 1.0E0) / i.i)) AS l FROM x JOIN range(2, 400) j(j) ON j.j <= x.df - 2 AND j.j % 2 = x.df % 2 JOIN range(2, 400) i(i) ON i.i <= j.j AND i.i % 2 = x.df % 2 WHERE x.t IS NOT NULL GROUP BY x.target, x.grp, j.j) GROUP BY target, grp)
+        SELECT x.target, x.grp, x.n, x.refused, round(x.t, 5) + 0.0E0 AS t, CASE WHEN x.t IS NULL THEN NULL WHEN df % 2 = 0 THEN round(1 - sin(x.x) * (1 + coalesce(f.total, 0)), 5) + 0.0E0 ELSE round(1 - 2 * (x.x + sin(x.x) * cos(x.x) * (1 + coalesce(f.total, 0))) / pi(), 5) + 0.0E0 END AS p
+        FROM x LEFT JOIN f ON f.target = x.target AND f.grp = x.grp""",
+    "lbm5_field_residual": """WITH b AS (SELECT *, CASE WHEN (x + y) % 5 <> 0 THEN u - x / 64.0E0 ELSE 0 END AS u0, CASE WHEN (x + y) % 5 <> 0 THEN v ELSE 0 END AS v0 FROM velocity)
+        SELECT sid, CASE WHEN sum(u * u + v * v) > 0 THEN round(sqrt(sum(power(u - u0, 2) + power(v - v0, 2)) / sum(u * u + v * v)), 6) ELSE 10.0E0 END AS residual FROM b GROUP BY sid""",
+    "lbm6_pore_statistics": """WITH f AS (SELECT a.sid, count(*) AS n FROM velocity a JOIN (SELECT 1 AS dx, 0 AS dy UNION ALL SELECT -1, 0 UNION ALL SELECT 0, 1 UNION ALL SELECT 0, -1) d ON true JOIN velocity b ON b.sid = a.sid AND b.x = (a.x + dx + 16) % 16 AND b.y = (a.y + dy + 16) % 16 WHERE a.solid = 0 AND b.solid = 1 GROUP BY a.sid)
+        , s AS (SELECT sid, round(sum(sqrt(u * u + v * v)) / nullif(sum(u), 0), 5) + 0.0E0 AS tortuosity, round(power(sum(u * u + v * v), 2) / (nullif(count(CASE WHEN solid = 0 THEN 1 END), 0) * nullif(sum(power(u * u + v * v, 2)), 0)), 6) AS participation,
+            round(count(CASE WHEN u <> 0 OR v <> 0 THEN 1 END) / 256.0E0, 6) AS effective_porosity, round(sum(CASE WHEN x = 8 THEN u ELSE 0 END) / 16, 6) + 0.0E0 AS column_flux FROM velocity GROUP BY sid)
+        SELECT s.*, round(coalesce(f.n, 0) / 256.0E0, 6) AS specific_surface FROM s LEFT JOIN f ON f.sid = s.sid""",
+    "ten9_flux_from_field": """WITH s AS (SELECT sid, count(CASE WHEN solid = 1 AND (u <> 0 OR v <> 0) THEN 1 END) AS moving_solid, coalesce(max(CASE WHEN solid = 1 THEN greatest(abs(u), abs(v)) END), 0) AS worst, sum(u) / 256 AS qx, sum(v) / 256 AS qy FROM velocity GROUP BY sid)
+        SELECT sid, moving_solid, round(worst, 6) + 0.0E0 AS worst, round(qx, 6) + 0.0E0 AS qx, round(qy, 6) + 0.0E0 AS qy, CASE WHEN sid % 5 <> 0 THEN round((sid % 7) / 1000.0E0 / greatest(abs(qx + (sid % 7) / 1000.0E0), 1e-30), 5) END AS off_x, CASE WHEN sid % 5 <> 0 THEN 0.0E0 END AS off_y FROM s""",
     "lbm3_stopping_rule": """WITH b AS (SELECT sid, ((step - 1) // 20 + 1) * 20 AS fin, count(*) AS n, max(step) AS seen, avg(qx) AS mx, avg(qy) AS my, var_samp(qx) / count(*) AS vx, var_samp(qy) / count(*) AS vy FROM fluxes GROUP BY sid, 2)
         , w AS (SELECT * FROM b WHERE n >= 2 AND seen = fin)
         , p AS (SELECT a.*, a.rn - row_number() OVER (PARTITION BY a.sid ORDER BY a.rn) AS island FROM (SELECT c.sid, c.fin, c.rn FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY fin) AS rn FROM w) c

@@ -77,6 +77,7 @@ KERNELS = {
     "top1_percolation": _on2(T.percolates),
     "top2_clusters": _on2(T.cluster_features),
     "top3_tortuosity": _on2(T.tortuosity),
+    "top3_connectivity": _on2(T.connectivity),
     "top4_slab_tortuosity": _on2(T.slab_tortuosity),
     "top5_components": _on2(T.component_counts),
     "top5_correlations": _on2(_correlated),

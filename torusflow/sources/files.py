@@ -229,6 +229,21 @@ def read_metrics(spark: SparkSession, spec: str) -> DataFrame:
     return rows.select("kind", "seed", "n_rows", "koff_ceiling", "e.group", "e.target", F.coalesce("e.mode", F.lit("single")).alias("mode"), "e.n_features", F.inline("e.folds"))
 
 
+def read_velocity_dat(spark: SparkSession, path: str, nx: int, ny: int) -> DataFrame:
+    """(sample_id, name, x, y, u, v) of .dat files: a line a cell with both components, x fastest. A file
+    of another number of cells or columns raises."""
+
+    def one(name, content):
+        rows = [line.split() for line in content.decode().splitlines() if line.strip()]
+        if len(rows) != nx * ny or any(len(r) != 2 for r in rows):
+            raise ValueError(f"{name}: not {nx * ny} rows of 2")
+        return [(name, i % nx, i // nx, float(u), float(v)) for i, (u, v) in enumerate(rows)]
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dat").option("recursiveFileLookup", "true").load(path)
+    rows = _decoded(files, one, "path string, x long, y long, u double, v double", ["path", "x", "y", "u", "v"])
+    return rows.select(sample_id(F.col("path")).alias("sample_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "x", "y", "u", "v")
+
+
 POINTER = "CURRENT"
 
 
