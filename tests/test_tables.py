@@ -170,6 +170,18 @@ def test_grown_planes_chords_and_axes(spark):
     # One cell on each side comes off or on; less than half a cell changes nothing, more takes the outer cells.
     assert [int(got[i][5, 5].sum()) for i in range(5)] == [6, 4, 2, 4, 2]
     assert all((got[i] == got[i][5, 5]).all() for i in range(5))
+    # Twice as wide along x, and as before across: the plate of four has eight cells.
+    wide = spark.createDataFrame([(1, "r", 15.5, 15.0, 15.0, 1.0, 0.0, 2.0, 1.0, 1.0, 0.0, 0.0, 0.0)], fields)
+    assert int(np.array(rocks.cubes(planes, wide, 12).first()["grid"]).reshape([12] * 3)[5, 5].sum()) == 8
+    # A pilot's cubes can be cut out: turned evenly, inside the rock, alike on any layout.
+    volumes = spark.createDataFrame([("r", n)], "rock string, n long")
+    pilots = rocks.pilot(volumes, [1.0], [0.0, 0.25], 3, side=9, seed=4)
+    rows = pilots.collect()
+    assert len(rows) == 30 and len({r["sid"] for r in rows}) == 30 and rows[0]["tag"].startswith("s1.0_g0.00_a1.0_b1.0_r")
+    assert all(abs(r["qw"] ** 2 + r["qx"] ** 2 + r["qy"] ** 2 + r["qz"] ** 2 - 1) < 1e-12 for r in rows)
+    assert all(r["grid"] is not None for r in rocks.cubes(planes, pilots, 9).collect())
+    with pytest.raises(Exception, match="fit"):
+        rocks.pilot(volumes, [9.0], [0.0], 1, side=9).collect()
     pore = np.array([[[1, 1, 0, 1, 0, 0, 1, 1]]], bool)
     assert rocks.mean_chord(pore, 2) == 5 / 3 and rocks.mean_chord(pore, 1) == 1.0 and np.isnan(rocks.mean_chord(~pore & pore, 0))
     # Balls stretched threefold along a tilted axis show it.

@@ -12,15 +12,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lattice import kernel, labels_of, rounded
+from .sticks import uniform
 from .topology import _crossings
 
 
 def frame(quaternion, a: float, b: float) -> np.ndarray:
-    """The stretch (x, y, z) of a cube: by a and b along the first two axes of a turned frame, keeping the volume."""
+    """The stretch (x, y, z) of a cube: by a and b along the first two axes of a turned frame, not at all along the third."""
     w, x, y, z = np.array(quaternion, float) / np.linalg.norm(quaternion)
     turn = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
-    keep = (a * b) ** (1 / 3)
-    return turn @ np.diag([a / keep, b / keep, 1 / keep]) @ turn.T
+    return turn @ np.diag([a, b, 1.0]) @ turn.T
+
+
+#: The pairs of stretches of a pilot.
+STRETCHES = ((1.0, 1.0), (1.5, 1.0), (2.0, 1.0), (3.0, 1.0), (2.0, 2.0))
+
+
+def pilot(volumes: DataFrame, scales: list[float], grows: list[float], reps: int, side: int = 80, seed: int = 0) -> DataFrame:
+    """The design that ``cubes`` takes, of every rock (rock, n) with each scale, grow, pair of stretches and repeat.
+
+    Rotations are even (by Shoemake's quaternion) and centres lie where the cube's samples
+    stay in the rock; both are hashes of the seed and the row, so a design is the same on any
+    layout. ``tag`` names the row. A rock too small for a scale raises.
+    """
+    pick = lambda name, values: F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(name)
+    rows = volumes.select("rock", "n", pick("scale", scales)).select("*", pick("grow", grows))
+    rows = rows.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in STRETCHES])).alias("f")).select("rock", "n", "scale", "grow", "f.a", "f.b", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    places = lambda c, digits: F.format_string(f"%.{digits}f", F.col(c))
+    tag = F.concat(F.lit("s"), places("scale", 1), F.lit("_g"), places("grow", 2), F.lit("_a"), places("a", 1), F.lit("_b"), places("b", 1), F.lit("_r"), F.col("rep").cast("string"))
+    rows = rows.withColumn("tag", tag)
+    u = lambda name: uniform(seed, F.col("rock"), F.col("tag"), name)
+    # The samples of a cube lie within a ball of this radius, as stretches only draw them nearer.
+    far = F.col("scale") * (float(np.sqrt(3.0)) * side / 2) + 2
+    far = F.when(F.col("n") - 1 - 2 * far > 0, far).otherwise(F.raise_error(F.concat(F.lit("a cube doesn't fit into "), F.col("rock"))).cast("double"))
+    centre = [(far + u(c) * (F.col("n") - 1 - 2 * far)).alias(f"c{c}") for c in "xyz"]
+    turn = lambda name: 2 * np.pi * u(name)
+    low, high = F.sqrt(1 - u("r0")), F.sqrt(u("r0"))
+    quaternion = [(high * F.cos(turn("r2"))).alias("qw"), (low * F.sin(turn("r1"))).alias("qx"), (low * F.cos(turn("r1"))).alias("qy"), (high * F.sin(turn("r2"))).alias("qz")]
+    sid = F.xxhash64("rock", "tag").alias("sid")
+    return rows.select(sid, "rock", "tag", *centre, "scale", "grow", "a", "b", *quaternion)
 
 
 def reach(side: int, scale: float, stretch: np.ndarray) -> float:
@@ -75,31 +104,38 @@ def cube(box: np.ndarray, origin: np.ndarray, centre, side: int, scale: float, s
 
 def cubes(planes: DataFrame, design: DataFrame, side: int = 80) -> DataFrame:
     """(sid, rock, grid) of a design (sid, rock, cx, cy, cz, scale, grow, a, b, qw, qx, qy, qz) over planes
-    (rock, n, z, plane). A cube whose box leaves the rock has a null grid."""
+    (rock, n, z, plane). A cube whose samples leave the rock has a null grid; what distances need
+    beyond the samples ends at the rock's faces."""
     fields = ["cx", "cy", "cz", "scale", "grow", "a", "b", "qw", "qx", "qy", "qz"]
 
     def boxes(batches):
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                far = reach(side, r["scale"], frame([r[q] for q in ("qw", "qx", "qy", "qz")], r["a"], r["b"])) + abs(r["grow"]) + 5
+                r["far"] = reach(side, r["scale"], frame([r[q] for q in ("qw", "qx", "qy", "qz")], r["a"], r["b"]))
+                far = r["far"] + abs(r["grow"]) + 5
                 for c in "xyz":
                     r[f"{c}0"], r[f"{c}1"] = int(np.floor(r[f"c{c}"] - far)), int(np.ceil(r[f"c{c}"] + far))
             yield pa.RecordBatch.from_pylist(rows, boxed)
 
     own = design.select("sid", "rock", *[F.col(c).cast("double").alias(c) for c in fields])
-    boxed = pa.schema([("sid", pa.int64()), ("rock", pa.string()), *[(c, pa.float64()) for c in fields], *[(f"{c}{e}", pa.int64()) for c in "xyz" for e in (0, 1)]])
-    ddl = "sid long, rock string, " + ", ".join(f"{c} double" for c in fields) + ", " + ", ".join(f"{c}{e} long" for c in "xyz" for e in (0, 1))
+    boxed = pa.schema([("sid", pa.int64()), ("rock", pa.string()), *[(c, pa.float64()) for c in (*fields, "far")], *[(f"{c}{e}", pa.int64()) for c in "xyz" for e in (0, 1)]])
+    ddl = "sid long, rock string, " + ", ".join(f"{c} double" for c in (*fields, "far")) + ", " + ", ".join(f"{c}{e} long" for c in "xyz" for e in (0, 1))
     wanted = own.mapInArrow(boxes, ddl)
 
+    def box_of(r: dict) -> list[tuple[int, int]]:
+        """The box by z, y and x, cut at the rock's faces."""
+        return [(max(r[f"{c}0"], 0), min(r[f"{c}1"], r["n"] - 1)) for c in "zyx"]
+
     def windows(batches):
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
                 n = r["n"]
                 flat = np.frombuffer(r["plane"], np.uint8).reshape(n, n)
-                inside = 0 <= r["x0"] and r["x1"] < n and 0 <= r["y0"] and r["y1"] < n
-                r["window"] = flat[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1].tobytes() if inside else None
+                inside = all(r["far"] <= r[f"c{c}"] <= n - 1 - r["far"] for c in "xyz")
+                _, (y0, y1), (x0, x1) = box_of(r)
+                r["window"] = flat[y0 : y1 + 1, x0 : x1 + 1].tobytes() if inside else None
             yield pa.RecordBatch.from_pylist([{k: v for k, v in r.items() if k != "plane"} for r in rows], pa.schema([*boxed, ("z", pa.int64()), ("n", pa.int64()), ("window", pa.binary())]))
 
     asked = wanted.withColumn("z", F.explode(F.sequence("z0", "z1")))
@@ -109,12 +145,13 @@ def cubes(planes: DataFrame, design: DataFrame, side: int = 80) -> DataFrame:
     def made(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["z"])
         r = rows[0]
-        shape = [r[f"{c}1"] - r[f"{c}0"] + 1 for c in "zyx"]
+        ends = box_of(r)
+        shape = [b - a + 1 for a, b in ends]
         grid = None
         if len(rows) == shape[0] and all(q["window"] is not None for q in rows):
             box = np.stack([np.frombuffer(q["window"], np.uint8).reshape(shape[1:]) for q in rows])
             stretch = frame([r[q] for q in ("qw", "qx", "qy", "qz")], r["a"], r["b"])
-            grid = cube(box, np.array([r["x0"], r["y0"], r["z0"]]), (r["cx"], r["cy"], r["cz"]), side, r["scale"], stretch, r["grow"]).ravel().tolist()
+            grid = cube(box, np.array([a for a, _ in ends[::-1]]), (r["cx"], r["cy"], r["cz"]), side, r["scale"], stretch, r["grow"]).ravel().tolist()
         return pa.table({"sid": pa.array([r["sid"]], pa.int64()), "grid": pa.array([grid], pa.list_(pa.int8()))})
 
     found = cut.groupBy("sid").applyInArrow(made, "sid long, grid array<tinyint>")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lattice as L
 from ..operators import order as O
-from ..operators import fields, series, sticks
+from ..operators import fields, rocks, series, sticks
 from ..operators import tables as T
 from ..streaming import audit
 from . import views
@@ -183,6 +183,12 @@ def _in_groups(feat):
     return rows.groupBy("grp", "sample_id").agg(F.count("*").alias("width"), T.r6(F.sum("value"), 4).alias("total"))
 
 
+def _pilot(part):
+    volumes = part.select(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("rock"), (200 + F.col("p_size")).alias("n"))
+    rows = rocks.pilot(volumes, [1.0, 1.5], [0.0, 0.25], 2, side=64)
+    return rows.select("rock", "tag", *[T.r6(F.col(c)).alias(c) for c in ("cx", "cy", "cz", "scale", "grow", "a", "b", "qw", "qx", "qy", "qz")])
+
+
 RUN = ["target", "grp", "size", "seed"]
 FRAMES = {
     "gen15_porosity": _packed(_porosity),
@@ -190,6 +196,7 @@ FRAMES = {
     "gen13_wrap_agreement": _packed(_wrap),
     "dsc19_face_area": _packed(_faces, 3),
     "gen6_von_mises_sticks": _drawn_sticks,
+    "gen14_pilot_cubes": lambda spark, sf_dir: _pilot(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")),
     "gen7_blobs": _on("stickcells", _blobs),
     "gen7_plugged": _on("stickcells", _plugged),
     "rel1_feature_groups": _on("feat", _in_groups),

@@ -53,6 +53,12 @@ SQL = {
         , gone AS (SELECT p.sid, count(*) AS n FROM pore p JOIN disc d ON d.sid = p.sid AND d.x = p.x AND d.y = p.y GROUP BY p.sid)
         SELECT p.sid, coalesce(c.n, 0) AS n_junctions, coalesce(k.n, 0) AS n_blocked, p.n AS pore_cells, p.n - coalesce(g.n, 0) AS left_cells
         FROM (SELECT sid, count(*) AS n FROM pore GROUP BY sid) p LEFT JOIN (SELECT sid, count(*) AS n FROM centre GROUP BY sid) c ON c.sid = p.sid LEFT JOIN (SELECT sid, count(*) AS n FROM picked GROUP BY sid) k ON k.sid = p.sid LEFT JOIN gone g ON g.sid = p.sid""",
+    "gen14_pilot_cubes": """WITH d AS (SELECT 'r' || p_partkey AS rock, 200 + p_size AS n, s.s AS scale, g.g AS grow, f.a, f.b, r.r AS rep,
+            's' || printf('%.1f', s.s) || '_g' || printf('%.2f', g.g) || '_a' || printf('%.1f', f.a) || '_b' || printf('%.1f', f.b) || '_r' || r.r AS tag
+            FROM part CROSS JOIN (VALUES (1.0E0), (1.5E0)) s(s) CROSS JOIN (VALUES (0.0E0), (0.25E0)) g(g) CROSS JOIN (VALUES (1.0E0, 1.0E0), (1.5E0, 1.0E0), (2.0E0, 1.0E0), (3.0E0, 1.0E0), (2.0E0, 2.0E0)) f(a, b) CROSS JOIN (VALUES (0), (1)) r(r))
+        , e AS (SELECT *, scale * sqrt(3.0E0) * 32 + 2 AS far, ((CAST('0x' || substr(md5('0:' || rock || ':' || tag || ':x'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296) AS ux, ((CAST('0x' || substr(md5('0:' || rock || ':' || tag || ':y'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296) AS uy, ((CAST('0x' || substr(md5('0:' || rock || ':' || tag || ':z'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296) AS uz, ((CAST('0x' || substr(md5('0:' || rock || ':' || tag || ':r0'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296) AS ur0, ((CAST('0x' || substr(md5('0:' || rock || ':' || tag || ':r1'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296) AS ur1, ((CAST('0x' || substr(md5('0:' || rock || ':' || tag || ':r2'), 1, 8) AS BIGINT) + 0.5E0) / 4294967296) AS ur2 FROM d)
+        SELECT rock, tag, round(far + ux * (n - 1 - 2 * far), 6) AS cx, round(far + uy * (n - 1 - 2 * far), 6) AS cy, round(far + uz * (n - 1 - 2 * far), 6) AS cz, scale, grow, a, b,
+        round(sqrt(ur0) * cos(2 * pi() * ur2), 6) + 0.0E0 AS qw, round(sqrt(1 - ur0) * sin(2 * pi() * ur1), 6) + 0.0E0 AS qx, round(sqrt(1 - ur0) * cos(2 * pi() * ur1), 6) + 0.0E0 AS qy, round(sqrt(ur0) * sin(2 * pi() * ur2), 6) + 0.0E0 AS qz FROM e""",
     "gen9_mean_chord": """WITH runs_ AS (SELECT c.sid, c.y, CAST(sum(CASE WHEN c.solid = 0 THEN 1 ELSE 0 END) AS BIGINT) AS pores, CAST(sum(CASE WHEN c.solid = 0 AND p.solid = 1 THEN 1 ELSE 0 END) AS BIGINT) AS starts
         FROM lattice2 c JOIN lattice2 p ON p.sid = c.sid AND p.y = c.y AND p.x = (c.x + 15) % 16 GROUP BY c.sid, c.y)
         SELECT sid, round(CAST(sum(pores) AS BIGINT) * 1.0E0 / nullif(CAST(sum(starts) AS BIGINT), 0), 6) AS mean_chord FROM runs_ GROUP BY sid""",

@@ -118,26 +118,33 @@ def read_rocks(spark: SparkSession, path: str, rocks: dict[str, tuple[int, float
     """(rock, n, voxel_um, z, plane): the planes of headerless volumes of bytes (0 pore, 1 solid), a row each.
 
     The rock is the one whose name begins the file's; the length must be that of its edge
-    cubed. A task holds one volume (1 GB at an edge of 1000), what leaves it is planes.
+    cubed. A plane is a record of fixed length, so a volume is read in ranges by many tasks
+    and none holds more than a plane at a time, whatever the volume's size.
     """
-    names = sorted(rocks, key=len, reverse=True)
-
-    def work(batches):
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                stem = file.rsplit("/", 1)[-1]
-                name = next((r for r in names if stem.startswith(r)), None) or next((r for r in names if stem.lower().startswith(r.lower())), None)
-                if name is None:
-                    raise ValueError(f"no rock is called {stem}")
-                n, um = rocks[name]
-                body = np.frombuffer(content.as_py(), np.uint8)
-                if len(body) != n**3 or body.max(initial=0) > 1:
-                    raise ValueError(f"{stem} is no volume of {n} voxels a side")
-                for z in range(n):
-                    yield pa.RecordBatch.from_pydict({"rock": [name], "n": [n], "voxel_um": [um], "z": [z], "plane": [body[z * n * n : (z + 1) * n * n].tobytes()]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.raw").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(work, "rock string, n long, voxel_um double, z long, plane binary")
+    jvm, names = spark._jvm, sorted(rocks, key=len, reverse=True)
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    listed, parts = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while listed.hasNext():  # a file a rock
+        file = listed.next()
+        stem = file.getPath().getName()
+        if not stem.endswith(".raw"):
+            continue
+        name = next((r for r in names if stem.startswith(r)), None) or next((r for r in names if stem.lower().startswith(r.lower())), None)
+        if name is None:
+            raise ValueError(f"no rock is called {stem}")
+        n, um = rocks[name]
+        if file.getLen() != n**3:
+            raise ValueError(f"{stem} is no volume of {n} voxels a side")
+
+        def plane(record, name=name, n=n, um=um, stem=stem):
+            body, z = record
+            if body.translate(None, b"\0\1"):
+                raise ValueError(f"{stem} has values beyond 0 and 1")
+            return name, n, um, z, bytearray(body)
+
+        parts.append(spark.sparkContext.binaryRecords(file.getPath().toString(), n * n).zipWithIndex().map(plane))
+    kinds = "rock string, n long, voxel_um double, z long, plane binary"
+    return spark.createDataFrame(spark.sparkContext.union(parts), kinds) if parts else spark.createDataFrame([], kinds)
 
 
 def read_table(spark: SparkSession, path, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
