@@ -366,6 +366,63 @@ def fractional_anisotropy(perm: DataFrame, key: str = "sample_id") -> DataFrame:
     return perm.select(key, F.round(fa, 6).alias("fa"), F.round(worst / F.nullif(F.abs(3 * mean), F.lit(0.0)), 6).alias("recip"))
 
 
+def targets_2d(perm: DataFrame, key: str = "sample_id") -> DataFrame:
+    """What models of a 2D permeability learn beside its components: the axis as cos and sin of the doubled
+    angle, the mean's logarithm (null unless positive), the ratio of principal values (null unless the lesser is
+    positive), and the labels' disagreement over the off-diagonal and of that over the trace."""
+    c = F.col
+    off, mean, half = F.round((c("k_xy") + c("k_yx")) / 2, 9), (c("k_xx") + c("k_yy")) / 2, (c("k_xx") - c("k_yy")) / 2
+    t = perm.select(key, off.alias("o"), mean.alias("m"), half.alias("h"), F.abs(c("k_xy") - c("k_yx")).alias("gap"))
+    t = t.withColumns({"r": F.sqrt(c("h") * c("h") + c("o") * c("o")), "angle": F.atan2("o", "h")})
+    nz = lambda x: F.nullif(F.abs(x), F.lit(0.0))
+    return t.select(
+        key, r6(F.cos("angle"), 5).alias("cos2theta"), r6(F.sin("angle"), 5).alias("sin2theta"), F.round(F.when(c("m") > 0, F.ln("m")), 6).alias("log_k_mean"),
+        F.round(F.when(c("m") - c("r") > 1e-9, (c("m") + c("r")) / (c("m") - c("r"))), 3).alias("k_ratio"), F.round(c("gap") / nz(2 * c("o")), 6).alias("koff_rel_err"), F.round(F.abs("o") / nz(2 * c("m")), 6).alias("koff_over_trace"),
+    )
+
+
+def targets_3d(perm: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Trace, logarithm of the mean, relative deviations from it, an off-diagonal over the trace, and whether both flags are set."""
+    mean = (F.col("k_xx") + F.col("k_yy") + F.col("k_zz")) / 3
+    off = lambda a, b: (F.col(f"k_{a}{b}") + F.col(f"k_{b}{a}")) / 2
+    t = perm.select("*", mean.alias("m"), F.nullif(mean, F.lit(0.0)).alias("z"))
+    over = lambda x: x / F.col("z")
+    return t.select(
+        key, F.round(3 * F.col("m"), 6).alias("trace"), F.round(F.when(F.col("m") > 0, F.ln("m")), 6).alias("log_k_mean"), *[r6(over(F.col(f"k_{a}{a}")) - 1).alias(f"dev_{a}{a}") for a in "xy"],
+        *[r6(over(off(a, b))).alias(f"dev_{a}{b}") for a, b in ("xy", "xz", "yz")], F.round(F.abs(off("x", "z")) / F.nullif(3 * F.col("m"), F.lit(0.0)), 6).alias("koff_over_trace_xz"), (F.col("conv_fx") * F.col("conv_fy")).alias("conv_all"),
+    )
+
+
+def permuted(perm: DataFrame, order: str = "zxy", axes: str = "xyz") -> DataFrame:
+    """The tensor after its axes are renamed: axis i of the result is axis order[i] of the given one."""
+    name = dict(zip(axes, order))
+    return perm.select("sample_id", *[F.col(f"k_{name[a]}{name[b]}").alias(f"k_{a}{b}") for a in axes for b in axes])
+
+
+def covariance_residual(turned: DataFrame, base: DataFrame, order: str = "zxy", axes: str = "xyz") -> DataFrame:
+    """(sample_id, residual): how far the tensor of a turned structure is from the turned tensor of the
+    structure, the largest component's difference over the largest component; null for a nil tensor."""
+    want = permuted(base, order, axes).select("sample_id", *[F.col(f"k_{a}{b}").alias(f"__{a}{b}") for a in axes for b in axes])
+    both = turned.join(want, "sample_id")
+    apart = F.greatest(*[F.abs(F.col(f"k_{a}{b}") - F.col(f"__{a}{b}")) for a in axes for b in axes])
+    size = F.greatest(*[F.abs(F.col(f"__{a}{b}")) for a in axes for b in axes])
+    return both.select("sample_id", (apart / F.nullif(size, F.lit(0.0))).alias("residual"))
+
+
+def part_gates(rows: DataFrame, part: str = "batch", key: str = "sample_id") -> DataFrame:
+    """(part, n, repeated, first_id, last_id, contiguous) of each part."""
+    one = rows.groupBy(part, key).agg(F.count("*").alias("c"))
+    out = one.groupBy(part).agg(F.sum("c").alias("n"), F.sum(F.when(F.col(key).isNull(), F.col("c")).otherwise(F.col("c") - 1)).alias("repeated"), F.min(key).alias("first_id"), F.max(key).alias("last_id"))
+    return out.select(part, "n", "repeated", "first_id", "last_id", F.when(F.col("last_id") - F.col("first_id") + 1 == F.col("n"), 1).otherwise(0).alias("contiguous"))
+
+
+def chosen_grow(pilot: DataFrame, target: float) -> DataFrame:
+    """(rock, g, por): of each rock's settings (rock, g, perc, por) whose cubes all percolate, that with the
+    porosity nearest to the target, the smaller g on a tie."""
+    fine = pilot.where("perc = 1").groupBy("rock").agg(F.min(F.struct(F.round(F.abs(F.col("por") - target), 9).alias("off"), "g", "por")).alias("b"))
+    return fine.select("rock", "b.g", F.round("b.por", 6).alias("por"))
+
+
 # -- reports ---------------------------------------------------------------------------
 
 

@@ -189,6 +189,39 @@ def _pilot(part):
     return rows.select("rock", "tag", *[T.r6(F.col(c)).alias(c) for c in ("cx", "cy", "cz", "scale", "grow", "a", "b", "qw", "qx", "qy", "qz")])
 
 
+def _grow(part):
+    every = F.avg(F.when(F.col("p_partkey") % 3 == 0, 0.9).otherwise(1.0))
+    pilot = part.groupBy(F.col("p_brand").alias("rock"), F.col("p_size").alias("g")).agg(every.alias("perc"), (F.sum(F.col("p_partkey") % 60) / (100.0 * F.count("*"))).alias("por"))
+    return T.chosen_grow(pilot, 0.3)
+
+
+def _thresholds(cells):
+    field = (F.col("x") * 31 + F.col("y") * 17 + F.col("x") * F.col("y") * F.col("sid")) % 101
+    found = O.quantiles(cells.select("sid", field.alias("field")), "field", [0.45], ["sid"])
+    return found.select("sid", F.round(F.col("q")[0], 6).alias("threshold"))
+
+
+def _covariance(p):
+    turned = T.permuted(p).withColumn("k_xy", F.col("k_xy") + F.col("sample_id") % 3 / 10)
+    return _rounded(T.covariance_residual(turned, p), {"residual": 6})
+
+
+def _ceilings(p):
+    each = [T.noise_ceiling(p, [], f"k_{a}{b}", f"k_{b}{a}", clamp=False).withColumnRenamed("ceiling", a + b) for a, b in ("xy", "xz", "yz")]
+    return each[0].crossJoin(each[1]).crossJoin(each[2])  # a row each
+
+
+def _field_means(v):
+    return v.groupBy("sid").agg(T.r6(F.avg("u")).alias("qx"), T.r6(F.avg("v")).alias("qy"), F.round(F.sqrt(F.avg(F.col("u") ** 2 + F.col("v") ** 2)), 6).alias("rms"))
+
+
+def _shifted(packed):
+    """The grid moved along both axes by steps of its own; cells are taken from where they came."""
+    n = 16
+    rows = packed.select("sid", F.posexplode("grid").alias("i", "solid"))
+    return rows.select("sid", ((F.col("i") % n + F.col("sid")) % n).cast("int").alias("x"), ((F.floor(F.col("i") / n) + 2 * F.col("sid")) % n).cast("int").alias("y"), F.col("solid").cast("int").alias("solid"))
+
+
 RUN = ["target", "grp", "size", "seed"]
 FRAMES = {
     "gen15_porosity": _packed(_porosity),
@@ -199,6 +232,15 @@ FRAMES = {
     "gen14_pilot_cubes": lambda spark, sf_dir: _pilot(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")),
     "gen7_blobs": _on("stickcells", _blobs),
     "gen7_plugged": _on("stickcells", _plugged),
+    "gen3_quantile_threshold": _on("lattice2", _thresholds),
+    "gen10_merge_gates": _on("structures", T.part_gates),
+    "gen11_choose_grow": lambda spark, sf_dir: _grow(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size")),
+    "lbm5_flux_averages": _on("velocity", _field_means),
+    "ten4_targets_2d": _on("perm", T.targets_2d),
+    "ten5_targets_3d": _on("perm", T.targets_3d),
+    "ten6_covariance_residual": _on("perm", _covariance),
+    "sta5_ceilings_3d": _on("perm", _ceilings),
+    "sta17_circular_shift": _packed(_shifted),
     "rel1_feature_groups": _on("feat", _in_groups),
     "sta7_refusal_gate": _on("runs", _compared),
     "lbm5_field_residual": _on("velocity", _field_change),
