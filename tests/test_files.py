@@ -74,6 +74,20 @@ def test_orders_and_p():
     assert abs(splits.paired_p(12.7062, 1) - 0.05) < 1e-5 and abs(splits.paired_p(4.302653, 2) - 0.05) < 1e-5
 
 
+def test_fields_as_vtk(spark, tmp_path):
+    kinds = "sample_id long, nx int, ny int, nz int, fields map<string,array<double>>, flow array<struct<u:double,v:double,w:double>>"
+    solid, dist = [0.0, 1.0, 0.0, 0.0, 1.0, 1.0], [float(i) for i in range(6)]
+    flow = [(3.0 * i, 4.0 * i, 0.0) for i in range(6)]
+    df = spark.createDataFrame([(5, 3, 2, 1, {"solid": solid, "dist": dist}, flow), (6, 3, 2, 1, {"solid": solid}, None)], kinds)
+    files.write_vtk(df, str(tmp_path / "v"), tiles=2)
+    got = {r["sample_id"]: bytes(r["content"]) for r in spark.read.parquet(str(tmp_path / "v")).collect()}
+    assert b"DIMENSIONS 6 4 2" in got[5] and got[5].index(b"SCALARS dist") < got[5].index(b"SCALARS solid") < got[5].index(b"VECTORS velocity") < got[5].index(b"SCALARS magnitude")
+    body = got[5][got[5].index(b"SCALARS magnitude float 1\nLOOKUP_TABLE default\n") + len(b"SCALARS magnitude float 1\nLOOKUP_TABLE default\n") :][: 48 * 4]
+    tiled = np.tile((5.0 * np.arange(6)).reshape(1, 2, 3), (2, 2, 2))
+    assert (np.frombuffer(body, ">f4").reshape(2, 4, 6) == tiled).all()
+    assert b"velocity" not in got[6] and got[6].count(b"SCALARS") == 1
+
+
 def test_text_velocities(spark, tmp_path):
     (tmp_path / "000007.fx.dat").write_text("\n".join(f"{x + 10 * y} -{x}.5" for y in range(2) for x in range(3)) + "\n")
     got = {(r["x"], r["y"]): (r["sample_id"], r["u"], r["v"]) for r in files.read_velocity_dat(spark, str(tmp_path), 3, 2).collect()}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import functions as Fn
+from ..operators import fields, rocks, series, sticks
 from ..operators import lattice as L
 from ..operators import order as O
-from ..operators import fields, rocks, series, sticks
 from ..operators import tables as T
 from ..streaming import audit
 from . import views
@@ -222,6 +223,26 @@ def _shifted(packed):
     return rows.select("sid", ((F.col("i") % n + F.col("sid")) % n).cast("int").alias("x"), ((F.floor(F.col("i") / n) + 2 * F.col("sid")) % n).cast("int").alias("y"), F.col("solid").cast("int").alias("solid"))
 
 
+def _smeared(feat):
+    extent = feat.groupBy("kind").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return extent.select("kind", F.round(F.col("high") - F.col("low"), 6).alias("extent"), Fn.smeared(F.lit(0.125), F.col("low"), F.col("high")).cast("int").alias("smeared"))
+
+
+def _slits(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
+    return part.select(F.col("p_partkey").alias("sid"), F.col("p_size").alias("h"), F.round(Fn.slit_permeability(F.col("p_size"), F.lit(64)), 6).alias("k"))
+
+
+def _tiled(packed):
+    rows = packed.select("sid", F.posexplode("grid").alias("i", "solid"), F.array(*[F.struct(F.lit(16 * a).alias("dx"), F.lit(16 * b).alias("dy")) for a in (0, 1) for b in (0, 1)]).alias("t"))
+    return rows.select("sid", "i", "solid", F.inline("t")).select("sid", (F.col("i") % 16 + F.col("dx")).cast("int").alias("x"), (F.floor(F.col("i") / 16) + F.col("dy")).cast("int").alias("y"), F.col("solid").cast("int").alias("solid"))
+
+
+def _still(velocity):
+    moving = F.count(F.when((F.col("solid") == 1) & ((F.col("u") != 0) | (F.col("v") != 0)), 1))
+    return velocity.groupBy("sid").agg(moving.alias("moving_solid"), T.r6(F.avg("u")).alias("flux"))
+
+
 RUN = ["target", "grp", "size", "seed"]
 FRAMES = {
     "gen15_porosity": _packed(_porosity),
@@ -241,6 +262,13 @@ FRAMES = {
     "ten6_covariance_residual": _on("perm", _covariance),
     "sta5_ceilings_3d": _on("perm", _ceilings),
     "sta17_circular_shift": _packed(_shifted),
+    "dsc18_smeared_gate": _on("feat", _smeared),
+    "ten8_slit": _slits,
+    "ten9_zero_on_solid": _on("velocity", _still),
+    "snk6_magnitude": _on("velocity", lambda v: v.select("sid", "x", "y", F.round(F.hypot("u", "v"), 6).alias("magnitude"))),
+    "snk6_tiling": _packed(_tiled),
+    "src12_velocity_rows": _on("velocity", lambda v: v.select("sid", (F.col("y") * 16 + F.col("x")).cast("int").alias("place"), T.r6(F.col("u")).alias("u"), T.r6(F.col("v")).alias("v"))),
+    "rel1_prefix_projection": _on("feat", lambda f: T.group_rows(f, ["por", "tpc", "fab", "fabdir", "thr"]).select("sample_id", "grp", "idx", T.r6(F.col("value")).alias("value"))),
     "rel1_feature_groups": _on("feat", _in_groups),
     "sta7_refusal_gate": _on("runs", _compared),
     "lbm5_field_residual": _on("velocity", _field_change),

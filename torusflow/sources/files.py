@@ -364,3 +364,30 @@ def vtk(fields: dict[str, np.ndarray], title: str = "fields") -> bytes:
         head = f"VECTORS {name} float\n" if values.ndim == 4 else f"SCALARS {name} float 1\nLOOKUP_TABLE default\n"
         out += [head.encode(), np.ascontiguousarray(values, ">f4").tobytes(), b"\n"]
     return b"".join(out)
+
+
+def write_vtk(structures: DataFrame, path: str, tiles: int = 1) -> None:
+    """Legacy VTK bytes a row (sample_id, name, content) of structures (sample_id, nx, ny, nz, fields, flow), as a
+    Parquet table of files.
+
+    fields: a map of names to values of the cells, x fastest; flow: arrays of (u, v, w), null where
+    there is none, which add ``velocity`` and its ``magnitude``. tiles: periods drawn along each axis.
+    """
+
+    def draw(r: dict) -> bytes:
+        shape = (r["nz"], r["ny"], r["nx"])
+        named = {e["name"]: np.array(e["values"], float).reshape(shape) for e in r["fields"]}
+        if r["flow"] is not None:
+            flow = np.array([[c["u"], c["v"], c["w"]] for c in r["flow"]], float).reshape(*shape, 3)
+            named |= {"velocity": flow, "magnitude": np.sqrt(np.square(flow).sum(3))}
+        return vtk({k: np.tile(v, [tiles] * 3 + [1] * (v.ndim - 3)) for k, v in named.items()}, f"sample {r['sample_id']}")
+
+    def work(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = [[r["sample_id"] for r in rows], [f"sample_{r['sample_id']:06d}.vtk" for r in rows], [draw(r) for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.binary()))], ["sample_id", "name", "content"])
+
+    ordered = structures.select("sample_id", "nx", "ny", "nz", F.map_entries("fields").alias("entries"), "flow")
+    ordered = ordered.select("sample_id", "nx", "ny", "nz", F.transform(F.array_sort("entries"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("values"))).alias("fields"), "flow")
+    ordered.mapInArrow(work, "sample_id long, name string, content binary").write.mode("overwrite").parquet(path)
