@@ -11,6 +11,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.steps import stepped
 from .graph import components
 
 #: Draws of the rejection method; at most one in 10**18 orientations needs more and gets the mean.
@@ -28,20 +29,22 @@ def von_mises(mean: Column, kappa: Column, *seed) -> Column:
 
     Rejection from a wrapped Cauchy envelope: the first of TRIES hashed draws that is accepted.
     """
-    k = F.greatest(kappa, F.lit(1e-4))
-    tau = 1 + F.sqrt(1 + 4 * k * k)
-    rho = (tau - F.sqrt(2 * tau)) / (2 * k)
-    r = (1 + rho * rho) / (2 * rho)
+    named = lambda **parts: F.struct(*[v.alias(n) for n, v in parts.items()])
+    # Each step is a pass over an array, so what it finds is made once however often the next one uses it.
+    given = F.array(named(k=F.greatest(kappa, F.lit(1e-4))))
+    given = F.transform(given, lambda g: named(k=g["k"], tau=1 + F.sqrt(1 + 4 * g["k"] * g["k"])))
+    given = F.transform(given, lambda g: named(k=g["k"], rho=(g["tau"] - F.sqrt(2 * g["tau"])) / (2 * g["k"])))
+    given = F.transform(given, lambda g: named(k=g["k"], r=(1 + g["rho"] * g["rho"]) / (2 * g["rho"])))
 
-    def draw(t: Column) -> Column:
-        z = F.cos(pi * uniform(*seed, t, "z"))
-        f = (1 + r * z) / (r + z)
-        c, u = k * (r - f), uniform(*seed, t, "u")
-        side = F.when(uniform(*seed, t, "s") < 0.5, -1).otherwise(1)
-        return F.struct((side * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), f)))).alias("turn"), ((c * (2 - c) > u) | (F.ln(c / u) + 1 - c >= 0)).alias("ok"))
+    def turns(g: Column) -> Column:
+        tries = F.sequence(F.lit(0), F.lit(TRIES - 1))
+        drawn = F.transform(tries, lambda t: named(z=F.cos(pi * uniform(*seed, t, "z")), u=uniform(*seed, t, "u"), side=uniform(*seed, t, "s")))
+        drawn = F.transform(drawn, lambda d: named(f=(1 + g["r"] * d["z"]) / (g["r"] + d["z"]), u=d["u"], side=d["side"]))
+        drawn = F.transform(drawn, lambda d: named(c=g["k"] * (g["r"] - d["f"]), f=d["f"], u=d["u"], side=d["side"]))
+        return F.get(F.filter(drawn, lambda d: (d["c"] * (2 - d["c"]) > d["u"]) | (F.ln(d["c"] / d["u"]) + 1 - d["c"] >= 0)), 0)
 
-    first = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), draw), lambda d: d["ok"]), 0)
-    return mean + F.when(kappa < 1e-4, 2 * pi * uniform(*seed, "even") - pi).otherwise(F.coalesce(first["turn"], F.lit(0.0)))
+    first = F.transform(F.transform(given, turns), lambda d: F.when(d["side"] < 0.5, -1).otherwise(1) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d["f"]))))
+    return mean + F.when(kappa < 1e-4, 2 * pi * uniform(*seed, "even") - pi).otherwise(F.coalesce(F.get(first, 0), F.lit(0.0)))
 
 
 def sticks(networks: DataFrame, size: int, seed: int = 0, length: float = 20.0, width: float = 3.0) -> DataFrame:
@@ -112,7 +115,7 @@ def chosen(found: DataFrame, share: float, seed: int = 0) -> DataFrame:
 def plugged(pore: DataFrame, joints: DataFrame, share: float, radius: float, size: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The pore (sid, x, y) without discs of solid at a share of the junctions' blobs, and per
     network (sid, n_junctions, n_blocked, pore_cells, left_cells)."""
-    found = centres(blobs(joints.join(pore, ["sid", "x", "y"], "left_semi"), size), size)
+    found, _ = stepped(centres(blobs(joints.join(pore, ["sid", "x", "y"], "left_semi"), size), size), "blobs")
     picked = chosen(found, share, seed)
     discs = dilated(picked, F.lit(float(radius)), size, radius)
     left = pore.join(discs, ["sid", "x", "y"], "left_anti")
