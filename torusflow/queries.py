@@ -14,7 +14,7 @@ from .operators import order
 from .operators import persistence as P
 from .operators import rocks, surface, sweep, symmetry
 from .operators import topology as T
-from .plans import frames, lattice_sql, relational, views
+from .plans import flood_sql, frames, lattice_sql, relational, views
 from .sources import steps
 from .streaming import arrivals, audit
 
@@ -161,4 +161,4 @@ def _streamed_rate(spark, sf_dir: str) -> DataFrame:
 KERNELS |= {"stream_hourly_rate": _streamed_rate, "sta13_sweep": _swept, "drv3_streamed_audit": _streamed_audit}
 
 QUERIES = {name: views.query(sql) for name, sql in relational.SQL.items()} | KERNELS | MODELS | frames.FRAMES
-ORACLES = {name: views.statement(sql, 1) for name, sql in (relational.SQL | lattice_sql.SQL).items()}
+ORACLES = {name: views.statement(sql, 1) for name, sql in (relational.SQL | lattice_sql.SQL | flood_sql.SQL).items()}
