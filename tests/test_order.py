@@ -105,3 +105,26 @@ def test_no_plan_sorts_a_column_in_one_buffer(spark):
     df = spark.range(1000).selectExpr("id % 3 AS g", "cast(id AS double) AS v")
     plan = tables.described(df, "g", "v")._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "percentile_approx(" in plan
+
+
+def test_digests_of_ids(spark):
+    from hashlib import sha256
+
+    from torusflow.operators.digests import id_digests
+
+    rng = np.random.default_rng(3)
+    rows = [(str(g) if g else None, int(i)) for g, i in zip(rng.integers(0, 4, 3000), rng.integers(0, 900, 3000))] + [("hot", 7)] * 500 + [("hot", i) for i in range(5, 9)] + [("1", None), ("none", None)]
+    df = spark.createDataFrame(rows, "grp string, sample_id long").withColumn("n", F.lit("x")).repartition(5)
+    want = {}
+    for g, i in rows:
+        if i is not None:
+            want.setdefault(g, []).append(i)
+    text = lambda ids: sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    whole = lambda ids: (len(ids), min(ids), max(ids), len(set(ids)), text(ids))
+    for piece in (1, 7, 1024):
+        got = id_digests(df, ["grp"], piece=piece).collect()
+        assert {r["grp"]: tuple(r)[1:] for r in got} == {g: whole(ids) for g, ids in want.items()} and len(got) == len(want)
+    every = [i for _, i in rows if i is not None]
+    assert tuple(id_digests(df, [], piece=9).first()) == whole(every)
+    assert id_digests(df.limit(0), ["grp"]).count() == id_digests(df.limit(0), []).count() == 0
+    assert [f.dataType.simpleString() for f in id_digests(df, ["grp"]).schema] == ["string", "bigint", "bigint", "bigint", "bigint", "string"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as Fn
-from ..operators import fields, rocks, series, sticks
+from ..operators import digests, fields, rocks, series, sticks
 from ..operators import lattice as L
 from ..operators import order as O
 from ..operators import tables as T
@@ -243,6 +243,11 @@ def _still(velocity):
     return velocity.groupBy("sid").agg(moving.alias("moving_solid"), T.r6(F.avg("u")).alias("flux"))
 
 
+def _manifest(s):
+    found = digests.id_digests(s, ["stratum"])
+    return found.select("stratum", "n", "first_id", "last_id", (F.col("last_id") - F.col("first_id") + 1 == F.col("distinct")).alias("contiguous"), "ids_sha256")
+
+
 RUN = ["target", "grp", "size", "seed"]
 FRAMES = {
     "gen15_porosity": _packed(_porosity),
@@ -306,6 +311,8 @@ FRAMES = {
     "rel30_experiment_grid": _on("runs", lambda r: T.missing_experiments(r, RUN, F.col("n_rows") > 20)),
     "win1_nested_order": _on("structures", lambda s: O.nested(s, 1)),
     "win2_golden_split": _on("structures", lambda s: O.golden(s, 999, 12345)),
+    "win3_golden_hash": _on("structures", lambda s: digests.id_digests(s, ["batch"]).select("batch", "ids_sha256")),
+    "snk5_manifest": _on("structures", _manifest),
     "win4_kfold": _on("structures", lambda s: O.folds(s, 5, 0)),
     "win5_group_folds": _on("structures", O.group_folds),
     "win6_part_seams": _on("structures", _seams),

@@ -186,7 +186,7 @@ SQL = {
     "rel30_experiment_grid": "SELECT t.target, g.grp, z.size, s.seed FROM (SELECT DISTINCT target FROM runs) t CROSS JOIN (SELECT DISTINCT grp FROM runs) g CROSS JOIN (SELECT DISTINCT size FROM runs) z CROSS JOIN (SELECT DISTINCT seed FROM runs) s LEFT ANTI JOIN runs r ON r.target = t.target AND r.grp = g.grp AND r.size = z.size AND r.seed = s.seed AND r.n_rows > 20",
     "rel31_root_join": "SELECT f.sample_id, f.idx, f.label, round(f.value * s.porosity, 6) + 0.0E0 AS product FROM feat f JOIN structures s ON s.sample_id = f.sample_id",
     "src6_feature_blocks": "SELECT kind, sample_id, CAST(count(*) AS BIGINT) AS width, round(sum(value), 5) + 0.0E0 AS total FROM feat GROUP BY kind, sample_id",
-    "snk5_manifest": "SELECT stratum, CAST(count(*) AS BIGINT) AS n, min(sample_id) AS first_id, max(sample_id) AS last_id, #sha256(#joined(sample_id)) AS ids_sha256 FROM structures GROUP BY stratum",
+    "snk5_manifest": "SELECT stratum, CAST(count(*) AS BIGINT) AS n, min(sample_id) AS first_id, max(sample_id) AS last_id, max(sample_id) - min(sample_id) + 1 = count(DISTINCT sample_id) AS contiguous, #sha256(#joined(sample_id)) AS ids_sha256 FROM structures GROUP BY stratum",
     # -- windows and splits ------------------------------------------------------------
     "win1_nested_order": "SELECT sample_id, stratum, CAST(row_number() OVER (ORDER BY rn, stratum, sample_id) AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat(CAST(sample_id AS STRING), ':1')) DESC, sample_id) AS rn FROM structures) t",
     "win2_golden_split": """SELECT sample_id, stratum, CASE WHEN rn <= #half_even(n * 1.0E0 * grp_n / total) THEN 'golden' ELSE 'pool' END AS split FROM (SELECT *, 999 AS n, count(*) OVER (PARTITION BY stratum) AS grp_n, count(*) OVER () AS total, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat(CAST(sample_id AS STRING), ':12345')), sample_id) AS rn FROM structures) t""",

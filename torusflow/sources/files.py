@@ -6,6 +6,7 @@ will do; each file is one row and is decoded where it is read.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import struct
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import digests
+
 
 def encode_raw(solid: np.ndarray) -> bytes:
     """A 3D structure [z, y, x] of 0 and 1: three 32-bit sizes nx, ny, nz, then bytes with x fastest."""
@@ -341,17 +344,10 @@ def write_raw(structures: DataFrame, path: str) -> None:
     structures.select("sample_id", "nx", "ny", "nz", "grid").mapInArrow(work, "sample_id long, name string, content binary").write.mode("overwrite").parquet(path)
 
 
-def verified_split(split: DataFrame, sha256: str, most: int = 5_000_000) -> DataFrame:
-    """The split, if its golden ids, sorted and joined by commas, have this digest; else it raises.
-
-    The digest runs over all ids in order, so they pass through one array: up to ``most``, beyond which it raises.
-    """
-    held = split.where("split = 'golden'").select("sample_id")
-    if held.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} golden ids")
-    ids = held.agg(F.sort_array(F.collect_list("sample_id")).alias("ids"))
-    good = ids.select((F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256) == sha256).alias("ok")).first()["ok"]
-    if not good:
+def verified_split(split: DataFrame, sha256: str) -> DataFrame:
+    """The split, if its golden ids, sorted and joined by commas, have this digest; else it raises."""
+    found = digests.id_digests(split.where("split = 'golden'"), []).first()
+    if (found["ids_sha256"] if found else hashlib.sha256().hexdigest()) != sha256:
         raise ValueError("the golden ids differ from the manifest")
     return split
 
