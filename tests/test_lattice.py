@@ -273,6 +273,40 @@ def test_bars_equal_ranks_of_boundaries(shape):
         assert endless == whole
 
 
+def reduced(f):
+    """Bars by plain reduction of all boundary columns, whatever they close."""
+    cells, out = P.complex_of(f), []
+    ranks = [np.argsort(np.argsort(v, kind="stable"), kind="stable") for v, _ in cells]
+    for d in range(1, len(cells)):
+        value, faces = cells[d]
+        lows = {}
+        for cell in np.argsort(value, kind="stable").tolist():
+            column = set()
+            for r in ranks[d - 1][faces[cell]].tolist():
+                column ^= {r}
+            while column and max(column) in lows:
+                column = column ^ lows[max(column)]
+            if column:
+                lows[max(column)] = column
+                birth = float(np.sort(cells[d - 1][0])[max(column)])
+                if value[cell] > birth:
+                    out.append((d - 1, birth, float(value[cell])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shape", [(1, 4), (2, 2), (2, 5), (6, 7), (2, 3, 2), (4, 3, 4), (1, 3, 2)])
+def test_bars_equal_plain_reduction(shape):
+    rng = np.random.default_rng(5)
+    for levels in (1, 2, 4, 1000):
+        f = rng.integers(0, levels, (3, *shape)).astype(float)
+        at, *found = P.outer_bars(f)
+        outer = list(zip(at.tolist(), *(c.tolist() for c in found)))
+        for i, one in enumerate(f):
+            want = reduced(one)
+            assert sorted(P.bars(one)) == want
+            assert sorted(bar for k, *bar in outer if k == i) == [list(b) for b in want if b[0] in (0, len(shape) - 1)]
+
+
 def test_image_of_bars(spark):
     bars_ = spark.createDataFrame([(1, 0, 0.25, 0.5), (1, 0, 0.25, 0.5), (1, 1, 0.0, 1.0)], "sid long, dim int, birth double, death double")
     for name, weight in (("constant", lambda p: 1), ("linear", lambda p: p), ("quadratic", lambda p: p * p)):
