@@ -5,6 +5,8 @@ is a row of the recursive table that is replaced under its key, step by step, un
 adds nothing. Structures with equal cells are flooded once.
 """
 
+from .lattice_sql import EDT
+
 N, N3 = 16, 8
 #: The middle of three tiles, as bits of a row.
 MIDDLE = ((1 << N) - 1) << N
@@ -59,22 +61,22 @@ def percolation(dims: int) -> str:
         SELECT g.sid, {", ".join(f"max(CASE WHEN axis = {k} THEN spans END) AS perc_{'xyz'[k]}" for k in range(dims))} FROM g JOIN e ON e.pore = g.pore GROUP BY g.sid"""
 
 
-def _clusters(rows: str, plane: int = 0, middle: bool = False) -> str:
-    """``f``: a row a cluster with its cells ``cur``. The lowest cell left, in the middle tile if so asked, starts the next."""
-    left = lambda cells: f"list_transform({cells}, lambda c, i: CASE WHEN i BETWEEN {N + 1} AND {2 * N} THEN c & {MIDDLE} ELSE 0 END)" if middle else cells
+def _clusters(rows: str, step: str, part: tuple[int, int, int] | None = None) -> str:
+    """``f``: a row a cluster with its cells ``cur``. The lowest cell left, of a part (first row, last row, bits) if so asked, starts the next."""
+    left = lambda cells: f"list_transform({cells}, lambda c, i: CASE WHEN i BETWEEN {part[0]} AND {part[1]} THEN c & {part[2]} ELSE 0 END)" if part else cells
     first = lambda cells: f"list_position(list_transform({left(cells)}, lambda c: c <> 0), true)"
     seed = lambda cells: f"list_transform({left(cells)}, lambda c, i: CASE WHEN i = {first(cells)} THEN c & -c ELSE 0 END)"
     return f"""{_alike(rows)}
         , f(sid, k, pore, rest, cur, live) USING KEY (sid, k) AS (SELECT sid, 1, pore, pore, {seed('pore')}, true FROM h WHERE {first('pore')} IS NOT NULL
             UNION SELECT sid, CASE WHEN live THEN k ELSE k + 1 END, pore, gone, CASE WHEN live THEN went ELSE {seed('gone')} END, NOT live OR went <> cur
-            FROM (SELECT *, CASE WHEN live THEN {_spread(plane)} END AS went, CASE WHEN live THEN rest ELSE list_transform(rest, lambda c, i: c & ~cur[i]) END AS gone FROM f) q WHERE live OR {first('gone')} IS NOT NULL)"""
+            FROM (SELECT *, CASE WHEN live THEN {step} END AS went, CASE WHEN live THEN rest ELSE list_transform(rest, lambda c, i: c & ~cur[i]) END AS gone FROM f) q WHERE live OR {first('gone')} IS NOT NULL)"""
 
 
 def components(dims: int, tail: str = "SELECT * FROM counted") -> str:
     """Clusters of both phases within the cell, and a query on their numbers."""
     phases = " UNION ALL ".join(f"SELECT 2 * sid + {s} AS sid, pore FROM ({_rows(dims, (1, 1, 1), s)})" for s in (0, 1))
     cells = "list_sum(list_transform(cur, lambda c: bit_count(c)))"
-    return f"""WITH RECURSIVE {_clusters(phases, 0 if dims == 2 else N3)}
+    return f"""WITH RECURSIVE {_clusters(phases, _spread(0 if dims == 2 else N3))}
         , c AS (SELECT pore, count(*) AS n, max({cells}) / CAST(sum({cells}) AS DOUBLE) AS share FROM f GROUP BY pore)
         , w AS (SELECT g.sid // 2 AS sid, g.sid % 2 AS phase, coalesce(n, 0) AS n, share FROM g LEFT JOIN c ON c.pore = g.pore)
         , counted AS (SELECT sid, CAST(sum(CASE WHEN phase = 0 THEN n END) AS BIGINT) AS n_pore, round(max(CASE WHEN phase = 0 THEN share END), 6) AS largest, CAST(sum(CASE WHEN phase = 1 THEN n END) AS BIGINT) AS n_solid,
@@ -91,7 +93,7 @@ def cluster_shares() -> str:
     """Clusters of nine tiles that reach the middle one: their cells there, and whether they hold cells of both faces."""
     (left, right), (top, bottom) = _ends(2, 3 * N)
     cells = f"list_sum(list_transform(cur[{N + 1}:{2 * N}], lambda c: bit_count(c & {MIDDLE})))"
-    return f"""WITH RECURSIVE {_clusters(_rows(2, (3, 3)), middle=True)}
+    return f"""WITH RECURSIVE {_clusters(_rows(2, (3, 3)), _spread(), (N + 1, 2 * N, MIDDLE))}
         , c AS (SELECT pore, CAST({cells} AS BIGINT) AS cells, {_any(left)} AND {_any(right)} AS on_x, {_any(top)} AND {_any(bottom)} AS on_y FROM f)
         , s AS (SELECT pore, count(*) AS clusters, CAST(sum(cells) AS DOUBLE) AS total, sum(CASE WHEN on_x THEN cells ELSE 0 END) AS x, sum(CASE WHEN on_y THEN cells ELSE 0 END) AS y, sum(CASE WHEN on_x AND on_y THEN cells ELSE 0 END) AS iso,
             sum(CASE WHEN on_x OR on_y THEN 0 ELSE cells END) AS dead, max(cells) AS most FROM c GROUP BY pore)
@@ -115,7 +117,41 @@ def slab() -> str:
         SELECT sid, round(x, 6) AS tort_x, round(y, 6) AS tort_y, round(x - y, 6) + 0.0E0 AS tort_aniso FROM t"""
 
 
+def bars(tail: str) -> str:
+    """Bars of the throat field from the clusters of its level sets, and a query on them.
+
+    A cluster is as old as its least value. From one level to the next, the clusters of an age that
+    are gone are bars that end. Way 0 joins closed cells by corners; way 1 looks at the open cells
+    from the last value down and joins them by faces, which gives the bars around holes. The way is
+    kept behind the rows of a level set, so that equal sets are flooded once a way.
+    """
+    full = (1 << N) - 1
+    wide = lambda c: f"({c} | (({c} << 1) & {full}) | ({c} >> {N - 1}) | ({c} >> 1) | (({c} & 1) << {N - 1}))"
+    up, down = f"cur[(i + {N - 2}) % {N} + 1]", f"cur[i % {N} + 1]"
+    step = f"list_transform(pore, lambda p, i: CASE WHEN i > {N} THEN 0 ELSE p & ({wide('cur[i]')} | CASE WHEN pore[{N + 1}] = 0 THEN {wide(up)} | {wide(down)} ELSE {up} | {down} END) END)"
+    row = f"CAST(list_sum(list_transform(vs[{N} * r + 1:{N} * r + {N}], lambda v, x: CASE WHEN v <= t THEN 1 << (x - 1) ELSE 0 END)) AS BIGINT)"
+    return f"""WITH RECURSIVE {EDT.format(cap="10.0E0")}
+        , fields AS MATERIALIZED (SELECT l.sid, list(round(coalesce(1 - d / 10, 1.25E0), 6) ORDER BY l.y, l.x) AS fs FROM lattice2 l LEFT JOIN dt ON dt.sid = l.sid AND dt.x = l.x AND dt.y = l.y GROUP BY l.sid)
+        , kinds AS MATERIALIZED (SELECT min(sid) AS kind, fs FROM fields GROUP BY fs)
+        , ways AS (SELECT kind, 0 AS way, fs AS vs FROM kinds UNION ALL SELECT kind, 1, list_transform(fs, lambda v: -v) FROM kinds)
+        , levels AS (SELECT *, row_number() OVER (PARTITION BY kind, way ORDER BY t) AS j FROM (SELECT *, unnest(list_distinct(vs)) AS t FROM ways) w)
+        , sets AS MATERIALIZED (SELECT *, list_append(list_transform(generate_series(0, {N - 1}), lambda r: {row}), way) AS pore FROM levels)
+        , {_clusters("SELECT row_number() OVER () AS sid, pore FROM sets", step, (1, N, full))}
+        , aged AS (SELECT kind, way, j, list_min(list_transform(vs, lambda v, q: CASE WHEN (cur[(q - 1) // {N} + 1] >> ((q - 1) % {N})) & 1 = 1 THEN v END)) AS age FROM sets JOIN f ON f.pore = sets.pore)
+        , c AS MATERIALIZED (SELECT kind, way, j, age, count(*) AS n FROM aged GROUP BY kind, way, j, age)
+        , gone AS (SELECT a.kind, a.way, a.age, s.t, a.n - coalesce(z.n, 0) AS n FROM c a JOIN sets s ON s.kind = a.kind AND s.way = a.way AND s.j = a.j + 1 LEFT JOIN c z ON z.kind = a.kind AND z.way = a.way AND z.j = a.j + 1 AND z.age = a.age WHERE a.n > coalesce(z.n, 0))
+        , bars AS (SELECT kind, way AS dim, CASE WHEN way = 0 THEN age ELSE -t END + 0.0E0 AS birth, CASE WHEN way = 0 THEN t ELSE -age END + 0.0E0 AS death, n FROM gone)
+        {tail}"""
+
+
+BARS = "SELECT sid, CAST(dim AS INT) AS dim, birth, death FROM (SELECT *, unnest(generate_series(1, n)) AS again FROM bars) b JOIN kinds ON kinds.kind = b.kind JOIN fields ON fields.fs = kinds.fs"
+IMAGE = """, px AS (SELECT kind, dim, CAST(a.v AS INT) AS i, CAST(b.v AS INT) AS j, round(sum(n * (death - birth) * exp(-(power(birth - a.v / 7.0E0, 2) + power(death - birth - b.v / 7.0E0, 2)) / 0.03125E0) / (0.03125E0 * pi())), 5) AS value
+        FROM bars CROSS JOIN axis8 a CROSS JOIN axis8 b GROUP BY kind, dim, a.v, b.v)
+        SELECT sid, CAST(dim AS INT) AS dim, i, j, value FROM px JOIN kinds ON kinds.kind = px.kind JOIN fields ON fields.fs = kinds.fs"""
+
 SQL = {
+    "dsc16_persistence": bars(BARS),
+    "dsc17_image_of_bars": bars(IMAGE),
     "top1_percolation": percolation(2),
     "top1_percolation_3d": percolation(3),
     "top2_clusters": cluster_shares(),
