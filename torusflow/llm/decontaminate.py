@@ -51,6 +51,8 @@ BLOCKS, WIDTH, FLIPS = 4, 16, 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Up to so many rows a lookup table is broadcast (some 100 MB); beyond, the join is left to Spark.
 BROADCAST = 1_000_000
+#: Copies of a lookup table's entries where it isn't broadcast.
+SALT = 16
 #: Bits of the Bloom filter: 128 to 256 a shingle, at least 2**14 and at most 2**27 (16 MB).
 BLOOM = (14, 27)
 
@@ -137,6 +139,15 @@ def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def _looked_up(many: DataFrame, table: DataFrame, on: list[str], by: str, rows: int, most: int) -> DataFrame:
+    """The join with a lookup table by shingle: broadcast up to ``most`` rows; beyond, each shingle's rows are dealt by
+    the column ``by`` to SALT copies of its entry, so that a shingle of every document is no hot key."""
+    if rows <= most:
+        return many.join(F.broadcast(table), on)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(salted, [*on, "__salt"]).drop("__salt")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similar: float = SIMILAR, broadcast: int = BROADCAST, report: bool = False) -> DataFrame:
     """A row for each document and item with a window at the similarity: id, item_id, start (in words), similarity, distance.
 
@@ -169,7 +180,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
 
     # Windows: of each size that an item with the shingle has.
     sized = counts.select("k", "n", "s").distinct()
-    places = texts.select("x1", "x2", "k", F.size("g").alias("size"), F.posexplode("g").alias("at", "s")).join(_small(sized, rows, broadcast), ["k", "s"])
+    places = texts.select("x1", "x2", "k", F.size("g").alias("size"), F.posexplode("g").alias("at", "s"))
+    places = _looked_up(places, sized, ["k", "s"], "x1", rows, broadcast)
     spots = places.groupBy("x1", "x2", "k", "size", "n").agg(F.sort_array(F.collect_list("at")).alias("at"))
     # o shared of n and m shingles: o / (n + m - o) >= similar, where the window has m = least(n, size).
     m = F.least("n", "size")
@@ -201,15 +213,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     floor = F.ceil(F.col("n") * similar - 1e-9)
     before = lambda i: F.aggregate(F.slice("r", F.lit(1), i), F.lit(0), lambda a, x: a + x["c"])
     prefix = ranked.select("item_id", "u", "k", "n", F.explode(F.filter(F.slice("r", F.lit(1), (F.col("n") - floor + 1).cast("int")), lambda x, i: before(i) <= F.col("n") - floor)).alias("r")).select("item_id", "u", "k", "n", "r.s")
-    inner = contents.join(texts, ["x1", "x2", "k"]).select("w1", "w2", "k", "n", "print", F.explode(F.array_distinct(F.slice("g", F.col("start") + 1, F.col("m")))).alias("s"))
-    met = inner.join(_small(prefix, rows, broadcast), ["k", "n", "s"]).select("w1", "w2", "k", "n", "print", "item_id", "u").distinct()
+    # Shingles of the windows with their counts, made once for both uses: runs of the sorted window.
+    runs = contents.join(texts, ["x1", "x2", "k"]).select("w1", "w2", "k", "n", "m", "print", once(F.sort_array(F.slice("g", F.col("start") + 1, F.col("m")))).alias("w"))
+    runs = runs.withColumn("e", once(F.filter(F.transform("w", lambda x, i: F.when(~F.get("w", i + 1).eqNullSafe(x), i)), lambda i: i.isNotNull())))
+    counted = F.transform("e", lambda p, i: F.struct(F.get("w", p).alias("s"), (p - F.coalesce(F.get("e", i - 1), F.lit(-1))).alias("d")))
+    shared = written(runs.select("w1", "w2", "k", "n", "m", "print", F.inline(counted)), "shared")
+    met = _looked_up(shared.select("w1", "w2", "k", "n", "print", "s"), prefix, ["k", "n", "s"], "w1", rows, broadcast).select("w1", "w2", "k", "n", "print", "item_id", "u").distinct()
     goals = _small(goal.select("u", "item_id", "goal"), many, broadcast)
     far = met.join(goals, ["u", "item_id"]).select("w1", "w2", "k", "n", "item_id", "u", apart, F.lit("rarest").alias("way")).where(F.col("distance") > RADIUS)
     pairs = near.unionByName(far)
 
-    shared = contents.join(texts, ["x1", "x2", "k"]).select("w1", "w2", "k", "n", "m", F.explode(F.slice("g", F.col("start") + 1, F.col("m"))).alias("s"))
-    shared = shared.groupBy("w1", "w2", "k", "n", "m", "s").agg(F.count("*").cast("int").alias("d"))
-    exact = pairs.join(shared, ["w1", "w2", "k", "n"]).join(_small(counts.drop("n", "item_id", "k"), rows, broadcast), ["u", "s"])
+    exact = _looked_up(pairs.join(shared.drop("print"), ["w1", "w2", "k", "n"]), counts.drop("n", "item_id", "k"), ["u", "s"], "w1", rows, broadcast)
     exact = exact.groupBy("w1", "w2", "k", "n", "m", "item_id", "u", "distance", "way").agg(F.sum(F.least("c", "d")).alias("o"))
     exact = exact.withColumn("similarity", F.col("o") / (F.col("n") + F.col("m") - F.col("o"))).where(F.col("similarity") >= similar - 1e-12)
     found = windows.select("x1", "x2", "k", "start", "n", "w1", "w2").join(exact.select("w1", "w2", "k", "n", "item_id", "similarity", "distance", "way"), ["w1", "w2", "k", "n"])
