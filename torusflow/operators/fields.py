@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the length that fluxes are measured in, in cells.
@@ -38,24 +38,27 @@ def statistics(velocity: DataFrame) -> DataFrame:
     participation (the share of the pore that would carry the energy evenly), effective porosity
     (cells that move), specific surface (sides between pore and solid by cells) and the flux through
     the middle column. Null where nothing flows."""
-    pore = velocity.where("solid = 0")
     e = _speed2()
-    sums = velocity.groupBy("sid").agg(
+    # All is told within a structure, so its cells are dealt once; a cell looks at the one before it along x and along
+    # y, and at the far end of its line where it lies on the seam. A missing cell has no sides.
+    whole = Window.partitionBy("sid")
+    rows = velocity.select("sid", "x", "y", "solid", "u", "v", (F.max("x").over(whole) + 1).alias("__nx"), (F.max("y").over(whole) + 1).alias("__ny"))
+    sides = []
+    for c, across in (("x", "y"), ("y", "x")):
+        line, end = Window.partitionBy("sid", across), F.col(f"__n{c}") - 1
+        inner = F.when(F.lag(c).over(line.orderBy(c)) == F.col(c) - 1, F.lag("solid").over(line.orderBy(c)))
+        before = F.when(F.col(c) == 0, F.max(F.when(F.col(c) == end, F.col("solid"))).over(line)).otherwise(inner)
+        rows = rows.withColumn(f"__by_{c}", before)
+        sides.append(F.count(F.when(F.col("solid") + F.col(f"__by_{c}") == 1, 1)))
+    rows = rows.groupBy("sid").agg(
         F.count("*").alias("cells"), F.sum(F.sqrt(e)).alias("speed"), F.sum("u").alias("along"), F.sum(e).alias("e1"), F.sum(e * e).alias("e2"),
-        F.count(F.when(F.col("solid") == 0, 1)).alias("pores"), F.count(F.when(e > 0, 1)).alias("moving"), F.max("x").alias("__x"), F.max("y").alias("__y"),
+        F.count(F.when(F.col("solid") == 0, 1)).alias("pores"), F.count(F.when(e > 0, 1)).alias("moving"), (sides[0] + sides[1]).alias("faces"),
+        (F.sum(F.when(F.col("x") == F.floor(F.col("__nx") / 2), F.col("u"))) / (BLOCK * BLOCK)).alias("column_flux"),
     )
-    sides = sums.select("sid", (F.col("__x") + 1).alias("nx"), (F.col("__y") + 1).alias("ny"))
-    # A side lies between a pore cell and a solid neighbour; each solid cell looks at its four around the torus.
-    solid = velocity.where("solid = 1").join(sides, "sid")
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
-    near = solid.select("sid", "x", "y", "nx", "ny", step.alias("s")).select("sid", F.pmod(F.col("x") + F.col("s.dx"), "nx").alias("x"), F.pmod(F.col("y") + F.col("s.dy"), "ny").alias("y"))
-    faces = near.join(pore.select("sid", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")), ["sid", "x", "y"]).groupBy("sid").agg(F.count("*").alias("faces"))
-    middle = velocity.join(sides, "sid").where(F.col("x") == F.floor(F.col("nx") / 2)).groupBy("sid").agg((F.sum("u") / (BLOCK * BLOCK)).alias("column_flux"))
     nz = lambda c: F.nullif(F.col(c).cast("double"), F.lit(0.0))
-    rows = sums.join(faces, "sid", "left").join(middle, "sid", "left")
     return rows.select(
         "sid", (F.col("speed") / nz("along")).alias("tortuosity"), (F.col("e1") * F.col("e1") / (nz("pores") * nz("e2"))).alias("participation"),
-        (F.col("moving") / F.col("cells")).alias("effective_porosity"), (F.coalesce("faces", F.lit(0)) / F.col("cells")).alias("specific_surface"), "column_flux",
+        (F.col("moving") / F.col("cells")).alias("effective_porosity"), (F.col("faces") / F.col("cells")).alias("specific_surface"), "column_flux",
     )
 
 
