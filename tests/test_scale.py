@@ -51,3 +51,7 @@ def test_structures_are_dealt_over_the_cores(spark, name):
 def test_tasks_grow_with_the_parts(spark, monkeypatch):
     monkeypatch.setattr(views, "STRUCTURES", 10)
     assert views.parts(spark, SF).rdd.getNumPartitions() == 20
+
+
+def test_quantiles_do_not_broadcast_cells(spark):
+    assert "HashedRelationBroadcastMode" not in shown(q.QUERIES["gen3_quantile_threshold"](spark, "/root/testdata/sf0.1"))
