@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from torusflow import queries as q
-from torusflow.operators import fields
+from torusflow.operators import fields, graph
 from torusflow.plans import views
 
 from .conftest import SF
@@ -55,3 +55,13 @@ def test_tasks_grow_with_the_parts(spark, monkeypatch):
 
 def test_quantiles_do_not_broadcast_cells(spark):
     assert "HashedRelationBroadcastMode" not in shown(q.QUERIES["gen3_quantile_threshold"](spark, "/root/testdata/sf0.1"))
+
+
+def test_plugs_do_not_broadcast_cells(spark):
+    plan = shown(q.QUERIES["gen7_plugged"](spark, SF))
+    assert "HashedRelationBroadcastMode" not in plan and "SortMergeJoin" in plan
+
+
+def test_stars_do_not_broadcast_neighbours(spark):
+    rows = spark.range(50).selectExpr("id + 1 as high", "id as low")
+    assert "BroadcastHashJoin" not in shown(graph._hung(rows, True)) + shown(graph._hung(rows, False))

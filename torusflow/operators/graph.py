@@ -19,7 +19,8 @@ def _hung(pairs: DataFrame, both_ways: bool) -> DataFrame:
         near = near.unionByName(pairs.select(F.col("low").alias("n"), F.col("high").alias("m")))
     least = near.groupBy("n").agg(F.min("m").alias("top")).select("n", F.least("n", "top").alias("top"))
     moved = near.where("m > n") if both_ways else near
-    out = moved.join(least, "n").select(F.col("m").alias("a"), F.col("top").alias("b"))
+    # A step's size on disk says little about its rows, so it must not decide for a broadcast.
+    out = moved.join(least.hint("merge"), "n").select(F.col("m").alias("a"), F.col("top").alias("b"))
     return out if both_ways else out.unionByName(least.select(F.col("n").alias("a"), F.col("top").alias("b")))
 
 
@@ -47,4 +48,4 @@ def components(edges: DataFrame) -> DataFrame:
     found = pairs.select(F.col("high").alias("id"), F.col("low").alias("root"))
     roots = found.select(F.col("root").alias("id")).distinct()
     found = found.unionByName(roots.select("id", F.col("id").alias("root")))
-    return found.unionByName(alone.join(found, "id", "left_anti").select("id", F.col("id").alias("root")))
+    return found.unionByName(alone.join(found.hint("merge"), "id", "left_anti").select("id", F.col("id").alias("root")))

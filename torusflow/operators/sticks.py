@@ -6,6 +6,7 @@ on any layout and in any engine. All steps are columns, joins and groups over (s
 
 from __future__ import annotations
 
+from functools import reduce
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,7 +92,7 @@ def blobs(cells: DataFrame, size: int) -> DataFrame:
     marks = cells.select("sid", "x", "y").distinct()
     ahead = F.explode(F.array(node(x, y), node((x + 1) % size, y), node(x, (y + 1) % size)))
     edges = marks.select(node(x, y).alias("a"), ahead.alias("b"))
-    edges = edges.join(marks.select(node(x, y).alias("b")), "b", "left_semi").select("a", "b")
+    edges = edges.join(marks.select(node(x, y).alias("b")).hint("merge"), "b", "left_semi").select("a", "b")
     found = components(edges)
     return found.select("id.sid", (F.col("id.at") % size).cast("int").alias("x"), F.floor(F.col("id.at") / size).cast("int").alias("y"), F.col("root.at").alias("blob"))
 
@@ -115,13 +116,12 @@ def chosen(found: DataFrame, share: float, seed: int = 0) -> DataFrame:
 def plugged(pore: DataFrame, joints: DataFrame, share: float, radius: float, size: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The pore (sid, x, y) without discs of solid at a share of the junctions' blobs, and per
     network (sid, n_junctions, n_blocked, pore_cells, left_cells)."""
-    found, _ = stepped(centres(blobs(joints.join(pore, ["sid", "x", "y"], "left_semi"), size), size), "blobs")
+    # Cells are many for their bytes on disk: their joins are merged, whatever size is estimated.
+    found, _ = stepped(centres(blobs(joints.join(pore.hint("merge"), ["sid", "x", "y"], "left_semi"), size), size), "blobs")
     picked = chosen(found, share, seed)
     discs = dilated(picked, F.lit(float(radius)), size, radius)
-    left = pore.join(discs, ["sid", "x", "y"], "left_anti")
-    count = lambda df, name: df.groupBy("sid").agg(F.count("*").alias(name))
-    report = count(pore, "pore_cells")
-    for df, name in ((found, "n_junctions"), (picked, "n_blocked"), (left, "left_cells")):
-        report = report.join(count(df, name), "sid", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return left, report.select("sid", zero("n_junctions"), zero("n_blocked"), "pore_cells", zero("left_cells"))
+    left = pore.join(discs.hint("merge"), ["sid", "x", "y"], "left_anti")
+    names = ("n_junctions", "n_blocked", "pore_cells", "left_cells")
+    marked = [df.select("sid", *[F.lit(int(n == name)).alias(n) for n in names]) for name, df in zip(names, (found, picked, pore, left))]
+    report = reduce(DataFrame.unionByName, marked).groupBy("sid").agg(*[F.sum(n).alias(n) for n in names])
+    return left, report
