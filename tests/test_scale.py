@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from torusflow import queries as q
-from torusflow.operators import fields, graph
+from torusflow.operators import fields, graph, order
 from torusflow.plans import views
 
 from .conftest import SF
@@ -65,3 +65,31 @@ def test_plugs_do_not_broadcast_cells(spark):
 def test_stars_do_not_broadcast_neighbours(spark):
     rows = spark.range(50).selectExpr("id + 1 as high", "id as low")
     assert "BroadcastHashJoin" not in shown(graph._hung(rows, True)) + shown(graph._hung(rows, False))
+
+
+def test_exact_splits_over_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(order, "PIECE", 64)
+    monkeypatch.setattr(type(spark.range(1)), "collect", counted(type(spark.range(1)).collect))
+    n = 15000
+    df = spark.range(n).selectExpr("(id * 7919) % 15000 as sample_id").selectExpr("sample_id", "case sample_id % 5 when 0 then 'b' when 1 then null else 'a' end as stratum")
+    got = order.exact_golden(df, 4000, 7)  # over one in 50 of each stratum
+    folds = order.exact_folds(df, 7, 3)
+    assert counted.rows <= 3  # the strata's sizes, and no id
+    monkeypatch.undo()
+    rng, ids, want = np.random.default_rng(7), np.arange(n), set()
+    for own in (ids[ids % 5 > 1], ids[ids % 5 == 0], ids[ids % 5 == 1]):
+        want |= set(rng.choice(own, size=int(np.rint(4000 * len(own) / n)), replace=False).tolist())
+    assert {r["sample_id"] for r in got.where("split = 'golden'").collect()} == want and got.count() == n
+    shuffled = np.arange(n)
+    np.random.RandomState(3).shuffle(shuffled)
+    assert {(r["sample_id"], r["fold"]) for r in folds.collect()} == {(int(i), f) for f, part in enumerate(np.array_split(shuffled, 7)) for i in part}
+
+
+def counted(collect):
+    def run(self):
+        found = collect(self)
+        counted.rows = max(counted.rows, len(found))
+        return found
+
+    counted.rows = 0
+    return run
