@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from torusflow import queries as q
-from torusflow.operators import fields, graph, order
+from torusflow.operators import fields, graph, lattice, order
 from torusflow.plans import views
 
 from .conftest import SF
@@ -93,3 +93,17 @@ def counted(collect):
 
     counted.rows = 0
     return run
+
+
+def test_equal_structures_are_computed_once(spark):
+    rows = [(i, [int(i % 3 == k) for k in range(9)]) for i in range(600)] + [(1000 + i, [i % 2] * 16) for i in range(4)] + [(2000, None)]
+    packed = spark.createDataFrame(rows, "sid long, grid array<int>").selectExpr("sid", "transform(grid, g -> cast(g as tinyint)) as grid").coalesce(1)
+
+    def work(ids, block):  # as many rows as a structure's first cell says, and one; what it was computed with
+        n = block[:, 0, 0] + 1
+        return np.repeat(ids, n)[::-1], np.full(n.sum(), len(ids)), np.repeat(block.reshape(len(ids), -1).argmax(1), n)[::-1]
+
+    got = sorted(map(tuple, lattice.kernel(packed, 2, work, "sid long, mates long, at long").collect()))
+    want = [(i, 3, i % 3) for i in range(600) for _ in range(1 + (i % 3 == 0))] + [(1000 + i, 2, 0) for i in range(4) for _ in range(1 + i % 2)]
+    assert got == sorted(want)
+    assert [r for r in lattice.kernel(packed, 2, lambda ids, g: ([], [], []), "sid long, mates long, at long").collect()] == []
