@@ -107,3 +107,7 @@ def test_equal_structures_are_computed_once(spark):
     want = [(i, 3, i % 3) for i in range(600) for _ in range(1 + (i % 3 == 0))] + [(1000 + i, 2, 0) for i in range(4) for _ in range(1 + i % 2)]
     assert got == sorted(want)
     assert [r for r in lattice.kernel(packed, 2, lambda ids, g: ([], [], []), "sid long, mates long, at long").collect()] == []
+
+
+def test_the_sweep_merges_bars_with_features(spark):
+    assert "SortMergeJoin [sid" in shown(q.QUERIES["sta13_sweep"](spark, SF))
