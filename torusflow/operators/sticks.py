@@ -38,7 +38,11 @@ def von_mises(mean: Column, kappa: Column, *seed) -> Column:
     given = F.transform(given, lambda g: named(k=g["k"], r=(1 + g["rho"] * g["rho"]) / (2 * g["rho"])))
 
     def turns(g: Column) -> Column:
-        tries = F.sequence(F.lit(0), F.lit(TRIES - 1))
+        # Most first draws are accepted, so later ones are made only where all before were refused.
+        return F.coalesce(*[accepted(g, low, min(2 * low, TRIES) if low else 1) for low in (0, 1, 2, 4, 8, 16, 32)])
+
+    def accepted(g: Column, low: int, high: int) -> Column:
+        tries = F.sequence(F.lit(low), F.lit(high - 1))
         drawn = F.transform(tries, lambda t: named(z=F.cos(pi * uniform(*seed, t, "z")), u=uniform(*seed, t, "u"), side=uniform(*seed, t, "s")))
         drawn = F.transform(drawn, lambda d: named(f=(1 + g["r"] * d["z"]) / (g["r"] + d["z"]), u=d["u"], side=d["side"]))
         drawn = F.transform(drawn, lambda d: named(c=g["k"] * (g["r"] - d["f"]), f=d["f"], u=d["u"], side=d["side"]))
