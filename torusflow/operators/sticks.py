@@ -9,11 +9,13 @@ from __future__ import annotations
 from functools import reduce
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.steps import stepped
-from .graph import components
+from .lattice import CELLS, labels_of
 
 #: Draws of the rejection method; at most one in 10**18 orientations needs more and gets the mean.
 TRIES = 40
@@ -75,30 +77,42 @@ def raster(lines: DataFrame, size: int) -> DataFrame:
     return rows.select("sid", "seg", "width", place("cx", F.cos).alias("x"), place("cy", F.sin).alias("y")).distinct()
 
 
-def dilated(cells: DataFrame, radius: Column, size: int, most: float = 4.5) -> DataFrame:
-    """(sid, x, y): the cells within the radius (at most ``most``) of those given, around the torus."""
+def dilated(cells: DataFrame, radius: Column, size: int, most: float = 4.5, by: tuple = ("sid",)) -> DataFrame:
+    """(by, x, y): the cells within the radius (at most ``most``) of those given, around the torus."""
     reach = int(-(-most // 1))
     disc = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a * a + b * b <= most * most])
     rows = cells.withColumn("d", F.explode(F.filter(disc, lambda d: d["dx"] * d["dx"] + d["dy"] * d["dy"] <= radius * radius)))
-    return rows.select("sid", *[F.pmod(F.col(c) + F.col(f"d.d{c}"), F.lit(size)).cast("int").alias(c) for c in "xy"]).distinct()
+    return rows.select(*by, *[F.pmod(F.col(c) + F.col(f"d.d{c}"), F.lit(size)).cast("int").alias(c) for c in "xy"]).distinct()
 
 
 def junctions(cells: DataFrame, size: int) -> DataFrame:
     """(sid, x, y): cells within one step of two or more distinct sticks (sid, seg, x, y)."""
-    wide = dilated(cells.select(F.struct("sid", "seg").alias("sid"), "x", "y"), F.lit(1.0), size, 1.0)
-    return wide.groupBy("sid.sid", "x", "y").agg(F.count("*").alias("n")).where("n >= 2").select("sid", "x", "y")
+    # Columns of their own, so that networks dealt by sid stay where they are.
+    wide = dilated(cells, F.lit(1.0), size, 1.0, ("sid", "seg"))
+    return wide.groupBy("sid", "x", "y").agg(F.count("*").alias("n")).where("n >= 2").select("sid", "x", "y")
 
 
 def blobs(cells: DataFrame, size: int) -> DataFrame:
-    """(sid, x, y, blob): connected cells, by sides and around the torus; a blob's name is its least y * size + x."""
-    node = lambda x, y: F.struct(F.col("sid").alias("sid"), (y * size + x).cast("long").alias("at"))
-    x, y = F.col("x"), F.col("y")
-    marks = cells.select("sid", "x", "y").distinct()
-    ahead = F.explode(F.array(node(x, y), node((x + 1) % size, y), node(x, (y + 1) % size)))
-    edges = marks.select(node(x, y).alias("a"), ahead.alias("b"))
-    edges = edges.join(marks.select(node(x, y).alias("b")).hint("merge"), "b", "left_semi").select("a", "b")
-    found = components(edges)
-    return found.select("id.sid", (F.col("id.at") % size).cast("int").alias("x"), F.floor(F.col("id.at") / size).cast("int").alias("y"), F.col("root.at").alias("blob"))
+    """(sid, x, y, blob): connected cells, by sides and around the torus; a blob's name is its least y * size + x.
+
+    No blob leaves its network, so a network's cells are put together and labelled as a block."""
+    kind = cells.schema["sid"].dataType.simpleString()
+    nets = cells.groupBy("sid").agg(F.collect_list((F.col("y") * size + F.col("x")).cast("int")).alias("at"))
+    step = max(1, CELLS // size**2)
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                on = np.zeros((batch.num_rows, size * size), bool)
+                at = batch.column(1)
+                on[np.repeat(np.arange(len(on)), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = True
+                names = labels_of(on.reshape(-1, size, size), True).reshape(on.shape) - 1
+                net, place = np.nonzero(on)
+                x, y, blob = place % size, place // size, names[net, place] - net * size * size
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(net)), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(blob, pa.int64())], ["sid", "x", "y", "blob"])
+
+    return nets.mapInArrow(run, f"sid {kind}, x int, y int, blob long")
 
 
 def centres(labelled: DataFrame, size: int) -> DataFrame:
