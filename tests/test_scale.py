@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from torusflow import queries as q
-from torusflow.operators import fields, graph, lattice, order
+from torusflow.operators import fields, generate, graph, lattice, order, topology
 from torusflow.plans import views
 
 from .conftest import SF
@@ -111,3 +111,73 @@ def test_equal_structures_are_computed_once(spark):
 
 def test_the_sweep_merges_bars_with_features(spark):
     assert "SortMergeJoin [sid" in shown(q.QUERIES["sta13_sweep"](spark, SF))
+
+
+ONCE = ("lbm2_permeability_3d", "top3_tortuosity", "top3_connectivity", "top7_critical_radius", "top7_critical_radius_3d", "dsc16_persistence_3d", "top1_percolation_3d", "gen9_cube_metrics", "top6_windings", "top6_windings_3d")
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_dear_work_is_done_once_for_a_structure(spark, name):
+    plan = shown(q.QUERIES[name](spark, SF))
+    assert "SortMergeJoin [mark" in plan and "RoundRobinPartitioning(" in plan
+    assert "isnotnull(coalesce" not in plan  # a null check of cells would be pushed to where the parts are read
+
+
+def test_structures_of_a_table_are_computed_once(spark):
+    rows = [(i, [int(i % 3 == k) for k in range(9)]) for i in range(600)] + [(7, [1] * 16), (8, None)]
+    packed = spark.createDataFrame(rows, "sid long, grid array<int>").selectExpr("sid", "transform(grid, g -> cast(g as tinyint)) as grid").repartition(7)
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(ids, block):
+        seen.add(len(ids))
+        return np.repeat(ids, 2), np.repeat(block.reshape(len(ids), -1).argmax(1), 2)
+
+    got = sorted(map(tuple, lattice.once(packed, lambda p: lattice.kernel(p, 2, work, "sid long, at long")).collect()))
+    assert got == sorted([(i, i % 3) for i in range(600)] * 2 + [(7, 0)] * 2) and seen.value == 4
+
+
+@pytest.mark.parametrize("dims, n, top, tens", [(2, 5, lambda x, y, z, p: 5 * x + 3 * y + x * y * p, 3), (3, 4, lambda x, y, z, p: 5 * x + 3 * y + 7 * z + x * y * p + y * z, 4)])
+def test_hosts_equal_their_rule(spark, dims, n, top, tens):
+    parts = [(1, 7), (2**40 + 3, 1), (-5, 2), (9, -400), (4, None), (None, 4)]
+    rows = (lattice.lattice2 if dims == 2 else lattice.lattice3)(spark.createDataFrame(parts, "p_partkey long, p_size int"), n).collect()
+    for (p, s), r in zip(parts, sorted(rows, key=lambda r: [q for q, _ in parts].index(r["sid"]))):
+        cells = [(x, y, z) for z in range(n if dims == 3 else 1) for y in range(n) for x in range(n)]
+        want = [0 if p is None or s is None else int(np.fmod(top(*c, p) + s, 10) < tens) for c in cells]
+        assert r["sid"] == p and r["grid"] == want
+
+
+@pytest.mark.parametrize("dims, n", [(2, 1), (2, 3), (2, 7), (3, 2), (3, 4)])
+def test_spans_equal_labels_of_the_tiling(dims, n):
+    on = np.random.default_rng(n).random((60, *[n] * dims)) < np.linspace(0, 1, 60).reshape(-1, *[1] * dims)
+    _, ends = topology._crossings(on)
+    assert topology.spans(on).tolist() == [[bool(e) for e in one] for one in ends]
+
+
+@pytest.mark.parametrize("dims, n", [(2, 9), (3, 6)])
+def test_fields_are_sums_of_cosines(dims, n):
+    rng = np.random.default_rng(dims)
+    wave, phase = rng.integers(-5, 6, (7, dims)), rng.uniform(0, np.pi, 7)
+    at = np.meshgrid(*[np.arange(n)] * dims, indexing="ij")[::-1]
+    want = np.sqrt(2 / 7) * sum(np.cos(2 * np.pi / n * sum(c * a for c, a in zip(v, at)) + p) for v, p in zip(wave, phase))
+    assert np.abs(generate.field(wave, phase, n) - want).max() < 1e-12 and not generate.field(wave[:0], phase[:0], n).any()
+
+
+def test_samples_are_the_same_together_and_alone(spark):
+    how = dict(n=8, dims=2, seed=3, attempts=4)
+    told = lambda rows: [(*r[:4], None if r[4] is None else list(r[4])) for r in rows]
+    assert told(generate.made(list(range(40)), **how)) == told([generate.structure(i, **how) for i in range(40)])
+
+
+def test_blobs_are_labelled_without_rounds_over_the_table(spark):
+    plan = shown(q.QUERIES["gen7_blobs"](spark, SF))
+    assert "FileScan parquet [sid" not in plan and plan.count("Exchange hashpartitioning") == 1  # no step is written, no cell is shuffled
+
+
+def test_orientations_draw_no_more_than_they_need(spark):
+    plan = q.QUERIES["gen6_von_mises_sticks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 39" not in plan
+
+
+def test_code_of_symmetric_tensors_is_small(spark):
+    plan = q.QUERIES["ten7_symmetric_tensors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan
