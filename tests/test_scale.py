@@ -232,6 +232,12 @@ def test_faces_are_counted_in_blocks(spark):
         assert got[sid] == (n**3, faces, sum(grid))
 
 
+@pytest.mark.parametrize("name", ["dsc10_local_axis_3d", "dsc5_fabric_profile"])
+def test_kernels_get_their_hosts_in_blocks(spark, name):
+    plan = shown(q.QUERIES[name](spark, SF))
+    assert plan.count("MapInArrow") == 2 and "lambda" not in plan and plan.count("Exchange") == plan.count("Exchange hashpartitioning(p_partkey") == 1
+
+
 def test_blobs_are_labelled_without_rounds_over_the_table(spark):
     plan = shown(q.QUERIES["gen7_blobs"](spark, SF))
     assert "FileScan parquet [sid" not in plan and plan.count("Exchange hashpartitioning") == 2  # no step is written; the parts are dealt, and the centres' sums
