@@ -1,10 +1,12 @@
 """What keeps queries within the memory of a driver and a task as their tables grow."""
 
+from collections.abc import Sequence
+
 import numpy as np
 import pytest
 
 from torusflow import queries as q
-from torusflow.operators import fields, generate, graph, lattice, order, surface, topology
+from torusflow.operators import fields, generate, graph, lattice, order, splits, surface, topology
 from torusflow.plans import views
 
 from .conftest import SF
@@ -133,6 +135,64 @@ def test_exact_splits_over_many_pieces(spark, monkeypatch):
     assert {(r["sample_id"], r["fold"]) for r in folds.collect()} == {(int(i), f) for f, part in enumerate(np.array_split(shuffled, 7)) for i in part}
 
 
+@pytest.mark.parametrize("n, k, seed", [(1, 3, 0), (2, 5, 1), (7, 10, 2), (3000, 7, 3)])
+def test_folds_beyond_one_task(spark, monkeypatch, n, k, seed):
+    monkeypatch.setattr(order, "ALONE", 0)
+    monkeypatch.setattr(splits, "folds", None)  # no draw over all rows
+    got = order.exact_folds(spark.range(n).selectExpr("id * 3 - 5 as sample_id").repartition(3), k, seed).collect()
+    shuffled = np.arange(n)
+    np.random.RandomState(seed).shuffle(shuffled)
+    assert sorted((r["sample_id"], r["fold"]) for r in got) == sorted((int(i) * 3 - 5, f) for f, part in enumerate(np.array_split(shuffled, k)) for i in part)
+
+
+def test_shuffles_are_joined_from_many_pieces(spark):
+    shuffled = np.arange(2000)
+    np.random.RandomState(9).shuffle(shuffled)
+    assert len(list(splits.pieces(2000, 9, 256))) > 5
+    assert [r["row"] for r in order.shuffled(spark, 2000, 9, 256).orderBy("place").collect()] == shuffled.tolist()
+
+
+def test_exact_golden_is_told_only_what_is_held_out(spark, monkeypatch):
+    monkeypatch.setattr(order.splits, "places", lambda sizes, total, seed: [(name, np.array([n - 1])) for name, n in sizes])
+    got = order.exact_golden(spark.range(900).selectExpr("id as sample_id", "id % 3 as stratum"), 3, 0)
+    assert {r["sample_id"] for r in got.where("split = 'golden'").collect()} == {897, 898, 899} and got.count() == 900
+
+
+@pytest.mark.parametrize("n", [1, 40, 70000, 2**32 + 50])
+def test_replayed_swaps_equal_numpy(n):
+    seen = Swapped(n)
+    try:
+        np.random.RandomState(5).shuffle(seen)
+    except StopIteration:
+        pass
+    got = [(i, j) for state in (splits.pieces(n, 5) if n < 1 << 20 else [next(splits.pieces(n, 5))]) for rows, mates, _ in splits.replayed(*state) for i, j in zip(rows.tolist(), mates.tolist())]
+    assert got[: Swapped.MOST] == seen.pairs and len(seen.pairs) == min(n - 1, Swapped.MOST)
+
+
+class Swapped(Sequence):
+    """A sequence of any length that only tells which rows are swapped, up to a number of swaps."""
+
+    MOST = 200_000
+
+    def __init__(self, n):
+        self.n, self.read, self.pairs, self.sets = n, [], [], 0
+
+    def __len__(self):
+        return self.n
+
+    def __getitem__(self, i):
+        self.read.append(i)
+        return i
+
+    def __setitem__(self, i, value):
+        self.sets += 1
+        if self.sets % 2 == 0:
+            self.pairs.append((max(self.read), min(self.read)))
+            self.read = []
+            if len(self.pairs) == self.MOST:
+                raise StopIteration
+
+
 def counted(collect):
     def run(self):
         found = collect(self)
