@@ -3,6 +3,7 @@
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from torusflow import queries as q
@@ -298,6 +299,18 @@ def test_kernels_get_their_hosts_in_blocks(spark, name):
     assert plan.count("MapInArrow") == 2 and "lambda" not in plan and plan.count("Exchange") == plan.count("Exchange hashpartitioning(p_partkey") == 1
 
 
+@pytest.mark.parametrize("name", ["dsc10_local_axis_3d", "dsc5_fabric_profile"])
+def test_what_equal_structures_make_becomes_rows_in_spark(spark, name):
+    plan = shown(q.QUERIES[name](spark, SF))
+    assert "Generate explode(sid" in plan and "Generate posexplode(" in plan
+
+
+def test_columns_are_gathered_by_structure():
+    made = pa.RecordBatch.from_arrays([pa.array([2, 0, 2, 0]), pa.array([5, None, 7, 8])], ["sid", "v"])  # none of structure 1
+    got = lattice.gathered(made, np.array([1, 2, 0, 2]), pa.array(["a", None, "c", "d"]))
+    assert [c.to_pylist() for c in got] == [[["c"], ["a"], [None, "d"]], [[None, 8], [], [5, 7]]]
+
+
 def test_blobs_are_labelled_without_rounds_over_the_table(spark):
     plan = shown(q.QUERIES["gen7_blobs"](spark, SF))
     assert "FileScan parquet [sid" not in plan and plan.count("Exchange hashpartitioning") == 2  # no step is written; the parts are dealt, and the centres' sums
