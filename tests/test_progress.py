@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from torusflow.operators import series, sweep
+from torusflow.operators import lattice, persistence, series, sweep
 from torusflow.streaming import audit
 
 
@@ -93,6 +93,52 @@ def test_sweep_equals_fits_of_each_cell(spark):
     assert len(bare) == 30 and {r["h0_rank"] for r in bare} == {None}
 
 
+def test_sweep_of_different_structures_and_their_numbers(spark):
+    rng = np.random.default_rng(4)
+    grids = (rng.random((60, 64)) < rng.uniform(0.2, 0.6, (60, 1))).astype(int).tolist()
+    rows = [(i, grids[i % 60 if i < 120 else i % 7]) for i in range(200)] + [(1000, None), (7, grids[3])]
+    packed = spark.createDataFrame(rows, "sid long, grid array<int>").selectExpr("sid", "transform(grid, g -> cast(g as tinyint)) as grid").repartition(5)
+    found = sweep.lone(packed.unionByName(packed.limit(1).selectExpr("cast(null as bigint) as sid", "grid")), 3).persist()
+    assert found.count() == 60 == found.select("sid").distinct().count() and sum(sum(r["times"]) for r in found.collect()) == 201
+    key = lambda r: (r["side"], r["weight"], r["range"], r["bandwidth"])
+    alone = packed.selectExpr("xxhash64(sid, grid) as sid", "sid as id", "grid").where("grid is not null")  # id 7 is two structures
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(3))
+    times = alone.select("sid", F.array(*[(fold == f).cast("long") for f in range(3)]).alias("times"))
+    want = sweep.sweep(persistence.persistence(alone.select("sid", "grid")), times.join(lattice.correlated(alone.select("sid", "grid")), "sid"), sides=(3,), folds=3)
+    got = sweep.sweep(persistence.persistence(found), found.select("sid", "times").join(lattice.correlated(found), "sid"), sides=(3,), folds=3)
+    want, got = ({key(r): r for r in rows.where("bandwidth between 0.1 and 0.3").collect()} for rows in (want, got))
+    assert len(got) == 12 and got.keys() == want.keys()
+    for k, r in got.items():
+        assert r["h0_rank"] == want[k]["h0_rank"] and r["h1_rank"] == want[k]["h1_rank"]
+        told = ("h0_share", "h0_r2", "h1_share")  # images of so few bars of dimension 1 have no third axis to fit
+        np.testing.assert_allclose([r[c] for c in told], [want[k][c] for c in told], rtol=1e-5)
+
+
+def test_features_are_porosity_and_correlations(spark):
+    rng = np.random.default_rng(6)
+    grids = {i: (rng.random((n, n)) < 0.4).astype(int) for i, n in enumerate((4, 5, 4, 7))}
+    packed = spark.createDataFrame([(i, g.ravel().tolist()) for i, g in grids.items()], "sid long, grid array<int>").selectExpr("sid", "transform(grid, g -> cast(g as tinyint)) as grid")
+    got = {r["sid"]: r["x"] for r in lattice.correlated(packed).collect()}
+    pairs = {(r["sid"], r["dir"], r["lag"]): r["s2"] for r in lattice.two_point(packed).collect()}
+    assert set(got) == set(grids)
+    for i, g in grids.items():
+        np.testing.assert_allclose(got[i], [1 - g.mean()] + [pairs[i, d, lag] for d in range(4) for lag in range(len(g) // 2 + 1)], atol=1e-12)
+
+
+@pytest.mark.parametrize("weight", ["const", "linear"])
+def test_images_of_structures_of_any_number_of_bars(weight):
+    rng, count = np.random.default_rng(2), np.array([0, 3, 1, 3, 0, 7, 1])
+    birth, length = rng.random((2, count.sum()))
+    got = sweep.images(count, birth, length, 3, 0.25)(weight, (0.0, 1.25), (0.0, 1.0))
+    place = np.repeat(np.arange(len(count)), count)
+    for s in range(len(count)):
+        for a in range(3):
+            for b in range(3):
+                far = (birth - (a + 0.5) * 1.25 / 3) ** 2 + (length - (b + 0.5) / 3) ** 2
+                want = np.sum((place == s) * (length if weight == "linear" else 1.0) * np.exp(-far / 0.125)) / (2 * np.pi * 0.0625)
+                assert abs(got[s, 3 * a + b] - want) < 1e-12
+
+
 def test_states_by_stream_equal_the_batch(spark, tmp_path):
     start = datetime(2026, 1, 1)
     wanted = [(i, "ab"[i % 2]) for i in range(40)]

@@ -222,6 +222,18 @@ def test_the_sweep_merges_bars_with_features(spark):
     assert "SortMergeJoin [sid" in shown(q.QUERIES["sta13_sweep"](spark, SF))
 
 
+def test_the_sweep_makes_images_once_for_a_structure(spark, monkeypatch):
+    told, whole = [], q.sweep.sweep
+    monkeypatch.setattr(q.sweep, "sweep", lambda bars, features, **how: told.append((bars, features)) or whole(bars, features, **how))
+    q.QUERIES["sta13_sweep"](spark, SF)
+    ((bars, features),) = told
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    different = lattice.lattice2(parts).select("grid").distinct().count()
+    rows = features.collect()
+    assert len(rows) == different < parts.count() == sum(sum(r["times"]) for r in rows)
+    assert bars.select("sid").distinct().join(features, "sid", "left_anti").count() == 0
+
+
 ONCE = ("lbm2_permeability_3d", "top3_tortuosity", "top3_connectivity", "top7_critical_radius", "top7_critical_radius_3d", "dsc16_persistence_3d", "top1_percolation_3d", "gen9_cube_metrics", "top6_windings", "top6_windings_3d")
 
 
