@@ -2,6 +2,7 @@
 
 from collections.abc import Sequence
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,6 +11,7 @@ from torusflow import queries as q
 from torusflow.operators import fields, generate, graph, lattice, order, splits, surface, topology
 from torusflow.plans import views
 
+from . import compare
 from .conftest import SF
 
 
@@ -32,6 +34,39 @@ def test_pore_statistics_neither_broadcast_nor_shuffle_cells(spark):
     assert "HashedRelationBroadcastMode" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_the_change_of_a_field_neither_joins_nor_shuffles_cells(spark):
+    plan = shown(q.QUERIES["lbm5_field_residual"](spark, SF))
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(p_partkey") == 1 and "SortMergeJoin" not in plan and "HashJoin" not in plan
+
+
+def test_the_change_of_a_field_of_odd_parts(spark, tmp_path):
+    parts = [(1, 7), (2, 1), (2, 4), (2, 4), (3, None), (-5, 2), (None, 4), (2**40, 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(q.ORACLES["lbm5_field_residual"])
+    got = q.QUERIES["lbm5_field_residual"](spark, str(tmp_path))
+    assert compare.spark_rows(got) == (sorted(want.columns), compare.rows(want.columns, want.fetchall()))
+
+
+def test_the_change_between_two_tables(spark):
+    rng, now, before, want = np.random.default_rng(1), [], [], {}
+    for sid in range(6):
+        moved = whole = 0.0
+        for x in range(4):
+            for y in range(3):
+                new, old = rng.normal(size=2) * (sid != 4), rng.normal(size=2)
+                here, there = map(int, rng.random(2) < (0.7, 0.6 if sid < 5 else 0.0))
+                now += [(sid, x, y, *map(float, new))] * here
+                before += [(sid, x, y, *map(float, old))] * there
+                moved += np.sum((new * here - old * there) ** 2)
+                whole += np.sum((new * here) ** 2)
+        want[sid] = np.sqrt(moved / whole) if whole else 10.0
+    now, before = (spark.createDataFrame(rows, "sid long, x int, y int, u double, v double").repartition(3) for rows in (now, before))
+    got = {r["sid"]: r["residual"] for r in fields.residual(now, before).collect()}
+    assert got.keys() == want.keys() and want[4] == 10.0 and want[5] == 1.0 and all(abs(got[s] - want[s]) < 1e-12 for s in want)
+
+
 @pytest.mark.parametrize("nx, ny", [(1, 4), (2, 3), (5, 2), (6, 7)])
 def test_sides_around_the_torus(spark, nx, ny):
     solid = np.random.default_rng(nx).integers(0, 2, (ny, nx))

@@ -20,19 +20,27 @@ def fluxes(velocity: DataFrame) -> DataFrame:
     return velocity.groupBy("sid").agg((F.sum("u") / side("x")).alias("qx"), (F.sum("v") / side("y")).alias("qy"))
 
 
-def residual(now: DataFrame, before: DataFrame) -> DataFrame:
-    """(sid, residual): the root of the squared change of a field over its squares; 10 for a field at rest.
+def change(both: DataFrame) -> DataFrame:
+    """(sid, residual) of cells that hold a field (u, v) and the one before (u0, v0): the root of the squared change over
+    the squares; 10 for a field at rest. A null is at rest.
 
-    A cell that only one of the fields has is at rest in the other.
+    One sum by structure, so cells that are dealt by structure stay where they are.
     """
-    old = before.select("sid", "x", "y", F.col("u").alias("u0"), F.col("v").alias("v0"))
-    both = now.select("sid", "x", "y", "u", "v").join(old, ["sid", "x", "y"], "full")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     moved = (zero("u") - zero("u0")) ** 2 + (zero("v") - zero("v0")) ** 2
     sums = both.groupBy("sid").agg(F.sum(moved).alias("moved"), F.coalesce(F.sum(_speed2()), F.lit(0.0)).alias("whole"))
     return sums.select("sid", F.when(F.col("whole") > 0, F.sqrt(F.col("moved") / F.col("whole"))).otherwise(10.0).alias("residual"))
 
 
+def residual(now: DataFrame, before: DataFrame) -> DataFrame:
+    """``change`` of two tables of (sid, x, y, u, v), a row a cell, whose cells are joined.
+
+    A cell that only one of the fields has is at rest in the other. Where one table holds both fields, ``change`` needs no join.
+    """
+    old = before.select("sid", "x", "y", F.col("u").alias("u0"), F.col("v").alias("v0"))
+    return change(now.select("sid", "x", "y", "u", "v").join(old, ["sid", "x", "y"], "full"))
+
+
 def statistics(velocity: DataFrame) -> DataFrame:
     """Per structure (sid, x, y, solid, u, v): tortuosity (all speed over all flow along x),
     participation (the share of the pore that would carry the energy evenly), effective porosity
